@@ -100,15 +100,14 @@ def clv_band_expr(clv="clv") -> Column:
 def clv_percentile_band(df: DataFrame, clv: str = "clv", cuts=(0.4, 0.6, 0.9),
                         out: str = "clv_band", exact: bool = True) -> DataFrame:
     """H4: VIP ≥ p90, High ≥ p60, Medium ≥ p40, else Low (cuts configurable).
-    The three cut values are one aggregate row, broadcast."""
-    lo, mid, hi = cuts
-    agg = F.percentile if exact else F.percentile_approx
-    q = df.agg(agg(F.col(clv).cast("double"), F.array(*[F.lit(float(c)) for c in cuts])).alias("_p"))
+    The cut values are scalar subqueries over the distributed rank table
+    (exact) or a ``percentile_approx`` sketch."""
+    from clvforge.operators.ranks import quantile_row
+    p = [quantile_row(df, clv, float(c), "_q", exact).scalar() for c in cuts]
     v = F.col(clv)
-    band = (F.when(v >= F.col("_p")[1],
-                   F.when(v >= F.col("_p")[2], "VIP").otherwise("High Value"))
-             .when(v >= F.col("_p")[0], "Medium Value").otherwise("Low Value"))
-    return df.crossJoin(F.broadcast(q)).withColumn(out, band).drop("_p")
+    band = (F.when(v >= p[1], F.when(v >= p[2], "VIP").otherwise("High Value"))
+             .when(v >= p[0], "Medium Value").otherwise("Low Value"))
+    return df.withColumn(out, band)
 
 
 def interval_scale(clv="clv", lo: float = 0.3, hi: float = 2.0) -> tuple[Column, Column]:

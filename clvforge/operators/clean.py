@@ -46,13 +46,12 @@ def add_revenue(df: DataFrame) -> DataFrame:
 def trim_price_outliers(df: DataFrame, q: float = 0.99, exact: bool = True) -> DataFrame:
     """Keep price ≤ the q-quantile of price over ``df``.
 
-    The threshold is a one-row DataFrame (exact: distributed rank table;
-    approximate: ``percentile_approx`` sketch) broadcast into a cross join —
-    a one-row side is the only broadcast whose size is known in advance.
+    The threshold is a one-row aggregate (exact: distributed rank table;
+    approximate: ``percentile_approx`` sketch) used as an uncorrelated scalar
+    subquery: computed once, then a literal in the filter.
     """
-    thr = quantile_row(df, S.PRICE, q, "_price_cap", exact)
-    return (df.crossJoin(F.broadcast(thr))
-              .where(F.col(S.PRICE) <= F.col("_price_cap")).drop("_price_cap"))
+    cap = quantile_row(df, S.PRICE, q, "_price_cap", exact).scalar()
+    return df.where(F.col(S.PRICE) <= cap)
 
 
 def drop_missing_customer(df: DataFrame) -> DataFrame:
@@ -85,32 +84,28 @@ def split_observation_holdout(df: DataFrame, holdout_days: int = 90,
                               gap_days: int = 1) -> tuple[DataFrame, DataFrame]:
     """observation = ts ≤ max − holdout; holdout = ts ≥ max − holdout + gap.
 
-    ``max`` is a one-row aggregate broadcast into a cross join. Rows inside
+    ``max`` is a scalar subquery (computed once). Rows inside
     the gap belong to neither part (reference behaviour, kept). With
     ``observation_days`` the observation part also gets a lower bound.
     """
-    mx = df.agg(F.max(S.TS).alias("_max_ts"))
-    j = df.crossJoin(F.broadcast(mx))
-    obs_end = F.col("_max_ts") - F.make_dt_interval(F.lit(holdout_days))
+    mx = df.agg(F.max(S.TS)).scalar()
+    obs_end = mx - F.make_dt_interval(F.lit(holdout_days))
     hold_start = obs_end + F.make_dt_interval(F.lit(gap_days))
     obs_pred = F.col(S.TS) <= obs_end
     if observation_days is not None:
         obs_pred = obs_pred & (F.col(S.TS) > obs_end - F.make_dt_interval(F.lit(observation_days)))
-    obs = j.where(obs_pred).drop("_max_ts")
-    hold = j.where(F.col(S.TS) >= hold_start).drop("_max_ts")
-    return obs, hold
+    return df.where(obs_pred), df.where(F.col(S.TS) >= hold_start)
 
 
 def split_parts(df: DataFrame, holdout_days: int = 90, gap_days: int = 1) -> DataFrame:
     """B8 as one DataFrame: a ``part`` column ('observation' / 'holdout');
     rows in the gap are dropped."""
-    mx = df.agg(F.max(S.TS).alias("_max_ts"))
-    j = df.crossJoin(F.broadcast(mx))
-    obs_end = F.col("_max_ts") - F.make_dt_interval(F.lit(holdout_days))
+    mx = df.agg(F.max(S.TS)).scalar()
+    obs_end = mx - F.make_dt_interval(F.lit(holdout_days))
     hold_start = obs_end + F.make_dt_interval(F.lit(gap_days))
     part = (F.when(F.col(S.TS) <= obs_end, F.lit("observation"))
              .when(F.col(S.TS) >= hold_start, F.lit("holdout")))
-    return j.withColumn("part", part).where(F.col("part").isNotNull()).drop("_max_ts")
+    return df.withColumn("part", part).where(F.col("part").isNotNull())
 
 
 def valid_for_purchase_model(df: DataFrame, strict: bool = False) -> DataFrame:

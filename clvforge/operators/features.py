@@ -87,12 +87,12 @@ def customer_features(obs: DataFrame) -> DataFrame:
     """The customer table (D2–D7 in one pass plus one gap pass).
 
     T counts days from first purchase to the last observation timestamp
-    (a one-row broadcast aggregate); recency ≥ 0 and T ≥ 1 are clamped.
+    (a scalar subquery); recency ≥ 0 and T ≥ 1 are clamped.
     """
-    end = obs.agg(F.max(S.TS).alias("_obs_end"))
+    end = obs.agg(F.max(S.TS)).scalar()
     agg = obs.groupBy(S.CUST).agg(*_line_aggregates(obs))
     gaps = purchase_gaps(obs)
-    j = agg.join(gaps, S.CUST, "left").crossJoin(F.broadcast(end))
+    j = agg.join(gaps, S.CUST, "left")
     return j.select(
         S.CUST,
         fmt_ts("_first_ts").alias("first_purchase_date"),
@@ -101,7 +101,7 @@ def customer_features(obs: DataFrame) -> DataFrame:
         "std_revenue_per_txn", "total_quantity", "n_unique_products", S.COUNTRY,
         (F.col("n_transactions") - 1).alias("frequency"),
         F.greatest(days_between("_first_ts", "_last_ts"), F.lit(0)).alias("recency"),
-        F.greatest(days_between("_first_ts", "_obs_end"), F.lit(1)).alias("T"),
+        F.greatest(days_between(F.col("_first_ts"), end), F.lit(1)).alias("T"),
         F.col("avg_revenue_per_txn").alias("monetary_value"),
         F.coalesce("avg_days_between_purchases", F.lit(0.0)).alias("avg_days_between_purchases"),
         F.coalesce("max_purchase_gap", F.lit(0.0)).alias("max_purchase_gap"),
@@ -111,14 +111,14 @@ def customer_features(obs: DataFrame) -> DataFrame:
 
 def purchase_span(obs: DataFrame) -> DataFrame:
     """first/last purchase, line count, frequency, recency, T."""
-    end = obs.agg(F.max(S.TS).alias("_obs_end"))
+    end = obs.agg(F.max(S.TS)).scalar()
     a = obs.groupBy(S.CUST).agg(F.min(S.TS).alias("_f"), F.max(S.TS).alias("_l"),
                                 F.count(F.lit(1)).alias("n_transactions"))
-    return a.crossJoin(F.broadcast(end)).select(
+    return a.select(
         S.CUST, fmt_ts("_f").alias("first_purchase_date"), fmt_ts("_l").alias("last_purchase_date"),
         "n_transactions", (F.col("n_transactions") - 1).alias("frequency"),
         F.greatest(days_between("_f", "_l"), F.lit(0)).alias("recency"),
-        F.greatest(days_between("_f", "_obs_end"), F.lit(1)).alias("T"))
+        F.greatest(days_between(F.col("_f"), end), F.lit(1)).alias("T"))
 
 
 def spend_stats(obs: DataFrame) -> DataFrame:
@@ -160,8 +160,9 @@ def attach_holdout(customers: DataFrame, hold_rev: DataFrame) -> DataFrame:
                      .withColumn("holdout_revenue", F.coalesce("holdout_revenue", F.lit(0.0))))
 
 
-def _snapshot(tx: DataFrame) -> DataFrame:
-    return tx.agg((F.max(S.TS) + F.make_dt_interval(F.lit(1))).alias("_snap"))
+def _snapshot(tx: DataFrame) -> Column:
+    """max timestamp + 1 day, as a scalar subquery."""
+    return tx.agg(F.max(S.TS) + F.make_dt_interval(F.lit(1))).scalar()
 
 
 def invoice_summary(tx: DataFrame) -> DataFrame:
@@ -169,10 +170,10 @@ def invoice_summary(tx: DataFrame) -> DataFrame:
     last), T (first purchase to max + 1 day)."""
     a = tx.groupBy(S.CUST).agg(F.countDistinct(S.INVOICE).alias("_n"),
                                F.min(S.TS).alias("_f"), F.max(S.TS).alias("_l"))
-    return a.crossJoin(F.broadcast(_snapshot(tx))).select(
+    return a.select(
         S.CUST, (F.col("_n") - 1).alias("frequency"),
         days_between("_f", "_l").alias("recency"),
-        days_between("_f", "_snap").alias("T"))
+        days_between(F.col("_f"), _snapshot(tx)).alias("T"))
 
 
 def spend_summary(tx: DataFrame) -> DataFrame:
@@ -195,11 +196,11 @@ def invoice_features(tx: DataFrame) -> DataFrame:
         F.countDistinct(S.STOCK).alias("n_unique_products"),
         F.countDistinct(S.COUNTRY).alias("n_unique_countries"),
         F.coalesce(F.stddev_samp(S.REVENUE), F.lit(0.0)).alias("revenue_std"))
-    j = (lines.join(gaps, S.CUST, "left").crossJoin(F.broadcast(_snapshot(tx))))
+    j = lines.join(gaps, S.CUST, "left")
     return j.select(
         S.CUST, (F.col("n_invoices") - 1).alias("frequency"),
         days_between("_f", "_l").alias("recency"),
-        days_between("_f", "_snap").alias("T"),
+        days_between(F.col("_f"), _snapshot(tx)).alias("T"),
         "monetary_value", "total_revenue", "n_invoices", "n_unique_products",
         "n_unique_countries",
         F.when(F.col("n_gaps") > 0, F.col("max_gap")).otherwise(F.lit(0)).cast("double")

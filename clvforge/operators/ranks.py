@@ -38,11 +38,14 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def value_rank_table(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
+def value_rank_table(df: DataFrame, col: str, n_buckets: int | None = None,
+                     by: list[str] | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` with ``_cnt`` (rows holding the
-    value) and ``_less`` (rows holding a smaller value)."""
+    value) and ``_less`` (rows holding a smaller value), optionally within
+    groups ``by`` (offsets then accumulate per group)."""
+    by = list(by or [])
     nb = _n_buckets(df, n_buckets)
-    counts = (df.where(F.col(col).isNotNull()).groupBy(col)
+    counts = (df.where(F.col(col).isNotNull()).groupBy(*by, col)
                 .agg(F.count(F.lit(1)).alias("_cnt"))
                 .withColumn("_v", F.col(col).cast("double")))
     probs = [i / nb for i in range(1, nb)]
@@ -54,24 +57,26 @@ def value_rank_table(df: DataFrame, col: str, n_buckets: int | None = None) -> D
     else:
         bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b",
                               handleInvalid="keep").transform(counts)
-    totals = bucketed.groupBy("_b").agg(F.sum("_cnt").alias("_bt"))
-    # n_buckets rows: a single-partition window over them is bounded.
+    totals = bucketed.groupBy(*by, "_b").agg(F.sum("_cnt").alias("_bt"))
+    # groups × n_buckets rows: a window over them (per group) is bounded.
+    ow = Window.orderBy("_b") if not by else Window.partitionBy(*by).orderBy("_b")
     offsets = totals.select(
-        "_b", F.coalesce(F.sum("_bt").over(
-            Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+        *by, "_b", F.coalesce(F.sum("_bt").over(ow.rowsBetween(Window.unboundedPreceding, -1)),
+                              F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*by, "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    off_side = F.broadcast(offsets) if not by else offsets
     return (bucketed
             .withColumn("_inb", F.coalesce(F.sum("_cnt").over(inner), F.lit(0)))
-            .join(F.broadcast(offsets), "_b")
-            .select(col, "_cnt", (F.col("_off") + F.col("_inb")).alias("_less")))
+            .join(off_side, [*by, "_b"])
+            .select(*by, col, "_cnt", (F.col("_off") + F.col("_inb")).alias("_less")))
 
 
-def _rank_stats(table: DataFrame, col: str) -> DataFrame:
-    """One row: N, count at the smallest and at the largest value."""
-    return table.agg(F.sum("_cnt").alias("_n"),
-                     F.min_by("_cnt", col).alias("_cnt_lo"),
-                     F.max_by("_cnt", col).alias("_cnt_hi"))
+def _rank_stats(table: DataFrame, col: str):
+    """Scalar subquery: struct of N and the counts at the smallest and the
+    largest value (one aggregate, reused by every reference)."""
+    return table.agg(F.struct(F.sum("_cnt").alias("n"),
+                              F.min_by("_cnt", col).alias("lo"),
+                              F.max_by("_cnt", col).alias("hi"))).scalar()
 
 
 def average_rank(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
@@ -94,14 +99,13 @@ def equal_width_score_table(df: DataFrame, col: str, n: int = 5, reverse: bool =
     t = value_rank_table(df, col, n_buckets)
     stats = _rank_stats(t, col)
     r2 = F.col("_less") * 2 + F.col("_cnt") + 1
-    lo2 = F.col("_cnt_lo") + 1
-    hi2 = F.col("_n") * 2 - F.col("_cnt_hi") + 1
+    lo2 = stats.getField("lo") + 1
+    hi2 = stats.getField("n") * 2 - stats.getField("hi") + 1
     span = hi2 - lo2
     binned = (F.when(span == 0, F.lit((n + 1) // 2))
                .otherwise(F.greatest(F.lit(1), _ceil_div((r2 - lo2) * n, span))))
     score = (F.lit(n + 1) - binned) if reverse else binned
-    return (t.crossJoin(F.broadcast(stats))
-             .select(col, score.cast("int").alias(out)))
+    return t.select(col, score.cast("int").alias(out))
 
 
 def equal_width_score(df: DataFrame, col: str, n: int = 5, reverse: bool = False,
@@ -145,12 +149,10 @@ def quantile_bin_score(df: DataFrame, col: str, tiebreak: str, n: int = 5,
     """E5: pandas ``qcut(rank(method='first'), n)`` — bins of equal count over
     positions ordered by (col, tiebreak): ``max(1, ceil((rn−1)·n/(N−1)))``."""
     ranked = global_row_number(df.where(F.col(col).isNotNull()), [col, tiebreak], "_rn")
-    total = ranked.agg(F.count(F.lit(1)).alias("_N"))
-    den = F.col("_N") - 1
+    den = ranked.agg(F.count(F.lit(1))).scalar() - 1
     b = (F.when(den <= 0, F.lit(1))
           .otherwise(F.greatest(F.lit(1), _ceil_div((F.col("_rn") - 1) * n, den))))
-    return (ranked.crossJoin(F.broadcast(total))
-                  .withColumn(out, b.cast("int")).drop("_N"))
+    return ranked.withColumn(out, b.cast("int"))
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, out: str = "q",
@@ -159,13 +161,12 @@ def exact_quantile(df: DataFrame, col: str, q: float, out: str = "q",
     interpolation between order statistics, as pandas ``quantile`` and SQL
     ``percentile_cont``), computed from the distributed value/rank table."""
     t = value_rank_table(df, col, n_buckets)
-    n = t.agg(F.sum("_cnt").alias("_n"))
-    h = (F.col("_n") - 1) * F.lit(float(q))
+    n = t.agg(F.sum("_cnt")).scalar()
+    h = (n - 1) * F.lit(float(q))
     k_lo = F.floor(h)
     k_hi = F.ceil(h)
     covers = lambda k: (F.col("_less") <= k) & (k < F.col("_less") + F.col("_cnt"))
-    j = t.crossJoin(F.broadcast(n))
-    picked = j.where(covers(k_lo) | covers(k_hi)).agg(
+    picked = t.where(covers(k_lo) | covers(k_hi)).agg(
         F.max(F.when(covers(k_lo), F.col(col).cast("double"))).alias("_lo"),
         F.max(F.when(covers(k_hi), F.col(col).cast("double"))).alias("_hi"),
         F.max(h - k_lo).alias("_f"))
@@ -181,3 +182,29 @@ def approx_quantile_row(df: DataFrame, col: str, q: float, out: str = "q",
 
 def quantile_row(df: DataFrame, col: str, q: float, out: str = "q", exact: bool = True) -> DataFrame:
     return exact_quantile(df, col, q, out) if exact else approx_quantile_row(df, col, q, out)
+
+
+def exact_quantiles_by(df: DataFrame, by: list[str], col: str, qs: list[float],
+                       names: list[str] | None = None) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation) from the grouped
+    distributed rank table: no group's values are gathered into one task."""
+    names = names or [f"q{int(round(q * 100))}" for q in qs]
+    t = value_rank_table(df, col, by=by)
+    n = t.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
+    j = t.join(n, by)
+    v = F.col(col).cast("double")
+    aggs, picks = [], []
+    for q, nm in zip(qs, names):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        lo, hi = F.floor(h), F.ceil(h)
+        cov_lo = (F.col("_less") <= lo) & (lo < F.col("_less") + F.col("_cnt"))
+        cov_hi = (F.col("_less") <= hi) & (hi < F.col("_less") + F.col("_cnt"))
+        picks.append(cov_lo | cov_hi)
+        aggs += [F.max(F.when(cov_lo, v)).alias(f"_lo_{nm}"), F.max(F.when(cov_hi, v)).alias(f"_hi_{nm}"),
+                 F.max(h - lo).alias(f"_f_{nm}")]
+    keep = picks[0]
+    for p in picks[1:]:
+        keep = keep | p
+    g = j.where(keep).groupBy(*by).agg(*aggs)
+    return g.select(*by, *[(F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}"))
+                            * F.col(f"_f_{nm}")).alias(nm) for nm in names])

@@ -18,9 +18,9 @@ def compute_rfm(tx: DataFrame, snapshot=None, with_total: bool = False) -> DataF
     max timestamp + 1 day), distinct invoices, mean line revenue.
     D10 (``with_total``) adds total revenue."""
     if snapshot is None:
-        snap = tx.agg((F.max(S.TS) + F.make_dt_interval(F.lit(1))).alias("_snap"))
+        snap = tx.agg(F.max(S.TS) + F.make_dt_interval(F.lit(1))).scalar()
     else:
-        snap = tx.sparkSession.range(1).select(F.lit(snapshot).cast("timestamp").alias("_snap"))
+        snap = F.lit(snapshot).cast("timestamp")
     aggs = [F.max(S.TS).alias("_last"),
             F.countDistinct(S.INVOICE).alias("Frequency"),
             F.avg(S.REVENUE).alias("Monetary")]
@@ -28,12 +28,12 @@ def compute_rfm(tx: DataFrame, snapshot=None, with_total: bool = False) -> DataF
         aggs.append(F.sum(S.REVENUE).alias("TotalRevenue"))
     a = tx.groupBy(S.CUST).agg(*aggs)
     cols = [S.CUST,
-            F.coalesce(days_between("_last", "_snap"), F.lit(0)).alias("Recency"),
+            F.coalesce(days_between(F.col("_last"), snap), F.lit(0)).alias("Recency"),
             "Frequency",
             F.coalesce(F.col("Monetary"), F.lit(0.0)).alias("Monetary")]
     if with_total:
         cols.append("TotalRevenue")
-    return a.crossJoin(F.broadcast(snap)).select(*cols)
+    return a.select(*cols)
 
 
 def compute_rfm_total(tx: DataFrame, snapshot=None) -> DataFrame:
@@ -147,8 +147,8 @@ def rfm_heatmap(rfm: DataFrame, value: str = "Monetary", n: int = 5,
     ``fill_missing_cells``."""
     spark = rfm.sparkSession
     cells = rfm.groupBy("R_score", "F_score").agg(F.avg(value).alias("avg_value"))
-    grid = (spark.range(1, n + 1).select(F.col("id").cast("int").alias("R_score"))
-                 .crossJoin(spark.range(1, n + 1).select(F.col("id").cast("int").alias("F_score"))))
+    grid = spark.range(n * n).select((F.col("id") / n).cast("int").__add__(1).alias("R_score"),
+                                      (F.col("id") % n + 1).cast("int").alias("F_score"))
     rows_present = rfm.select("R_score").distinct().withColumn("_r", F.lit(True))
     cols_present = rfm.select("F_score").distinct().withColumn("_f", F.lit(True))
     j = (grid.join(cells, ["R_score", "F_score"], "left")

@@ -1,0 +1,75 @@
+"""Composite plans: the customer value table and the end-to-end run (L1).
+
+The cleaned lines and the customer table are each materialised once in the
+shared checkpoint folder: both feed several downstream plans, and a cut
+lineage means a lost executor recomputes one stage, not the whole chain.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from clvforge import schemas as S
+from clvforge.operators import clean as C
+from clvforge.operators import features as FT
+from clvforge.operators import rfm as RF
+from clvforge.operators import value as V
+from clvforge.session import durable_cut
+
+
+def customer_table(tx_clean: DataFrame, bg: dict | None = None, gg: dict | None = None,
+                   fit: bool = False, penalty: float = 0.1, holdout_days: int = 90,
+                   materialize: bool = True) -> tuple[DataFrame, dict, dict]:
+    """Split → features (D1) ⟕ holdout target (C1) ⟕ RFM scores and segment
+    (D9, E4, H1, C2) → probability columns and value (I9)."""
+    obs, hold = C.split_observation_holdout(tx_clean, holdout_days)
+    feats = FT.customer_features(obs)
+    seg = RF.segment_customers(RF.score_rfm(RF.compute_rfm(obs)))
+    cust = RF.attach_rfm(FT.attach_holdout(feats, FT.holdout_revenue(hold)), seg)
+    if materialize:
+        cust = durable_cut(cust)
+    out, bg, gg = V.fit_probabilistic(cust, bg, gg, penalty, fit)
+    return out, bg, gg
+
+
+def segment_table(tx_clean: DataFrame, holdout_days: int = 90) -> tuple[DataFrame, DataFrame]:
+    """RFM with segments on the observation part, and its statistics."""
+    obs, _ = C.split_observation_holdout(tx_clean, holdout_days)
+    seg = RF.segment_customers(RF.score_rfm(RF.compute_rfm(obs)))
+    return seg, RF.segment_stats(seg, obs)
+
+
+def run_pipeline(tx_raw: DataFrame, out_dir: str | None = None, fit: bool = True,
+                 train_model: bool = True, model_trees: int = 50, fmt: str = "parquet",
+                 holdout_days: int = 90) -> dict:
+    """L1: B7 → E1 → B8 → D1/C1 → D9, E4, H1, C2, D11 → I9 → J11 → A5.
+
+    Returns the produced tables (and writes them when ``out_dir`` is given).
+    """
+    from clvforge.operators import cohorts as CO
+    from clvforge.sources import io as IO
+
+    tx_clean = durable_cut(C.clean_transactions(tx_raw))
+    tx_cohort = CO.cohort_columns(tx_clean)
+    cust, bg, gg = customer_table(tx_clean, fit=fit, holdout_days=holdout_days)
+    cust = durable_cut(cust)
+    seg, stats = segment_table(tx_clean, holdout_days)
+    result = {"customers": cust, "rfm": seg, "segment_stats": stats,
+              "transactions": tx_cohort, "bgnbd_params": bg, "gg_params": gg}
+    if train_model:
+        from clvforge.plans.ml import train_value_model
+        trained = train_value_model(cust, num_trees=model_trees)
+        result.update(trained)
+        result["customers"] = trained["scored"]
+    if out_dir:
+        tables = {k: result[k] for k in ("customers", "rfm", "segment_stats") if k in result}
+        if "feature_importance" in result:
+            tables["feature_importance"] = result["feature_importance"]
+        IO.write_outputs(tables, out_dir, fmt)
+        spark = tx_raw.sparkSession
+        IO.save_params(spark, "bgnbd", {k: v for k, v in bg.items() if k in ("r", "alpha", "a", "b")},
+                       f"{out_dir}/params_bgnbd")
+        IO.save_params(spark, "gamma_gamma", {k: v for k, v in gg.items() if k in ("p", "q", "v")},
+                       f"{out_dir}/params_gamma_gamma")
+    result["key"] = S.CUST
+    return result

@@ -212,3 +212,84 @@ def action_brief_case(seg: str = "segment", p: str = "prob_alive", v: str = "clv
             f"WHEN {seg} = 'New Customers' THEN {t['new']} "
             f"WHEN {seg} = 'Hibernating' AND {v} > 500 THEN {t['hibernating']} "
             f"ELSE {t['standard']} END")
+
+
+# -- probability models (published parameters) ---------------------------------
+
+def _f(v: float) -> str:
+    return repr(float(v))
+
+
+def p_alive_sql(bg: dict, x: str = "frequency", tx: str = "recency", T_: str = "T") -> str:
+    r, al, a, b = (_f(bg[k]) for k in ("r", "alpha", "a", "b"))
+    log_d = (f"(ln({a}) - ln({b} + greatest({x}, 1) - 1) + ({r} + {x}) * "
+             f"(ln({al} + {T_}) - ln({al} + {tx})))")
+    return f"(CASE WHEN {x} = 0 THEN 1.0 ELSE 1.0 / (1 + exp(least({log_d}, 700.0))) END)"
+
+
+def _lpoch(c: float, k: str) -> tuple[str, int]:
+    """ln|(c)_k| for k ≥ 1 and its sign, for a constant c > -1, c != 0."""
+    if c > 0:
+        return f"(lgamma({_f(c)} + {k}) - lgamma({_f(c)}))", 1
+    if -1 < c < 0:
+        return f"(ln({_f(-c)}) + lgamma({_f(c)} + {k}) - lgamma({_f(c + 1)}))", -1
+    raise ValueError("parameter combination outside the SQL series form")
+
+
+def expected_purchases_sql(bg: dict, t: float, x: str = "frequency", tx: str = "recency",
+                           T_: str = "T", terms: int = 2500) -> str:
+    """Same closed form as the library: Euler-transformed ₂F₁ series, each
+    term from log-gamma values (DuckDB has ``lgamma``)."""
+    r, al, a, b = (float(bg[k]) for k in ("r", "alpha", "a", "b"))
+    A, B = a + b - 1 - r, a - 1
+    la, sa = _lpoch(A, "k")
+    lb, sb = _lpoch(B, "k")
+    sign = "" if sa * sb > 0 else "-"
+    z = f"({_f(t)} / ({_f(al)} + {T_} + {_f(t)}))"
+    C = f"({_f(a + b - 1)} + {x})"
+    term = (f"{sign}exp({la} + {lb} - (lgamma({C} + k) - lgamma({C})) - lgamma(k + 1.0) "
+            f"+ k * ln({z}))")
+    hyp = f"(1 + list_sum(list_transform(range(1, {terms + 1}), k -> {term})))"
+    log_d = (f"(ln({_f(a)}) - ln({_f(b)} + greatest({x}, 1) - 1) + ({_f(r)} + {x}) * "
+             f"(ln({_f(al)} + {T_}) - ln({_f(al)} + {tx})))")
+    delta = f"(CASE WHEN {x} > 0 THEN exp(least({log_d}, 700.0)) ELSE 0.0 END)"
+    return (f"(({_f(a + b - 1)} + {x}) / {_f(a - 1)} * (1 - pow(1 - {z}, {_f(a - 1)}) * {hyp})"
+            f" / (1 + {delta}))")
+
+
+def expected_spend_sql(gg: dict, x: str = "frequency", m: str = "monetary_value") -> str:
+    p, q, v = (_f(gg[k]) for k in ("p", "q", "v"))
+    return f"({p} * ({v} + {x} * {m}) / ({p} * {x} + {q} - 1))"
+
+
+def strict_sql(x="frequency", tx="recency", T_="T") -> str:
+    return f"({x} > 0 AND {tx} > 0 AND {tx} <= {T_})"
+
+
+def prob_columns_sql(bg: dict, gg: dict, margin: float = 0.10) -> str:
+    """I9 columns over a customer row (frequency, recency, T, monetary_value)."""
+    purch = (f"CASE WHEN {strict_sql()} THEN {expected_purchases_sql(bg, 90.0)} "
+             f"WHEN frequency = 0 THEN monetary_value * 0.1 / 365 * 90 ELSE 0.0 END")
+    alive = f"CASE WHEN {strict_sql()} THEN {p_alive_sql(bg)} ELSE 0.5 END"
+    spend = (f"CASE WHEN frequency > 0 AND monetary_value > 0 THEN "
+             f"coalesce({expected_spend_sql(gg)} * {_f(margin)}, monetary_value * {_f(margin)}) "
+             f"ELSE monetary_value * {_f(margin)} END")
+    return (f"{purch} AS bgnbd_predicted_purchases, {alive} AS prob_alive, "
+            f"{spend} AS gamma_gamma_monetary")
+
+
+def customer_table_blocks(bg: dict, gg: dict) -> list[str]:
+    """features ⟕ holdout target ⟕ RFM scores/segment, then I9 columns."""
+    return FEATURES + [HOLD_REV] + rfm_blocks() + score_blocks() + [SEG, f"""cust0 AS (
+  SELECT f.*, coalesce(h.holdout_revenue, 0.0) AS holdout_revenue,
+         s.R_score, s.F_score, s.M_score, s.RFM_score, s.segment
+  FROM features f LEFT JOIN hrev h USING (customer_id) LEFT JOIN seg s USING (customer_id))""",
+        f"cust1 AS (SELECT *, {prob_columns_sql(bg, gg)} FROM cust0)",
+        "customers AS (SELECT *, least(bgnbd_predicted_purchases / 90 * 30 * 12 * gamma_gamma_monetary,"
+        " 100000.0) AS bgnbd_gg_clv FROM cust1)"]
+
+
+def r2(col: str, d: int) -> str:
+    """Round half away from zero on the scaled value (matches ``round_to``)."""
+    s = repr(float(10 ** d))
+    return f"(round(({col}) * {s}) / {s})"
