@@ -130,7 +130,7 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_loc", F.monotonically_increasing_id()
                             - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
-    ranged = durable_cut(ranged)
+    ranged = durable_cut(ranged, keep_partitions=True)
     counts = {r["_pid"]: r["n"] for r in
               ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offs, acc = [], 0

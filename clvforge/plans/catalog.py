@@ -38,7 +38,7 @@ def tx(spark, d):
 
 
 def clean(spark, d):
-    return C.clean_transactions(tx(spark, d))
+    return C.clean_transactions(tx(spark, d), materialize=True)
 
 
 def split(spark, d):

@@ -23,6 +23,7 @@ from clvforge.plans.pipeline import customer_table, segment_table
 BG, GG = P.PUBLISHED_BGNBD, P.PUBLISHED_GG
 RFM_SQL = Q.with_(*Q.PIPE, *Q.rfm_blocks())
 CUST_SQL = Q.with_(*Q.PIPE, *Q.customer_table_blocks(BG, GG))
+CUST_R = CUST_SQL + ", cr AS (SELECT * REPLACE (round(bgnbd_gg_clv * 100) / 100 AS bgnbd_gg_clv) FROM customers)\n"
 
 
 def customers(spark, d):
@@ -76,9 +77,9 @@ def q_pct_above(spark, d):
 
 
 @register("top_share_value", sql_wrap(
-    CUST_SQL + "SELECT 10.0 AS top_pct, quantile_cont(bgnbd_gg_clv, 0.9) AS min_value, "
-               "avg(CASE WHEN bgnbd_gg_clv > (SELECT quantile_cont(bgnbd_gg_clv, 0.9) FROM customers) "
-               "THEN 1.0 ELSE 0.0 END) * 100 AS pct_above FROM customers", ["min_value", "pct_above"]))
+    CUST_R + "SELECT 10.0 AS top_pct, quantile_cont(bgnbd_gg_clv, 0.9) AS min_value, "
+             "avg(CASE WHEN bgnbd_gg_clv > (SELECT quantile_cont(bgnbd_gg_clv, 0.9) FROM cr) "
+             "THEN 1.0 ELSE 0.0 END) * 100 AS pct_above FROM cr", ["min_value", "pct_above"]))
 def q_top_share(spark, d):
     c = customers(spark, d).withColumn("bgnbd_gg_clv", V.round_to("bgnbd_gg_clv", 2))
     return V.top_share_value(c, 10.0)
@@ -361,7 +362,6 @@ def _cust_r(spark, d):
     return durable_cut(c)
 
 
-CUST_R = CUST_SQL + ", cr AS (SELECT * REPLACE (round(bgnbd_gg_clv * 100) / 100 AS bgnbd_gg_clv) FROM customers)\n"
 
 
 @register("top_customers", CUST_R + f"""SELECT CAST(customer_id AS VARCHAR) AS customer_id,

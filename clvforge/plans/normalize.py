@@ -1,11 +1,13 @@
 """Output normalisation shared by registered queries and their SQL twins.
 
-Float sums depend on addition order, so both sides round every double column
-the same way. A first rounding to 1e-8 removes the last-bit noise (a value
-sitting exactly on a 1e-8 half step would need millions of addends), then the
-value is rounded to 1e-6; both steps round the *scaled* value to an integer,
-which agrees between engines (decimal-string rounding does not). Timestamps
-and dates are rendered as text.
+Float sums depend on addition order, so the two engines differ in the last
+bits. Both sides therefore round every double to ``BITS`` significant binary
+digits: y = round(x · 2^(BITS − e)) / 2^(BITS − e), e = floor(log2 |x|).
+Scaling by a power of two is exact, so the result is bit-identical in both
+engines unless the noise straddles a rounding boundary (≈ 2^-16 per value).
+A binary grid also never lines up with the decimal cents of money values,
+which a decimal rounding would turn into exact ties. Timestamps and dates are
+rendered as text.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCALE = 1e6
+BITS = 30
 
 
 def _round_col(c):
-    fine = F.round(c.cast("double") * 1e8) / 1e8
-    return F.round(fine * SCALE) / SCALE
+    x = c.cast("double")
+    s = F.pow(F.lit(2.0), F.lit(BITS) - F.floor(F.log2(F.abs(x))))
+    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & (x != 0)
+    return F.when(ok, F.round(x * s) / s).otherwise(x)
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -39,7 +43,10 @@ def normalize(df: DataFrame) -> DataFrame:
 
 
 def sql_round(expr: str) -> str:
-    return f"round(round(({expr}) * 1e8) / 1e8 * 1e6) / 1e6"
+    x = f"({expr})"
+    s = f"pow(2.0, {BITS} - floor(log2(abs({x}))))"
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) OR {x} = 0 THEN {x} "
+            f"ELSE round({x} * {s}) / {s} END)")
 
 
 def sql_wrap(inner: str, doubles: list[str] = (), timestamps: list[str] = (),

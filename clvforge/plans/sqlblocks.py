@@ -249,7 +249,7 @@ def expected_purchases_sql(bg: dict, t: float, x: str = "frequency", tx: str = "
     C = f"({_f(a + b - 1)} + {x})"
     term = (f"{sign}exp({la} + {lb} - (lgamma({C} + k) - lgamma({C})) - lgamma(k + 1.0) "
             f"+ k * ln({z}))")
-    hyp = f"(1 + list_sum(list_transform(range(1, {terms + 1}), k -> {term})))"
+    hyp = f"(1 + list_sum(list_transform(range(1, {terms + 1}), lambda k: {term})))"
     log_d = (f"(ln({_f(a)}) - ln({_f(b)} + greatest({x}, 1) - 1) + ({_f(r)} + {x}) * "
              f"(ln({_f(al)} + {T_}) - ln({_f(al)} + {tx})))")
     delta = f"(CASE WHEN {x} > 0 THEN exp(least({log_d}, 700.0)) ELSE 0.0 END)"

@@ -62,11 +62,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable_cut(df: DataFrame) -> DataFrame:
+def durable_cut(df: DataFrame, keep_partitions: bool = False) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    Reliable checkpoints survive executor loss (unlike ``localCheckpoint``),
-    so iterative or reused intermediates never recompute the whole upstream plan.
+    Default: write a parquet table under ``<checkpoint dir>/tables`` and read
+    it back — one computation, columnar and compressed, and the read-back
+    carries real size statistics for AQE's join choices. With
+    ``keep_partitions`` the partition layout itself must survive (row
+    numbering by partition), so a reliable RDD checkpoint is taken, persisted
+    first so the checkpoint write does not recompute the input.
+    Both survive executor loss, unlike ``localCheckpoint``.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = checkpoint_dir(spark)
+    if keep_partitions:
+        from pyspark import StorageLevel
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
+    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
