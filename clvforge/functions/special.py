@@ -45,7 +45,8 @@ def np_hyp2f1(a, b, c, z, tol: float = 1e-15, max_terms: int = 200000):
     """Gauss hypergeometric series ₂F₁(a, b; c; z) for |z| < 1, vectorised:
     all rows advance term by term until every row's term is below ``tol``
     relative to its partial sum."""
-    a, b, c, z = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, c, z))
+    a, b, c, z = (np.atleast_1d(np.asarray(v, dtype=float)).copy()
+                  for v in np.broadcast_arrays(a, b, c, z))
     term = np.ones_like(z)
     total = np.ones_like(z)
     active = np.ones(z.shape, dtype=bool)

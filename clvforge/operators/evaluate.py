@@ -10,8 +10,8 @@ from clvforge import schemas as S
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """K1: MAE, RMSE, R² and MAPE (over actual > 0) in one aggregate; R²
-    uses the mean of ``actual`` as a scalar subquery."""
-    mean = df.agg(F.avg(actual)).scalar()
+    uses the mean of ``actual`` (one number, computed first)."""
+    mean = F.lit(df.agg(F.avg(F.col(actual).cast("double"))).first()[0])
     err = F.col(actual) - F.col(predicted)
     return df.agg(
         F.count(F.lit(1)).alias("n"),

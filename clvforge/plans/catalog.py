@@ -23,8 +23,12 @@ SQL: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
+    """Register a query; its output doubles are rounded exactly where the SQL
+    twin rounds them (all doubles when there is no twin)."""
+    doubles = None if sql is None else tuple(getattr(sql, "doubles", ()))
+
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: normalize(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: normalize(fn(spark, sf_dir), doubles)
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -382,8 +382,8 @@ def q_at_risk(spark, d):
     return V.at_risk(_cust_r(spark, d))
 
 
-@register("at_risk_above_mean", CUST_R + """SELECT customer_id, bgnbd_gg_clv, prob_alive, segment FROM cr
-WHERE prob_alive < 0.5 AND bgnbd_gg_clv > (SELECT avg(bgnbd_gg_clv) FROM cr)""")
+@register("at_risk_above_mean", sql_wrap(CUST_R + """SELECT customer_id, bgnbd_gg_clv, prob_alive, segment FROM cr
+WHERE prob_alive < 0.5 AND bgnbd_gg_clv > (SELECT avg(bgnbd_gg_clv) FROM cr)""", ["prob_alive"]))
 def q_at_risk_mean(spark, d):
     return V.at_risk_above_mean(_cust_r(spark, d)).select(S.CUST, "bgnbd_gg_clv", "prob_alive", "segment")
 

@@ -149,7 +149,8 @@ class LeafQuantileInterval:
                  min_instances: int = 5, seed: int = 42):
         self.lower, self.upper = lower, upper
         self.tree = DecisionTreeRegressor(featuresCol="features", labelCol=TARGET, maxDepth=max_depth,
-                                          minInstancesPerNode=min_instances, seed=seed, leafCol="_leaf")
+                                          minInstancesPerNode=min_instances, seed=seed, leafCol="_leaf",
+                                          predictionCol="_tree_pred")
         self.model = None
         self.leaf_table = None
 
@@ -162,7 +163,7 @@ class LeafQuantileInterval:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        t = self.model.transform(df).drop("prediction")
+        t = self.model.transform(df).drop("_tree_pred")
         # one row per leaf (≤ 2^depth rows): bounded broadcast
         return t.join(F.broadcast(self.leaf_table), "_leaf", "left").drop("_leaf")
 

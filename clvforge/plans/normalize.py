@@ -26,14 +26,22 @@ def _round_col(c):
     return F.when(ok, F.round(x * s) / s).otherwise(x)
 
 
-def normalize(df: DataFrame) -> DataFrame:
+class SqlText(str):
+    """SQL text that remembers which double columns it normalises, so the
+    Spark side rounds exactly the same columns."""
+    doubles: tuple = ()
+
+
+def normalize(df: DataFrame, doubles=None) -> DataFrame:
+    """Round the given double columns (all of them when ``doubles`` is None)
+    and render timestamps/dates as text."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = _round_col(c)
-        elif isinstance(f.dataType, T.DecimalType):
-            c = _round_col(c)
+        pick = doubles is None or f.name in doubles
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            if pick:
+                c = _round_col(c)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(f.dataType, T.DateType):
@@ -55,6 +63,6 @@ def sql_wrap(inner: str, doubles: list[str] = (), timestamps: list[str] = (),
     repl = [f"{sql_round(f'CAST({c} AS DOUBLE)')} AS {c}" for c in doubles]
     repl += [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in timestamps]
     repl += [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates]
-    if not repl:
-        return inner
-    return f"SELECT * REPLACE ({', '.join(repl)}) FROM ({inner}) AS _q"
+    out = SqlText(f"SELECT * REPLACE ({', '.join(repl)}) FROM ({inner}) AS _q" if repl else inner)
+    out.doubles = tuple(doubles)
+    return out

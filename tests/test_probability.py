@@ -49,7 +49,7 @@ def test_expected_purchases_udf_matches_numpy(spark):
     df = spark.createDataFrame(pdf)
     out = df.withColumn("e", P.expected_purchases(P.PUBLISHED_BGNBD, 90.0)).toPandas()
     p = P.PUBLISHED_BGNBD
-    exp = P.np_expected_purchases(90.0, pdf.frequency, pdf.recency, pdf.T, p["r"], p["alpha"], p["a"], p["b"])
+    exp = P.np_expected_purchases(90.0, pdf["frequency"], pdf["recency"], pdf["T"], p["r"], p["alpha"], p["a"], p["b"])
     assert np.allclose(out["e"], exp)
 
 

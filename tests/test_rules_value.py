@@ -44,7 +44,7 @@ def test_score_requests_branches(spark):
     assert out["odd"].prob_alive == 0.5  # recency > T: fallback
     r = out["12345"]
     assert 0 <= r.prob_alive <= 1 and r.ci_lower <= r.predicted_clv_12m <= r.ci_upper
-    assert r.rfm_segment == "Loyal"
+    assert r.rfm_segment == "Champions"  # recency ≤ 30, frequency ≥ 5, spend ≥ 100
 
 
 def test_percentile_band_and_actions(spark):
