@@ -15,7 +15,7 @@ from clvforge.operators import reports as RP
 from clvforge.operators import rfm as RF
 from clvforge.operators import value as V
 from clvforge.plans import sqlblocks as Q
-from clvforge.plans.catalog import (FEAT, RFM_TOTAL_PIPE, clean, features, obs, register,
+from clvforge.plans.catalog import (FEAT, RFM_TOTAL_PIPE, clean, features, obs, register, tx,
                                     rfm_scored)
 from clvforge.plans.normalize import sql_wrap
 from clvforge.plans.pipeline import customer_table, segment_table
@@ -92,10 +92,11 @@ MIDX = "(year({0}) * 12 + month({0}))"
 
 
 @register("cohort_columns", sql_wrap(
-    Q.with_(*Q.PIPE[:4]) + f"""SELECT *, {CM.format('cm')} AS cohort_month, {CM.format('invoice_ts')} AS invoice_month,
+    Q.with_(*Q.PIPE[:4]) + f"""SELECT x.* EXCLUDE (cm), {CM.format('cm')} AS cohort_month,
+  {CM.format('invoice_ts')} AS invoice_month,
   CAST({MIDX.format('invoice_ts')} - {MIDX.format('cm')} AS INTEGER) AS cohort_index
 FROM (SELECT *, min(invoice_ts) OVER (PARTITION BY customer_id) AS cm FROM clean) x""",
-    ["price", "revenue"], ["invoice_ts"]).replace("SELECT * REPLACE", "SELECT * EXCLUDE (cm) REPLACE"))
+    ["price", "revenue"], ["invoice_ts"]))
 def q_cohort_cols(spark, d):
     return CO.cohort_columns(clean(spark, d))
 
@@ -579,3 +580,133 @@ def q_budget(spark, d):
 def q_rfm_hist(spark, d):
     from clvforge.sources.histories import histories_from_lines
     return RP.rfm_for_histories(histories_from_lines(clean(spark, d)))
+
+
+# -- J: machine-learned value (rows-only checks; numerics covered by tests) ---------------
+
+def _trained(spark, d, trees: int = 20):
+    from clvforge.plans.ml import train_value_model
+    return train_value_model(_cust_r(spark, d), num_trees=trees)
+
+
+@register("prepare_features", sql_wrap(
+    CUST_SQL + """, top AS (SELECT country FROM customers GROUP BY country ORDER BY count(*) DESC, country ASC LIMIT 10),
+enc AS (SELECT *, CASE WHEN country IN (SELECT country FROM top) THEN country ELSE 'Other' END AS country_encoded
+        FROM customers),
+codes AS (SELECT country_encoded, CAST(dense_rank() OVER (ORDER BY country_encoded) - 1 AS DOUBLE)
+          AS country_encoded_num FROM (SELECT DISTINCT country_encoded FROM enc))
+SELECT customer_id, CAST(frequency AS DOUBLE) AS frequency, CAST(recency AS DOUBLE) AS recency,
+  CAST(T AS DOUBLE) AS T, monetary_value, total_revenue_obs, avg_revenue_per_txn, std_revenue_per_txn,
+  CAST(n_unique_products AS DOUBLE) AS n_unique_products, CAST(n_unique_months AS DOUBLE) AS n_unique_months,
+  avg_days_between_purchases, max_purchase_gap, CAST(n_transactions AS DOUBLE) AS n_transactions,
+  round(bgnbd_predicted_purchases * 1e4) / 1e4 AS bgnbd_predicted_purchases, prob_alive, gamma_gamma_monetary,
+  country_encoded_num, holdout_revenue
+FROM enc JOIN codes USING (country_encoded)""",
+    ["monetary_value", "total_revenue_obs", "avg_revenue_per_txn", "std_revenue_per_txn",
+     "avg_days_between_purchases", "max_purchase_gap", "prob_alive", "gamma_gamma_monetary",
+     "holdout_revenue"]))
+def q_prepare(spark, d):
+    from clvforge.plans.ml import prepare_features
+    c = customers(spark, d).withColumn("bgnbd_predicted_purchases",
+                                       V.round_to("bgnbd_predicted_purchases", 4))
+    return prepare_features(c)[0]
+
+
+@register("split_train_validation")
+def q_split_tv(spark, d):
+    from clvforge.plans.ml import split_train_validation
+    tr, va = split_train_validation(features(spark, d).select(S.CUST))
+    return tr.withColumn("part", F.lit("train")).unionByName(va.withColumn("part", F.lit("validation")))
+
+
+@register("train_value_model")
+def q_train(spark, d):
+    return _trained(spark, d)["metrics_df"]
+
+
+@register("top_importance")
+def q_importance(spark, d):
+    return _trained(spark, d)["feature_importance"]
+
+
+@register("predict_interval")
+def q_predict_interval(spark, d):
+    return _trained(spark, d)["scored"].select(S.CUST, "ml_predicted_clv", "pred_lower", "pred_upper")
+
+
+# -- A: sinks and sources round trip ------------------------------------------------------
+
+def _scratch(spark) -> str:
+    import uuid
+    from clvforge.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/io/{uuid.uuid4().hex}"
+
+
+@register("read_transactions")
+def q_read_csv(spark, d):
+    """A1: the fixture lines written as a latin-1 CSV with the raw header,
+    then scanned with the declared schema and parsed (A2)."""
+    from clvforge.sources.io import read_transactions
+    path = _scratch(spark)
+    raw = tx(spark, d).select(
+        F.col(S.INVOICE).alias("Invoice"), F.col(S.STOCK).alias("StockCode"),
+        F.col(S.DESCRIPTION).alias("Description"), F.col(S.QTY).alias("Quantity"),
+        F.date_format(S.TS, "yyyy-MM-dd HH:mm:ss").alias("InvoiceDate"), F.col(S.PRICE).alias("Price"),
+        F.col(S.CUST).cast("double").alias("Customer ID"), F.col(S.COUNTRY).alias("Country"))
+    raw.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    from clvforge.operators.clean import parse_invoice_ts
+    return parse_invoice_ts(read_transactions(spark, path), "yyyy-MM-dd HH:mm:ss")
+
+
+@register("write_outputs")
+def q_write_outputs(spark, d):
+    """A5 + A4: write the customer, RFM and segment tables, read them back."""
+    from clvforge.sources.io import read_customer_outputs, write_outputs
+    path = _scratch(spark)
+    c = clean(spark, d)
+    seg, stats = segment_table(c)
+    write_outputs({"rfm": seg, "segment_stats": stats}, path, partition_segments=True)
+    back = read_customer_outputs(spark, path, names=("rfm", "segment_stats"))
+    return back["rfm"].groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@register("save_load_params")
+def q_params(spark, d):
+    """Fitted parameters saved as a table and loaded back."""
+    from clvforge.sources.io import load_params, params_frame, save_params
+    path = _scratch(spark)
+    rows = {r["name"]: r["value"] for r in _fit_rows(spark, d).where("model = 'bgnbd'").collect()}
+    save_params(spark, "bgnbd", rows, path)
+    return params_frame(spark, "bgnbd", load_params(spark, path, "bgnbd"))
+
+
+@register("run_metadata")
+def q_meta(spark, d):
+    """One-row run summary."""
+    from clvforge.sources.io import run_metadata
+    t = _trained(spark, d)
+    n = _cust_r(spark, d).count()
+    return run_metadata(spark, n, t["feature_names"], t["metrics"], t["best_model"]).drop("training_date")
+
+
+@register("run_pipeline")
+def q_pipeline(spark, d):
+    """L1: the end-to-end run; returns the scored customer table."""
+    from clvforge.plans.pipeline import run_pipeline
+    out = run_pipeline(tx(spark, d), fit=True, train_model=True, model_trees=20)
+    return out["customers"].select(S.CUST, "segment", "bgnbd_gg_clv", "ml_predicted_clv",
+                                   "pred_lower", "pred_upper")
+
+
+@register("transactions_from_events", sql_wrap(
+    Q.with_(Q.EVENTS_TX, Q.BASE, Q.CAP, Q.CLEAN, *Q.split_blocks(holdout_days=7), *Q.FEATURES) +
+    "SELECT * FROM features",
+    ["total_revenue_obs", "avg_revenue_per_txn", "std_revenue_per_txn", "monetary_value",
+     "avg_days_between_purchases", "max_purchase_gap"]))
+def q_events(spark, d):
+    """customer features on sub-day purchase events (7-day holdout)."""
+    from clvforge.operators import clean as C
+    from clvforge.sources.star import transactions_from_events
+    o, _ = C.split_observation_holdout(
+        C.clean_transactions(transactions_from_events(spark, d), materialize=True), holdout_days=7)
+    return FT.customer_features(o)

@@ -184,23 +184,23 @@ def top_importance(model, names: list[str], n: int = 15) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_importance(model, df: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
+def permutation_importance(model, prep: PipelineModel, df: DataFrame, names: list[str],
+                           permute: list[str] | None = None, seed: int = 42) -> DataFrame:
     """J10 (re-aimed SHAP summary): rise in MAE when one column is randomly
-    permuted. The permutation pairs the k-th row by customer order with the
-    k-th row by a random order — both global row numbers are distributed."""
+    permuted, with the fitted feature pipeline ``prep``. The permutation pairs
+    the k-th row in customer order with the k-th row in a random order — both
+    global row numbers are distributed (no single-partition sort)."""
     spark = df.sparkSession
-    assembler = assemble(names)
-    base_fit = assembler.fit(df)
     ev = RegressionEvaluator(labelCol=TARGET, metricName="mae")
-    base = ev.evaluate(model.transform(base_fit.transform(df)))
+    base = ev.evaluate(model.transform(prep.transform(df)))
     left = global_row_number(df, [S.CUST], "_rn")
     rows = []
-    for i, c in enumerate(names):
+    for i, c in enumerate(permute or names):
         right = global_row_number(
             df.select(F.col(c).alias("_perm"), F.rand(seed + i).alias("_r"), S.CUST), ["_r", S.CUST], "_rn")
         permuted = (left.join(right.select("_rn", "_perm"), "_rn")
                         .withColumn(c, F.col("_perm")).drop("_perm", "_rn"))
-        mae = ev.evaluate(model.transform(base_fit.transform(permuted)))
+        mae = ev.evaluate(model.transform(prep.transform(permuted)))
         rows.append((c, float(mae - base)))
     return spark.createDataFrame(sorted(rows, key=lambda t: -t[1]), "feature string, mae_increase double")
 
@@ -241,4 +241,4 @@ def train_value_model(customers: DataFrame, num_trees: int = 300, tune_trials: i
             "feature_importance": top_importance(main, names, len(names)),
             "feature_names": names, "best_model": "boosted", "params": params,
             "models": {"boosted": main, "boosted_alt": alt, "ridge": ridge, "interval": interval,
-                       "prep": prep}}
+                       "prep": prep}, "validation": valid}

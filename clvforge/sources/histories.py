@@ -25,10 +25,16 @@ def read_histories(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.HISTORY_SCHEMA).json(path)
 
 
-def histories_from_lines(tx: DataFrame) -> DataFrame:
-    """Build request-shaped histories from invoice lines: one body per
-    (customer, invoice), holding that invoice's dated line amounts."""
-    return (tx.groupBy(S.CUST, S.INVOICE)
+def histories_from_lines(tx: DataFrame, max_entries: int = 1000) -> DataFrame:
+    """Build request-shaped histories from invoice lines: bodies per
+    (customer, invoice) holding that invoice's dated line amounts, split into
+    bodies of at most ``max_entries`` entries (positions come from a
+    distributed row number, so even a huge invoice never becomes one array)."""
+    from clvforge.operators.ranks import global_row_number
+    lines = tx.select(S.CUST, S.INVOICE, S.TS, S.STOCK, S.REVENUE)
+    numbered = global_row_number(lines, [S.CUST, S.INVOICE, S.TS, S.STOCK, S.REVENUE], "_pos")
+    body = F.floor((F.col("_pos") - 1) / max_entries).alias("_body")
+    return (numbered.groupBy(S.CUST, S.INVOICE, body)
               .agg(F.collect_list(F.struct(
                   F.date_format(S.TS, "yyyy-MM-dd HH:mm:ss").alias("date"),
                   F.col(S.REVENUE).alias("amount"))).alias("transactions"))

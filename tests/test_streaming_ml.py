@@ -35,3 +35,13 @@ def test_value_model_interval_order(spark, sf_small):
                    (F.col("ml_predicted_clv") > F.col("pred_upper"))).count() == 0
     assert out["feature_importance"].count() == len(out["feature_names"])
     assert set(out["metrics"]) >= {"boosted", "boosted_alt", "ridge", "interval_coverage_80"}
+
+
+def test_permutation_importance(spark, sf_small):
+    from clvforge.plans.ml import permutation_importance, train_value_model
+    cust = customer_table(clean(spark, sf_small))[0]
+    out = train_value_model(cust, num_trees=5)
+    m = out["models"]
+    imp = permutation_importance(m["boosted"], m["prep"], out["validation"], out["feature_names"],
+                                 permute=["total_revenue_obs", "country_encoded_num"]).collect()
+    assert len(imp) == 2 and all(r.mae_increase == r.mae_increase for r in imp)
