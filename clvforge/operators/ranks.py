@@ -38,19 +38,35 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def split_points(df: DataFrame, cols: list[str], n_buckets: int | None = None) -> dict[str, list[float]]:
+    """Bucket split points for several columns in ONE approximate-quantile
+    pass over the rows (a bounded list of ``n_buckets`` doubles per column).
+    Row quantiles bound every bucket to about N / n_buckets rows."""
+    nb = _n_buckets(df, n_buckets)
+    probs = [i / nb for i in range(1, nb)]
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    qs = d.approxQuantile(cols, probs, 0.001)
+    return {c: sorted({v for v in q if v is not None}) for c, q in zip(cols, qs)}
+
+
 def value_rank_table(df: DataFrame, col: str, n_buckets: int | None = None,
-                     by: list[str] | None = None) -> DataFrame:
+                     by: list[str] | None = None, splits: list[float] | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` with ``_cnt`` (rows holding the
     value) and ``_less`` (rows holding a smaller value), optionally within
-    groups ``by`` (offsets then accumulate per group)."""
+    groups ``by`` (offsets then accumulate per group). ``splits`` may come
+    from ``split_points`` (shared pass); otherwise they are computed here
+    over the distinct values."""
     by = list(by or [])
     nb = _n_buckets(df, n_buckets)
     counts = (df.where(F.col(col).isNotNull()).groupBy(*by, col)
                 .agg(F.count(F.lit(1)).alias("_cnt"))
                 .withColumn("_v", F.col(col).cast("double")))
-    probs = [i / nb for i in range(1, nb)]
-    cuts = sorted({c for c in counts.approxQuantile("_v", probs, 0.001)
-                   if c is not None})
+    if splits is not None:
+        cuts = sorted(set(splits))
+    else:
+        probs = [i / nb for i in range(1, nb)]
+        cuts = sorted({c for c in counts.approxQuantile("_v", probs, 0.001)
+                       if c is not None})
     splits = [float("-inf")] + cuts + [float("inf")]
     if len(splits) < 3:
         bucketed = counts.withColumn("_b", F.lit(0.0))
@@ -79,16 +95,27 @@ def _rank_stats(table: DataFrame, col: str):
                               F.max_by("_cnt", col).alias("hi"))).scalar()
 
 
+def _stable(df: DataFrame, col: str) -> DataFrame:
+    """A table joined back on a floating column must not be recomputed: a
+    float aggregate can differ in its last bit between two evaluations."""
+    from pyspark.sql import types as T
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        return durable_cut(df)
+    return df
+
+
 def average_rank(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
     """1-based rank of ``col`` with ties given their average rank
     (pandas ``rank(method='average')``). Nulls get a null rank."""
+    df = _stable(df, col)
     t = value_rank_table(df, col, n_buckets).select(
         col, (F.col("_less") + (F.col("_cnt") + 1) / 2.0).alias(out))
     return df.join(t, col, "left")
 
 
 def equal_width_score_table(df: DataFrame, col: str, n: int = 5, reverse: bool = False,
-                            out: str = "score", n_buckets: int | None = None) -> DataFrame:
+                            out: str = "score", n_buckets: int | None = None,
+                            splits: list[float] | None = None) -> DataFrame:
     """Per distinct value: bin (1..n) of its average rank in ``n`` equal-width
     bins spanning [min rank, max rank] (pandas ``cut(rank, bins=n)``).
 
@@ -96,7 +123,7 @@ def equal_width_score_table(df: DataFrame, col: str, n: int = 5, reverse: bool =
     ``ceil((2r − 2lo)·n / (2hi − 2lo))``, at least 1, exact with no float
     edge. A constant column sits in the middle bin, ceil(n/2).
     """
-    t = value_rank_table(df, col, n_buckets)
+    t = value_rank_table(df, col, n_buckets, splits=splits)
     stats = _rank_stats(t, col)
     r2 = F.col("_less") * 2 + F.col("_cnt") + 1
     lo2 = stats.getField("lo") + 1
@@ -111,6 +138,7 @@ def equal_width_score_table(df: DataFrame, col: str, n: int = 5, reverse: bool =
 def equal_width_score(df: DataFrame, col: str, n: int = 5, reverse: bool = False,
                       out: str = "score", n_buckets: int | None = None) -> DataFrame:
     """Attach the equal-width rank bin of ``col`` to every row (see table)."""
+    df = _stable(df, col)
     return df.join(equal_width_score_table(df, col, n, reverse, out, n_buckets), col, "left")
 
 

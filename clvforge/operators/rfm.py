@@ -10,7 +10,7 @@ from clvforge import schemas as S
 from clvforge.functions.rules import segment_expr
 from clvforge.operators.features import days_between
 from clvforge.session import durable_cut
-from clvforge.operators.ranks import equal_width_score_table, quantile_bin_score
+from clvforge.operators.ranks import equal_width_score_table, quantile_bin_score, split_points
 
 
 def compute_rfm(tx: DataFrame, snapshot=None, with_total: bool = False) -> DataFrame:
@@ -52,10 +52,11 @@ def score_rfm(rfm: DataFrame, n: int = 5, recency: str = "Recency",
     bit from the value the rank table was built on.
     """
     rfm = durable_cut(rfm)
+    cuts = split_points(rfm, [recency, frequency, monetary])
     out = rfm
     for col, name, rev in ((recency, "R_score", True), (frequency, "F_score", False),
                            (monetary, "M_score", False)):
-        t = equal_width_score_table(rfm, col, n, rev, name)
+        t = equal_width_score_table(rfm, col, n, rev, name, splits=cuts[col])
         out = out.join(t, col, "left")
     out = out.withColumn(
         "RFM_score", (F.col("R_score") * 100 + F.col("F_score") * 10 + F.col("M_score")).cast("int"))
