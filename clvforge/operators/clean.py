@@ -27,14 +27,18 @@ def drop_nonpositive(df: DataFrame) -> DataFrame:
 
 
 def parse_invoice_ts(df: DataFrame, fmt: str | None = None) -> DataFrame:
-    """A2: text or wall-clock (NTZ) timestamps to session-zone timestamps."""
+    """A2: text or zoned timestamps to wall-clock timestamps (TIMESTAMP_NTZ).
+
+    Invoice times are local wall-clock values, as in the source files; with
+    no zone attached, day differences and month boundaries never depend on
+    the session time zone or daylight-saving shifts."""
     dt = df.schema[S.TS].dataType
     if isinstance(dt, T.StringType):
-        c = F.to_timestamp(S.TS, fmt) if fmt else F.to_timestamp(S.TS)
-    elif isinstance(dt, T.TimestampType):
+        c = F.to_timestamp_ntz(S.TS, F.lit(fmt)) if fmt else F.to_timestamp_ntz(S.TS)
+    elif isinstance(dt, T.TimestampNTZType):
         return df
     else:
-        c = F.col(S.TS).cast("timestamp")
+        c = F.col(S.TS).cast("timestamp_ntz")
     return df.withColumn(S.TS, c)
 
 

@@ -20,7 +20,7 @@ def compute_rfm(tx: DataFrame, snapshot=None, with_total: bool = False) -> DataF
     if snapshot is None:
         snap = tx.agg(F.max(S.TS) + F.make_dt_interval(F.lit(1))).scalar()
     else:
-        snap = F.lit(snapshot).cast("timestamp")
+        snap = F.lit(snapshot).cast("timestamp_ntz")
     aggs = [F.max(S.TS).alias("_last"),
             F.countDistinct(S.INVOICE).alias("Frequency"),
             F.avg(S.REVENUE).alias("Monetary")]

@@ -36,7 +36,7 @@ TRANSACTION_SCHEMA = T.StructType([
     T.StructField(STOCK, T.StringType()),
     T.StructField(DESCRIPTION, T.StringType()),
     T.StructField(QTY, T.IntegerType()),
-    T.StructField(TS, T.TimestampType()),
+    T.StructField(TS, T.TimestampNTZType()),  # wall clock, no zone
     T.StructField(PRICE, T.DoubleType()),
     T.StructField(CUST, T.LongType()),
     T.StructField(COUNTRY, T.StringType()),

@@ -15,8 +15,8 @@ def explode_histories(hist: DataFrame, date_format: str | None = None) -> DataFr
     task that read it; nothing is gathered per customer.
     """
     e = hist.select(S.CUST, F.explode("transactions").alias("t"))
-    ts = (F.to_timestamp("t.date", date_format) if date_format
-          else F.to_timestamp("t.date"))
+    ts = (F.to_timestamp_ntz("t.date", F.lit(date_format)) if date_format
+          else F.to_timestamp_ntz("t.date"))
     return e.select(S.CUST, ts.alias(S.TS), F.col("t.amount").alias(S.REVENUE))
 
 

@@ -52,7 +52,7 @@ def transactions_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias(S.DESCRIPTION),
         F.when(F.col("l_returnflag") == "R", -F.col("l_quantity"))
          .otherwise(F.col("l_quantity")).cast("int").alias(S.QTY),
-        F.col("o_orderdate").cast("timestamp").alias(S.TS),
+        F.col("o_orderdate").cast("timestamp_ntz").alias(S.TS),
         exact_price_expr("l_extendedprice", "l_quantity").alias(S.PRICE),
         F.when(F.col("o_custkey") % 50 == 0, F.lit(None).cast("bigint"))
          .otherwise(F.col("o_custkey")).alias(S.CUST),
@@ -73,7 +73,7 @@ def transactions_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("K"), F.get_json_object("props", "$.k")).alias(S.STOCK),
         F.lit(None).cast("string").alias(S.DESCRIPTION),
         F.lit(1).alias(S.QTY),
-        F.col("ts").cast("timestamp").alias(S.TS),
+        F.col("ts").cast("timestamp_ntz").alias(S.TS),
         F.col("value").cast("double").alias(S.PRICE),
         F.col("user_id").cast("bigint").alias(S.CUST),
         F.lit(None).cast("string").alias(S.COUNTRY),

@@ -36,3 +36,14 @@ def test_sql_twin_matches(spark, sf_small, name):
                              for v in rec))
         return sorted(out, key=repr)
     assert norm(sp) == norm(dd)
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, sf_small):
+    q = E.queries()["customer_features"]
+    utc = sorted(map(tuple, q(spark, sf_small).collect()), key=repr)
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        other = sorted(map(tuple, q(spark, sf_small).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == other
