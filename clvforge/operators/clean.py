@@ -168,9 +168,10 @@ def count_by(df: DataFrame, col: str, out: str = "count") -> DataFrame:
 
 
 def lookup_customer(df: DataFrame, ids: DataFrame, key: str = S.CUST) -> DataFrame:
-    """Rows whose key is in ``ids`` (left semi join; AQE broadcasts a
-    small id list at runtime)."""
-    return df.join(ids.select(key), key, "left_semi")
+    """Rows whose key is in ``ids`` (left semi join on the distinct ids,
+    so a repeated id never skews the build side; AQE broadcasts a small id
+    list at runtime)."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def dataset_profile(tx: DataFrame) -> DataFrame:

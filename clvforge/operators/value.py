@@ -63,12 +63,15 @@ def simple_clv_expr(purchases="bgnbd_predicted_purchases", spend="gamma_gamma_mo
 
 
 def fit_probabilistic(customers: DataFrame, bg: dict | None = None, gg: dict | None = None,
-                      penalty: float = 0.1, fit: bool = False) -> tuple[DataFrame, dict, dict]:
+                      penalty: float = 0.1, fit: bool = False,
+                      one_time_rule: str = "money") -> tuple[DataFrame, dict, dict]:
     """Purchase count and P(alive) for customers the model is valid for
     (frequency > 0, 0 < recency ≤ T); one-time buyers get
     monetary·0.1·90/365 purchases, others 0; P(alive) defaults to 0.5; spend
     by I6; value by I8. With ``fit`` the parameters are estimated first
-    (I1 on the strict rows, I5 on repeat customers)."""
+    (I1 on the strict rows, I5 on repeat customers). ``one_time_rule``
+    'yearly' gives one-time buyers one purchase per year (90/365 in 90
+    days), as the reference's comment describes; 'money' is what it codes."""
     if fit:
         from clvforge.operators.clean import valid_for_purchase_model, repeat_customers
         bg = P.fit_bgnbd(valid_for_purchase_model(customers, strict=True), penalty)
@@ -76,8 +79,10 @@ def fit_probabilistic(customers: DataFrame, bg: dict | None = None, gg: dict | N
     bg = bg or P.PUBLISHED_BGNBD
     gg = gg or P.PUBLISHED_GG
     valid = _strict()
+    one_time = (F.lit(90.0 / 365.0) if one_time_rule == "yearly"
+                else F.col("monetary_value") * 0.1 / 365 * 90)
     purchases = (F.when(valid, P.expected_purchases(bg, 90.0))
-                  .when(F.col("frequency") == 0, F.col("monetary_value") * 0.1 / 365 * 90)
+                  .when(F.col("frequency") == 0, one_time)
                   .otherwise(F.lit(0.0)))
     alive = F.when(valid, P.probability_alive(bg)).otherwise(F.lit(0.5))
     out = (customers.withColumn("bgnbd_predicted_purchases", purchases)

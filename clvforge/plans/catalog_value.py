@@ -18,7 +18,7 @@ from clvforge.plans import sqlblocks as Q
 from clvforge.plans.catalog import (FEAT, RFM_TOTAL_PIPE, clean, features, obs, register, tx,
                                     rfm_scored)
 from clvforge.plans.normalize import sql_wrap
-from clvforge.plans.pipeline import customer_table, segment_table
+from clvforge.plans.composite import customer_table, segment_table
 
 BG, GG = P.PUBLISHED_BGNBD, P.PUBLISHED_GG
 RFM_SQL = Q.with_(*Q.PIPE, *Q.rfm_blocks())
@@ -504,6 +504,15 @@ def q_hist_purch(spark, d):
     return RP.histogram(pc, "n_purchases", 50, cap_quantile=0.99)
 
 
+@register("histogram_error", sql_wrap(
+    CUST_R + ", er AS (SELECT bgnbd_gg_clv - holdout_revenue AS error FROM cr WHERE holdout_revenue > 0)\n"
+    + _hist_sql("er", "error", 50), ["bin_lo", "bin_hi"]))
+def q_hist_err(spark, d):
+    e = _cust_r(spark, d).where(F.col("holdout_revenue") > 0).select(
+        (F.col("bgnbd_gg_clv") - F.col("holdout_revenue")).alias("error"))
+    return RP.histogram(e, "error", 50)
+
+
 # -- K: evaluation of the probabilistic value against the holdout target -------------------
 
 @register("regression_metrics", sql_wrap(CUST_R + """SELECT count(*) AS n, avg(abs(holdout_revenue - bgnbd_gg_clv)) AS mae,
@@ -619,6 +628,17 @@ def q_split_tv(spark, d):
     return tr.withColumn("part", F.lit("train")).unionByName(va.withColumn("part", F.lit("validation")))
 
 
+@register("tune_boosted")
+def q_tune(spark, d):
+    """Seeded random search by validation MAE (small budget here)."""
+    from clvforge.plans.ml import assemble, prepare_features, split_train_validation, tune_boosted
+    feats, names = prepare_features(_cust_r(spark, d))
+    train, _ = split_train_validation(feats.where(F.col("holdout_revenue") > 0))
+    prep = assemble(names).fit(train)
+    _, best = tune_boosted(prep.transform(train), trials=3, max_trees=20, parallelism=3)
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(best.items())], "param string, value string")
+
+
 @register("train_value_model")
 def q_train(spark, d):
     return _trained(spark, d)["metrics_df"]
@@ -689,10 +709,10 @@ def q_meta(spark, d):
     return run_metadata(spark, n, t["feature_names"], t["metrics"], t["best_model"]).drop("training_date")
 
 
-@register("run_pipeline")
-def q_pipeline(spark, d):
+@register("end_to_end_run")
+def q_end_to_end(spark, d):
     """L1: the end-to-end run; returns the scored customer table."""
-    from clvforge.plans.pipeline import run_pipeline
+    from clvforge.plans.composite import run_pipeline
     out = run_pipeline(tx(spark, d), fit=True, train_model=True, model_trees=20)
     return out["customers"].select(S.CUST, "segment", "bgnbd_gg_clv", "ml_predicted_clv",
                                    "pred_lower", "pred_upper")

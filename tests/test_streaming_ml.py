@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clvforge.operators.value import requests_from_customers, score_requests
 from clvforge.plans.catalog import clean
-from clvforge.plans.pipeline import customer_table
+from clvforge.plans.composite import customer_table
 from clvforge.streaming.scoring import start_scoring
 
 
