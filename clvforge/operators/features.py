@@ -30,15 +30,19 @@ def fmt_ts(col: str | Column) -> Column:
 
 
 def gap_stats(df: DataFrame, key: str = S.CUST, ts: str = S.TS,
-              n_chunks: int | None = None) -> DataFrame:
+              n_chunks: int | None = None, months: bool = False) -> DataFrame:
     """Per key: number, sum and max of floored day gaps between successive
-    ``ts`` values (sorted by ts).
+    ``ts`` values (sorted by ts), and with ``months`` the number of distinct
+    calendar months.
 
     Phase 1 range-partitions rows on (key, ts) — a hot key is spread over many
     contiguous chunks — and computes gaps inside each (chunk, key) with a lag
     window, keeping first/last ts per chunk. Phase 2 orders a key's chunks
     (at most ``n_chunks`` rows per key) and adds the gaps across chunk
-    boundaries.
+    boundaries. Sorted by time, months only change forward, so distinct
+    months = month starts inside chunks − chunks that continue the previous
+    chunk's month; this keeps a second distinct count out of the main
+    aggregate (no row expansion there).
     """
     nb = n_chunks or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     r = (df.select(key, ts).where(F.col(ts).isNotNull())
@@ -46,27 +50,38 @@ def gap_stats(df: DataFrame, key: str = S.CUST, ts: str = S.TS,
            .withColumn("_chunk", F.spark_partition_id()))
     w1 = Window.partitionBy("_chunk", key).orderBy(ts)
     g = r.withColumn("_gap", days_between(F.lag(ts).over(w1), F.col(ts)))
-    chunks = g.groupBy("_chunk", key).agg(
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"),
-        F.count("_gap").alias("_ng"), F.sum("_gap").alias("_sg"), F.max("_gap").alias("_mg"))
+    aggs = [F.min(ts).alias("_first"), F.max(ts).alias("_last"),
+            F.count("_gap").alias("_ng"), F.sum("_gap").alias("_sg"), F.max("_gap").alias("_mg")]
+    if months:
+        m = F.trunc(ts, "month")
+        prev = F.lag(m).over(w1)
+        g = g.withColumn("_mstart", F.when(prev.isNull() | (prev != m), 1).otherwise(0))
+        aggs.append(F.sum("_mstart").alias("_ms"))
+    chunks = g.groupBy("_chunk", key).agg(*aggs)
     w2 = Window.partitionBy(key).orderBy("_chunk")
-    b = chunks.withColumn("_bg", days_between(F.lag("_last").over(w2), F.col("_first")))
-    return b.groupBy(key).agg(
-        (F.sum("_ng") + F.count("_bg")).alias("n_gaps"),
-        (F.coalesce(F.sum("_sg"), F.lit(0)) + F.coalesce(F.sum("_bg"), F.lit(0))).alias("sum_gaps"),
-        F.greatest(F.max("_mg"), F.max("_bg")).alias("max_gap"))
-
-
-def purchase_gaps(obs: DataFrame) -> DataFrame:
+    prev_last = F.lag("_last").over(w2)
+    b = chunks.withColumn("_bg", days_between(prev_last, F.col("_first")))
+    out = [(F.sum("_ng") + F.count("_bg")).alias("n_gaps"),
+           (F.coalesce(F.sum("_sg"), F.lit(0)) + F.coalesce(F.sum("_bg"), F.lit(0))).alias("sum_gaps"),
+           F.greatest(F.max("_mg"), F.max("_bg")).alias("max_gap")]
+    if months:
+        b = b.withColumn("_mdup", F.when(F.trunc(prev_last, "month") == F.trunc("_first", "month"), 1)
+                         .otherwise(0))
+        out.append((F.sum("_ms") - F.sum("_mdup")).alias("n_unique_months"))
+    return b.groupBy(key).agg(*out)
+
+
+def purchase_gaps(obs: DataFrame, with_months: bool = False) -> DataFrame:
     """Mean and max floored day gap between successive lines; 0 when the
-    customer has fewer than two lines."""
-    g = gap_stats(obs)
+    customer has fewer than two lines (and D7 when ``with_months``)."""
+    g = gap_stats(obs, months=with_months)
     return g.select(
         S.CUST,
         F.when(F.col("n_gaps") > 0, F.col("sum_gaps") / F.col("n_gaps"))
          .otherwise(F.lit(0.0)).alias("avg_days_between_purchases"),
         F.when(F.col("n_gaps") > 0, F.col("max_gap").cast("double"))
-         .otherwise(F.lit(0.0)).alias("max_purchase_gap"))
+         .otherwise(F.lit(0.0)).alias("max_purchase_gap"),
+        *([F.col("n_unique_months")] if with_months else []))
 
 
 def _line_aggregates(obs: DataFrame) -> list[Column]:
@@ -79,19 +94,19 @@ def _line_aggregates(obs: DataFrame) -> list[Column]:
         F.sum(S.QTY).cast("bigint").alias("total_quantity"),
         F.countDistinct(S.STOCK).alias("n_unique_products"),
         F.coalesce(F.mode(S.COUNTRY, True), F.lit("Unknown")).alias(S.COUNTRY),
-        F.countDistinct(F.trunc(S.TS, "month")).alias("n_unique_months"),
     ]
 
 
 def customer_features(obs: DataFrame) -> DataFrame:
-    """The customer table (D2–D7 in one pass plus one gap pass).
+    """The customer table: one grouped pass (D2–D5) plus one ordered
+    pass (D6, D7).
 
     T counts days from first purchase to the last observation timestamp
     (a scalar subquery); recency ≥ 0 and T ≥ 1 are clamped.
     """
     end = obs.agg(F.max(S.TS)).scalar()
     agg = obs.groupBy(S.CUST).agg(*_line_aggregates(obs))
-    gaps = purchase_gaps(obs)
+    gaps = purchase_gaps(obs, with_months=True)
     j = agg.join(gaps, S.CUST, "left")
     return j.select(
         S.CUST,

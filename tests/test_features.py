@@ -31,11 +31,12 @@ def test_gap_stats_match_brute_force_with_tiny_chunks(spark):
         for _ in range(n):
             rows.append((c, base + timedelta(hours=float(rng.uniform(0, 24 * 400))), 1.0, "UK", "K", 1))
     df, pdf = _lines(spark, rows)
-    got = FT.gap_stats(df, n_chunks=16).toPandas().set_index(S.CUST).sort_index()
+    got = FT.gap_stats(df, n_chunks=16, months=True).toPandas().set_index(S.CUST).sort_index()
     for c, g in pdf.groupby(S.CUST):
         gaps = g[S.TS].sort_values().diff().dt.days.dropna()
         row = got.loc[c]
         assert row["n_gaps"] == len(gaps)
+        assert row["n_unique_months"] == g[S.TS].dt.to_period("M").nunique()
         if len(gaps):
             assert row["sum_gaps"] == gaps.sum()
             assert row["max_gap"] == gaps.max()

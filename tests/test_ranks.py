@@ -70,3 +70,20 @@ def test_rank_table_plan_has_no_single_partition_exchange(spark):
     plan = t._jdf.queryExecution().executedPlan().toString()
     # the only unpartitioned window runs over the per-bucket totals (n_buckets rows)
     assert plan.count("SinglePartition") <= 1
+
+
+def test_hot_value_holding_a_third_of_rows(spark):
+    rng = np.random.default_rng(9)
+    vals = rng.normal(size=900)
+    vals[:300] = 0.25  # one value holds a third of all rows
+    rng.shuffle(vals)
+    df, pdf = _frame(spark, vals)
+    got = RK.average_rank(df, "v", "r", n_buckets=8).toPandas().sort_values("customer_id")
+    assert np.allclose(got["r"].to_numpy(), pdf["v"].rank(method="average").to_numpy())
+    rn = RK.global_row_number(df, ["v", "customer_id"], "rn", n_partitions=8).toPandas()
+    exp = pdf.sort_values(["v", "customer_id"]).reset_index(drop=True)
+    exp["rn"] = np.arange(1, len(exp) + 1)
+    m = rn.merge(exp[["customer_id", "rn"]], on="customer_id", suffixes=("", "_exp"))
+    assert (m["rn"] == m["rn_exp"]).all()
+    q = RK.exact_quantile(df, "v", 0.5).first()["q"]
+    assert abs(q - np.quantile(vals, 0.5)) < 1e-12
