@@ -148,17 +148,17 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
 
     Range partitioning on the full key (ties broken by the trailing columns,
     so a hot leading value still spreads over many partitions), a sort inside
-    each partition, and a per-partition record index. The table is
-    materialised in the shared checkpoint folder so the partition layout and
-    indexes are fixed before the per-partition counts (``n_partitions`` longs)
-    become offsets.
+    each partition, and a per-partition record index. Partition id and index
+    are written as columns into a table in the shared checkpoint folder, so
+    they are frozen (a recomputation cannot reshuffle them) before the
+    per-partition counts (``n_partitions`` longs) become offsets.
     """
     nb = _n_buckets(df, n_partitions)
     ranged = (df.repartitionByRange(nb, *order_cols).sortWithinPartitions(*order_cols)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_loc", F.monotonically_increasing_id()
                             - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
-    ranged = durable_cut(ranged, keep_partitions=True)
+    ranged = durable_cut(ranged)
     counts = {r["_pid"]: r["n"] for r in
               ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offs, acc = [], 0
