@@ -1 +1 @@
-"""functions."""
+"""Column-expression rules, probability models and special functions."""

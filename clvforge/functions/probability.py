@@ -68,18 +68,25 @@ def np_expected_purchases(t, x, tx, T_, r, alpha, a, b):
 
 
 def expected_purchases(params: dict, t: float = 90.0, x="frequency", tx="recency",
-                       T_="T") -> Column:
+                       T_="T", only=None) -> Column:
     """I2 as a vectorised pandas UDF (Arrow batches; the ₂F₁ series has no
-    SQL counterpart). Parameters travel in the closure — four numbers."""
+    SQL counterpart). Parameters travel in the closure — four numbers.
+    With ``only`` (a boolean column) the series runs just for those rows and
+    the others get NaN, so rows that take a fallback cost nothing."""
     r, al, a, b = (float(params[k]) for k in ("r", "alpha", "a", "b"))
     tt = float(t)
 
     @F.pandas_udf(T.DoubleType())
-    def _ep(xs: pd.Series, txs: pd.Series, Ts: pd.Series) -> pd.Series:
-        return pd.Series(np_expected_purchases(tt, xs.to_numpy(float), txs.to_numpy(float),
-                                               Ts.to_numpy(float), r, al, a, b))
-
-    return _ep(_c(x).cast("double"), _c(tx).cast("double"), _c(T_).cast("double"))
+    def _ep(xs: pd.Series, txs: pd.Series, Ts: pd.Series, keep: pd.Series) -> pd.Series:
+        k = keep.fillna(False).to_numpy(bool)
+        out = np.full(len(xs), np.nan)
+        if k.any():
+            out[k] = np_expected_purchases(tt, xs.to_numpy(float)[k], txs.to_numpy(float)[k],
+                                           Ts.to_numpy(float)[k], r, al, a, b)
+        return pd.Series(out)
+
+    keep = F.lit(True) if only is None else only
+    return _ep(_c(x).cast("double"), _c(tx).cast("double"), _c(T_).cast("double"), keep)
 
 
 def expected_spend(params: dict, x="frequency", m="monetary_value") -> Column:

@@ -1 +1,2 @@
-"""operators."""
+"""DataFrame → DataFrame operators: cleaning, features, ranks, RFM, cohorts,
+model value, target lists, reports and evaluation."""

@@ -81,7 +81,7 @@ def fit_probabilistic(customers: DataFrame, bg: dict | None = None, gg: dict | N
     valid = _strict()
     one_time = (F.lit(90.0 / 365.0) if one_time_rule == "yearly"
                 else F.col("monetary_value") * 0.1 / 365 * 90)
-    purchases = (F.when(valid, P.expected_purchases(bg, 90.0))
+    purchases = (F.when(valid, P.expected_purchases(bg, 90.0, only=valid))
                   .when(F.col("frequency") == 0, one_time)
                   .otherwise(F.lit(0.0)))
     alive = F.when(valid, P.probability_alive(bg)).otherwise(F.lit(0.5))
@@ -151,7 +151,7 @@ def score_requests(req: DataFrame, bg: dict | None = None, estimate_segment: boo
             .withColumn("monetary_value", F.greatest(F.col("monetary_value").cast("double"), F.lit(0.0))))
     valid = _strict()
     fb_p, fb_a = fallback_purchases_expr()
-    d = (d.withColumn("_purch", F.when(valid, P.expected_purchases(bg, 90.0)).otherwise(fb_p))
+    d = (d.withColumn("_purch", F.when(valid, P.expected_purchases(bg, 90.0, only=valid)).otherwise(fb_p))
           .withColumn("_alive", F.when(valid, P.probability_alive(bg)).otherwise(fb_a))
           .withColumn("_spend", F.when(F.col("monetary_value") > 0, F.col("monetary_value") * 0.10)
                       .otherwise(F.lit(10.0))))

@@ -1 +1 @@
-"""plans."""
+"""Composite plans, Spark ML models and the registered queries with their SQL twins."""

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming scoring of arriving requests."""
