@@ -55,3 +55,15 @@ def test_percentile_band_and_actions(spark):
                               "segment string, prob_alive double, clv double")
     texts = [r.t for r in a.select(R.recommended_action_expr().alias("t")).collect()]
     assert texts == [R.ACTION_TEXTS["champions"], R.ACTION_TEXTS["lost"], R.ACTION_TEXTS["monitor"]]
+
+
+def test_validate_requests_rejects_out_of_range(spark):
+    rows = [("ok", 1.0, 2.0, 3.0, 4.0, None, None), ("neg", -1.0, 2.0, 3.0, 4.0, 1, "UK"),
+            ("zeroT", 1.0, 2.0, 0.0, 4.0, 1, "UK"), ("nullspend", 1.0, 2.0, 3.0, None, 1, "UK")]
+    df = spark.createDataFrame(rows, "customer_id string, frequency double, recency double, T double, "
+                                     "monetary_value double, n_unique_products int, country string")
+    ok, bad = V.validate_requests(df)
+    okr = ok.collect()
+    assert [r.customer_id for r in okr] == ["ok"]
+    assert okr[0].n_unique_products == 0 and okr[0].country == "UK"  # defaults
+    assert sorted(r.customer_id for r in bad.collect()) == ["neg", "nullspend", "zeroT"]

@@ -45,3 +45,19 @@ def test_permutation_importance(spark, sf_small):
     imp = permutation_importance(m["boosted"], m["prep"], out["validation"], out["feature_names"],
                                  permute=["total_revenue_obs", "country_encoded_num"]).collect()
     assert len(imp) == 2 and all(r.mae_increase == r.mae_increase for r in imp)
+
+
+def test_end_to_end_run_writes_and_reads_outputs(spark, sf_small):
+    from clvforge.plans.composite import run_pipeline
+    from clvforge.sources.io import load_params, read_customer_outputs
+    from clvforge.sources.star import transactions_from_star
+    out_dir = tempfile.mkdtemp(prefix="clvforge-out-")
+    res = run_pipeline(transactions_from_star(spark, sf_small), out_dir=out_dir, fit=True,
+                       train_model=False)
+    back = read_customer_outputs(spark, out_dir)
+    assert set(back) >= {"customers", "rfm", "segment_stats"}
+    assert back["customers"].count() == res["customers"].count()
+    bg = load_params(spark, f"{out_dir}/params_bgnbd", "bgnbd")
+    assert set(bg) == {"r", "alpha", "a", "b"} and all(v > 0 for v in bg.values())
+    seg_total = back["segment_stats"].agg(F.sum("customer_count")).first()[0]
+    assert seg_total == back["rfm"].count()
