@@ -73,6 +73,8 @@ def expected_purchases(params: dict, t: float = 90.0, x="frequency", tx="recency
     SQL counterpart). Parameters travel in the closure — four numbers.
     With ``only`` (a boolean column) the series runs just for those rows and
     the others get NaN, so rows that take a fallback cost nothing."""
+    from clvforge.session import ship_package
+    ship_package()
     r, al, a, b = (float(params[k]) for k in ("r", "alpha", "a", "b"))
     tt = float(t)
 
@@ -150,6 +152,8 @@ def _evaluate(data: DataFrame, names: list[str], terms, cols: list[str],
     vectors in ONE Spark job: every partition of the (materialised) data
     returns, per candidate, its weighted log-likelihood and gradient sums —
     a few rows per partition — which the driver adds up."""
+    from clvforge.session import ship_package
+    ship_package(data.sparkSession)
     cands = [{n: float(math.exp(v)) for n, v in zip(names, th)} for th in thetas]
     k = len(names)
 

@@ -16,6 +16,7 @@ from clvforge.operators import rfm as RF
 from clvforge.plans import sqlblocks as Q
 from clvforge.plans.normalize import normalize, sql_wrap
 from clvforge.sources.star import transactions_from_star
+from clvforge.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -28,7 +29,10 @@ def register(name: str, sql: str | None = None):
     doubles = None if sql is None else tuple(getattr(sql, "doubles", ()))
 
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: normalize(fn(spark, sf_dir), doubles)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return normalize(fn(spark, sf_dir), doubles)
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn

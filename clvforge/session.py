@@ -36,6 +36,7 @@ def get_spark(master: str | None = None, app_name: str = "clvforge",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -84,3 +85,43 @@ def durable_cut(df: DataFrame, keep_partitions: bool = False) -> DataFrame:
     path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: dict[int, str] = {}
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``clvforge`` importable in the Python workers (pandas UDFs and
+    ``mapInPandas`` unpickle functions from it): zip the package once per
+    process and register it with ``addPyFile``, once per SparkContext."""
+    import hashlib
+    import zipfile
+
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    files = []
+    for root, _dirs, names in os.walk(pkg_dir):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(root, n))
+    h = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            h.update(f.encode())
+            h.update(fh.read())
+    path = os.path.join(tempfile.gettempdir(), f"clvforge-{h.hexdigest()[:16]}.zip")
+    if not os.path.exists(path):
+        tmp = f"{path}.{uuid.uuid4().hex}"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            base = os.path.dirname(pkg_dir)
+            for f in sorted(files):
+                z.write(f, os.path.relpath(f, base))
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    _SHIPPED[key] = path
