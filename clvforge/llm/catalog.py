@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from clvforge.llm.common import table
 from clvforge.llm.exact_dedup import content_sort_dedup
+from clvforge.llm.mixing import mix
 from clvforge.llm.pieces import encode_documents
+from clvforge.llm.quality import classify
 from clvforge.llm.simhash import hex_fingerprint, simhash_dedup
 
 
@@ -23,6 +25,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model_path(), keep_ids=False)
 
@@ -34,6 +44,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_quality": op6_quality,
+    "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
 }
