@@ -12,6 +12,8 @@ from clvforge.llm.pieces import encode_documents
 from clvforge.llm.quality import classify
 from clvforge.llm.simhash import hex_fingerprint, simhash_dedup
 
+from clvforge.llm.suffix_dedup import remove_repeats
+
 
 def model_path() -> str:
     """The vocabulary file of the queries; a parameter of the operator."""
@@ -25,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_quality": op6_quality,
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
