@@ -172,7 +172,7 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id")
     """Each document as often as the mix takes it, with the columns of ``docs``."""
     count = mixed.filter("copies > 0").groupBy("doc_id").agg(
         F.sum("copies").alias("c"), F.count(F.lit(1)).alias("rows"))
-    taken = docs.alias("d").join(count.alias("m"), F.expr(f"d.`{id_col}` = m.doc_id"))
+    taken = docs.alias("d").join(count.alias("m"), F.expr(f"d.`{id_col}` <=> m.doc_id"))
     per_row = F.greatest(F.lit(0), F.ceil(F.col("m.c") / F.col("m.rows"))).cast("int")
     return (taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), per_row)))
             .select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns]))

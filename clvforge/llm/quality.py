@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clvforge.llm.common import cut, id_and_text
 
@@ -96,7 +97,7 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
-    return [x.as_py() for x in column.cast(pa.binary())]
+    return [x.as_py() or b"" for x in column.cast(pa.binary())]
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -216,22 +217,23 @@ def scaled(feature: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return feature, ratio[feature].astype(np.float64) / np.sqrt(len(feature))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; empty and null texts have only the constant feature."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float, float], text_col: str = "text",
+          score_col: str = "score") -> DataFrame:
+    """``docs`` with the score of every whole text; empty and null texts have only the constant feature."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, slope, offset = shared.value
         for batch in batches:
             margins = []
-            for doc, feature, took in features(_bytes(batch.column(1))):
+            for doc, feature, took in features(_bytes(batch.column(place))):
                 margins.append(np.bincount(doc, weights[feature], took) / np.sqrt(np.bincount(doc, minlength=took)))
             m = np.concatenate(margins) if margins else np.zeros(0)
             p = 1 / (1 + np.exp(-np.clip(slope * m + offset, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, score_col])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:
@@ -262,6 +264,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_row
     without labels of both classes the score is constant.
     """
     model = fit(labelled_rows(docs, labels, label_col), max_rows)
-    return score(docs, model).select(
+    return score(id_and_text(docs, "doc_id", "text"), model).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 16_000) -> DataFrame:
+    """The documents that the classifier predicts good, with the columns of ``docs``."""
+    model = fit(labelled_rows(docs, labels), max_rows)
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, score_col=name).filter(F.col(name) >= threshold).drop(name)

@@ -145,5 +145,12 @@ def simhash_dedup(docs: DataFrame, words: int = 3, most: int = 3, id_col: str =
     return fps.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_documents(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
+    """One document of each component, the one with the smallest id, with the columns of ``docs``."""
+    stay = (simhash_dedup(docs, words, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.col("doc_id").alias("_stay")).distinct())
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+
+
 def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
