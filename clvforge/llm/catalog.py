@@ -14,6 +14,8 @@ from clvforge.llm.simhash import hex_fingerprint, simhash_dedup
 
 from clvforge.llm.suffix_dedup import remove_repeats
 
+from clvforge.llm.topk import cover_tree_topk
+
 
 def model_path() -> str:
     """The vocabulary file of the queries; a parameter of the operator."""
@@ -31,6 +33,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_cover_tree": op4_cover_tree,
     "op6_quality": op6_quality,
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
@@ -58,6 +65,14 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_cover_tree": """
+        WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL
+                     AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+                   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents)
