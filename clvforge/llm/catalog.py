@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clvforge.llm.common import table
 from clvforge.llm.exact_dedup import content_sort_dedup
+from clvforge.llm.licences import scan_licences
+from clvforge.llm.line_chunks import drop_repeated_chunks
 from clvforge.llm.mixing import mix
 from clvforge.llm.pieces import encode_documents
 from clvforge.llm.quality import classify
@@ -37,10 +39,20 @@ def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda c: F.concat_ws(" ", c).alias(c)
+    return scan_licences(table(spark, sf_dir, "documents")).select(
+        "doc_id", listed("licences"), listed("sentences"), listed("leftover"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_chunks(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
@@ -58,7 +70,9 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_cover_tree": op4_cover_tree,
+    "op5_licences": op5_licences,
     "op6_quality": op6_quality,
+    "op7_line_chunks": op7_line_chunks,
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
