@@ -16,6 +16,7 @@ from clvforge.llm.simhash import hex_fingerprint, simhash_dedup
 
 from clvforge.llm.suffix_dedup import remove_repeats
 
+from clvforge.llm.surrogates import replace_entities
 from clvforge.llm.topk import cover_tree_topk
 
 
@@ -25,6 +26,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents"), key=b"example key of the query")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return content_sort_dedup(docs).select(
@@ -67,6 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_cover_tree": op4_cover_tree,
