@@ -1,0 +1,214 @@
+"""Tokenizer, classifier, mixing, licences and surrogates."""
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from clvforge.llm import quality, surrogates
+from clvforge.llm.catalog import model_path
+from clvforge.llm.licences import scan_licences
+from clvforge.llm.mixing import capped_targets, mix, repeat_documents, word_count
+from clvforge.llm.pieces import PieceCodec, encode_documents
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    import sentencepiece
+    return PieceCodec(model_path()), sentencepiece.SentencePieceProcessor(model_file=model_path())
+
+
+def test_pieces_equal_the_library(pieces):
+    codec, sp = pieces
+    draw = random.Random(1)
+    alphabet = "abcde  \n\t▁é你好😀<s>\0\x01 ½ﬁ�'`thineronst.,"
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(3000)]
+    for t in [*texts, "", " ", "a" * 5000, "  x", "▁", "�", "<0x41>", "</s> the"]:
+        ids = np.frombuffer(codec.encode_bytes(t), "<u4").tolist()
+        assert ids == sp.encode(t, add_bos=True, add_eos=True)
+        assert codec.decode_bytes(ids).decode() == sp.decode(ids)
+
+
+def test_forgetting_segments_changes_nothing(pieces):
+    small = PieceCodec(model_path(), remembered=3)
+    for t in ["one two three four five one two six", "seven one two"]:
+        assert small.encode_bytes(t) == pieces[0].encode_bytes(t)
+
+
+def test_encode_documents(docs, plain, no_docs, pieces):
+    sp = pieces[1]
+    got = encode_documents(docs, model_path()).collect()
+    want = []
+    for i, t in plain:
+        ids = sp.encode(t or "", add_bos=True, add_eos=True)
+        raw, text = np.array(ids, "<u4").tobytes(), sp.decode(ids)
+        want.append((i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), raw, text))
+    assert sorted(((*r[:4], bytes(r[4]), r[5]) for r in got), key=repr) == sorted(want, key=repr)
+    assert encode_documents(no_docs, model_path()).count() == 0
+
+
+def test_features_do_not_depend_on_the_slabs(monkeypatch):
+    texts = [b"", b"one two two THREE!! x9", b"\n", "é è one two".encode(), b"one"] * 5
+
+    def collect():
+        out = []
+        for doc, f, n in quality.features(texts):
+            out += [set(x.tolist()) for x in np.split(f, np.searchsorted(doc, range(1, n)))]
+        return out
+    whole = collect()
+    monkeypatch.setattr(quality, "_SLAB", 16)
+    assert collect() == whole and len(whole) == 25 and whole[0] == {quality.SIZE - 1}
+
+
+def test_dual_descent_separates_and_respects_the_box():
+    draw = np.random.default_rng(0)
+    rows, y = [], np.where(np.arange(300) % 4 > 0, 1.0, -1.0)
+    for label in y:
+        own = draw.choice(50, 8, replace=False) + (0 if label > 0 else 100)
+        rows.append((np.concatenate([own, draw.choice(200, 3) + 300, [quality.SIZE - 1]]), np.ones(12)))
+    w = quality.dual_descent(rows, y)
+    assert all((w[f] @ v > 0) == (t > 0) for (f, v), t in zip(rows, y))
+
+
+def test_classifier_is_accurate_on_held_out_rows(spark, sf_dir):
+    import zlib
+    big = sf_dir.replace("0.001", "0.1")
+    read = lambda n: spark.read.parquet(f"{big}/{n}.parquet")
+    docs, labels = read("documents"), read("labels")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i]["held_out"] for i in held) and len(got) == docs.count()
+    good = [got[i]["predicted"] for i in held if truth[i] == 1]
+    bad = [got[i]["predicted"] for i in held if truth[i] == 0]
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.05
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got.values())
+
+
+def test_classifier_with_odd_rows(spark, docs, no_docs):
+    labels = spark.createDataFrame([(100 + i, i % 2, None) for i in range(50)] + [(None, 1, 0), (101, None, 0), (102, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == docs.count() and len({r["score"] for r in got if r["doc_id"] in (0, 1, 9, 10)}) == 1
+    assert quality.classify(no_docs, labels).count() == 0
+    assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.good_documents(docs, labels).columns == docs.columns
+
+
+def test_capped_targets():
+    assert capped_targets([10, 10, 10], [1, 2, 3], 3) == pytest.approx([5, 10, 15])
+    got = capped_targets([1, 50, 49, 0], [1, 2, 3, 1], 3)
+    assert sum(got) == pytest.approx(100) and got[0] == 3 and got[3] == 0
+    assert capped_targets([], [], 3) == []
+
+
+def test_mix_meets_targets(spark, docs, no_docs):
+    draw = random.Random(3)
+    rows = [(i, "w " * draw.choice([1, 2, 2, 5, 40, 300]), ["a", "b", "c", None][i % 4 if i % 3 else 0]) for i in range(1500)]
+    rows += [(2000, "v " * 4, "tiny"), (2000, "v " * 4, "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df, cell=64).collect()
+    assert sorted(got, key=repr) == sorted(mix(df, cell=64).collect(), key=repr) and len(got) == len(rows)
+    assert all(r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3 for r in got)
+    total = sum(r["size"] for r in got)
+    assert sum({r["source"]: r["target"] for r in got}.values()) == pytest.approx(total)
+    for source in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
+    assert mix(no_docs).count() == 0
+    odd = mix(docs).collect()
+    assert len(odd) == docs.count() and all(r["size"] > 0 or r["copies"] == 1 for r in odd)
+
+
+def test_repeat_documents_keeps_the_columns(docs):
+    mixed = mix(docs)
+    out = repeat_documents(docs, mixed)
+    assert out.columns == docs.columns
+    single = {r["doc_id"]: r["copies"] for r in mixed.collect() if r["doc_id"] is not None and r["doc_id"] != 200}
+    taken = [r["doc_id"] for r in out.collect()]
+    assert all(taken.count(i) == n for i, n in single.items())
+
+
+def test_word_count(spark):
+    df = spark.createDataFrame([(" a\tb c\n",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(word_count(df["t"])).collect()] == [2, 0, 0]
+
+
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_licences(spark, docs, no_docs):
+    texts = {1: MIT, 2: "words.\nReleased under the MIT License.", 3: "This work is licensed under the GNU General Public License, version 3.",
+             4: "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.",
+             5: "Licensed under CC BY-NC 4.0.", 6: "licensed under a tree", 7: None, 8: "x " * 50_000 + "\nLicensed under CC BY 4.0.\n" * 3}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan_licences(df).collect()}
+    assert {i: r["licences"] for i, r in got.items()} == {
+        1: ["MIT"], 2: ["MIT"], 3: ["GPL-3.0"], 4: ["Apache-2.0"], 5: ["CC-BY-NC-4.0"], 6: [], 7: [], 8: ["CC-BY-4.0"]}
+    assert got[1]["sentences"] == ["title:MIT", "mit-grant", "mit-notice"]
+    assert scan_licences(docs).count() == docs.count() and scan_licences(no_docs).count() == 0
+
+
+KEY = b"key of the tests"
+
+
+def test_surrogates_keep_type_and_form():
+    text = ("Call Mr. John Smith or Mrs JANE DOE, +1 (555) 555-5657; IBAN DE89 3704 0044 0532 0130 00; card 4111-1111-1111-1111; "
+            "госпожа Анна Иванова; 10.0.0.1; jo.x7@mail3.example.com; token 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde.")
+    found = surrogates.entities(text)
+    assert [e[2] for e in found] == ["name", "name", "phone", "iban", "card", "name", "ip", "email", "hex"]
+    for start, end, kind, canonical in found:
+        old = text[start:end]
+        new = surrogates.dressed(kind, old, surrogates.surrogate(kind, canonical, KEY))
+        assert new != old and surrogates.script_of(new) == surrogates.script_of(old)
+        if kind not in ("ip", "name"):
+            assert len(new) == len(old) and re.sub(r"[0-9A-Za-z]", "", new) == re.sub(r"[0-9A-Za-z]", "", old)
+        if kind == "card":
+            assert surrogates._luhn(re.sub(r"\D", "", new)) == 0
+        if kind == "name":
+            gender = canonical[0]
+            assert new.split()[0].title() in surrogates.GIVEN[surrogates.script_of(new), gender]
+
+
+def test_surrogates_are_distinct_and_coreferent(spark):
+    made = [("ip", f"1.2.3.{i}") for i in range(50)] + [("email", f"{c}{d}@a.example.com") for c in "abcdefghij" for d in range(10)]
+    made += [("name", f"m|name{i} fam{i}") for i in range(800)]
+    df = spark.createDataFrame(made, "type string, canonical string")
+    got = surrogates.assign_surrogates(df, KEY).collect()
+    assert len(got) == len(made) and len({(r["type"], r["surrogate"].casefold()) for r in got}) == len(made)
+    real = {(t, c.split("|")[-1]) for t, c in made}
+    assert not any((r["type"], r["surrogate"].casefold()) in real for r in got)
+
+
+def test_replace_entities(spark, docs, no_docs, plain):
+    rows = [(1, "mail the.72@mail3.example.com now"), (2, "THE.72@MAIL3.EXAMPLE.COM again the.72@mail3.example.com"), (3, "none here"),
+            (3, "none here"), (4, None), (4, "4111 1111 1111 1111"), (None, "4111111111111111")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = surrogates.replace_entities(df, KEY).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append(r["text"])
+    new = by[1][0].split()[1]
+    assert by[2] == [f"{new.upper()} again {new}"] and by[3] == ["none here"] * 2 and len(out) == 7
+    assert by[None][0] == sorted(by[4])[-1].replace(" ", "") != "4111111111111111"
+    same = surrogates.replace_entities(docs, KEY).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in same), key=repr) == sorted(((i, t or "") for i, t in plain), key=repr)
+    assert surrogates.replace_entities(no_docs, KEY).count() == 0
+
+
+def test_a_text_with_an_entity_passes_the_hint():
+    texts = ["a@b.cc", "1.2.3.4", "0" * 31 + "a", "4111111111111111", "555-55-5555", "(030) 555 1234", "Frau Anna Berger"]
+    for t in texts:
+        assert surrogates.entities(t) and re.search(surrogates._HINT, t), t
