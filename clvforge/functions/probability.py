@@ -8,6 +8,7 @@ Formulas follow Fader, Hardie & Lee (2005) for BG/NBD and Fader & Hardie
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -150,8 +151,8 @@ def _evaluate(data: DataFrame, names: list[str], terms, cols: list[str],
               thetas: list[np.ndarray], penalty: float):
     """Objective and gradient (w.r.t. log-parameters) at several parameter
     vectors in ONE Spark job: every partition of the (materialised) data
-    returns, per candidate, its weighted log-likelihood and gradient sums —
-    a few rows per partition — which the driver adds up."""
+    returns, per candidate, its weighted log-likelihood and gradient sums,
+    which Spark adds up to one row per candidate."""
     from clvforge.session import ship_package
     ship_package(data.sparkSession)
     cands = [{n: float(math.exp(v)) for n, v in zip(names, th)} for th in thetas]
@@ -175,10 +176,11 @@ def _evaluate(data: DataFrame, names: list[str], terms, cols: list[str],
 
     schema = "cid int, ll double, n double, g array<double>"
     tot = np.zeros((len(cands), k + 2))
-    for row in data.select(*cols, "_w").mapInPandas(partial, schema).collect():
-        tot[row["cid"], 0] += row["ll"]
-        tot[row["cid"], 1] += row["n"]
-        tot[row["cid"], 2:] += np.asarray(row["g"], float)
+    parts = data.select(*cols, "_w").mapInPandas(partial, schema)
+    sums = parts.groupBy("cid").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"),
+                                    *[F.sum(F.col("g")[j]).alias(f"g{j}") for j in range(k)])
+    for row in sums.collect():  # one row per candidate
+        tot[row["cid"]] = [row["ll"], row["n"], *[row[f"g{j}"] for j in range(k)]]
     out = []
     for i, th in enumerate(thetas):
         p = np.exp(th)
@@ -238,6 +240,17 @@ def _bfgs(evaluate, theta0: np.ndarray, max_iter: int = 100, gtol: float = 1e-7)
     return theta, f, g, history
 
 
+def _with_fit(params: dict, f: float, g: np.ndarray, history: list, small: float = 1e-4) -> dict:
+    """Adds how the fit ended; a gradient that is not small is told by a warning and the flag."""
+    norm = float(np.max(np.abs(g)))
+    if not norm < small:
+        warnings.warn(f"the likelihood fit has not converged: gradient {norm:.3g} after {len(history) - 1} iterations",
+                      RuntimeWarning, stacklevel=3)
+    params.update({"objective": float(f), "grad_norm": norm, "iterations": len(history) - 1,
+                   "start_objective": float(history[0]), "converged": norm < small})
+    return params
+
+
 def collapse_bgnbd(df: DataFrame, x="frequency", tx="recency", T_="T") -> DataFrame:
     """Distinct (x, tx, T) triples with their multiplicity: the likelihood
     only depends on these, and their number is bounded by the calendar, not
@@ -263,9 +276,7 @@ def fit_bgnbd(df: DataFrame, penalty: float = 0.01, x="frequency", tx="recency",
 
     theta, f, g, hist = _bfgs(ev, theta0, max_iter)
     out = dict(zip(names, np.exp(theta).tolist()))
-    out.update({"objective": float(f), "grad_norm": float(np.max(np.abs(g))),
-                "iterations": len(hist) - 1, "start_objective": float(hist[0])})
-    return out
+    return _with_fit(out, f, g, hist)
 
 
 def fit_gamma_gamma(df: DataFrame, penalty: float = 0.01, x="frequency", m="monetary_value",
@@ -288,6 +299,4 @@ def fit_gamma_gamma(df: DataFrame, penalty: float = 0.01, x="frequency", m="mone
 
     theta, f, g, hist = _bfgs(ev, theta0, max_iter)
     out = dict(zip(names, np.exp(theta).tolist()))
-    out.update({"objective": float(f), "grad_norm": float(np.max(np.abs(g))),
-                "iterations": len(hist) - 1, "start_objective": float(hist[0])})
-    return out
+    return _with_fit(out, f, g, hist)

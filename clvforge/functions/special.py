@@ -41,12 +41,43 @@ def np_digamma(z):
     return out
 
 
-def np_hyp2f1(a, b, c, z, tol: float = 1e-15, max_terms: int = 200000):
-    """Gauss hypergeometric series ₂F₁(a, b; c; z) for |z| < 1, vectorised:
-    all rows advance term by term until every row's term is below ``tol``
-    relative to its partial sum."""
+def _gamma_ratio(top, bottom) -> np.ndarray:
+    """Γ(t₁)Γ(t₂) / (Γ(b₁)Γ(b₂)), signs included; 0 where a bottom argument is a pole."""
+    out = np.zeros(len(top[0]))
+    for i in range(len(out)):
+        if any(v[i] <= 0 and v[i] == math.floor(v[i]) for v in bottom):
+            continue
+        logs = sum(math.lgamma(v[i]) for v in top) - sum(math.lgamma(v[i]) for v in bottom)
+        negative = sum(v[i] < 0 and math.floor(v[i]) % 2 != 0 for v in (*top, *bottom))
+        out[i] = (-1) ** negative * math.exp(logs)
+    return out
+
+
+def np_hyp2f1(a, b, c, z, tol: float = 1e-15, max_terms: int = 20_000_000):
+    """Gauss hypergeometric function ₂F₁(a, b; c; z) for |z| < 1, vectorised.
+
+    Near z = 1 the series in 1 − z takes over where c − a − b is not close to
+    an integer. Rows whose series has not converged after ``max_terms`` terms
+    raise an error instead of returning an unfinished sum."""
     a, b, c, z = (np.atleast_1d(np.asarray(v, dtype=float)).copy()
                   for v in np.broadcast_arrays(a, b, c, z))
+    e = c - a - b
+    near = (z > 0.995) & (np.abs(e - np.round(e)) > 1e-3)
+    if near.any():
+        out = np.empty_like(z)
+        if not near.all():
+            out[~near] = _series_2f1(a[~near], b[~near], c[~near], z[~near], tol, max_terms)
+        a, b, c, z, e = a[near], b[near], c[near], z[near], e[near]
+        y = 1 - z
+        out[near] = (_gamma_ratio((c, e), (c - a, c - b)) * _series_2f1(a, b, 1 - e, y, tol, max_terms)
+                     + y ** e * _gamma_ratio((c, -e), (a, b)) * _series_2f1(c - a, c - b, 1 + e, y, tol, max_terms))
+        return out
+    return _series_2f1(a, b, c, z, tol, max_terms)
+
+
+def _series_2f1(a, b, c, z, tol, max_terms):
+    """All rows advance term by term until each row's term is below ``tol``
+    relative to its partial sum."""
     term = np.ones_like(z)
     total = np.ones_like(z)
     active = np.ones(z.shape, dtype=bool)
@@ -58,4 +89,6 @@ def np_hyp2f1(a, b, c, z, tol: float = 1e-15, max_terms: int = 200000):
         k += 1
         done = np.abs(term[idx]) <= tol * np.abs(total[idx])
         active[idx[done]] = False
+    if active.any():
+        raise ArithmeticError(f"the hypergeometric series did not converge for {int(active.sum())} rows")
     return total

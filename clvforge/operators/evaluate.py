@@ -9,15 +9,15 @@ from clvforge import schemas as S
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """K1: MAE, RMSE, R² and MAPE (over actual > 0) in one aggregate; R²
-    uses the mean of ``actual`` (one number, computed first)."""
-    mean = F.lit(df.agg(F.avg(F.col(actual).cast("double"))).first()[0])
+    """K1: MAE, RMSE, R² and MAPE (over actual > 0) in one aggregate; the
+    total sum of squares is the population variance times the row count."""
+    spread = F.var_pop(F.col(actual).cast("double")) * F.count(F.col(actual))
     err = F.col(actual) - F.col(predicted)
     return df.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        (1 - F.sum(err * err) / F.sum((F.col(actual) - mean) * (F.col(actual) - mean))).alias("r2"),
+        (1 - F.sum(err * err) / F.when(spread != 0, spread)).alias("r2"),
         (F.avg(F.when(F.col(actual) > 0, F.abs(err / F.col(actual)))) * 100).alias("mape"))
 
 

@@ -22,6 +22,7 @@ def portfolio_stats(customers: DataFrame, clv: str = "bgnbd_gg_clv") -> DataFram
         F.count_if((F.col("prob_alive") < 0.5) & (F.col(clv) > med)).alias("at_risk"))
 
 
+# The segments whose revenue counts as at risk.
 AT_RISK_SEGMENTS = ["At Risk", "Hibernating", "Lost"]
 
 
@@ -33,22 +34,25 @@ def revenue_at_risk(stats: DataFrame) -> DataFrame:
                      (F.sum(risky) / F.sum("segment_revenue") * 100).alias("risk_pct"))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 50, cap_quantile: float | None = None) -> DataFrame:
-    """Fixed-width histogram over [min, max] (last bin closed), with an
-    optional cap at a quantile first. Bounds are scalar subqueries; the
-    counting is one grouped aggregate over ``bins`` keys."""
+def histogram(df: DataFrame, col: str, bins: int = 50, axis_quantile: float | None = None) -> DataFrame:
+    """Fixed-width histogram over [min, max] (last bin closed) of all
+    rows, one row per bin, empty bins included. ``axis_quantile`` adds the
+    quantile at which a plot would end its axis; it drops no row. Bounds are
+    scalar subqueries; the counting is one grouped aggregate over ``bins`` keys."""
     d = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    if cap_quantile is not None:
-        cap = quantile_row(d, "_x", cap_quantile, "_cap").scalar()
-        d = d.where(F.col("_x") <= cap)
     b = d.agg(F.struct(F.min("_x").alias("mn"), F.max("_x").alias("mx"))).scalar()
     mn, mx = b.getField("mn"), b.getField("mx")
     width = F.when(mx > mn, mx - mn).otherwise(F.lit(1.0))
     idx = F.least(F.floor((F.col("_x") - mn) * bins / width).cast("bigint"), F.lit(bins - 1))
     g = d.withColumn("bin", idx).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    return g.select("bin", "count",
-                    (mn + (mx - mn) * F.col("bin") / bins).alias("bin_lo"),
-                    (mn + (mx - mn) * (F.col("bin") + 1) / bins).alias("bin_hi"))
+    every = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    full = every.join(g, "bin", "left")
+    out = full.select("bin", F.coalesce("count", F.lit(0)).alias("count"),
+                      (mn + (mx - mn) * F.col("bin") / bins).alias("bin_lo"),
+                      (mn + (mx - mn) * (F.col("bin") + 1) / bins).alias("bin_hi"))
+    if axis_quantile is not None:
+        out = out.withColumn("axis_limit", quantile_row(d, "_x", axis_quantile, "_axis").scalar())
+    return out
 
 
 def error_summary(customers: DataFrame, actual: str = "holdout_revenue",

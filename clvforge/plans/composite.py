@@ -40,9 +40,9 @@ def segment_table(tx_clean: DataFrame, holdout_days: int = 90) -> tuple[DataFram
 
 
 def run_pipeline(tx_raw: DataFrame, out_dir: str | None = None, fit: bool = True,
-                 train_model: bool = True, model_trees: int = 50, fmt: str = "parquet",
+                 train_model: bool = True, tune_trials: int = 20, fmt: str = "parquet",
                  holdout_days: int = 90) -> dict:
-    """L1: B7 → E1 → B8 → D1/C1 → D9, E4, H1, C2, D11 → I9 → J11 → A5.
+    """L1: B7 → E1 → B8 → D1/C1 → D9, E4, H1, C2, D11 → I9 → J11 → A5–A7.
 
     Returns the produced tables (and writes them when ``out_dir`` is given).
     """
@@ -58,7 +58,7 @@ def run_pipeline(tx_raw: DataFrame, out_dir: str | None = None, fit: bool = True
               "transactions": tx_cohort, "bgnbd_params": bg, "gg_params": gg}
     if train_model:
         from clvforge.plans.ml import train_value_model
-        trained = train_value_model(cust, num_trees=model_trees)
+        trained = train_value_model(cust, tune_trials=tune_trials)
         result.update(trained)
         result["customers"] = trained["scored"]
     if out_dir:
@@ -71,5 +71,10 @@ def run_pipeline(tx_raw: DataFrame, out_dir: str | None = None, fit: bool = True
                        f"{out_dir}/params_bgnbd")
         IO.save_params(spark, "gamma_gamma", {k: v for k, v in gg.items() if k in ("p", "q", "v")},
                        f"{out_dir}/params_gamma_gamma")
+        if train_model:
+            from clvforge.plans.ml import save_models
+            save_models(spark, result["models"], result["best_model"], f"{out_dir}/models")
+            meta = IO.run_metadata(spark, cust.count(), result["feature_names"], result["metrics"], result["best_model"])
+            meta.write.mode("overwrite").parquet(f"{out_dir}/run_metadata")
     result["key"] = S.CUST
     return result

@@ -7,12 +7,14 @@ ML estimators/transformers or DataFrame compositions.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
-from pyspark.ml.tuning import TrainValidationSplit
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel,
+                                   GBTRegressor, LinearRegression, LinearRegressionModel)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from clvforge.operators.clean import fill_invalid
 from clvforge.operators.evaluate import interval_coverage, regression_metrics
 from clvforge.operators.ranks import global_row_number
 
-# Feature lists (names as in the customer table).
+# Feature lists (names as in the customer table).
 BASE_FEATURES = ["frequency", "recency", "T", "monetary_value", "total_revenue_obs",
                  "avg_revenue_per_txn", "std_revenue_per_txn", "n_unique_products",
                  "n_unique_months", "avg_days_between_purchases", "max_purchase_gap",
@@ -37,39 +39,62 @@ def feature_names(with_rfm: bool = False) -> list[str]:
     return BASE_FEATURES + MODEL_FEATURES + ([*RFM_FEATURES] if with_rfm else []) + [COUNTRY_CODE]
 
 
+class FeaturePreparer:
+    """J1 (pre-vector part), fitted once and reused.
+
+    ``fit`` learns the country codes: the top-n countries and 'Other', coded in
+    alphabetical order (≤ n + 1 rows). ``transform`` gives model columns their
+    defaults when absent (0 purchases, P(alive) 1, spend = monetary), joins the
+    codes — a country not among them is 'Other' — and sets NaN/null/±inf to 0.
+    So a customer's row does not depend on which others are prepared with it.
+    """
+
+    def __init__(self, with_rfm: bool = False, top_countries: int = 10, codes: list[str] | None = None):
+        self.with_rfm, self.top_countries, self.codes = with_rfm, top_countries, codes
+
+    @property
+    def names(self) -> list[str]:
+        return feature_names(self.with_rfm)
+
+    def fit(self, customers: DataFrame) -> "FeaturePreparer":
+        bucketed = country_bucket(customers, self.top_countries, S.COUNTRY, "country_encoded")
+        rows = bucketed.select("country_encoded").distinct().collect()  # ≤ top_countries + 1 rows
+        self.codes = sorted(r[0] for r in rows if r[0] is not None)
+        return self
+
+    def transform(self, customers: DataFrame) -> DataFrame:
+        if self.codes is None:
+            raise ValueError("fit the country codes first")
+        d = customers
+        if "bgnbd_predicted_purchases" not in d.columns:
+            d = d.withColumn("bgnbd_predicted_purchases", F.lit(0.0))
+        if "prob_alive" not in d.columns:
+            d = d.withColumn("prob_alive", F.lit(1.0))
+        if "gamma_gamma_monetary" not in d.columns:
+            d = d.withColumn("gamma_gamma_monetary", F.col("monetary_value"))
+        other = float(self.codes.index("Other")) if "Other" in self.codes else float(len(self.codes))
+        known = [F.when(F.col(S.COUNTRY) == c, F.lit(float(i))) for i, c in enumerate(self.codes) if c != "Other"]
+        d = d.withColumn(COUNTRY_CODE, F.coalesce(*known, F.lit(other)))
+        d = d.select(S.CUST, *[F.col(c).cast("double").alias(c) for c in self.names if c != COUNTRY_CODE],
+                     COUNTRY_CODE, *[c for c in (TARGET,) if c in d.columns])
+        return fill_invalid(d, self.names)
+
+    def save(self, spark, path: str) -> None:
+        """The fitted codes and options as a one-row table."""
+        spark.createDataFrame([(self.with_rfm, self.top_countries, self.codes)],
+                              "with_rfm boolean, top_countries int, codes array<string>").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark, path: str) -> "FeaturePreparer":
+        r = spark.read.parquet(path).first()
+        return FeaturePreparer(r["with_rfm"], r["top_countries"], list(r["codes"]))
+
+
 def prepare_features(customers: DataFrame, with_rfm: bool = False,
                      top_countries: int = 10) -> tuple[DataFrame, list[str]]:
-    """J1 (pre-vector part): model columns default when absent (0 purchases,
-    P(alive) 1, spend = monetary), top-n countries else 'Other', country
-    index in alphabetical order, NaN/null/±inf → 0."""
-    d = customers
-    if "bgnbd_predicted_purchases" not in d.columns:
-        d = d.withColumn("bgnbd_predicted_purchases", F.lit(0.0))
-    if "prob_alive" not in d.columns:
-        d = d.withColumn("prob_alive", F.lit(1.0))
-    if "gamma_gamma_monetary" not in d.columns:
-        d = d.withColumn("gamma_gamma_monetary", F.col("monetary_value"))
-    d = country_bucket(d, top_countries, S.COUNTRY, "country_encoded")
-    # alphabetical code over the encoded categories (≤ top_countries + 1 rows)
-    cats = d.select("country_encoded").distinct()
-    codes = cats.select("country_encoded",
-                        (F.dense_rank().over(_alpha_window()) - 1).cast("double").alias(COUNTRY_CODE))
-    d = d.join(F.broadcast(codes), "country_encoded", "left")
-    names = feature_names(with_rfm)
-    d = d.select(S.CUST, *[F.col(c).cast("double").alias(c) for c in names if c != COUNTRY_CODE],
-                 COUNTRY_CODE, *[c for c in (TARGET,) if c in d.columns])
-    return fill_invalid(d, names), names
-
-
-def _alpha_window():
-    from pyspark.sql import Window
-    return Window.orderBy("country_encoded")  # at most top_countries + 1 rows
-
-
-def country_indexer(col: str = "country_encoded") -> StringIndexer:
-    """The same code as a fitted stage (fit once, reused: Q15)."""
-    return StringIndexer(inputCol=col, outputCol=COUNTRY_CODE, stringOrderType="alphabetAsc",
-                         handleInvalid="keep")
+    """Fit and transform on the same customers."""
+    p = FeaturePreparer(with_rfm, top_countries).fit(customers)
+    return p.transform(customers), p.names
 
 
 def assemble(names: list[str]) -> Pipeline:
@@ -87,8 +112,7 @@ def split_train_validation(df: DataFrame, fraction: float = 0.2, seed: int = 42)
     return df.where(h >= cut), df.where(h < cut)
 
 
-def random_param_maps(gbt: GBTRegressor, trials: int = 20, seed: int = 42,
-                      max_trees: int = 500) -> list[dict]:
+def random_param_maps(gbt: GBTRegressor, trials: int = 20, seed: int = 42) -> list[dict]:
     """J4 search space: trees 100–500, depth 3–10, rate .01–.3 (log), row
     sampling .6–1, column sampling .6–1, minimum child 1–10."""
     rng = np.random.default_rng(seed)
@@ -96,7 +120,7 @@ def random_param_maps(gbt: GBTRegressor, trials: int = 20, seed: int = 42,
     for _ in range(trials):
         col_frac = float(rng.uniform(0.6, 1.0))
         maps.append({
-            gbt.maxIter: int(min(rng.integers(100, 501), max_trees)),
+            gbt.maxIter: int(rng.integers(100, 501)),
             gbt.maxDepth: int(rng.integers(3, 11)),
             gbt.stepSize: float(np.exp(rng.uniform(np.log(0.01), np.log(0.3)))),
             gbt.subsamplingRate: float(rng.uniform(0.6, 1.0)),
@@ -106,16 +130,22 @@ def random_param_maps(gbt: GBTRegressor, trials: int = 20, seed: int = 42,
     return maps
 
 
-def tune_boosted(train: DataFrame, trials: int = 20, seed: int = 42, max_trees: int = 500,
+def tune_boosted(train: DataFrame, trials: int = 20, seed: int = 42,
                  parallelism: int = 4) -> tuple[GBTRegressor, dict]:
-    """Random search minimising validation MAE (TrainValidationSplit)."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed)
-    maps = random_param_maps(gbt, trials, seed, max_trees)
-    tvs = TrainValidationSplit(estimator=gbt, estimatorParamMaps=maps,
-                               evaluator=RegressionEvaluator(labelCol=TARGET, metricName="mae"),
-                               trainRatio=0.8, seed=seed, parallelism=parallelism)
-    model = tvs.fit(train)
-    best = int(np.argmin(model.validationMetrics))
+    """Random search minimising the MAE on the validation part of the J2
+    hash split, which does not depend on how the rows are partitioned."""
+    gbt = GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, cacheNodeIds=True)
+    maps = random_param_maps(gbt, trials, seed)
+    fit_rows, valid = split_train_validation(train, 0.2, seed + 1)
+    ev = RegressionEvaluator(labelCol=TARGET, metricName="mae")
+    fit_rows, valid = fit_rows.cache(), valid.cache()
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            maes = list(pool.map(lambda m: ev.evaluate(gbt.copy(m).fit(fit_rows).transform(valid)), maps))
+    finally:
+        fit_rows.unpersist()
+        valid.unpersist()
+    best = int(np.argmin(maes))
     return gbt, {p.name: v for p, v in maps[best].items()}
 
 
@@ -134,11 +164,14 @@ def fit_boosted_alt(train: DataFrame, trees: int = 300, seed: int = 42) -> objec
 
 
 def fit_ridge(train: DataFrame, alpha: float = 1.0) -> object:
-    """Ridge baseline; α‖w‖² on the sum of squares equals Spark's
-    λ/2‖w‖² on the mean when λ = α / n."""
-    n = train.count()
-    return LinearRegression(featuresCol="features", labelCol=TARGET, regParam=alpha / max(n, 1),
-                            elasticNetParam=0.0, standardization=False).fit(train)
+    """Ridge baseline minimising Σ err² + α‖w‖².
+
+    Spark minimises the mean of err² / 2 of the label divided by its
+    population standard deviation, with λ/2‖w‖² on that scale divided once more by the
+    deviation; so λ = α / n · std(label)."""
+    n, std = train.agg(F.count(F.lit(1)), F.stddev_pop(F.col(TARGET).cast("double"))).first()
+    return LinearRegression(featuresCol="features", labelCol=TARGET, regParam=alpha / max(n, 1) * (std or 1.0),
+                            elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
 
 
 class LeafQuantileInterval:
@@ -193,52 +226,88 @@ def permutation_importance(model, prep: PipelineModel, df: DataFrame, names: lis
     spark = df.sparkSession
     ev = RegressionEvaluator(labelCol=TARGET, metricName="mae")
     base = ev.evaluate(model.transform(prep.transform(df)))
+    columns = permute or names
     left = global_row_number(df, [S.CUST], "_rn")
+    right = global_row_number(df.select(*[F.col(c).alias(f"_perm_{c}") for c in columns],
+                                        F.xxhash64(F.col(S.CUST), F.lit(seed)).alias("_r"), S.CUST), ["_r", S.CUST], "_rn")
+    paired = left.join(right.drop(S.CUST, "_r"), "_rn").drop("_rn").cache()  # one permutation serves all columns
     rows = []
-    for i, c in enumerate(permute or names):
-        right = global_row_number(
-            df.select(F.col(c).alias("_perm"), F.rand(seed + i).alias("_r"), S.CUST), ["_r", S.CUST], "_rn")
-        permuted = (left.join(right.select("_rn", "_perm"), "_rn")
-                        .withColumn(c, F.col("_perm")).drop("_perm", "_rn"))
+    for c in columns:
+        permuted = paired.withColumn(c, F.col(f"_perm_{c}"))
         mae = ev.evaluate(model.transform(prep.transform(permuted)))
         rows.append((c, float(mae - base)))
+    paired.unpersist()
     return spark.createDataFrame(sorted(rows, key=lambda t: -t[1]), "feature string, mae_increase double")
 
 
-def train_value_model(customers: DataFrame, num_trees: int = 300, tune_trials: int = 0,
+def train_value_model(customers: DataFrame, num_trees: int = 300, tune_trials: int = 20,
                       seed: int = 42, with_rfm: bool = False) -> dict:
     """J1 → customers with holdout revenue → J2 → J3 → (J4) → J5, J6, J7
-    → J8 → metrics on the held-out split (K1, K2) → scored customers."""
-    feats, names = prepare_features(customers, with_rfm)
+    → J8 → metrics on the held-out split (K1, K2) → scored customers.
+
+    ``tune_trials=0`` skips the search and fits J5 with its defaults. The best
+    model is the one with the least MAE on the held-out split."""
+    preparer = FeaturePreparer(with_rfm).fit(customers)
+    feats, names = preparer.transform(customers), preparer.names
     labelled = feats.where(F.col(TARGET) > 0)
     train, valid = split_train_validation(labelled, 0.2, seed)
     prep: PipelineModel = assemble(names).fit(train)
     tr, va = prep.transform(train).cache(), prep.transform(valid).cache()
-    params = None
-    if tune_trials:
-        _, params = tune_boosted(tr, tune_trials, seed, max_trees=num_trees)
-    main = fit_boosted(tr, {**(params or {}), **({} if params else {"maxIter": num_trees})}, seed)
-    alt = fit_boosted_alt(tr, num_trees, seed)
-    ridge = fit_ridge(tr)
-    interval = LeafQuantileInterval(seed=seed).fit(tr)
-    metrics = {}
-    rows = []
-    for name, m in (("boosted", main), ("boosted_alt", alt), ("ridge", ridge)):
-        r = regression_metrics(m.transform(va), TARGET, "prediction").collect()[0].asDict()
-        metrics[name] = r
-        rows.append((name, float(r["mae"] or 0), float(r["rmse"] or 0), float(r["r2"] or 0),
-                     float(r["mape"] or 0), int(r["n"])))
-    cov = interval_coverage(predict_interval(main, interval, va), TARGET, "pred_lower", "pred_upper")
-    coverage = cov.collect()[0]["coverage_pct"]
-    metrics["interval_coverage_80"] = coverage
+    try:
+        params = tune_boosted(tr, tune_trials, seed)[1] if tune_trials else None
+        main = fit_boosted(tr, params or {"maxIter": num_trees}, seed)
+        alt = fit_boosted_alt(tr, num_trees, seed)
+        ridge = fit_ridge(tr)
+        interval = LeafQuantileInterval(seed=seed).fit(tr)
+        metrics = {}
+        rows = []
+        for name, m in (("boosted", main), ("boosted_alt", alt), ("ridge", ridge)):
+            r = regression_metrics(m.transform(va), TARGET, "prediction").collect()[0].asDict()
+            metrics[name] = r
+            rows.append((name, float(r["mae"] or 0), float(r["rmse"] or 0), float(r["r2"] or 0),
+                         float(r["mape"] or 0), int(r["n"])))
+        cov = interval_coverage(predict_interval(main, interval, va), TARGET, "pred_lower", "pred_upper")
+        metrics["interval_coverage_80"] = cov.collect()[0]["coverage_pct"]
+    finally:
+        tr.unpersist()
+        va.unpersist()
     spark = customers.sparkSession
     metrics_df = spark.createDataFrame(rows, "model string, mae double, rmse double, r2 double, "
                                              "mape double, n long")
-    scored = predict_interval(main, interval, prep.transform(feats))
-    scored = customers.join(scored.select(S.CUST, F.col("prediction").alias("ml_predicted_clv"),
-                                          "pred_lower", "pred_upper"), S.CUST, "left")
+    models = {"boosted": main, "boosted_alt": alt, "ridge": ridge, "interval": interval, "prep": prep,
+              "preparer": preparer}
+    scored = customers.join(score_customers(models, customers), S.CUST, "left")
     return {"metrics": metrics, "metrics_df": metrics_df, "scored": scored,
             "feature_importance": top_importance(main, names, len(names)),
-            "feature_names": names, "best_model": "boosted", "params": params,
-            "models": {"boosted": main, "boosted_alt": alt, "ridge": ridge, "interval": interval,
-                       "prep": prep}, "validation": valid}
+            "feature_names": names, "best_model": min(rows, key=lambda r: r[1])[0], "params": params,
+            "models": models, "validation": valid}
+
+
+def score_customers(models: dict, customers: DataFrame) -> DataFrame:
+    """Predictions with intervals for any customers, by fitted (or loaded) models."""
+    feats = models["prep"].transform(models["preparer"].transform(customers))
+    return predict_interval(models["boosted"], models["interval"], feats).select(
+        S.CUST, F.col("prediction").alias("ml_predicted_clv"), "pred_lower", "pred_upper")
+
+
+def save_models(spark, models: dict, best_model: str, path: str) -> None:
+    """All fitted parts under one folder: Spark ML writers, the interval's
+    leaf table, the country codes and the name of the best model."""
+    for name in ("boosted", "boosted_alt", "ridge", "prep"):
+        models[name].write().overwrite().save(f"{path}/{name}")
+    models["interval"].model.write().overwrite().save(f"{path}/interval_tree")
+    models["interval"].leaf_table.write.mode("overwrite").parquet(f"{path}/interval_leaves")
+    models["preparer"].save(spark, f"{path}/preparer")
+    spark.createDataFrame([(best_model,)], "best_model string").write.mode("overwrite").parquet(f"{path}/best_model")
+
+
+def load_models(spark, path: str) -> tuple[dict, str]:
+    """The parts that ``save_models`` wrote, and the best model's name (Q16)."""
+    interval = LeafQuantileInterval()
+    interval.model = DecisionTreeRegressionModel.load(f"{path}/interval_tree")
+    interval.leaf_table = spark.read.parquet(f"{path}/interval_leaves")
+    models = {"boosted": GBTRegressionModel.load(f"{path}/boosted"),
+              "boosted_alt": GBTRegressionModel.load(f"{path}/boosted_alt"),
+              "ridge": LinearRegressionModel.load(f"{path}/ridge"), "prep": PipelineModel.load(f"{path}/prep"),
+              "interval": interval, "preparer": FeaturePreparer.load(spark, f"{path}/preparer")}
+    return models, spark.read.parquet(f"{path}/best_model").first()[0]

@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,16 +15,36 @@ from clvforge import schemas as S
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
-                      encoding: str = "ISO-8859-1") -> DataFrame:
-    """A1: scan raw invoice lines with a declared schema (no inference pass).
-
-    CSV is read as latin-1 with a header; parquet is read as is. Columns are
-    renamed to our snake_case names; the timestamp stays text until A2.
+                      encoding: str = "ISO-8859-1", bad_rows: str = "raise") -> DataFrame:
+    """A1: scan raw invoice lines, by header name and with declared types (no
+    inference pass).
+
+    CSV is read as latin-1 with a header, whatever the order of its columns;
+    parquet is read as is. Columns are renamed to our snake_case names; the
+    timestamp stays text until A2. A missing column raises at once. A row with
+    a value that is not of its declared type, or with too many or too few
+    fields, raises when it is read; with ``bad_rows="flag"`` such rows stay,
+    with null for the value and true in the column ``bad_row``.
     """
+    if bad_rows not in ("raise", "flag"):
+        raise ValueError(f"bad_rows must be 'raise' or 'flag', not {bad_rows!r}")
     if fmt == "csv":
-        df = (spark.read.schema(S.RAW_CSV_SCHEMA)
-              .option("header", True).option("encoding", encoding)
-              .option("mode", "PERMISSIVE").csv(path))
+        scan = spark.read.option("header", True).option("encoding", encoding)
+        header = scan.csv(path).columns
+        missing = [f.name for f in S.RAW_CSV_SCHEMA if f.name not in header]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        text = T.StructType([*[T.StructField(c, T.StringType()) for c in header], T.StructField("_corrupt", T.StringType())])
+        raw = (scan.schema(text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+               .option("enforceSchema", False).csv(path))
+        typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in S.RAW_CSV_SCHEMA}
+        bad = F.col("_corrupt").isNotNull()
+        for name, value in typed.items():
+            bad = bad | (F.col(f"`{name}`").isNotNull() & value.isNull())
+        df = raw.select(*[v.alias(n) for n, v in typed.items()], bad.alias("bad_row"))
+        if bad_rows == "raise":
+            stop = F.raise_error(F.lit(f"a row of {path} does not fit the declared columns")).cast("boolean")
+            df = df.where(F.when(F.col("bad_row"), stop).otherwise(True)).drop("bad_row")
     else:
         df = spark.read.format(fmt).load(path)
     for src, dst in S.RAW_TO_OURS.items():
@@ -54,7 +75,8 @@ def write_outputs(dfs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
 
 def read_customer_outputs(spark: SparkSession, out_dir: str, fmt: str = "parquet",
                           names=OUTPUT_TABLES) -> dict[str, DataFrame]:
-    """A4: read saved tables back; missing ones are skipped."""
+    """A4: read saved tables back; absent ones are skipped, anything else that
+    keeps a table from being read is an error."""
     out = {}
     for name in names:
         try:
@@ -62,8 +84,9 @@ def read_customer_outputs(spark: SparkSession, out_dir: str, fmt: str = "parquet
             if fmt == "csv":
                 r = r.option("header", True).option("inferSchema", True)
             out[name] = r.format(fmt).load(f"{out_dir}/{name}")
-        except Exception:  # noqa: BLE001 - absent table
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return out
 
 

@@ -29,7 +29,7 @@ def test_stream_scores_every_request(spark, sf_small):
 def test_value_model_interval_order(spark, sf_small):
     from clvforge.plans.ml import train_value_model
     cust = customer_table(clean(spark, sf_small))[0]
-    out = train_value_model(cust, num_trees=10)
+    out = train_value_model(cust, num_trees=10, tune_trials=0)
     s = out["scored"].where(F.col("ml_predicted_clv").isNotNull())
     assert s.where((F.col("pred_lower") > F.col("ml_predicted_clv")) |
                    (F.col("ml_predicted_clv") > F.col("pred_upper"))).count() == 0
@@ -40,7 +40,7 @@ def test_value_model_interval_order(spark, sf_small):
 def test_permutation_importance(spark, sf_small):
     from clvforge.plans.ml import permutation_importance, train_value_model
     cust = customer_table(clean(spark, sf_small))[0]
-    out = train_value_model(cust, num_trees=5)
+    out = train_value_model(cust, num_trees=5, tune_trials=0)
     m = out["models"]
     imp = permutation_importance(m["boosted"], m["prep"], out["validation"], out["feature_names"],
                                  permute=["total_revenue_obs", "country_encoded_num"]).collect()
