@@ -71,24 +71,20 @@ def drop_adjustments(df: DataFrame) -> DataFrame:
 
 
 def clean_transactions(df: DataFrame, price_q: float = 0.99, exact: bool = True,
-                       ts_format: str | None = None, materialize: bool = False) -> DataFrame:
+                       ts_format: str | None = None, literal_cap: bool = False) -> DataFrame:
     """B1, B2, A2, B3, B4, B5, B6 in the reference order (the price cap is
     taken over rows that passed B1–B2 only).
 
-    Lazily, the cap is a scalar subquery, so the source plan (e.g. a star
-    join) runs once for the cap and once for the rows. With ``materialize``
-    the rows after B1–B3 are written once to the shared checkpoint folder, the
-    cap is computed from that copy and becomes a literal, and every later plan
-    (split bounds, features, scores) reads the copy instead of re-running the
-    source."""
+    Lazily, the cap is a scalar subquery. With ``literal_cap`` it is found at
+    once, from a scan that reads only what the price and the first two rules
+    need, and becomes a literal in the filter: later plans push it into the
+    scan and still prune columns, since no row is written."""
     base = (df.transform(drop_cancelled)
               .transform(drop_nonpositive)
               .transform(lambda d: parse_invoice_ts(d, ts_format))
               .transform(add_revenue))
-    if materialize:
-        from clvforge.session import durable_cut
-        base = durable_cut(base)
-        cap = quantile_row(base, S.PRICE, price_q, "_cap", exact).first()["_cap"]
+    if literal_cap:
+        cap = quantile_row(base.select(S.PRICE), S.PRICE, price_q, "_cap", exact).first()["_cap"]
         trimmed = base.where(F.col(S.PRICE) <= F.lit(cap)) if cap is not None else base.limit(0)
     else:
         trimmed = trim_price_outliers(base, price_q, exact)

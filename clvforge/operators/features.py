@@ -35,7 +35,9 @@ def gap_stats(df: DataFrame, key: str = S.CUST, ts: str = S.TS,
     ``ts`` values (sorted by ts), and with ``months`` the number of distinct
     calendar months.
 
-    Phase 1 range-partitions rows on (key, ts) — a hot key is spread over many
+    Rows are first counted per (key, ts), combined map-side: n equal
+    timestamps are n − 1 gaps of zero days, and only distinct pairs go on.
+    Phase 1 range-partitions these on (key, ts) — a hot key is spread over many
     contiguous chunks — and computes gaps inside each (chunk, key) with a lag
     window, keeping first/last ts per chunk. Phase 2 orders a key's chunks
     (at most ``n_chunks`` rows per key) and adds the gaps across chunk
@@ -45,13 +47,14 @@ def gap_stats(df: DataFrame, key: str = S.CUST, ts: str = S.TS,
     aggregate (no row expansion there).
     """
     nb = n_chunks or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    r = (df.select(key, ts).where(F.col(ts).isNotNull())
+    r = (df.where(F.col(ts).isNotNull()).groupBy(key, ts).agg(F.count(F.lit(1)).alias("_n"))
            .repartitionByRange(nb, key, ts)
            .withColumn("_chunk", F.spark_partition_id()))
     w1 = Window.partitionBy("_chunk", key).orderBy(ts)
     g = r.withColumn("_gap", days_between(F.lag(ts).over(w1), F.col(ts)))
     aggs = [F.min(ts).alias("_first"), F.max(ts).alias("_last"),
-            F.count("_gap").alias("_ng"), F.sum("_gap").alias("_sg"), F.max("_gap").alias("_mg")]
+            (F.count("_gap") + F.sum(F.col("_n") - 1)).alias("_ng"), F.sum("_gap").alias("_sg"),
+            F.greatest(F.max("_gap"), F.max(F.when(F.col("_n") > 1, 0))).alias("_mg")]
     if months:
         m = F.trunc(ts, "month")
         prev = F.lag(m).over(w1)

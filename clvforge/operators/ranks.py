@@ -61,6 +61,7 @@ def value_rank_table(df: DataFrame, col: str, n_buckets: int | None = None,
     counts = (df.where(F.col(col).isNotNull()).groupBy(*by, col)
                 .agg(F.count(F.lit(1)).alias("_cnt"))
                 .withColumn("_v", F.col(col).cast("double")))
+    counts = durable_cut(counts)  # read for the split points, the totals and the ranks
     if splits is not None:
         cuts = sorted(set(splits))
     else:

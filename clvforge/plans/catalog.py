@@ -46,7 +46,7 @@ def tx(spark, d):
 
 
 def clean(spark, d):
-    return C.clean_transactions(tx(spark, d), materialize=True)
+    return C.clean_transactions(tx(spark, d), literal_cap=True)
 
 
 def split(spark, d):

@@ -761,5 +761,5 @@ def q_events(spark, d):
     from clvforge.operators import clean as C
     from clvforge.sources.star import transactions_from_events
     o, _ = C.split_observation_holdout(
-        C.clean_transactions(transactions_from_events(spark, d), materialize=True), holdout_days=7)
+        C.clean_transactions(transactions_from_events(spark, d), literal_cap=True), holdout_days=7)
     return FT.customer_features(o)

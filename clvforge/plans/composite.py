@@ -49,7 +49,7 @@ def run_pipeline(tx_raw: DataFrame, out_dir: str | None = None, fit: bool = True
     from clvforge.operators import cohorts as CO
     from clvforge.sources import io as IO
 
-    tx_clean = C.clean_transactions(tx_raw, materialize=True)
+    tx_clean = C.clean_transactions(tx_raw, literal_cap=True)
     tx_cohort = CO.cohort_columns(tx_clean)
     cust, bg, gg = customer_table(tx_clean, fit=fit, holdout_days=holdout_days)
     cust = durable_cut(cust)

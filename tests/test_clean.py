@@ -54,7 +54,7 @@ def test_clean_order_and_cap(spark):
 def test_clean_materialized_equals_lazy(spark):
     df = _tx(spark, _rows())
     a = sorted(map(tuple, C.clean_transactions(df).collect()), key=repr)
-    b = sorted(map(tuple, C.clean_transactions(df, materialize=True).collect()), key=repr)
+    b = sorted(map(tuple, C.clean_transactions(df, literal_cap=True).collect()), key=repr)
     assert a == b
 
 
