@@ -694,7 +694,8 @@ def _scratch(spark) -> str:
 
 
 @register("read_transactions", sql_wrap(
-    Q.with_(Q.TX) + "SELECT * REPLACE (CAST(customer_id AS DOUBLE) AS customer_id) FROM tx", ["price", "customer_id"]))
+    Q.with_(Q.TX) + "SELECT * REPLACE (CAST(customer_id AS DOUBLE) AS customer_id) FROM tx",
+    ["price", "customer_id"], ["invoice_ts"]))
 def q_read_csv(spark, d):
     """A1: the fixture lines written as a latin-1 CSV with the raw header,
     then scanned with the declared schema and parsed (A2)."""
