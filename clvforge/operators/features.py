@@ -203,18 +203,23 @@ def spend_summary(tx: DataFrame) -> DataFrame:
 
 def invoice_features(tx: DataFrame) -> DataFrame:
     """Two-level features. Invoices are totalled first (one row per
-    customer × invoice), gaps follow invoice dates (not invoice ids)."""
+    customer × invoice), gaps follow invoice dates (not invoice ids). Distinct
+    counts are counts of distinct pairs, so no line is expanded."""
     inv = tx.groupBy(S.CUST, S.INVOICE).agg(F.min(S.TS).alias("_inv_ts"))
     gaps = gap_stats(inv, S.CUST, "_inv_ts")
     lines = tx.groupBy(S.CUST).agg(
         F.min(S.TS).alias("_f"), F.max(S.TS).alias("_l"),
         F.avg(S.REVENUE).alias("monetary_value"),
         F.sum(S.REVENUE).alias("total_revenue"),
-        F.countDistinct(S.INVOICE).alias("n_invoices"),
-        F.countDistinct(S.STOCK).alias("n_unique_products"),
-        F.countDistinct(S.COUNTRY).alias("n_unique_countries"),
         F.coalesce(F.stddev_samp(S.REVENUE), F.lit(0.0)).alias("revenue_std"))
-    j = lines.join(gaps, S.CUST, "left")
+
+    def distinct_count(pairs: DataFrame, col: str, out: str) -> DataFrame:
+        return pairs.groupBy(S.CUST).agg(F.count(col).alias(out))
+
+    j = (lines.join(distinct_count(inv, S.INVOICE, "n_invoices"), S.CUST)
+              .join(distinct_count(tx.select(S.CUST, S.STOCK).distinct(), S.STOCK, "n_unique_products"), S.CUST)
+              .join(distinct_count(tx.select(S.CUST, S.COUNTRY).distinct(), S.COUNTRY, "n_unique_countries"), S.CUST)
+              .join(gaps, S.CUST, "left"))
     return j.select(
         S.CUST, (F.col("n_invoices") - 1).alias("frequency"),
         days_between("_f", "_l").alias("recency"),

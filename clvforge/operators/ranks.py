@@ -152,7 +152,7 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
     each partition, and a per-partition record index. Partition id and index
     are written as columns into a table in the shared checkpoint folder, so
     they are frozen (a recomputation cannot reshuffle them) before the
-    per-partition counts (``n_partitions`` longs) become offsets.
+    per-partition counts (a table of ``n_partitions`` rows) become offsets.
     """
     nb = _n_buckets(df, n_partitions)
     ranged = (df.repartitionByRange(nb, *order_cols).sortWithinPartitions(*order_cols)
@@ -160,17 +160,12 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
                 .withColumn("_loc", F.monotonically_increasing_id()
                             - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
     ranged = durable_cut(ranged)
-    counts = {r["_pid"]: r["n"] for r in
-              ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offs, acc = [], 0
-    for pid in range(max(counts) + 1 if counts else 0):
-        offs.append(acc)
-        acc += counts.get(pid, 0)
-    off_arr = F.array(*[F.lit(int(o)).cast("bigint") for o in offs]) if offs else None
-    if off_arr is None:
-        return ranged.drop("_pid", "_loc").withColumn(out, F.lit(None).cast("bigint"))
-    return (ranged.withColumn(out, F.element_at(off_arr, F.col("_pid") + 1) + F.col("_loc") + 1)
-                  .drop("_pid", "_loc"))
+    # one row per partition: the window over them and the broadcast are bounded
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (ranged.join(F.broadcast(offsets), "_pid")
+                  .withColumn(out, F.col("_off") + F.col("_loc") + 1).drop("_pid", "_loc", "_off"))
 
 
 def quantile_bin_score(df: DataFrame, col: str, tiebreak: str, n: int = 5,

@@ -139,6 +139,15 @@ def alive_grid(customers: DataFrame, params: dict | None = None) -> DataFrame:
     return g.withColumn("prob_alive", F.when(F.col("frequency") > 0, p).otherwise(F.lit(0.0)))
 
 
+def alive_grid_full(spark, params: dict | None = None, frequencies: int = 50, recency_end: int = 365,
+                    recency_step: int = 5) -> DataFrame:
+    """I4 as drawn: frequency 0 … 49 × recency 0, 5, …, 360, T = recency + 1.
+    The grid is a fixed number of cells, made from two ranges."""
+    g = (spark.range(frequencies).select(F.col("id").alias("frequency"))
+         .select("frequency", F.explode(F.sequence(F.lit(0), F.lit(recency_end - 1), F.lit(recency_step))).alias("recency")))
+    return alive_grid(g, params)
+
+
 def score_requests(req: DataFrame, bg: dict | None = None, estimate_segment: bool = True,
                    segment_col: str | None = None) -> DataFrame:
     """H5: one projection over request rows: model or fallback purchases,

@@ -192,7 +192,13 @@ def _cust_cols(c):
                     V.round_to("bgnbd_gg_clv", 2).alias("bgnbd_gg_clv"))
 
 
-@register("fit_probabilistic", sql_wrap(
+@register("fit_probabilistic")
+def q_fit_probabilistic(spark, d):
+    """I9 with parameters fitted on the given tables."""
+    return _cust_cols(customer_table(clean(spark, d), fit=True)[0])
+
+
+@register("score_probabilistic", sql_wrap(
     CUST_SQL + f"SELECT {CUST_COLS_SQL} FROM customers",
     ["monetary_value", "total_revenue_obs", "holdout_revenue", "prob_alive", "gamma_gamma_monetary"]))
 def q_customers(spark, d):

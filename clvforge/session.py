@@ -56,37 +56,46 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError(
-            "spark.checkpoint.dir is not set; a shared (HDFS/S3/DBFS) folder is "
+            "spark.checkpoint.dir is not set; a folder on a shared file system is "
             "required to cut lineage on a cluster")
     path = os.path.join(tempfile.gettempdir(), f"clvforge-ckpt-{uuid.uuid4().hex[:12]}")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
-def durable_cut(df: DataFrame, keep_partitions: bool = False) -> DataFrame:
+_TABLES: list[str] = []
+
+
+def durable_cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    Default: write a parquet table under ``<checkpoint dir>/tables`` and read
-    it back — one computation, columnar and compressed, and the read-back
-    carries real size statistics for AQE's join choices. With
-    ``keep_partitions`` the partition layout itself must survive (row
-    numbering by partition), so a reliable RDD checkpoint is taken, persisted
-    first so the checkpoint write does not recompute the input.
-    Both survive executor loss, unlike ``localCheckpoint``.
+    Writes a parquet table under ``<checkpoint dir>/tables`` and reads it
+    back: one computation, columnar and compressed, and the read-back carries
+    real size statistics for AQE's join choices. It survives executor loss,
+    unlike ``localCheckpoint``. ``release_tables`` deletes what is no longer
+    needed.
     """
     spark = df.sparkSession
-    root = checkpoint_dir(spark)
-    if keep_partitions:
-        from pyspark import StorageLevel
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = cached.checkpoint(eager=True)
-        cached.unpersist()
-        return out
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _TABLES.append(path)
     return spark.read.parquet(path)
 
 
+def release_tables(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``durable_cut`` has written since a mark
+    (``table_mark()``), once the results that read them are consumed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _TABLES[since:]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _TABLES[since:]
+
+
+def table_mark() -> int:
+    return len(_TABLES)
+
+
 _SHIPPED: dict[int, str] = {}
 
 

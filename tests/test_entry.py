@@ -18,7 +18,7 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", ["segment_customers", "customer_features", "fit_probabilistic",
+@pytest.mark.parametrize("name", ["segment_customers", "customer_features", "score_probabilistic",
                                   "at_risk", "retention_cohorts", "score_requests"])
 def test_sql_twin_matches(spark, sf_small, name):
     con = duckdb.connect()

@@ -95,3 +95,38 @@ def test_codes_do_not_change_on_a_subset_and_models_load(spark, sf_small, tmp_pa
     assert best == out["best_model"] == min(("boosted", "boosted_alt", "ridge"), key=lambda m: out["metrics"][m]["mae"])
     old = sorted(ml.score_customers(out["models"], some).collect())
     assert old == sorted(ml.score_customers(models, some).collect()) and len(old) == len(part)
+
+
+def test_alive_grid_has_all_cells(spark):
+    from clvforge.functions import probability as P
+    from clvforge.operators.value import alive_grid_full
+    rows = alive_grid_full(spark).collect()
+    assert len(rows) == 50 * 73 and {r["recency"] for r in rows} == set(range(0, 365, 5))
+    p = P.PUBLISHED_BGNBD
+    for r in rows[::97]:
+        x, t = r["frequency"], r["recency"]
+        want = 0.0 if not x else 1 / (1 + p["a"] / (p["b"] + x - 1) * ((p["alpha"] + t + 1) / (p["alpha"] + t)) ** (p["r"] + x))
+        assert r["prob_alive"] == pytest.approx(want, rel=1e-9)
+
+
+def test_tables_are_released(spark):
+    import os
+    from clvforge.session import _TABLES, durable_cut, release_tables, table_mark
+    mark = table_mark()
+    durable_cut(spark.range(3))
+    path = _TABLES[-1].removeprefix("file:")
+    assert os.path.isdir(path)
+    release_tables(spark, mark)
+    assert not os.path.exists(path) and table_mark() == mark
+
+
+def test_a_hot_day_is_one_pair_and_no_line_is_expanded(spark):
+    from datetime import datetime
+    from clvforge.operators.features import gap_stats, invoice_features
+    rows = [(1, datetime(2020, 1, 1))] * 500 + [(1, datetime(2020, 1, 11)), (2, datetime(2020, 1, 1))]
+    df = spark.createDataFrame(rows, "customer_id long, invoice_ts timestamp_ntz")
+    got = {r["customer_id"]: (r["n_gaps"], r["sum_gaps"], r["max_gap"]) for r in gap_stats(df).collect()}
+    assert got[1] == (500, 10, 10) and got[2][0] == 0
+    tx = spark.createDataFrame([(1, "i", "s", 2.0, datetime(2020, 1, 1), "c")],
+                               "customer_id long, invoice string, stock_code string, revenue double, invoice_ts timestamp_ntz, country string")
+    assert "Expand" not in invoice_features(tx)._jdf.queryExecution().toString()
