@@ -112,12 +112,16 @@ def tilts(strata: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int
 
 
 def _round_strata(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies of one source's strata, largest size first: each takes on what rounding left before it."""
+    """Whole copies of one source's strata, largest size first.
+
+    Extra copies are rounded down, and what is left over goes on to the next smaller size, which can
+    add copies but not take away those that all its documents have.
+    """
     pdf = pdf.sort_values("size", ascending=False, kind="stable")
     extra, carry = [], 0.0
     for size, n, part in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["part"].tolist()):
         carry += part * n * size
-        take = min(n, max(0, round(carry / size))) if size else round(part * n)
+        take = min(n, int(carry / size + 1e-9)) if size else 0
         carry -= take * size
         extra.append(take)
     return pdf.assign(extra=extra)[["source", "size", "n", "base", "extra"]]

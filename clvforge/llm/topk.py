@@ -26,7 +26,7 @@ class CoverTree:
     def __init__(self, points: np.ndarray, members: np.ndarray | None = None, shrink: float = 0.6, leaf: int = 48):
         members = np.arange(len(points)) if members is None else members
         own = points[members]
-        self.centre = own.mean(0)
+        self.centre = own[0] if (own == own[0]).all() else own.mean(0)  # rounding must not part equal points
         away = np.sqrt(((own - self.centre) ** 2).sum(1))
         self.radius = float(away.max(initial=0.0))
         self.norm = float(np.sqrt(self.centre @ self.centre))
