@@ -114,16 +114,30 @@ def tilts(strata: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int
 def _round_strata(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whole copies of one source's strata, largest size first.
 
-    Extra copies are rounded down, and what is left over goes on to the next smaller size, which can
-    add copies but not take away those that all its documents have.
+    What rounding a stratum leaves over, or takes too much, is carried to the next smaller size. Of
+    the two neighbouring whole numbers, the one whose rest the smaller sizes can still make good
+    (each document has at most one extra copy, at least none) is taken, else the nearer one.
     """
     pdf = pdf.sort_values("size", ascending=False, kind="stable")
+    size, n, part = (pdf[c].to_numpy(float) for c in ("size", "n", "part"))
+    expected = part * n * size
+    can_drop = expected.sum() - np.cumsum(expected)
+    can_add = (n * size).sum() - np.cumsum(n * size) - can_drop
     extra, carry = [], 0.0
-    for size, n, part in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["part"].tolist()):
-        carry += part * n * size
-        take = min(n, int(carry / size + 1e-9)) if size else 0
-        carry -= take * size
-        extra.append(take)
+    for i in range(len(size)):
+        if not size[i]:
+            extra.append(0)
+            continue
+        carry += expected[i]
+        low = min(n[i], max(0.0, np.floor(carry / size[i] + 1e-9)))
+
+        def miss(take: float) -> tuple[float, float]:
+            rest = carry - take * size[i]
+            return max(0.0, rest - can_add[i], -rest - can_drop[i]), abs(rest)
+
+        take = min((low, min(n[i], low + 1)), key=miss)
+        carry -= take * size[i]
+        extra.append(int(take))
     return pdf.assign(extra=extra)[["source", "size", "n", "base", "extra"]]
 
 
