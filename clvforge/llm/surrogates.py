@@ -36,6 +36,8 @@ FAMILY = {
     "greek": ["Αντωνίου", "Γεωργίου", "Δημητρίου", "Ιωάννου", "Νικολάου", "Παππάς"],
 }
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
+#: Titles as written: small, with a capital, in capitals. Spelled out, since engines fold case differently.
+_TITLE = "|".join(sorted({f for t in _GENDER for f in (t, t.capitalize(), t.upper())}, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _WORD_NAME = r"[^\W\d_][\w'’-]*"
 #: What the entity types look like, in the order in which they are tried.
@@ -47,11 +49,12 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])",
-    "name": rf"(?i:(?<!\w)(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.?) (?P<name>{_WORD_NAME}(?: {_WORD_NAME}){{0,2}})",
+    "name": rf"(?<!\w)(?:{_TITLE})\.? (?P<name>{_WORD_NAME}(?: {_WORD_NAME}){{0,2}})",
 }
 _FIND = re.compile("|".join(f"(?P<t_{k}>{p})" for k, p in PATTERNS.items()))
-#: A text without any of these holds no entity.
-_HINT = r"@|[0-9a-fA-F]{32}|[0-9](?:[ .()+-]{0,3}[0-9]){6}|\.[0-9]{1,3}\.|\b(?i:" + "|".join(_GENDER) + r")\.? \w"
+#: A text without any of these holds no entity; Spark's regular expressions read it.
+_HINT = (r"@|[0-9a-fA-F]{32}|[0-9](?:[ .()+-]{0,3}[0-9]){6}|\.[0-9]{1,3}\.|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
+         rf"|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}")
 
 
 def _luhn(digits: str) -> int:
