@@ -52,6 +52,8 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{_TITLE})\.? (?P<name>{_WORD_NAME}(?: {_WORD_NAME}){{0,2}})",
 }
 _FIND = re.compile("|".join(f"(?P<t_{k}>{p})" for k, p in PATTERNS.items()))
+#: A line without any of these holds no entity.
+_TRIGGER = re.compile(rf"[@0-9]|[A-Fa-f]{{32}}|(?<!\w)(?:{_TITLE})\.? [^\W\d_]")
 #: A text without any of these holds no entity; Spark's regular expressions read it.
 _HINT = (r"@|[0-9a-fA-F]{32}|[0-9](?:[ .()+-]{0,3}[0-9]){6}|\.[0-9]{1,3}\.|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
          rf"|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}")
@@ -75,13 +77,23 @@ def script_of(text: str) -> str:
     return "latin"
 
 
+def _matches(text: str) -> Iterator[re.Match]:
+    """Matches line by line (no entity crosses a line end), only in lines with a trigger."""
+    at = 0
+    while hit := _TRIGGER.search(text, at):
+        end = text.find("\n", hit.end())
+        end = len(text) if end < 0 else end
+        yield from _FIND.finditer(text, text.rfind("\n", 0, hit.start()) + 1, end)
+        at = end
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical) of the entities of a text, left to right, without overlaps.
 
     Canonical forms join what is one entity: case of e-mail addresses and names, separators of numbers.
     """
     out = []
-    for m in _FIND.finditer(text):
+    for m in _matches(text):
         kind = next(k for k in PATTERNS if m[f"t_{k}"] is not None)
         start, end = m.span()
         if kind == "name":
