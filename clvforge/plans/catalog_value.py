@@ -642,7 +642,9 @@ def q_prepare(spark, d):
     return prepare_features(c)[0]
 
 
-@register("split_train_validation")
+@register("split_train_validation", FEAT + """SELECT customer_id,
+  CASE WHEN (((customer_id % 2147483648) * 1103515245 + 12345 * 42) % 2147483648) * 10000 // 2147483648 < 2000
+       THEN 'validation' ELSE 'train' END AS part FROM features""")
 def q_split_tv(spark, d):
     from clvforge.plans.ml import split_train_validation
     tr, va = split_train_validation(features(spark, d).select(S.CUST))

@@ -105,9 +105,11 @@ def assemble(names: list[str]) -> Pipeline:
 
 
 def split_train_validation(df: DataFrame, fraction: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Repeatable split by a hash of the customer id (independent of
-    partitioning and of row order)."""
-    h = F.pmod(F.xxhash64(F.col(S.CUST), F.lit(seed)), F.lit(10000))
+    """Repeatable split by an arithmetic hash of the customer id
+    (independent of partitioning and of row order): the high digits of one
+    linear congruential step."""
+    step = (F.pmod(F.col(S.CUST).cast("bigint"), F.lit(1 << 31)) * 1103515245 + 12345 * seed) % (1 << 31)
+    h = F.floor(step * 10000 / (1 << 31)).cast("int")
     cut = int(round(fraction * 10000))
     return df.where(h >= cut), df.where(h < cut)
 
