@@ -75,8 +75,10 @@ RULES = [
     ("Public-Domain", ["public-domain"]),
     ("All-Rights-Reserved", ["all-rights"]),
 ]
-#: Every known sentence holds one of these, so texts without any are done at once.
-ANCHORS = r"licen[sc]|permission|redistribut|gpl-|public domain|rights reserved|free software|as is|\bcc by"
+#: Every known sentence holds one of these, so texts and sentences without any are done at once.
+ANCHORS = "|".join(["licen[sc]", "permission", "redistribut", "warrant", "gpl-"] + [
+    a + r"[\s/*#>|\"'`]+" + b for a, b in (("public", "domain"), ("rights", "reserved"), ("free", "software"), ("gpl", "v"),
+                                          ("cc0", "1\\."), ("cc", "by"))])
 
 
 def sentence_table() -> dict[str, str]:
@@ -128,7 +130,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = r"(?<=[.!?:;])\s+"
 
     def sequence(split: str) -> F.Column:
-        found = F.transform(F.split("_text", split), lambda s: F.try_element_at(F.col("_table"), _normalised(s)))
+        likely = F.filter(F.split("_text", split), lambda s: F.lower(s).rlike(ANCHORS))
+        found = F.transform(likely, lambda s: F.try_element_at(table, _normalised(s)))
         return F.filter(found, lambda i: i.isNotNull())
 
     rule_array = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(";" + ";;".join(run) + ";").alias("run"))
@@ -140,14 +143,15 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         F.when(hit, F.concat(state["names"], F.array(rule["name"]))).otherwise(state["names"]).alias("names"))
 
     def matched(run) -> F.Column:
-        return F.aggregate(F.col("_rules"), F.struct(run.alias("run"), F.array().cast("array<string>").alias("names")), apply)
+        return F.aggregate(rule_array, F.struct(run.alias("run"), F.array().cast("array<string>").alias("names")), apply)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"))
-    maybe = F.lower("_text").rlike(ANCHORS)
+    maybe = F.lower(text).rlike(ANCHORS)
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("_table", F.when(maybe, table)).withColumn("_rules", F.when(maybe, rule_array))
-    rows = rows.select("doc_id", "_rules", F.when(F.col("_table").isNotNull(), sequence(rf"{ends}|\s*\n\s*")).otherwise(none).alias("_lines"),
-                       F.when(F.col("_table").isNotNull(), sequence(rf"{ends}|\n\s*\n\s*")).otherwise(none).alias("_wrapped"))
+    # exploding arrays of one element keeps what stands below from being evaluated again for each use above
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), F.explode(F.array(maybe)).alias("_maybe"))
+    found = F.struct(*[F.when(F.col("_maybe"), sequence(split)).otherwise(none).alias(name) for name, split in
+                       (("_lines", rf"{ends}|\s*\n\s*"), ("_wrapped", rf"{ends}|\n\s*\n\s*"))])
+    rows = rows.select("doc_id", F.explode(F.array(found)).alias("_found")).select("doc_id", "_found._lines", "_found._wrapped")
     joined = lambda c: F.concat_ws("", F.transform(c, lambda i: F.concat(F.lit(";"), i, F.lit(";"))))
     rows = rows.select("doc_id", F.concat("_lines", F.array_except("_wrapped", "_lines")).alias("sentences"),
                        F.when(F.size("_lines") > 0, matched(joined(F.col("_lines")))).alias("_a"),
