@@ -215,3 +215,10 @@ def test_a_text_with_an_entity_passes_the_hint(spark):
     assert all(surrogates.entities(t) for t in texts)
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.filter(~df["t"].rlike(surrogates._HINT)).collect() == []
+
+
+def test_every_known_sentence_has_an_anchor():
+    from clvforge.llm.licences import ANCHORS, rules, sentence_table
+    table = sentence_table()
+    assert all(re.search(ANCHORS, s) for s in table)
+    assert set(table.values()) == {i for _, run in rules() for i in run} - {"gpl-warranty"} | {"gpl-warranty"}
