@@ -132,6 +132,12 @@ def random_param_maps(gbt: GBTRegressor, trials: int = 20, seed: int = 42) -> li
     return maps
 
 
+def _training_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Cached rows in partitions of a useful size: boosting runs some job per
+    tree level, so a few thousand rows should not be spread over many tasks."""
+    return df.repartition(max(1, -(-df.count() // rows_per_task)), S.CUST).sortWithinPartitions(S.CUST)
+
+
 def tune_boosted(train: DataFrame, trials: int = 20, seed: int = 42,
                  parallelism: int = 4) -> tuple[GBTRegressor, dict]:
     """Random search minimising the MAE on the validation part of the J2
@@ -140,7 +146,7 @@ def tune_boosted(train: DataFrame, trials: int = 20, seed: int = 42,
     maps = random_param_maps(gbt, trials, seed)
     fit_rows, valid = split_train_validation(train, 0.2, seed + 1)
     ev = RegressionEvaluator(labelCol=TARGET, metricName="mae")
-    fit_rows, valid = fit_rows.cache(), valid.cache()
+    fit_rows, valid = _training_rows(fit_rows).cache(), _training_rows(valid).cache()
     try:
         with ThreadPoolExecutor(parallelism) as pool:
             maes = list(pool.map(lambda m: ev.evaluate(gbt.copy(m).fit(fit_rows).transform(valid)), maps))
@@ -254,7 +260,7 @@ def train_value_model(customers: DataFrame, num_trees: int = 300, tune_trials: i
     labelled = feats.where(F.col(TARGET) > 0)
     train, valid = split_train_validation(labelled, 0.2, seed)
     prep: PipelineModel = assemble(names).fit(train)
-    tr, va = prep.transform(train).cache(), prep.transform(valid).cache()
+    tr, va = _training_rows(prep.transform(train)).cache(), _training_rows(prep.transform(valid)).cache()
     try:
         params = tune_boosted(tr, tune_trials, seed)[1] if tune_trials else None
         main = fit_boosted(tr, params or {"maxIter": num_trees}, seed)
