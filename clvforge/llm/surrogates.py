@@ -270,7 +270,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     base = id_and_text(docs, id_col, text_col)
     maybe = F.col("text").rlike(_HINT)
     plain = base.filter(~maybe).select("doc_id", "text", F.lit(0).alias("n_entities"), F.lit(0).alias("n_distinct"))
-    marked = base.filter(maybe).withColumn("print", F.xxhash64("text")).select("doc_id", "print", "text")
+    marked = cut(base.filter(maybe).withColumn("print", F.xxhash64("text")).select("doc_id", "print", "text"))
     found = cut(_collect(marked))
     known = assign_surrogates(cut(found.select("type", "canonical").distinct()), key)
     per_doc = (found.distinct().join(known, ["type", "canonical"]).groupBy("doc_id", "print")
