@@ -18,12 +18,15 @@ _SLACK = 1e-6
 class CoverTree:
     """Points covered by balls whose radii shrink from level to level.
 
-    A node holds a centre and the radius that covers all its points; its children's centres are
-    points of it, chosen greedily so that each lies farther than the child radius from those before
-    it and every point is within the child radius of one. Equal points share a leaf.
+    A node holds a centre and the radius that covers all its points. Its children form a greedy
+    cover: their seeds are points of the node, each the one farthest from those before it, until
+    every point is within ``shrink`` times the radius of a seed or there are ``fan`` of them (with
+    many dimensions nearly every point is far from all others); each point goes to its nearest seed,
+    and the child's radius is what then covers it. Equal points share a leaf.
     """
 
-    def __init__(self, points: np.ndarray, members: np.ndarray | None = None, shrink: float = 0.6, leaf: int = 48):
+    def __init__(self, points: np.ndarray, members: np.ndarray | None = None, shrink: float = 0.6, leaf: int = 128,
+                 fan: int = 8):
         members = np.arange(len(points)) if members is None else members
         own = points[members]
         self.centre = own[0] if (own == own[0]).all() else own.mean(0)  # rounding must not part equal points
@@ -36,12 +39,12 @@ class CoverTree:
         near = np.full(len(members), np.inf)
         owner = np.zeros(len(members), np.int64)
         at, n = int(away.argmin()), 0
-        while near.max() > shrink * self.radius or n < 2:
+        while n < 2 or n < fan and near.max() > shrink * self.radius:
             d = np.sqrt(((own - own[at]) ** 2).sum(1))
             owner[d < near] = n
             near = np.minimum(near, d)
             at, n = int(near.argmax()), n + 1
-        self.children = [CoverTree(points, members[owner == c], shrink, leaf) for c in range(n) if (owner == c).any()]
+        self.children = [CoverTree(points, members[owner == c], shrink, leaf, fan) for c in range(n) if (owner == c).any()]
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,7 +65,7 @@ class DualSearch:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.tree = CoverTree(vectors.astype(float), leaf=16)
+        self.tree = CoverTree(vectors.astype(float), leaf=64)
         self.score = np.full((len(ids), k), _NONE)
         self.found = np.full((len(ids), k), -1, np.int64)
         self.floor = np.full(len(ids), _NONE) if floor is None else floor
