@@ -32,6 +32,8 @@ from clvforge.llm.common import id_and_text, shuffle_partitions
 COVER = (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)
 PERIOD = 133
 _BLOCK = 1 << 20
+#: Text for each bucket of names.
+_BUCKET = 8 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -201,12 +203,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         raise ValueError(f"the cover needs strings of {2 * PERIOD} bytes or more")
     parts = chunks or shuffle_partitions(docs.sparkSession)
     base = id_and_text(docs, id_col, text_col)
+    volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, min(parts, -(-volume // _BUCKET)))  # by volume: a chunk sends a row to each
     dealt = (base.select("doc_id", F.col("text").cast("binary").alias("text"),
                          F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * parts)).cast("int").alias("chunk"))
              .repartition(parts, "chunk"))
 
     def read(rows: pa.Table, answers: pa.Table | None, steps: int):
-        chunk = _Chunk(rows.column("text"), length, parts)
+        chunk = _Chunk(rows.column("text"), length, buckets)
         got: dict[int, dict[int, tuple[bytes, bytes]]] = {1: {}, 2: {}, 3: {}}
         if answers is not None:
             for s, b, bits, more in zip(*(answers.column(c).to_pylist() for c in ("step", "bucket", "bits", "more"))):
