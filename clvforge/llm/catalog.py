@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clvforge.llm.common import table
 from clvforge.llm.exact_dedup import content_sort_dedup
 from clvforge.llm.licences import scan_licences
-from clvforge.llm.line_chunks import drop_repeated_chunks
+from clvforge.llm.line_chunks import drop_shared_runs
 from clvforge.llm.mixing import mix
 from clvforge.llm.pieces import encode_documents
 from clvforge.llm.quality import classify
@@ -55,7 +55,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_chunks(table(spark, sf_dir, "documents"), keep_text=False)
+    return drop_shared_runs(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

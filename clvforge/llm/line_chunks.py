@@ -107,3 +107,102 @@ def drop_repeated_chunks(docs: DataFrame, least: int = 2, window: int = 3, mean:
 
     schema = "doc_id long, n_lines int, n_chunks int, removed_chunks int, removed_lines int, kept_sha256 string"
     return joined.mapInArrow(run, schema + (", text string" if keep_text else ""))
+
+
+def _window_rows(docs: DataFrame, least: int) -> DataFrame:
+    """A row for each run of ``least`` lines, at every line where one starts: (doc_id, print, place, name)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                out: list[list] = [[] for _ in range(4)]
+                for doc, mark, text in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                    lines = text.encode().split(b"\n")
+                    for a in range(len(lines) - least + 1):
+                        for col, v in zip(out, (doc, mark, a, xxh3_128_digest(b"\n".join(lines[a:a + least])))):
+                            col.append(v)
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
+                                                 names=["doc_id", "print", "place", "name"])
+
+    return docs.mapInArrow(run, "doc_id long, print long, place int, name binary")
+
+
+def _clashing(joined: DataFrame, least: int) -> DataFrame:
+    """Names of runs that are not equal byte for byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                out: list[list] = [[], []]
+                for text, runs in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                    lines = text.encode().split(b"\n")
+                    for r in runs:
+                        out[0].append(r["name"])
+                        out[1].append(b"\n".join(lines[r["place"]:r["place"] + least]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], names=["name", "body"])
+
+    bodies = joined.filter("runs IS NOT NULL").select("text", "runs").mapInArrow(run, "name binary, body binary")
+    return bodies.distinct().groupBy("name").count().filter("count > 1").select("name")
+
+
+def drop_shared_runs(docs: DataFrame, least: int = 2, mean: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                     keep_text: bool = True) -> DataFrame:
+    """(doc_id, n_lines, n_chunks, removed_chunks, removed_lines, kept_sha256[, text]) for each document.
+
+    Every run of at least ``least`` lines that stands in several places of the corpus is removed from
+    all but the first one (smallest doc_id, null last, then smallest line), wherever it lies in a
+    document and whatever stands around it. Such a run is made of windows of ``least`` lines that all
+    repeat, so each window of each document is counted by name, and a line goes if a window over it
+    stands earlier. A chunk ends where the hash of its last line says so (``line_chunks`` with window
+    1) and where lines that go meet lines that stay; the chunks of lines that go are removed. The
+    first place of each line of the corpus stays, so no line is lost. Windows count as repeated only
+    if all of their name are equal byte for byte. Null text is empty, which is one line; rows with the
+    same id and text are one document and have the same result. An empty table gives no rows.
+    """
+    base = id_and_text(docs, id_col, text_col).withColumn("print", F.xxhash64("text")).select("doc_id", "print", "text")
+    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "place")
+    repeated = cut(_window_rows(base, least).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first"))
+                   .filter("n > 1").select("name", "first"))
+    found = _window_rows(base, least).join(repeated, "name").withColumn("later", ~where.eqNullSafe(F.col("first")))
+
+    def with_runs(found: DataFrame) -> DataFrame:
+        runs = found.groupBy("doc_id", "print").agg(F.collect_set(F.struct("place", "name", "later")).alias("runs"))
+        return base.alias("d").join(runs.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.print = g.print"), "left").select(
+            "d.doc_id", "text", "runs")
+
+    joined = cut(with_runs(found))
+    clashing = cut(_clashing(joined, least))
+    if not clashing.isEmpty():
+        joined = with_runs(found.join(clashing, "name", "left_anti"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out: list[list] = [[] for _ in range(6)]
+                for text, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    raw = text.encode()
+                    lines = raw.split(b"\n")
+                    gone = np.zeros(len(lines), bool)
+                    for place in places or ():
+                        gone[place:place + least] = True
+                    cuts = {a for a, _ in line_chunks(raw, 1, mean)} | set((np.flatnonzero(np.diff(gone)) + 1).tolist())
+                    kept = b"\n".join(x for x, g in zip(lines, gone) if not g) if gone.any() else raw
+                    row = (len(lines), len(cuts), sum(bool(gone[a]) for a in cuts), int(gone.sum()),
+                           hashlib.sha256(kept).hexdigest(), kept)
+                    for col, v in zip(out, row):
+                        col.append(v)
+                kinds = [pa.int32()] * 4 + [pa.string(), pa.binary()]
+                arrays = [part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))]
+                if keep_text:
+                    arrays[-1] = arrays[-1].cast(pa.string())
+                names = ["doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", "kept_sha256", "text"]
+                n = 7 if keep_text else 6
+                yield pa.RecordBatch.from_arrays(arrays[:n], names=names[:n])
+
+    schema = "doc_id long, n_lines int, n_chunks int, removed_chunks int, removed_lines int, kept_sha256 string"
+    places = F.transform(F.filter("runs", lambda r: r["later"]), lambda r: r["place"])
+    return joined.select("doc_id", "text", places.alias("places")).mapInArrow(
+        run, schema + (", text string" if keep_text else ""))

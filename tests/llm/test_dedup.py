@@ -9,7 +9,7 @@ import pytest
 
 from clvforge.llm.components import connected_components
 from clvforge.llm.exact_dedup import content_sort_dedup, kept_documents
-from clvforge.llm.line_chunks import drop_repeated_chunks, line_chunks
+from clvforge.llm.line_chunks import drop_repeated_chunks, drop_shared_runs, line_chunks
 from clvforge.llm.simhash import POSITION_SETS, first_documents, simhash, simhash_dedup, simhash_links
 from clvforge.llm.suffix_dedup import COVER, PERIOD, remove_repeats
 
@@ -185,3 +185,38 @@ def test_repeated_chunks_go_from_all_but_the_first_place(docs, plain, no_docs):
     fixed = sorted(((r["doc_id"], r["removed_chunks"], r["kept_sha256"]) for r in got), key=repr)
     assert fixed == sorted(want, key=repr) and any(w[1] for w in want)
     assert drop_repeated_chunks(no_docs).count() == 0
+
+
+def brute_runs(rows, least=2):
+    seen, want = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (t or "").split("\n")
+        gone = set()
+        for a in range(len(lines) - least + 1):
+            if seen.setdefault(tuple(lines[a:a + least]), (i, t, a)) != (i, t, a):
+                gone |= set(range(a, a + least))
+        want[i, t] = len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t or ""
+    return want
+
+
+def test_planted_passages_of_2_to_10_lines_go_from_all_but_the_first_place(spark, docs, plain, no_docs):
+    fresh = lambda i, n, k: [f"own line {i} {n} {j}" for j in range(k)]
+    rows, planted = [], []
+    for n in range(2, 11):
+        for turn in range(6):
+            passage = [f"passage {n} {turn} line {j}" for j in range(n)]
+            for copy in range(3):
+                i = 1000 * n + 10 * turn + copy
+                before, after = ["a common line", *fresh(i, 0, copy + 1)], fresh(i, 1, 2)
+                rows.append((i, "\n".join([*before, *passage, *after])))
+                planted.append((i, 0 if copy == 0 else n, "\n".join([*before, *(passage if copy == 0 else []), *after])))
+    rows += [(90001, "p\nq\nr"), (90002, "q\nr\ns"), (90003, "r\ns\nown"), (90004, "z\nz\nz\nz"), (90005, "p\nq")]
+    got = {r["doc_id"]: r for r in drop_shared_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_runs(rows)
+    assert all((got[i]["removed_lines"], got[i]["text"]) == want[i, t] for i, t in rows) and len(got) == len(rows)
+    assert all((got[i]["removed_lines"], got[i]["text"]) == (n, text) for i, n, text in planted)
+    odd = drop_shared_runs(docs).collect()
+    want = brute_runs(plain)
+    assert sorted(((r["doc_id"], r["removed_lines"], r["text"]) for r in odd), key=repr) == sorted(
+        ((i, *want[i, t]) for i, t in plain), key=repr)
+    assert all(r["removed_chunks"] <= r["n_chunks"] <= r["n_lines"] for r in odd) and drop_shared_runs(no_docs).count() == 0
