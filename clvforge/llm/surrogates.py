@@ -35,6 +35,9 @@ FAMILY = {
     "cyrillic": ["Белов", "Волков", "Громов", "Зайцев", "Козлов", "Лебедев", "Морозов", "Новиков", "Орлов", "Соколов"],
     "greek": ["Αντωνίου", "Γεωργίου", "Δημητρίου", "Ιωάννου", "Νικολάου", "Παππάς"],
 }
+#: Words that end a name, though a capital begins them (headings, sentence starts).
+_NOT_NAMES = frozenset("a an and as at but by der die das du el er es for from goes had has he her his i ihr in is it la las le les los "
+                       "mr mrs ms my not of on or our she sie the their they this to und was we who will with you your".split())
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 #: Titles as written: small, with a capital, in capitals. Spelled out, since engines fold case differently.
 _TITLE = "|".join(sorted({f for t in _GENDER for f in (t, t.capitalize(), t.upper())}, key=lambda t: (-len(t), t)))
@@ -51,6 +54,8 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])",
     "name": rf"(?<!\w)(?:{_TITLE})\.? (?P<name>{_WORD_NAME}(?: {_WORD_NAME}){{0,2}})",
 }
+_OWNER = re.compile(r"(?:['’][sS])?['’-]*$")
+_WORD = re.compile(r"(?<!\w)(?<!\w['’-])(?P<w>[^\W\d_]\w*(?:['’-]\w+)*?)(?:['’][sS])?(?!\w|['’-]\w)")
 _FIND = re.compile("|".join(f"(?P<t_{k}>{p})" for k, p in PATTERNS.items()))
 #: A line without any of these holds no entity.
 _TRIGGER = re.compile(rf"[@0-9]|[A-Fa-f]{{32}}|(?<!\w)(?:{_TITLE})\.? [^\W\d_]")
@@ -87,11 +92,83 @@ def _matches(text: str) -> Iterator[re.Match]:
         at = end
 
 
+def _subsequence(part: list[str], whole: list[str]) -> bool:
+    at = iter(whole)
+    return all(w in at for w in part)
+
+
+def _fuller(form: str, forms: list[str]) -> str:
+    """The form of a document that a shorter one stands for, if there is just one: the family name alike, else a given name."""
+    gender, name = form.split("|", 1)
+    words = name.split(" ")
+    longer = [f for f in forms if f[0] == gender and len(f[2:].split(" ")) > len(words) and _subsequence(words, f[2:].split(" "))]
+    family = [f for f in longer if f.rsplit(" ", 1)[-1] == words[-1]]
+    top = [f for f in family or longer if not any(g != f and _subsequence(f[2:].split(" "), g[2:].split(" ")) for g in longer)]
+    return top[0] if len(top) == 1 else form
+
+
+def _linked(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The entities with a document's shorter names under their fuller form, and with the untitled mentions of its names."""
+    forms = sorted({c for _, _, kind, c in found if kind == "name"})
+    if not forms:
+        return found
+    full = {f: _fuller(f, forms) for f in forms}
+    found = [(a, b, kind, full[c] if kind == "name" else c) for a, b, kind, c in found]
+    forms = sorted(set(full.values()))
+    by_word: dict[str, list[str]] = {}
+    for f in forms:
+        for w in f[2:].split(" "):
+            by_word.setdefault(w, []).append(f)
+    out, at, last = [], 0, None
+
+    def resolve(words: list[str]) -> str | None:
+        fits = [f for f in by_word[words[0]] if _subsequence(words, f[2:].split(" "))]
+        exact = [f for f in fits if f[2:].split(" ") == words]
+        family = [f for f in fits if f.rsplit(" ", 1)[-1] == words[-1] or f[2:] == words[-1]]
+        fits = fits if len(words) == 1 and last in fits else exact or family or fits
+        return last if last in fits else fits[0] if fits else None
+
+    def bare(start: int, end: int) -> None:
+        nonlocal last
+        run: list[re.Match] = []
+
+        def flush() -> None:
+            nonlocal last
+            while run:
+                n = next(n for n in range(len(run), 0, -1) if resolve([m["w"].casefold() for m in run[:n]]))
+                last = resolve([m["w"].casefold() for m in run[:n]])
+                out.append((run[0].start(), run[n - 1].end("w"), "name", last))
+                del run[:n]
+
+        for m in _WORD.finditer(text, start, end):
+            if run and text[run[-1].end("w"):m.start()] != " ":
+                flush()
+            if m["w"][0].isupper() and m["w"].casefold() in by_word:
+                run.append(m)
+            else:
+                flush()
+        flush()
+
+    for entity in found:
+        bare(at, entity[0])
+        out.append(entity)
+        at, last = entity[1], entity[3] if entity[2] == "name" else last
+    bare(at, len(text))
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical) of the entities of a text, left to right, without overlaps.
 
     Canonical forms join what is one entity: case of e-mail addresses and names, separators of numbers.
+    A name is found by its form of address; its document's other mentions of it follow: a shorter form
+    ('Mr. Smith', 'John') has the canonical form of the fuller one ('m|john smith') if only one fits, and
+    mentions without a form of address, with a capital, are entities too.
     """
+    return _linked(text, _found(text))
+
+
+def _found(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for m in _matches(text):
         kind = next(k for k in PATTERNS if m[f"t_{k}"] is not None)
@@ -99,9 +176,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         if kind == "name":
             start, end = m.span("name")
             words = text[start:end].split(" ")
-            words = words[:next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))]
+            words = words[:next((i for i, w in enumerate(words) if not w[0].isupper() or i and w.casefold() in _NOT_NAMES), len(words))]
             if not words:
                 continue
+            own = next((i for i, w in enumerate(words) if _OWNER.search(w)[0]), len(words) - 1)
+            words = [*words[:own], _OWNER.sub("", words[own])]  # nothing follows a genitive
             end = start + len(" ".join(words))
             title = text[m.start():start].strip(" .").lower()
             canonical = f"{_GENDER[title]}|{text[start:end].casefold()}"
@@ -155,8 +234,8 @@ def _alike(text: str, stream: _Stream) -> str:
     return "".join(out)
 
 
-def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
-    """A canonical replacement of the same type and form; another one for each attempt."""
+def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0, family: str | None = None) -> str:
+    """A canonical replacement of the same type and form; another one for each attempt. Names take the ``family`` given."""
     s = _Stream(key, kind, canonical, attempt)
     longer = str(attempt) if attempt >= 24 else ""  # forms with few members run out of replacements
     if kind == "email":
@@ -178,21 +257,29 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
         return code + _alike(canonical[len(code):], s)
     if kind == "iban":
         return canonical[:2] + _alike(canonical[2:], s)
-    if kind == "name":
-        gender, name = canonical.split("|", 1)
+    if kind in ("name", "family"):
+        gender, name = canonical.split("|", 1) if kind == "name" else ("m", canonical)
         words, script = name.split(" "), script_of(name)
         given = GIVEN[script, gender]
-        family = FAMILY[script]
-        picked = [given[s.below(len(given))] for _ in words[:-1]] + [family[s.below(len(family))]]
-        if attempt >= 4:  # pairs of lists are few: build on a family name by letters of the same script
-            picked[-1] += _alike("я" * 3 if script == "cyrillic" else "ω" * 3 if script == "greek" else "a" * 3, s) + longer
+        families = FAMILY[script]
+        picked = [given[s.below(len(given))] for _ in words[:-1]] + [family or families[s.below(len(families))]]
+        if attempt >= 4:  # the lists are short: build on a name by letters of the same script
+            picked[0 if family else -1] += _alike("я" * 3 if script == "cyrillic" else "ω" * 3 if script == "greek" else "a" * 3, s) + longer
         return " ".join(picked)
     return _alike(canonical, s)
 
 
-def dressed(kind: str, mention: str, replacement: str) -> str:
-    """The canonical replacement in the mention's own case and separators."""
+def dressed(kind: str, mention: str, replacement: str, canonical: str | None = None) -> str:
+    """The canonical replacement in the mention's own case and separators; of a name, the words that the mention has."""
     if kind == "name":
+        if canonical:
+            said, words, new = mention.casefold().split(" "), canonical[2:].split(" "), replacement.split(" ")
+            picked: list[str] = []
+            for w, n in zip(reversed(words), reversed(new)):
+                if said and said[-1] == w:
+                    picked.insert(0, n)
+                    said.pop()
+            replacement = " ".join(picked)
         return replacement.upper() if mention.isupper() and len(mention) > 1 else replacement
     if kind in ("email", "hex", "ip"):
         return replacement.upper() if mention.isupper() else replacement
@@ -222,32 +309,24 @@ def _collect(docs: DataFrame) -> DataFrame:
 def _candidates(entity_rows: DataFrame, key: bytes, attempt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            made = [surrogate(k, c, key, attempt) for k, c in zip(kinds, names)]
+            made = [surrogate(k, c, key, attempt, f) for k, c, f in zip(*(c.to_pylist() for c in batch.columns))]
             folded = [m.casefold() for m in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string()),
                                               pa.array(folded, pa.string())], names=["type", "canonical", "surrogate", "folded"])
 
-    return entity_rows.select("type", "canonical").mapInArrow(
+    return entity_rows.select("type", "canonical", "family").mapInArrow(
         run, "type string, canonical string, surrogate string, folded string")
 
 
-def assign_surrogates(entity_rows: DataFrame, key: bytes) -> DataFrame:
-    """(type, canonical, surrogate) for distinct (type, canonical), no two of a type with the same surrogate.
-
-    Each entity's surrogate is a keyed function of its type and canonical form, so it is the same in
-    all documents and runs. A candidate that another entity of the corpus bears, that is taken, or that
-    several entities drew (all but one of them) is drawn again with the next attempt.
-    """
-    real = entity_rows.select("type", F.expr("lower(CASE WHEN type = 'name' THEN substring_index(canonical, '|', -1) "
-                                             "ELSE canonical END)").alias("folded")).distinct()
-    used, parts, pending, attempt = cut(real), [], entity_rows, 0
+def _draw(entity_rows: DataFrame, used: DataFrame, key: bytes) -> DataFrame:
+    """(type, canonical, surrogate) for distinct (type, canonical, family), none of them in ``used`` and none twice."""
+    parts, pending, attempt = [], entity_rows, 0
     while True:
         drawn = cut(_candidates(pending, key, attempt).join(used, ["type", "folded"], "left_anti")
                     .withColumn("turn", F.row_number().over(Window.partitionBy("type", "folded").orderBy("canonical")))
                     .filter("turn = 1").drop("turn"))
         parts.append(drawn.select("type", "canonical", "surrogate"))
-        pending = cut(pending.join(drawn, ["type", "canonical"], "left_anti").select("type", "canonical"))
+        pending = cut(pending.join(drawn, ["type", "canonical"], "left_anti").select("type", "canonical", "family"))
         if pending.isEmpty():
             break
         used, attempt = used.union(drawn.select("type", "folded")), attempt + 1
@@ -257,12 +336,42 @@ def assign_surrogates(entity_rows: DataFrame, key: bytes) -> DataFrame:
     return out
 
 
+def assign_surrogates(entity_rows: DataFrame, key: bytes) -> DataFrame:
+    """(type, canonical, surrogate) for distinct (type, canonical), no two of a type with the same surrogate.
+
+    Each entity's surrogate is a keyed function of its type and canonical form, so it is the same in
+    all documents and runs. A candidate that another entity of the corpus bears, that is taken, or that
+    several entities drew (all but one of them) is drawn again with the next attempt. Family names have
+    surrogates of their own, which all names with that family name share; a name of one word is a family
+    name, so only there may a man and a woman have the same.
+    """
+    name = "substring_index(canonical, '|', -1)"
+    family = f"substring_index({name}, ' ', -1)"
+    rows = entity_rows.select("type", "canonical")
+    names = cut(rows.filter("type = 'name'").withColumn("word", F.expr(family)))
+    others = rows.filter("type <> 'name'")
+    real = lambda df, form: df.select("type", F.expr(f"lower({form})").alias("folded")).distinct()
+    families = names.select(F.lit("family").alias("type"), F.col("word").alias("canonical")).distinct()
+    first = others if names.isEmpty() else others.union(families)
+    drawn = _draw(first.withColumn("family", F.lit(None).cast("string")), cut(real(first, "canonical")), key)
+    if names.isEmpty():
+        return drawn
+    drawn = cut(drawn)
+    known = names.join(drawn.filter("type = 'family'").select(F.col("canonical").alias("word"), F.col("surrogate").alias("family")), "word")
+    whole = cut(known.filter("instr(canonical, ' ') > 0").select("type", "canonical", "family"))
+    return (drawn.filter("type <> 'family'")
+            .union(known.filter("instr(canonical, ' ') = 0").select("type", "canonical", F.col("family").alias("surrogate")))
+            .union(_draw(whole, cut(real(names, name)), key)))
+
+
 def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_entities, n_distinct) for each document, its entities replaced by surrogates.
 
     E-mail addresses keep their form and a reserved or top-level domain, and addresses of one domain
-    share the new one; names after a form of address keep gender, script and number of words; numbers
+    share the new one; names keep gender, script and number of words, and share the new family name; numbers
     keep separators, lengths, country codes and check sums; hexadecimal secrets their length and case.
+    A name is found by a form of address; in a document that has one, its mentions without one and
+    its shorter forms are replaced alike. A name that has no form of address in its document stays.
     Equal entities have one surrogate in the whole corpus, different ones of a type different
     surrogates. Null text is empty; texts without entities come back unchanged; repeated rows give a
     row each; an empty table gives no rows. Only documents that may hold an entity are shuffled.
@@ -284,7 +393,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
                 table = {(k["type"], k["canonical"]): k["surrogate"] for k in known or []}
                 spans, out, at = entities(text), [], 0
                 for start, end, kind, canonical in spans:
-                    out += [text[at:start], dressed(kind, text[start:end], table[kind, canonical])]
+                    out += [text[at:start], dressed(kind, text[start:end], table[kind, canonical], canonical)]
                     at = end
                 texts.append("".join([*out, text[at:]]))
                 many.append(len(spans))

@@ -222,3 +222,29 @@ def test_every_known_sentence_has_an_anchor():
     table = sentence_table()
     assert all(re.search(ANCHORS, s) for s in table)
     assert set(table.values()) == {i for _, run in rules() for i in run} - {"gpl-warranty"} | {"gpl-warranty"}
+
+
+def test_forms_of_a_name_are_one_entity_and_bare_mentions_go(spark):
+    rows = [(1, "Mr. John Smith met Mrs. Smith.\nMr. Smith's dog likes John Smith. JOHN said Smith was late; smith is a trade."),
+            (2, "Mr. Smith came alone, and Smith went."),
+            (3, "Mr. John Smith and Mr. Bob Smith: Smith, Bob, John, Bob Smith. Mr. Smith The Second."),
+            (4, "John Smith has no form of address here."),
+            (5, "Mrs Anna Maria Berger, Frau Berger, Anna Berger, Maria, Smithson, Berger-Jones")]
+    found = {i: [(t[a:b], c) for a, b, _, c in surrogates.entities(t)] for i, t in rows}
+    john, bob, anna = "m|john smith", "m|bob smith", "f|anna maria berger"
+    assert found[1] == [("John Smith", john), ("Smith", "f|smith"), ("Smith", john), ("John Smith", john), ("JOHN", john), ("Smith", john)]
+    assert found[2] == [("Smith", "m|smith"), ("Smith", "m|smith")] and found[4] == []
+    assert [t for t, _ in found[3]] == ["John Smith", "Bob Smith", "Smith", "Bob", "John", "Bob Smith", "Smith"]
+    assert [found[3][k][1] for k in (0, 1, 3, 4, 5, 6)] == [john, bob, bob, john, bob, "m|smith"]
+    assert found[5] == [("Anna Maria Berger", anna), ("Berger", anna), ("Anna Berger", anna), ("Maria", anna)]
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    given, family = re.match(r"Mr\. (\w+) (\w+) met", got[1]["text"]).groups()
+    assert family.casefold() != "smith" and given in surrogates.GIVEN["latin", "m"]
+    assert got[1]["text"] == (f"Mr. {given} {family} met Mrs. {family}.\nMr. {family}'s dog likes {given} {family}. {given.upper()} "
+                              f"said {family} was late; smith is a trade.")
+    assert got[2]["text"] == f"Mr. {family} came alone, and {family} went." and got[4]["text"] == rows[3][1]
+    other = re.search(r"and Mr\. (\w+)", got[3]["text"])[1]
+    assert other != given and got[3]["text"] == (f"Mr. {given} {family} and Mr. {other} {family}: {family}, {other}, {given}, "
+                                                 f"{other} {family}. Mr. {family} The Second.")
+    a, m, b = re.match(r"Mrs (\w+) (\w+) (\w+),", got[5]["text"]).groups()
+    assert got[5]["text"] == f"Mrs {a} {m} {b}, Frau {b}, {a} {b}, {m}, Smithson, Berger-Jones"
