@@ -53,7 +53,7 @@ SENTENCES = {
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license, v. 2.0",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "public-domain": "this work is in the public domain",
-    "all-rights": "copyright all rights reserved",
+    "all-rights": "all rights reserved",
 }
 #: Ordered rules; a rule takes its run of sentence identifiers away from those after it.
 RULES = [
@@ -102,6 +102,7 @@ def _normalised(sentence) -> F.Column:
     s = F.regexp_replace(F.lower(sentence), r"[\s/*#>|]+", " ")
     s = F.regexp_replace(s, "[\"'`“”‘’]", "")
     s = F.regexp_replace(s, r"^[\s\-;(]*(?:\d+\.|\([a-z]\))?\s*|[\s.!?:;,]+$", "")
+    s = F.regexp_replace(s, r"^(?:copyright|\(c\)|©).*\ball rights reserved$", "all rights reserved")
     return F.trim(F.regexp_replace(s, "https?: ?", "http:"))
 
 
@@ -119,7 +120,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts, at blank lines and sentence ends only. Sentences are normalised (case, white space,
     comment marks, quotes, numbering, closing marks) and mapped to identifiers. The identifiers in
     order are matched against the ordered rules; a rule takes away the run that it matches, so that
-    a shorter rule doesn't match again. ``licences`` are sorted and distinct, ``sentences`` the
+    a shorter rule doesn't match again. All-Rights-Reserved is given only without another licence, since
+    licence texts say it too. ``licences`` are sorted and distinct, ``sentences`` the
     identifiers found (line split first), ``leftover`` those that no rule took. All that is one
     expression a row: no shuffle. Null and empty texts have empty arrays; repeated rows give a row
     each; an empty table gives none.
@@ -157,6 +159,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        F.when(F.size("_lines") > 0, matched(joined(F.col("_lines")))).alias("_a"),
                        F.when(F.size("_wrapped") > 0, matched(joined(F.col("_wrapped")))).alias("_b"))
     names = F.array_sort(F.array_distinct(F.concat(F.coalesce("_a.names", none), F.coalesce("_b.names", none))))
+    names = F.when(F.size(names) > 1, F.array_remove(names, "All-Rights-Reserved")).otherwise(names)
     left = F.coalesce(F.when(F.size(F.coalesce("_b.names", none)) > 0, F.col("_b.run")), F.col("_a.run"), F.lit(""))
     return rows.select("doc_id", names.alias("licences"), "sentences",
                        F.filter(F.split(left, ";"), lambda x: x != "").alias("leftover"))

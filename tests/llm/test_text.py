@@ -248,3 +248,15 @@ def test_forms_of_a_name_are_one_entity_and_bare_mentions_go(spark):
                                                  f"{other} {family}. Mr. {family} The Second.")
     a, m, b = re.match(r"Mrs (\w+) (\w+) (\w+),", got[5]["text"]).groups()
     assert got[5]["text"] == f"Mrs {a} {m} {b}, Frau {b}, {a} {b}, {m}, Smithson, Berger-Jones"
+
+
+def licences_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["licences"] for r in scan_licences(df).orderBy("doc_id").collect()]
+
+
+def test_all_rights_reserved_as_it_is_written(spark):
+    texts = ["words\nAll rights reserved.\nmore", "Copyright (c) 2020 Foo Inc. All rights reserved.", "Copyright 2020 Foo, all rights reserved",
+             "/* Copyright (c) 2020 Foo\n * All Rights Reserved */", "All rights reserved.\nLicensed under the MIT License.", "all rights"]
+    own = ["All-Rights-Reserved"]
+    assert licences_of(spark, texts) == [own, own, own, own, ["MIT"], []]
