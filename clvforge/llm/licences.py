@@ -47,6 +47,12 @@ SENTENCES = {
     "apache-as-is": "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties or conditions of any kind, either express or implied",
     "gpl-free": "this program is free software",
     "gpl-grant-2": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-grant": "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agpl-grant": "you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "gpl-either-21": "either version 2.1 of the license, or (at your option) any later version",
+    "gpl-version-2": "version 2 of the license",
+    "gpl-version-21": "version 2.1 of the license",
+    "gpl-version-3": "version 3 of the license",
     "gpl-either-2": "either version 2 of the license, or (at your option) any later version",
     "gpl-either-3": "either version 3 of the license, or (at your option) any later version",
     "gpl-warranty": "this program is distributed in the hope that it will be useful, but without any warranty",
@@ -55,6 +61,47 @@ SENTENCES = {
     "public-domain": "this work is in the public domain",
     "all-rights": "all rights reserved",
 }
+_SUBJECTS = ["this program", "this library", "this file", "this software", "this package", "it"]
+_GNU = {"GPL": ("gpl-grant-2", "general", ("2", "3")), "LGPL": ("lgpl-grant", "lesser general", ("2.1", "3")),
+        "AGPL": ("agpl-grant", "affero general", ("3",))}
+
+
+def _variants() -> dict[str, str]:
+    """Other spellings of sentences, by spelling: the GNU notices with commas, and identifiers of SPDX lines."""
+    out = {f"{who} is free software": "gpl-free" for who in _SUBJECTS}
+    out["permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies"] = "isc-grant"
+    out["permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"] = "isc-grant"
+    for name, (grant, kind, versions) in _GNU.items():
+        start = f"you can redistribute it and/or modify it under the terms of the gnu {kind} public license"
+        if name == "LGPL":
+            out[SENTENCES[grant].replace("lesser", "library")] = grant
+        for v in versions:
+            number = v if "." in v else f"{v}.0"
+            for mark in ("", ","):
+                out[f"{start}{mark} version {v} as published by the free software foundation"] = f"only:{name}-{number}"
+                out[f"{start}{mark} version {v}{mark} as published by the free software foundation"] = f"only:{name}-{number}"
+            out[f"{start} as published by the free software foundation, version {v}"] = f"only:{name}-{number}"
+            out[f"{start} as published by the free software foundation, version {v} of the license"] = f"only:{name}-{number}"
+            for option in ("(at your option)", "at your option,", "at your option"):
+                later = f"either version {v} of the license, or {option} any later version"
+                out[f"{start} as published by the free software foundation, {later}"] = f"later:{name}-{number}"
+                out[later] = f"gpl-either-{v.replace('.', '')}"
+    return out | {SPDX + i.lower(): f"spdx:{SPDX_OLD.get(i, i)}" for i in [*SPDX_IDS, *SPDX_OLD]}
+
+
+#: How an SPDX line begins once its colon is taken, and the fixed identifiers that it may name; older spellings by what they mean.
+SPDX = "spdx-license-identifier="
+SPDX_IDS = """0BSD AFL-2.1 AFL-3.0 AGPL-3.0 AGPL-3.0-or-later Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause
+    BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0
+    CC-BY-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-3.0 CC-BY-SA-4.0
+    CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.1 GFDL-1.2 GFDL-1.3 GPL-1.0
+    GPL-1.0-or-later GPL-2.0 GPL-2.0-or-later GPL-3.0 GPL-3.0-or-later HPND ICU IJG ISC LGPL-2.0 LGPL-2.0-or-later LGPL-2.1
+    LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-or-later Libpng LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA
+    NTP ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SISSL SSPL-1.0 TCL Unicode-3.0 Unicode-DFS-2016
+    Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
+SPDX_OLD = ({f"{i}-only": i for i in SPDX_IDS if i.split("-")[0] in ("GPL", "LGPL", "AGPL") and not i.endswith("later")}
+            | {f"{i}+": f"{i}-or-later" for i in SPDX_IDS if f"{i}-or-later" in SPDX_IDS})
 #: Ordered rules; a rule takes its run of sentence identifiers away from those after it.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
@@ -69,21 +116,32 @@ RULES = [
     ("Apache-2.0", ["apache-grant"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-grant-2", "gpl-either-2"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-grant-2", "gpl-either-3"]),
+    ("GPL-2.0", ["gpl-free", "gpl-grant-2", "gpl-version-2"]),
+    ("GPL-3.0", ["gpl-free", "gpl-grant-2", "gpl-version-3"]),
+    *[(f"{name}-{v if '.' in v else v + '.0'}{end}", [*free, grant, f"{key}-{v.replace('.', '')}"])
+      for name, (grant, _, versions) in _GNU.items() for free in (["gpl-free"], []) for v in [*versions, *(["2"] if name == "LGPL" else [])]
+      for key, end in (("gpl-either", "-or-later"), ("gpl-version", ""))
+      if not (name == "GPL" and free)],
+    *[(f"{name}-{v if '.' in v else v + '.0'}{end}", [*free, f"{key}:{name}-{v if '.' in v else v + '.0'}"])
+      for name, (_, _, versions) in _GNU.items() for free in (["gpl-free"], []) for v in versions
+      for key, end in (("later", "-or-later"), ("only", ""))],
     ("GPL", ["gpl-free", "gpl-grant-2"]),
+    *[(name, [*free, grant]) for name, (grant, _, _) in _GNU.items() for free in (["gpl-free"], []) if not (name == "GPL" and free)],
     ("MPL-2.0", ["mpl-notice"]),
     ("Unlicense", ["unlicense"]),
     ("Public-Domain", ["public-domain"]),
     ("All-Rights-Reserved", ["all-rights"]),
+    *[(i, [f"spdx:{i}"]) for i in SPDX_IDS],
 ]
 #: Every known sentence holds one of these, so texts and sentences without any are done at once.
 ANCHORS = "|".join(["licen[sc]", "permission", "redistribut", "warrant", "gpl-"] + [
-    a + r"[\s/*#>|\"'`]+" + b for a, b in (("public", "domain"), ("rights", "reserved"), ("free", "software"), ("gpl", "v"),
+    a + r"[\s/*#>|;%\-\"'`]+" + b for a, b in (("public", "domain"), ("rights", "reserved"), ("free", "software"), ("gpl", "v"),
                                           ("cc0", "1\\."), ("cc", "by"))])
 
 
 def sentence_table() -> dict[str, str]:
     """Normalised sentence to identifier: the fixed sentences, and each phrase with each licence name."""
-    table = {s: i for i, s in SENTENCES.items()}
+    table = {s: i for i, s in SENTENCES.items()} | _variants()
     for licence, names in NAMES.items():
         for name in names:
             for phrase in PHRASES:
@@ -106,17 +164,27 @@ def _normalised(sentence) -> F.Column:
     return F.trim(F.regexp_replace(s, "https?: ?", "http:"))
 
 
+def _bare(text) -> F.Column:
+    """The text without comment marks: lines of marks alone are blank, and copyright lines are paragraphs of their own."""
+    t = F.regexp_replace(text, r"(?m)^[ \t]*(?:/\*+!?|//+!?|\*+/|\*+(?=\s|$)|#+!?|<!--+|--+|;+|%+|[>|]+|(?:rem|REM|dnl)(?=\s|$))", "")
+    t = F.regexp_replace(t, r"(?m)[ \t]*(?:\*+/|--+>)[ \t]*\r?$", "")
+    t = F.regexp_replace(t, r"(?mi)^([ \t]*(?:copyright\s+(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved\.?[ \t]*\r?$).*)$", "\n$1\n\n")
+    t = F.regexp_replace(t, r"(?i)(license at)\s+(?=https?:)", "$1 ")
+    t = F.regexp_replace(t, r"\b([vV])\.\s+(?=[0-9])", "$1.")
+    return F.regexp_replace(t, r"(?i)SPDX-License-Identifier\s*:[ \t]*(\S[^\n]*)", f"\n\n{SPDX}$1\n\n")
+
+
 def _key(sentence: str) -> str:
     """What ``_normalised`` makes of a table sentence: slashes are spaces, and web addresses lose theirs."""
     import re
     s = re.sub(r"[\s/*#>|]+", " ", sentence.lower())
-    return re.sub("https?: ?", "http:", s).strip()
+    return re.sub("https?: ?", "http:", re.sub(r"\bv\. (?=[0-9])", "v.", s)).strip()
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licences, sentences, leftover) for each document.
 
-    Texts are split twice into sentences: at line ends and sentence ends, and, for wrapped licence
+    Comment marks at line starts are taken off first, and SPDX lines name their identifiers. Texts are split twice into sentences: at line ends and sentence ends, and, for wrapped licence
     texts, at blank lines and sentence ends only. Sentences are normalised (case, white space,
     comment marks, quotes, numbering, closing marks) and mapped to identifiers. The identifiers in
     order are matched against the ordered rules; a rule takes away the run that it matches, so that
@@ -133,7 +201,11 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sequence(split: str) -> F.Column:
         likely = F.filter(F.split("_text", split), lambda s: F.lower(s).rlike(ANCHORS))
-        found = F.transform(likely, lambda s: F.try_element_at(table, _normalised(s)))
+        found = F.flatten(F.transform(likely, lambda s: F.when(
+            F.startswith(s, F.lit(SPDX)),  # an expression of identifiers, of which WITH adds exceptions that have none
+            F.transform(F.split(F.substring(s, len(SPDX) + 1, 1000), r"[^A-Za-z0-9.+\-]+"),
+                        lambda i: F.try_element_at(table, F.concat(F.lit(SPDX), F.lower(i))))
+        ).otherwise(F.array(F.try_element_at(table, _normalised(s))))))
         return F.filter(found, lambda i: i.isNotNull())
 
     rule_array = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(";" + ";;".join(run) + ";").alias("run"))
@@ -151,6 +223,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.array().cast("array<string>")
     # exploding arrays of one element keeps what stands below from being evaluated again for each use above
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), F.explode(F.array(maybe)).alias("_maybe"))
+    rows = rows.select("doc_id", "_maybe", F.explode(F.array(F.when(F.col("_maybe"), _bare(F.col("_text"))).otherwise(""))).alias("_text"))
     found = F.struct(*[F.when(F.col("_maybe"), sequence(split)).otherwise(none).alias(name) for name, split in
                        (("_lines", rf"{ends}|\s*\n\s*"), ("_wrapped", rf"{ends}|\n\s*\n\s*"))])
     rows = rows.select("doc_id", F.explode(F.array(found)).alias("_found")).select("doc_id", "_found._lines", "_found._wrapped")

@@ -260,3 +260,60 @@ def test_all_rights_reserved_as_it_is_written(spark):
              "/* Copyright (c) 2020 Foo\n * All Rights Reserved */", "All rights reserved.\nLicensed under the MIT License.", "all rights"]
     own = ["All-Rights-Reserved"]
     assert licences_of(spark, texts) == [own, own, own, own, ["MIT"], []]
+
+
+GNU = """This {what} is free software{a} you can redistribute it and/or modify
+it under the terms of the GNU {kind} Public License as published by
+the Free Software Foundation{b} either version {v} of the License, or
+(at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_notices_in_comment_headers(spark):
+    notices = {MIT.split("\n\n", 1)[1]: "MIT", ISC: "ISC", BSD: "BSD-2-Clause", BSD3: "BSD-3-Clause", APACHE: "Apache-2.0",
+               "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": "MPL-2.0",
+               "This is free and unencumbered software released into the public domain.": "Unlicense"}
+    for name, kind, v in (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"),
+                          ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")):
+        for a, b in ((";", ";"), (":", ",")):
+            notices[GNU.format(what="library" if "L" in name[:1] else "program", a=a, b=b, kind=kind, v=v)] = name + "-or-later"
+    notices["This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License "
+            "version 2 as\npublished by the Free Software Foundation."] = "GPL-2.0"
+    texts, want = [], []
+    for notice, licence in notices.items():
+        for head in ("Copyright (c) 2020 Foo\n\n", "Copyright (c) 2020 Foo\n", "Copyright (c) 2020 Foo. All rights reserved.\n\n"):
+            lines = (head + notice).strip().split("\n")
+            forms = [lines, [f"# {x}".rstrip() for x in lines], [f"// {x}".rstrip() for x in lines], [f"-- {x}".rstrip() for x in lines],
+                     ["/*", *(f" * {x}".rstrip() for x in lines), " */", "int main;"], ["/* " + lines[0], *lines[1:-1], lines[-1] + " */"]]
+            texts += ["\n".join(f) for f in forms]
+            want += [[licence]] * len(forms)
+    got = licences_of(spark, texts)
+    assert [(t, g) for t, g, w in zip(texts, got, want) if g != w] == []
+
+
+def test_spdx_lines(spark):
+    texts = ["// SPDX-License-Identifier: MIT", "/* SPDX-License-Identifier: GPL-2.0-only */", "# SPDX-License-Identifier: (Apache-2.0 OR MIT)",
+             "x\n * SPDX-License-Identifier: GPL-2.0+ WITH Linux-syscall-note\n", "<!-- SPDX-License-Identifier: LGPL-2.1-or-later -->",
+             "SPDX-License-Identifier:BSD-3-Clause", "SPDX-License-Identifier: none"]
+    assert licences_of(spark, texts) == [["MIT"], ["GPL-2.0"], ["Apache-2.0", "MIT"], ["GPL-2.0-or-later"], ["LGPL-2.1-or-later"],
+                                         ["BSD-3-Clause"], []]
