@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -43,15 +44,25 @@ _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _TITLE = "|".join(sorted({f for t in _GENDER for f in (t, t.capitalize(), t.upper())}, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _WORD_NAME = r"[^\W\d_][\w'’-]*"
+_V4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+_H = "[0-9A-Fa-f]{1,4}"
+#: Version 6 addresses with two groups and a digit at least, so that '[::2]' and 'Face::Add' are none.
+_V6 = (r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]*[0-9])(?:" + "|".join(
+    [rf"(?:{_H}:){{7}}{_H}", rf"(?:{_H}:){{6}}{_V4}", rf"::(?:{_H}:){{0,5}}{_V4}"]
+    + [rf"(?:{_H}:){{1,{n}}}(?::{_H}){{0,{6 - n}}}:{_V4}" for n in range(1, 6)]
+    + [rf"(?:{_H}:){{1,{n}}}(?::{_H}){{1,{7 - n}}}" for n in range(1, 7)]
+    + [rf"(?:{_H}:){{2,7}}:", rf":(?::{_H}){{2,7}}"]) + r")(?![0-9A-Za-z:]|\.[0-9])")
 #: What the entity types look like, in the order in which they are tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "hex": r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
+    "ip": rf"(?<![0-9.]){_V4}(?![0-9]|\.[0-9])|{_V6}",
+    "card": r"(?<![0-9A-Za-z+])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"
+             r"|(?<![0-9A-Za-z])\+(?:[0-9]{7,15}|[0-9]{1,3}[ .-]?(?:[0-9]{3}[ .-][0-9]{4}|[0-9]{2,4}[ .-][0-9]{4,10}))(?![0-9A-Za-z])"
+             r"|(?<![0-9A-Za-z.+-])(?:1?[2-9][0-9]{2}[2-9][0-9]{6}|0[1-9][0-9]{7,10}|[0-9]{3}-[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
     "name": rf"(?<!\w)(?:{_TITLE})\.? (?P<name>{_WORD_NAME}(?: {_WORD_NAME}){{0,2}})",
 }
 _OWNER = re.compile(r"(?:['’][sS])?['’-]*$")
@@ -61,6 +72,7 @@ _FIND = re.compile("|".join(f"(?P<t_{k}>{p})" for k, p in PATTERNS.items()))
 _TRIGGER = re.compile(rf"[@0-9]|[A-Fa-f]{{32}}|(?<!\w)(?:{_TITLE})\.? [^\W\d_]")
 #: A text without any of these holds no entity; Spark's regular expressions read it.
 _HINT = (r"@|[0-9a-fA-F]{32}|[0-9](?:[ .()+-]{0,3}[0-9]){6}|\.[0-9]{1,3}\.|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
+         r"|:[0-9a-fA-F]{0,4}:[0-9a-fA-F:]"
          rf"|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}")
 
 
@@ -186,10 +198,14 @@ def _found(text: str) -> list[tuple[int, int, str, str]]:
             canonical = f"{_GENDER[title]}|{text[start:end].casefold()}"
         elif kind == "email":
             canonical = m[0].lower()
+        elif kind == "ip" and ":" in m[0]:
+            canonical = ipaddress.ip_address(m[0]).compressed
         elif kind in ("ip", "hex"):
             canonical = m[0].lower()
         else:
             canonical = re.sub(r"[^0-9A-Za-z+]", "", m[0])
+            if kind == "card" and _luhn(canonical):
+                kind = "number"  # long and replaced, but no card's
         out.append((start, end, kind, canonical))
     return out
 
@@ -244,6 +260,10 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0, family: s
         reserved = 2 if domain.endswith(("example.com", "example.org", "example.net")) else 1
         hidden = _alike(".".join(labels[:-reserved]), _Stream(key, "domain", domain))
         return _alike(local, s) + longer + "@" + ".".join(([hidden] if hidden else []) + labels[-reserved:])
+    if kind == "ip" and ":" in canonical:
+        v6 = re.sub("[0-9a-f]+", lambda m: "".join("0123456789abcdef"[(1 + s.below(15)) if i == 0 else s.below(16)]
+                                                   for i in range(len(m[0]))), canonical.split(".")[0])
+        return ipaddress.ip_address(v6).compressed
     if kind == "ip":
         return ".".join(str(1 + s.below(223) if i == 0 else s.below(256)) for i in range(4))
     if kind == "hex":

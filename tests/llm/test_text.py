@@ -317,3 +317,19 @@ def test_spdx_lines(spark):
              "SPDX-License-Identifier:BSD-3-Clause", "SPDX-License-Identifier: none"]
     assert licences_of(spark, texts) == [["MIT"], ["GPL-2.0"], ["Apache-2.0", "MIT"], ["GPL-2.0-or-later"], ["LGPL-2.1-or-later"],
                                          ["BSD-3-Clause"], []]
+
+
+def test_usual_forms_of_numbers_are_entities(spark):
+    forms = {"+14155550123": "phone", "4155550123": "phone", "555-0123": "phone", "+1 555-0123": "phone", "+4915112345678": "phone",
+             "+1 (415) 555-0123": "phone", "03012345678": "phone", "+49 151 12345678": "phone", "2001:db8::1": "ip", "fe80::1:2": "ip",
+             "2001:0db8:0000:0000:0000:ff00:0042:8329": "ip", "::ffff:192.0.2.1": "ip", "2001:db8:1::": "ip",
+             "4111111111111111": "card", "4111 1111 1111 1112": "number"}
+    for text, kind in forms.items():
+        found = surrogates.entities(f"see {text}, or")
+        assert [(e[0], e[1], e[2]) for e in found] == [(4, 4 + len(text), kind)], text
+        new = surrogates.dressed(kind, text, surrogates.surrogate(kind, found[0][3], KEY))
+        assert new != text and [e[2] for e in surrogates.entities(new)] == [kind] or kind in ("phone", "number") and new != text, text
+    for text in ["12:30:45", "x[::2]", "Face::Add", "3.4155550123", "2019-2020", "std::dec"]:
+        assert surrogates.entities(text) == [], text
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    assert df.filter(~df["t"].rlike(surrogates._HINT)).collect() == []
