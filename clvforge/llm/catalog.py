@@ -10,6 +10,7 @@ from clvforge.llm.exact_dedup import content_sort_dedup
 from clvforge.llm.licences import scan_licences
 from clvforge.llm.line_chunks import drop_shared_runs
 from clvforge.llm.mixing import mix
+from clvforge.llm.negatives import mine_negatives
 from clvforge.llm.pieces import encode_documents
 from clvforge.llm.quality import classify
 from clvforge.llm.simhash import hex_fingerprint, simhash_dedup
@@ -71,6 +72,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,9 +88,26 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL = {
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+             s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same,
+                          list_inner_product(q.e, c.e)::BIGINT AS score
+                   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+                   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 100 * score BETWEEN 80 * positive_score AND 100 * positive_score
+        QUALIFY rank <= 5""",
     "op4_cover_tree": """
         WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
                    WHERE embedding IS NOT NULL
