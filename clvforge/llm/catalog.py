@@ -12,6 +12,7 @@ from clvforge.llm.line_chunks import drop_shared_runs
 from clvforge.llm.mixing import mix
 from clvforge.llm.negatives import mine_negatives
 from clvforge.llm.pieces import encode_documents
+from clvforge.llm.prefix_trie import prefix_trie, share_heads, turn_paths
 from clvforge.llm.quality import classify
 from clvforge.llm.simhash import hex_fingerprint, simhash_dedup
 
@@ -19,6 +20,7 @@ from clvforge.llm.suffix_dedup import remove_repeats
 
 from clvforge.llm.surrogates import replace_entities
 from clvforge.llm.topk import cover_tree_topk
+from clvforge.llm.toxicity import detect_toxicity
 
 
 def model_path() -> str:
@@ -72,6 +74,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(share_heads(turn_paths(table(spark, sf_dir, "conversations")))).drop("node", "parent")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
@@ -88,10 +98,39 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
+    "op11_toxicity": op11_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL = {
+    "op12_prefix_trie": """
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+                          length(coalesce(text, '')) AS chars,
+                          md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS e
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+                     list_concat([4294967295::BIGINT], flatten([list_concat([ascii(ch)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])
+                                                                for ch in string_split(conv_id::VARCHAR, '')])),
+                     lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 6 AS h
+                   FROM (SELECT DISTINCT conv_id FROM t)),
+             r AS (SELECT c.conv_id, 0 AS part, p, chars, e FROM c JOIN t ON t.conv_id = c.base AND p <= h
+                   UNION ALL SELECT conv_id, 1, p, chars, e FROM c JOIN t USING (conv_id) WHERE p > h),
+             m AS (SELECT conv_id, row_number() OVER w AS d, chars, string_agg(e, '') OVER w AS k FROM r
+                   WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)
+                   UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+             n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM m GROUP BY d, k),
+             kids AS (SELECT d - 1 AS d, left(k, 32 * (d - 1)) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+             f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, k)),
+             sub AS (SELECT a.d, a.k, sum((y.n_convs - 1) * y.chars)::BIGINT AS saved_tokens,
+                            count(*) FILTER (y.n_children = 0) AS n_leaves
+                     FROM f y JOIN m a ON a.conv_id = y.conv_id AND a.d <= y.d GROUP BY ALL),
+             ends AS (SELECT d, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS s
+                      FROM (SELECT conv_id, max(d) AS d, arg_max(k, d) AS k FROM m GROUP BY conv_id) GROUP BY d, k)
+        SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+               coalesce(ends.s, sha256('')) AS ends_sha256
+        FROM f JOIN sub USING (d, k) LEFT JOIN ends USING (d, k)
+             LEFT JOIN f p ON p.d = f.d - 1 AND p.k = left(f.k, 32 * (f.d - 1))""",
     "op13_hard_negatives": """
         WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                           [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
