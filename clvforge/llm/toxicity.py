@@ -51,7 +51,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 def _mix(lo: np.ndarray, hi: np.ndarray, tag) -> np.ndarray:
     x = lo * np.uint64(0x9E3779B97F4A7C15) ^ (hi + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (
-        (np.asarray(tag).astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9))
+        (np.atleast_1d(tag).astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
@@ -287,7 +287,8 @@ def mine_lexicons(labelled: DataFrame, n1: int, n0: int, max_terms: int = 1 << 1
 
     Counts cover all labelled rows. A term is taken up where at least three texts and ``least_share``
     of those of label 1 hold it (so there are at most some hundred times a text's distinct terms), its
-    G² with the label is at least 10.8, and it is among the ``max_terms`` of greatest G².
+    G² with the label is more than chance gives the best of that many terms (one time in 20), and it is
+    among the ``max_terms`` of greatest G².
     """
     given_keys, given_number = given_words()
     keys, mined = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -304,7 +305,7 @@ def mine_lexicons(labelled: DataFrame, n1: int, n0: int, max_terms: int = 1 << 1
         share = (ones + zeros) / (n1 + n0)
         g2 = 2 * (part(ones, n1 * share) + part(n1 - ones, n1 * (1 - share)) + part(zeros, n0 * share) + part(n0 - zeros, n0 * (1 - share)))
         best = np.argsort(-g2, kind="stable")[:max_terms]
-        best = best[g2[best] >= 10.8]
+        best = best[g2[best] >= 2 * np.log(max(len(keys), 1) / 0.05)]
         keys, ones, zeros = keys[best], ones[best], zeros[best]
         ratio = ((ones + 0.5) / (n1 + 1)) / ((zeros + 0.5) / (n0 + 1))
         strength = np.searchsorted(_STRENGTHS, ratio, side="right") - 1
@@ -443,9 +444,9 @@ def _design(vote: np.ndarray, terms: tuple, known: int) -> tuple[np.ndarray, np.
     return row[order], column[order].astype(np.int32), values[order].astype(np.float32)
 
 
-def _descend(row, column, value, target, weight, size: int, ridge: float = 1e-4, rounds: int = 200) -> np.ndarray:
+def _descend(row, column, value, target, weight, size: int, rounds: int = 200) -> np.ndarray:
     """Logistic weights for soft targets by a limited-memory quasi-Newton descent."""
-    penalty = np.full(size, ridge)
+    penalty = np.full(size, 1 / max(1, len(target)))
     penalty[-1] = 1e-8
 
     def loss(w):
