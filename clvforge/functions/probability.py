@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from clvforge.functions.special import np_digamma, np_hyp2f1, np_lgamma
+from clvforge.functions.special import beta_nodes, np_digamma, np_hyp2f1, np_lgamma, np_trigamma
 
 # ---------------------------------------------------------------------------
 # Published fitted parameters (penalty 0.1), used as defaults
@@ -70,26 +69,21 @@ def np_expected_purchases(t, x, tx, T_, r, alpha, a, b):
 
 def expected_purchases(params: dict, t: float = 90.0, x="frequency", tx="recency",
                        T_="T", only=None) -> Column:
-    """I2 as a vectorised pandas UDF (Arrow batches; the ₂F₁ series has no
-    SQL counterpart). Parameters travel in the closure — four numbers.
-    With ``only`` (a boolean column) the series runs just for those rows and
-    the others get NaN, so rows that take a fallback cost nothing."""
-    from clvforge.session import ship_package
-    ship_package()
-    r, al, a, b = (float(params[k]) for k in ("r", "alpha", "a", "b"))
-    tt = float(t)
+    """I2 as a column expression: P(alive) times the mean over p of (1 − (1 + p s)^−(r+x)) / p, s = t / (α + T).
 
-    @F.pandas_udf(T.DoubleType())
-    def _ep(xs: pd.Series, txs: pd.Series, Ts: pd.Series, keep: pd.Series) -> pd.Series:
-        k = keep.fillna(False).to_numpy(bool)
-        out = np.full(len(xs), np.nan)
-        if k.any():
-            out[k] = np_expected_purchases(tt, xs.to_numpy(float)[k], txs.to_numpy(float)[k],
-                                           Ts.to_numpy(float)[k], r, al, a, b)
-        return pd.Series(out)
-
-    keep = F.lit(True) if only is None else only
-    return _ep(_c(x).cast("double"), _c(tx).cast("double"), _c(T_).cast("double"), keep)
+    That is the expectation given that the customer is alive, when λ ~ Gamma(r + x, α + T) is
+    integrated out and p ~ Beta(a, b + x); the mean over p is a trapezoidal rule in logit p whose
+    nodes and weights are literals, one array for the whole plan. Numerator and denominator are summed
+    by the same rule. With ``only`` (a boolean column) other rows get null."""
+    r, al, a, b = (float(params[k]) for k in ("r", "alpha", "a", "b"))
+    x, tx, T_ = _c(x).cast("double"), _c(tx).cast("double"), _c(T_).cast("double")
+    nodes = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(d).alias("d")) for p, c, d in beta_nodes(a, b, float(t) / al)])
+    s, n = F.lit(float(t)) / (F.lit(al) + T_), F.lit(r) + x
+    weight = lambda k: F.exp(k["c"] + x * k["d"])
+    gain = lambda k: -F.expm1(-n * F.log1p(k["p"] * s)) / k["p"]
+    total = lambda f: F.aggregate(nodes, F.lit(0.0), lambda sum_, k: sum_ + f(k))
+    value = total(lambda k: weight(k) * gain(k)) / total(weight) * probability_alive(params, x, tx, T_)
+    return value if only is None else F.when(only, value)
 
 
 def expected_spend(params: dict, x="frequency", m="monetary_value") -> Column:
@@ -108,7 +102,7 @@ def discount_factor(months: int = 12, rate: float = 0.01, start: int = 0) -> flo
 # -- fitting -------------------------------------------------------------------
 
 def _bgnbd_terms(p: dict, x, tx, T_):
-    """Per-row log-likelihood and its gradient w.r.t. (r, α, a, b), numpy."""
+    """Per-row log-likelihood, gradient and Hessian w.r.t. (r, α, a, b), numpy; shapes (n), (4, n), (4, 4, n)."""
     r, al, a, b = p["r"], p["alpha"], p["a"], p["b"]
     pos = x > 0
     xm = np.maximum(x, 1.0)
@@ -122,121 +116,119 @@ def _bgnbd_terms(p: dict, x, tx, T_):
     ll = a1 + a2 + mx + np.log(e3 + e4)
     w3 = e3 / (e3 + e4)
     w4 = e4 / (e3 + e4)
-    g = {
-        "r": np_digamma(r + x) - np_digamma(r) + np.log(al) - w3 * np.log(al + T_)
-             - w4 * np.log(al + tx),
-        "alpha": r / al - w3 * (r + x) / (al + T_) - w4 * (r + x) / (al + tx),
-        "a": np_digamma(a + b) - np_digamma(a + b + x) + w4 / a,
-        "b": np_digamma(a + b) + np_digamma(b + x) - np_digamma(b) - np_digamma(a + b + x)
-             - w4 / (b + xm - 1),
-    }
-    return ll, g
+    zero = np.zeros_like(x)
+    g3 = np.stack([-np.log(al + T_), -(r + x) / (al + T_), zero, zero])
+    g4 = np.stack([-np.log(al + tx), -(r + x) / (al + tx), zero + 1 / a, -1 / (b + xm - 1)])
+    dab, dabx = np_digamma(a + b), np_digamma(a + b + x)
+    g = w3 * g3 + w4 * g4 + np.stack([np_digamma(r + x) - np_digamma(r) + np.log(al), r / al + zero, dab - dabx,
+                                      dab + np_digamma(b + x) - np_digamma(b) - dabx])
+    h = np.zeros((4, 4, len(x)))
+    tab, tabx = np_trigamma(a + b), np_trigamma(a + b + x)
+    h[0, 0] = np_trigamma(r + x) - np_trigamma(r)
+    h[0, 1] = h[1, 0] = 1 / al - w3 / (al + T_) - w4 / (al + tx)
+    h[1, 1] = -r / al ** 2 + w3 * (r + x) / (al + T_) ** 2 + w4 * (r + x) / (al + tx) ** 2
+    h[2, 2] = tab - tabx - w4 / a ** 2
+    h[2, 3] = h[3, 2] = tab - tabx
+    h[3, 3] = tab + np_trigamma(b + x) - np_trigamma(b) - tabx + w4 / (b + xm - 1) ** 2
+    apart = g3 - g4
+    h += w3 * w4 * apart[:, None, :] * apart[None, :, :]
+    return ll, g, h
 
 
 def _gg_terms(p: dict, x, m):
-    """Per-row Gamma-Gamma log-likelihood and gradient w.r.t. (p, q, v)."""
+    """Per-row Gamma-Gamma log-likelihood, gradient and Hessian w.r.t. (p, q, v)."""
     pp, q, v = p["p"], p["q"], p["v"]
-    px = pp * x
+    px, rate = pp * x, x * m + v
     ll = (np_lgamma(px + q) - np_lgamma(px) - np_lgamma(q) + q * np.log(v)
-          + (px - 1) * np.log(m) + px * np.log(x) - (px + q) * np.log(x * m + v))
-    g = {
-        "p": x * (np_digamma(px + q) - np_digamma(px) + np.log(m) + np.log(x) - np.log(x * m + v)),
-        "q": np_digamma(px + q) - np_digamma(q) + np.log(v) - np.log(x * m + v),
-        "v": q / v - (px + q) / (x * m + v),
-    }
-    return ll, g
+          + (px - 1) * np.log(m) + px * np.log(x) - (px + q) * np.log(rate))
+    g = np.stack([x * (np_digamma(px + q) - np_digamma(px) + np.log(m) + np.log(x) - np.log(rate)),
+                  np_digamma(px + q) - np_digamma(q) + np.log(v) - np.log(rate),
+                  q / v - (px + q) / rate])
+    h = np.zeros((3, 3, len(x)))
+    t = np_trigamma(px + q)
+    h[0, 0] = x * x * (t - np_trigamma(px))
+    h[0, 1] = h[1, 0] = x * t
+    h[1, 1] = t - np_trigamma(q)
+    h[0, 2] = h[2, 0] = -x / rate
+    h[1, 2] = h[2, 1] = 1 / v - 1 / rate
+    h[2, 2] = -q / v ** 2 + (px + q) / rate ** 2
+    return ll, g, h
 
 
 def _evaluate(data: DataFrame, names: list[str], terms, cols: list[str],
               thetas: list[np.ndarray], penalty: float):
-    """Objective and gradient (w.r.t. log-parameters) at several parameter
-    vectors in ONE Spark job: every partition of the (materialised) data
-    returns, per candidate, its weighted log-likelihood and gradient sums,
-    which Spark adds up to one row per candidate."""
+    """Objective, gradient and Hessian (w.r.t. log-parameters) at several parameter vectors in ONE
+    Spark job of one stage: each partition of the (materialised) data returns one row with its
+    weighted sums for all vectors; there is a partition a million rows, so the driver adds up few."""
     from clvforge.session import ship_package
     ship_package(data.sparkSession)
     cands = [{n: float(math.exp(v)) for n, v in zip(names, th)} for th in thetas]
     k = len(names)
+    width = 2 + k + k * k
 
     def partial(batches):
-        acc = np.zeros((len(cands), k + 2))
+        acc = np.zeros((len(cands), width))
         with np.errstate(all="ignore"):
             for pdf in batches:
                 xs = [pdf[c].to_numpy(float) for c in cols]
                 w = pdf["_w"].to_numpy(float)
                 for i, pc in enumerate(cands):
-                    ll, g = terms(pc, *xs)
-                    acc[i, 0] += float(np.sum(w * ll))
-                    acc[i, 1] += float(np.sum(w))
-                    for j, nm in enumerate(names):
-                        acc[i, 2 + j] += float(np.sum(w * g[nm]))
-        yield pd.DataFrame({"cid": np.arange(len(cands), dtype=np.int32),
-                            "ll": acc[:, 0], "n": acc[:, 1],
-                            "g": [acc[i, 2:].tolist() for i in range(len(cands))]})
-
-    schema = "cid int, ll double, n double, g array<double>"
-    tot = np.zeros((len(cands), k + 2))
-    parts = data.select(*cols, "_w").mapInPandas(partial, schema)
-    sums = parts.groupBy("cid").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"),
-                                    *[F.sum(F.col("g")[j]).alias(f"g{j}") for j in range(k)])
-    for row in sums.collect():  # one row per candidate
-        tot[row["cid"]] = [row["ll"], row["n"], *[row[f"g{j}"] for j in range(k)]]
+                    ll, g, h = terms(pc, *xs)
+                    acc[i] += np.concatenate([[np.sum(w * ll), np.sum(w)], g @ w, (h @ w).ravel()])
+        yield pd.DataFrame({"sums": [acc.ravel().tolist()]})
+
+    tot = np.zeros((len(cands), width))
+    for row in data.select(*cols, "_w").mapInPandas(partial, "sums array<double>").collect():
+        tot += np.array(row["sums"]).reshape(tot.shape)
     out = []
-    for i, th in enumerate(thetas):
-        p = np.exp(th)
-        ll_v, n = tot[i, 0], tot[i, 1]
-        if n <= 0 or not np.isfinite(ll_v):
-            out.append((np.inf, np.zeros_like(th)))
+    for (ll_v, n, *rest), th in zip(tot, thetas):
+        p, rest = np.exp(th), np.array(rest)
+        g, h = rest[:k], rest[k:].reshape(k, k)
+        if n <= 0 or not np.isfinite(ll_v) or not np.all(np.isfinite(rest)):
+            out.append((np.inf, np.zeros(k), np.eye(k)))
             continue
         f = -ll_v / n + penalty * float(np.sum(p ** 2))
-        g = -tot[i, 2:] / n * p + 2 * penalty * p * p
-        out.append((f, g if np.all(np.isfinite(g)) else np.zeros_like(th)))
+        grad = -g / n * p + 2 * penalty * p * p
+        hess = -h / n * np.outer(p, p) + np.diag(-g / n * p + 4 * penalty * p * p)
+        out.append((f, grad, hess))
     return out
 
 
-def _bfgs(evaluate, theta0: np.ndarray, max_iter: int = 100, gtol: float = 1e-7):
-    """BFGS on log-parameters. Each iteration is one distributed evaluation of
-    eight step lengths along the search direction (largest one satisfying
-    Armijo wins), so the number of Spark jobs equals the number of
-    iterations."""
-    theta = theta0.astype(float)
-    f, g = evaluate([theta])[0]
-    H = np.eye(len(theta))
-    steps = [1.0 / 2 ** k for k in range(8)]
+def _newton(evaluate, theta0: np.ndarray, max_iter: int = 50, gtol: float = 1e-9):
+    """Newton's method with a trust region on the log-parameters.
+
+    Each iteration is one distributed evaluation of the steps for three radii (the region's, a quarter
+    and four times of it); the best that lessens the objective is taken, and the radius follows it."""
+    theta, radius = theta0.astype(float), 1.0
+    f, g, h = evaluate([theta])[0]
     history = [f]
+
+    def step(within: float) -> np.ndarray:
+        value, axes = np.linalg.eigh(h)
+        along = axes.T @ g
+        shift = max(0.0, 1e-10 - value.min())
+        if np.linalg.norm(along / (value + shift)) <= within:
+            return -axes @ (along / (value + shift))
+        low, high = shift, shift + np.linalg.norm(g) / within + abs(value).max()
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.linalg.norm(along / (value + mid)) > within else (low, mid)
+        return -axes @ (along / (value + high))
+
     for _ in range(max_iter):
         if np.max(np.abs(g)) < gtol:
             break
-        d = -H @ g
-        if g @ d >= 0:
-            H = np.eye(len(theta))
-            d = -g
-        cands = [theta + s * d for s in steps]
-        evals = evaluate(cands)
-        chosen = None
-        for s, th, (fv, gv) in zip(steps, cands, evals):
-            if np.isfinite(fv) and fv <= f + 1e-4 * s * (g @ d):
-                chosen = (s, th, fv, gv)
-                break
-        if chosen is None:
-            best = min(range(len(evals)), key=lambda i: evals[i][0])
-            if not evals[best][0] < f:
+        tried = [(within, theta + step(within)) for within in (radius, 4 * radius, radius / 4)]
+        evals = evaluate([th for _, th in tried])
+        best = min(range(3), key=lambda i: evals[i][0])
+        if not evals[best][0] < f:
+            if radius < 1e-7 or np.max(np.abs(g)) < 1e-7:
                 break
-            chosen = (steps[best], cands[best], evals[best][0], evals[best][1])
-        _, th_new, f_new, g_new = chosen
-        s_vec = th_new - theta
-        y_vec = g_new - g
-        sy = s_vec @ y_vec
-        if sy > 1e-12:
-            rho = 1.0 / sy
-            I = np.eye(len(theta))
-            H = (I - rho * np.outer(s_vec, y_vec)) @ H @ (I - rho * np.outer(y_vec, s_vec)) \
-                + rho * np.outer(s_vec, s_vec)
-        improvement = f - f_new
-        theta, f, g = th_new, f_new, g_new
+            radius /= 16
+            continue
+        radius, theta = tried[best]
+        f, g, h = evals[best]
         history.append(f)
-        if abs(improvement) < 1e-12 * max(1.0, abs(f)):
-            break
     return theta, f, g, history
 
 
@@ -251,6 +243,10 @@ def _with_fit(params: dict, f: float, g: np.ndarray, history: list, small: float
     return params
 
 
+def _few_partitions(data: DataFrame, rows_each: int = 1_000_000) -> DataFrame:
+    return data.coalesce(max(1, -(-data.count() // rows_each)))
+
+
 def collapse_bgnbd(df: DataFrame, x="frequency", tx="recency", T_="T") -> DataFrame:
     """Distinct (x, tx, T) triples with their multiplicity: the likelihood
     only depends on these, and their number is bounded by the calendar, not
@@ -264,9 +260,9 @@ def fit_bgnbd(df: DataFrame, penalty: float = 0.01, x="frequency", tx="recency",
     """Penalised maximum likelihood for r, α, a, b (time unit: days).
 
     The collapsed triple table is materialised once in the shared checkpoint
-    folder; every optimiser iteration is one aggregate over it."""
+    folder; every optimiser iteration is one pass over it."""
     from clvforge.session import durable_cut
-    data = durable_cut(collapse_bgnbd(df, x, tx, T_))
+    data = _few_partitions(durable_cut(collapse_bgnbd(df, x, tx, T_)))
     names = ["r", "alpha", "a", "b"]
     start = init or {"r": 1.0, "alpha": 1.0, "a": 1.0, "b": 1.0}
     theta0 = np.log([start[n] for n in names])
@@ -274,7 +270,7 @@ def fit_bgnbd(df: DataFrame, penalty: float = 0.01, x="frequency", tx="recency",
     def ev(thetas):
         return _evaluate(data, names, _bgnbd_terms, ["x", "tx", "T"], thetas, penalty)
 
-    theta, f, g, hist = _bfgs(ev, theta0, max_iter)
+    theta, f, g, hist = _newton(ev, theta0, max_iter)
     out = dict(zip(names, np.exp(theta).tolist()))
     return _with_fit(out, f, g, hist)
 
@@ -287,6 +283,7 @@ def fit_gamma_gamma(df: DataFrame, penalty: float = 0.01, x="frequency", m="mone
     data = durable_cut(
         df.where((F.col(x) > 0) & (F.col(m) > 0))
           .groupBy(F.col(x).alias("x"), F.col(m).alias("m")).agg(F.count(F.lit(1)).alias("_w")))
+    data = _few_partitions(data)
     n = data.agg(F.sum("_w")).collect()[0][0] or 0
     if n < min_rows:
         raise ValueError(f"Need at least {min_rows} repeat customers, got {n}")
@@ -297,6 +294,6 @@ def fit_gamma_gamma(df: DataFrame, penalty: float = 0.01, x="frequency", m="mone
     def ev(thetas):
         return _evaluate(data, names, _gg_terms, ["x", "m"], thetas, penalty)
 
-    theta, f, g, hist = _bfgs(ev, theta0, max_iter)
+    theta, f, g, hist = _newton(ev, theta0, max_iter)
     out = dict(zip(names, np.exp(theta).tolist()))
     return _with_fit(out, f, g, hist)

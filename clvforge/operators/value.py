@@ -3,14 +3,15 @@ ranked target lists (B11, C4, E6, F1–F6, H5–H6, I2–I9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clvforge import schemas as S
 from clvforge.functions import probability as P
 from clvforge.functions import rules as R
 from clvforge.operators.clean import clip
-from clvforge.operators.ranks import quantile_row
+from clvforge.operators.ranks import quantile_row, split_points, value_rank_table
+from clvforge.session import durable_cut
 
 
 def round_to(col: str | Column, digits: int) -> Column:
@@ -76,6 +77,9 @@ def fit_probabilistic(customers: DataFrame, bg: dict | None = None, gg: dict | N
         from clvforge.operators.clean import valid_for_purchase_model, repeat_customers
         bg = P.fit_bgnbd(valid_for_purchase_model(customers, strict=True), penalty)
         gg = P.fit_gamma_gamma(repeat_customers(customers), penalty)
+        for name, model in (("purchase", bg), ("spend", gg)):
+            if not model["converged"]:
+                raise RuntimeError(f"the fit of the {name} model has not converged (gradient {model['grad_norm']:.3g})")
     bg = bg or P.PUBLISHED_BGNBD
     gg = gg or P.PUBLISHED_GG
     valid = _strict()
@@ -281,14 +285,32 @@ def nurture(customers: DataFrame, limit: int = 50, exact: bool = True) -> DataFr
                     F.lit(R.NURTURE_ACTION).alias("action"))
 
 
-def percent_above(customers: DataFrame, thresholds: list[float], clv: str = "bgnbd_gg_clv") -> DataFrame:
-    """Share (%) of customers whose value exceeds each requested value:
-    one pass, one conditional average per value, unpivoted to rows."""
-    aggs = [(F.avg(F.when(F.col(clv) > F.lit(float(v)), 1.0).otherwise(0.0)) * 100).alias(f"p{i}")
-            for i, v in enumerate(thresholds)]
-    wide = customers.agg(*aggs)
-    pairs = ", ".join(f"CAST({float(v)!r} AS DOUBLE), p{i}" for i, v in enumerate(thresholds))
-    return wide.selectExpr(f"stack({len(thresholds)}, {pairs}) AS (threshold, pct_above)")
+def percent_above(customers: DataFrame, thresholds: DataFrame | list[float], clv: str = "bgnbd_gg_clv") -> DataFrame:
+    """Share (%) of customers whose value exceeds each requested value: (threshold, pct_above).
+
+    ``thresholds`` is a list, or a table with a column ``threshold`` and as many rows as you like (null
+    ones have no row in the result). Distinct values with their ranks and the requests are bucketed by the
+    same split points and sorted together within each bucket; a request takes the count of the last
+    value before it, or that of the buckets below. No request meets all values.
+    """
+    if not isinstance(thresholds, DataFrame):
+        thresholds = customers.sparkSession.createDataFrame([(float(v),) for v in thresholds], "threshold double")
+    splits = split_points(customers, [clv])[clv]
+    ranked = durable_cut(value_rank_table(customers, clv, splits=splits).select(
+        F.col(clv).cast("double").alias("v"), (F.col("_less") + F.col("_cnt")).alias("upto"), F.lit(0).alias("asked")))
+    asked = thresholds.select(F.col("threshold").cast("double").alias("v")).where("v IS NOT NULL").distinct().select(
+        "v", F.lit(None).cast("long").alias("upto"), F.lit(1).alias("asked"))
+    edges = F.array(*[F.lit(float(s)) for s in splits]).cast("array<double>")
+    bucket = F.size(F.filter(edges, lambda s: s <= F.col("v"))).alias("bucket")
+    ranked, asked = ranked.select("*", bucket), asked.select("*", bucket)
+    below = ranked.groupBy("bucket").agg(F.max("upto").alias("top"))  # one row a bucket
+    lower = asked.select("bucket").distinct().join(F.broadcast(below.withColumnRenamed("bucket", "other")), F.expr("other < bucket"), "left") \
+        .groupBy("bucket").agg(F.coalesce(F.max("top"), F.lit(0)).alias("before"))
+    w = Window.partitionBy("bucket").orderBy("v", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    met = ranked.unionByName(asked).withColumn("seen", F.last("upto", ignorenulls=True).over(w)).where("asked = 1")
+    n = customers.where(F.col(clv).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    share = (n - F.coalesce("seen", "before")) * 100.0 / n
+    return met.join(F.broadcast(lower), "bucket", "left").select(F.col("v").alias("threshold"), share.alias("pct_above"))
 
 
 def top_share_value(customers: DataFrame, top_pct: float, clv: str = "bgnbd_gg_clv",

@@ -320,6 +320,23 @@ def q_spend_stats(spark, d):
 
 register("distinct_products", FEAT + "SELECT customer_id, n_unique_products FROM features")(
     lambda spark, d: FT.distinct_products(obs(spark, d)))
+@register("distinct_products_merged", FEAT + "SELECT customer_id, n_unique_products FROM features")
+def q_products_merged(spark, d):
+    """D4 from monthly sketches that are merged; sketches of so few codes are exact."""
+    from clvforge.operators.sketches import distinct_products_of, product_sketches
+    return distinct_products_of(product_sketches(obs(spark, d)))
+
+
+@register("price_quantile_merged", "SELECT TRUE AS within_bound")
+def q_price_merged(spark, d):
+    """B4's cap from monthly sketches that are merged: whether its rank among all prices is within 1 % of 0.99."""
+    from clvforge.operators.sketches import price_quantile_of, price_sketches
+    lines = C.parse_invoice_ts(C.drop_nonpositive(C.drop_cancelled(tx(spark, d))))
+    cap = price_quantile_of(price_sketches(lines)).scalar()
+    rank = F.avg(F.when(F.col(S.PRICE) <= cap, 1.0).otherwise(0.0))
+    return lines.agg((F.abs(rank - 0.99) <= 0.01).alias("within_bound"))
+
+
 register("modal_country", FEAT + "SELECT customer_id, country FROM features")(
     lambda spark, d: FT.modal_country(obs(spark, d)))
 register("active_months", FEAT + "SELECT customer_id, n_unique_months FROM features")(

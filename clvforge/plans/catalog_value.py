@@ -76,6 +76,16 @@ def q_pct_above(spark, d):
     return V.percent_above(customers(spark, d), [200.0, 1000.0, 5000.0])
 
 
+@register("percent_above_requests", sql_wrap(
+    CUST_SQL + ", asked AS (SELECT DISTINCT floor(o_totalprice / 100) AS threshold FROM orders) "
+    "SELECT threshold, (SELECT count(*) FROM customers WHERE bgnbd_gg_clv > threshold) * 100.0 / (SELECT count(*) FROM customers) "
+    "AS pct_above FROM asked", ["pct_above"]))
+def q_pct_requests(spark, d):
+    """E6 for a table of requests: one for each distinct order total, in hundreds."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.floor(F.col("o_totalprice").cast("double") / 100).cast("double").alias("threshold"))
+    return V.percent_above(customers(spark, d), orders.distinct())
+
+
 @register("top_share_value", sql_wrap(
     CUST_R + "SELECT 10.0 AS top_pct, quantile_cont(bgnbd_gg_clv, 0.9) AS min_value, "
              "avg(CASE WHEN bgnbd_gg_clv > (SELECT quantile_cont(bgnbd_gg_clv, 0.9) FROM cr) "
@@ -609,13 +619,12 @@ _TRAINED: dict[tuple[str, str], dict] = {}
 
 
 def _trained(spark, d):
-    """One training per session and data folder serves all ML queries: full
-    tree counts, without the J4 search (see README)."""
+    """One training per session and data folder serves all ML queries: the whole J11 with its 20 trials."""
     from clvforge.plans.ml import train_value_model
     key = (spark.sparkContext.applicationId, d)
     if key not in _TRAINED:
         from clvforge.session import durable_cut
-        _TRAINED[key] = train_value_model(durable_cut(_cust_r(spark, d)), tune_trials=0)
+        _TRAINED[key] = {**train_value_model(cust := durable_cut(customers(spark, d))), "customers": cust}
     return _TRAINED[key]
 
 
@@ -642,24 +651,91 @@ def q_prepare(spark, d):
     return prepare_features(c)[0]
 
 
-@register("split_train_validation", FEAT + """SELECT customer_id,
-  CASE WHEN (((customer_id % 2147483648) * 1103515245 + 12345 * 42) % 2147483648) * 10000 // 2147483648 < 2000
-       THEN 'validation' ELSE 'train' END AS part FROM features""")
+SPLIT_HASH = """xor(x4, x4 >> 15) AS h FROM (SELECT *, (xor(x2, x2 >> 13) * 22695477 + 2531011) & 2147483647 AS x4
+FROM (SELECT *, (xor(x1, x1 >> 16) * 1103515245 + 12345) & 2147483647 AS x2
+FROM (SELECT *, xor(customer_id % 2147483648, (42 * 2654435761) & 2147483647) AS x1 FROM {}) a1) a2) a3"""
+
+
+@register("split_train_validation", FEAT + "SELECT customer_id, CASE WHEN h < 429496730 THEN 'validation' ELSE 'train' END AS part "
+          "FROM (SELECT customer_id, " + SPLIT_HASH.format("features") + ") z")
 def q_split_tv(spark, d):
     from clvforge.plans.ml import split_train_validation
     tr, va = split_train_validation(features(spark, d).select(S.CUST))
     return tr.withColumn("part", F.lit("train")).unionByName(va.withColumn("part", F.lit("validation")))
 
 
+_SCALED = ["frequency", "recency", "total_revenue_obs", "n_unique_products"]
+
+
+@register("scale_features", sql_wrap(
+    FEAT + ", parts AS (SELECT *, " + SPLIT_HASH.format("features") + "), m AS (SELECT " + ", ".join(
+        f"avg(CAST({c} AS DOUBLE)) AS a_{c}, stddev_samp(CAST({c} AS DOUBLE)) AS s_{c}" for c in _SCALED)
+    + " FROM parts WHERE h >= 429496730) SELECT customer_id, " + ", ".join(f"({c} - a_{c}) / s_{c} AS {c}" for c in _SCALED)
+    + " FROM parts, m", _SCALED))
+def q_scale(spark, d):
+    """Fitted on the training part, applied to all customers."""
+    from pyspark.ml.functions import vector_to_array
+    from clvforge.plans.ml import assemble, split_train_validation
+    feats = features(spark, d).select(S.CUST, *[F.col(c).cast("double").alias(c) for c in _SCALED])
+    prep = assemble(_SCALED).fit(split_train_validation(feats)[0])
+    out = vector_to_array("features")
+    return prep.transform(feats).select(S.CUST, *[out[i].alias(c) for i, c in enumerate(_SCALED)])
+
+
 @register("tune_boosted")
 def q_tune(spark, d):
-    """Seeded random search by validation MAE; three trials of the whole search space."""
-    from clvforge.plans.ml import assemble, prepare_features, split_train_validation, tune_boosted
-    feats, names = prepare_features(_cust_r(spark, d))
-    train, _ = split_train_validation(feats.where(F.col("holdout_revenue") > 0))
-    prep = assemble(names).fit(train)
-    _, best = tune_boosted(prep.transform(train), trials=3, parallelism=3)
-    return spark.createDataFrame([(k, str(v)) for k, v in sorted(best.items())], "param string, value string")
+    """The 20 trials of the guided search with their validation MAE, and which is best."""
+    tried = _trained(spark, d)["trials"]
+    best = min(e for _, e in tried)
+    keys = sorted(tried[0][0])
+    return spark.createDataFrame([(i, float(e), e == best, *[float(m[k]) for k in keys]) for i, (m, e) in enumerate(tried)],
+                                 "trial int, mae double, best boolean, " + ", ".join(f"{k} double" for k in keys))
+
+
+def _prepared_validation(spark, d):
+    t = _trained(spark, d)
+    return t, t["validation"]
+
+
+@register("fit_boosted")
+def q_boosted(spark, d):
+    """Predictions of the main booster on the held-out split."""
+    t, valid = _prepared_validation(spark, d)
+    return t["models"]["boosted"].transform(valid).select(S.CUST, "holdout_revenue", "prediction")
+
+
+@register("fit_boosted_alt")
+def q_boosted_alt(spark, d):
+    """Predictions of the leaf-wise booster on the held-out split."""
+    t, valid = _prepared_validation(spark, d)
+    return t["models"]["boosted_alt"].transform(valid).select(S.CUST, "holdout_revenue", "prediction")
+
+
+@register("fit_interval")
+def q_interval(spark, d):
+    """J8 with K2: coverage of the 80 % interval on the held-out split."""
+    from clvforge.operators import evaluate as EV
+    t, valid = _prepared_validation(spark, d)
+    return EV.interval_coverage(t["models"]["interval"].transform(valid), "holdout_revenue", "pred_lower", "pred_upper")
+
+
+@register("tree_attributions")
+def q_attributions(spark, d):
+    """Mean absolute attribution of each feature on the held-out split."""
+    from clvforge.plans.attribution import mean_attribution
+    t, valid = _prepared_validation(spark, d)
+    return mean_attribution(t["models"]["boosted"], valid)
+
+
+@register("compare_models_ml")
+def q_compare_ml(spark, d):
+    """K3 with all models, on the held-out split."""
+    from clvforge.operators import evaluate as EV
+    from clvforge.plans.ml import model_predictions
+    t, valid = _prepared_validation(spark, d)
+    both = model_predictions(t["models"], valid).join(t["customers"].select(S.CUST, "bgnbd_gg_clv"), S.CUST)
+    return EV.compare_models(both, "holdout_revenue", {"BG/NBD + Gamma-Gamma": "bgnbd_gg_clv", "Boosted trees": "boosted",
+                                                      "Boosted trees, leaf-wise": "boosted_alt", "Ridge": "ridge"})
 
 
 @register("train_value_model")
@@ -680,7 +756,7 @@ def q_permutation(spark, d):
     """J10 on the held-out split, all features."""
     from clvforge.plans.ml import permutation_importance
     t = _trained(spark, d)
-    return permutation_importance(t["models"]["boosted"], t["models"]["prep"], t["validation"], t["feature_names"])
+    return permutation_importance(t["models"]["boosted"], t["validation"], t["feature_names"])
 
 
 @register("top_importance")
@@ -719,17 +795,32 @@ def q_read_csv(spark, d):
     return parse_invoice_ts(read_transactions(spark, path), "yyyy-MM-dd HH:mm:ss")
 
 
+_TABLE_SUMS = """SELECT 'rfm' AS name, segment AS part, count(*) AS n, sum(Monetary) AS total FROM seg GROUP BY segment
+UNION ALL SELECT 'segment_stats' AS name, segment AS part, customer_count AS n, segment_revenue AS total FROM segfinal
+UNION ALL SELECT 'customers' AS name, segment AS part, count(*) AS n, sum(bgnbd_gg_clv) AS total FROM customers GROUP BY segment
+UNION ALL SELECT 'feature_importance' AS name, country AS part, count(*) AS n, sum(holdout_revenue) AS total FROM customers GROUP BY country"""
+
+
 @register("write_outputs", sql_wrap(
-    Q.with_(*Q.RFM_PIPE) + "SELECT segment, count(*) AS customers FROM seg GROUP BY segment"))
+    Q.with_(*Q.RFM_PIPE, Q.SEG_STATS, Q.SEG_STATS_FINAL,
+            *[b for b in Q.customer_table_blocks(BG, GG) if b not in Q.RFM_PIPE]) + _TABLE_SUMS, ["total"]))
 def q_write_outputs(spark, d):
-    """A5 + A4: write the customer, RFM and segment tables, read them back."""
+    """A5 + A4: all four tables published as one set and read back; sums of each table's contents. (The fourth
+    table's place is taken by a table that SQL can state, per country.)"""
     from clvforge.sources.io import read_customer_outputs, write_outputs
     path = _scratch(spark)
     c = clean(spark, d)
     seg, stats = segment_table(c)
-    write_outputs({"rfm": seg, "segment_stats": stats}, path, partition_segments=True)
-    back = read_customer_outputs(spark, path, names=("rfm", "segment_stats"))
-    return back["rfm"].groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
+    cust = customer_table(c)[0]
+    country = cust.groupBy(S.COUNTRY).agg(F.count(F.lit(1)).alias("n"), F.sum("holdout_revenue").alias("total"))
+    write_outputs({"customers": cust, "rfm": seg, "segment_stats": stats, "feature_importance": country}, path, partition_segments=True)
+    back = read_customer_outputs(spark, path)
+    row = lambda name, df, part, n, total: df.select(F.lit(name).alias("name"), F.col(part).alias("part"), n.alias("n"), total.alias("total"))
+    grouped = lambda df, total: df.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("total"))
+    return (row("rfm", grouped(back["rfm"], "Monetary"), "segment", F.col("n"), F.col("total"))
+            .unionByName(row("segment_stats", back["segment_stats"], "segment", F.col("customer_count"), F.col("segment_revenue")))
+            .unionByName(row("customers", grouped(back["customers"], "bgnbd_gg_clv"), "segment", F.col("n"), F.col("total")))
+            .unionByName(row("feature_importance", back["feature_importance"], S.COUNTRY, F.col("n"), F.col("total"))))
 
 
 @register("save_load_params")
@@ -747,15 +838,14 @@ def q_meta(spark, d):
     """One-row run summary."""
     from clvforge.sources.io import run_metadata
     t = _trained(spark, d)
-    n = _cust_r(spark, d).count()
-    return run_metadata(spark, n, t["feature_names"], t["metrics"], t["best_model"]).drop("training_date")
+    return run_metadata(spark, t["customers"].count(), t["feature_names"], t["metrics"], t["best_model"]).drop("training_date")
 
 
 @register("end_to_end_run")
 def q_end_to_end(spark, d):
     """L1: the end-to-end run; returns the scored customer table."""
     from clvforge.plans.composite import run_pipeline
-    out = run_pipeline(tx(spark, d), fit=True, train_model=True, tune_trials=0)
+    out = run_pipeline(tx(spark, d))
     return out["customers"].select(S.CUST, "segment", "bgnbd_gg_clv", "ml_predicted_clv",
                                    "pred_lower", "pred_upper")
 

@@ -44,7 +44,7 @@ def run_pipeline(tx_raw: DataFrame, out_dir: str | None = None, fit: bool = True
                  holdout_days: int = 90) -> dict:
     """L1: B7 → E1 → B8 → D1/C1 → D9, E4, H1, C2, D11 → I9 → J11 → A5–A7.
 
-    Returns the produced tables (and writes them when ``out_dir`` is given).
+    Returns the produced tables (and publishes them when ``out_dir`` is given).
     """
     from clvforge.operators import cohorts as CO
     from clvforge.sources import io as IO
@@ -62,19 +62,16 @@ def run_pipeline(tx_raw: DataFrame, out_dir: str | None = None, fit: bool = True
         result.update(trained)
         result["customers"] = trained["scored"]
     if out_dir:
-        tables = {k: result[k] for k in ("customers", "rfm", "segment_stats") if k in result}
-        if "feature_importance" in result:
-            tables["feature_importance"] = result["feature_importance"]
-        IO.write_outputs(tables, out_dir, fmt)
         spark = tx_raw.sparkSession
-        IO.save_params(spark, "bgnbd", {k: v for k, v in bg.items() if k in ("r", "alpha", "a", "b")},
-                       f"{out_dir}/params_bgnbd")
-        IO.save_params(spark, "gamma_gamma", {k: v for k, v in gg.items() if k in ("p", "q", "v")},
-                       f"{out_dir}/params_gamma_gamma")
-        if train_model:
-            from clvforge.plans.ml import save_models
-            save_models(spark, result["models"], result["best_model"], f"{out_dir}/models")
-            meta = IO.run_metadata(spark, cust.count(), result["feature_names"], result["metrics"], result["best_model"])
-            meta.write.mode("overwrite").parquet(f"{out_dir}/run_metadata")
+        tables = {k: result[k] for k in IO.OUTPUT_TABLES if k in result}
+        with IO.publication(spark, out_dir) as folder:  # tables, parameters and models appear together
+            IO.write_tables(tables, folder, fmt)
+            IO.save_params(spark, "bgnbd", {k: v for k, v in bg.items() if k in ("r", "alpha", "a", "b")}, f"{folder}/params_bgnbd")
+            IO.save_params(spark, "gamma_gamma", {k: v for k, v in gg.items() if k in ("p", "q", "v")}, f"{folder}/params_gamma_gamma")
+            if train_model:
+                from clvforge.plans.ml import save_models
+                save_models(spark, result["models"], result["best_model"], f"{folder}/models")
+                meta = IO.run_metadata(spark, cust.count(), result["feature_names"], result["metrics"], result["best_model"])
+                meta.write.mode("overwrite").parquet(f"{folder}/run_metadata")
     result["key"] = S.CUST
     return result

@@ -1,20 +1,14 @@
-"""Machine-learned customer value on ``pyspark.ml``.
+"""Machine-learned customer value.
 
-Boosted trees, ridge baseline, a random search scored by validation MAE,
-leaf-quantile prediction intervals and permutation importance — all as Spark
-ML estimators/transformers or DataFrame compositions.
+Boosted trees of our own (``boosting``), a guided search scored by validation MAE (``tuning``), a
+ridge baseline, quantile-boosted prediction intervals, permutation importance and tree attributions.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel,
-                                   GBTRegressor, LinearRegression, LinearRegressionModel)
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +16,9 @@ from clvforge import schemas as S
 from clvforge.functions.rules import country_bucket
 from clvforge.operators.clean import fill_invalid
 from clvforge.operators.evaluate import interval_coverage, regression_metrics
-from clvforge.operators.ranks import global_row_number
+from clvforge.operators.ranks import global_row_number, quantile_row
+from clvforge.plans.boosting import BoostedModel, BoostParams, TrainingSet
+from clvforge.plans.tuning import search
 
 # Feature lists (names as in the customer table).
 BASE_FEATURES = ["frequency", "recency", "T", "monetary_value", "total_revenue_obs",
@@ -104,71 +100,50 @@ def assemble(names: list[str]) -> Pipeline:
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)])
 
 
+def split_hash(col: str = S.CUST, seed: int = 42) -> "F.Column":
+    """A number below 2^31 that depends on all of id and seed: two rounds of multiply, add and shift."""
+    mask = (1 << 31) - 1
+    x = F.pmod(F.col(col).cast("bigint"), F.lit(1 << 31)).bitwiseXOR(F.lit((seed * 2654435761) & mask))
+    for shift, factor, add in ((16, 1103515245, 12345), (13, 22695477, 2531011)):
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+        x = (x * F.lit(factor) + F.lit(add)).bitwiseAND(F.lit(mask))
+    return x.bitwiseXOR(F.shiftright(x, 15))
+
+
 def split_train_validation(df: DataFrame, fraction: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Repeatable split by an arithmetic hash of the customer id
-    (independent of partitioning and of row order): the high digits of one
-    linear congruential step."""
-    step = (F.pmod(F.col(S.CUST).cast("bigint"), F.lit(1 << 31)) * 1103515245 + 12345 * seed) % (1 << 31)
-    h = F.floor(step * 10000 / (1 << 31)).cast("int")
-    cut = int(round(fraction * 10000))
-    return df.where(h >= cut), df.where(h < cut)
-
-
-def random_param_maps(gbt: GBTRegressor, trials: int = 20, seed: int = 42) -> list[dict]:
-    """J4 search space: trees 100–500, depth 3–10, rate .01–.3 (log), row
-    sampling .6–1, column sampling .6–1, minimum child 1–10."""
-    rng = np.random.default_rng(seed)
-    maps = []
-    for _ in range(trials):
-        col_frac = float(rng.uniform(0.6, 1.0))
-        maps.append({
-            gbt.maxIter: int(rng.integers(100, 501)),
-            gbt.maxDepth: int(rng.integers(3, 11)),
-            gbt.stepSize: float(np.exp(rng.uniform(np.log(0.01), np.log(0.3)))),
-            gbt.subsamplingRate: float(rng.uniform(0.6, 1.0)),
-            gbt.featureSubsetStrategy: f"{col_frac:.3f}",
-            gbt.minInstancesPerNode: int(rng.integers(1, 11)),
-        })
-    return maps
-
-
-def _training_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
-    """Cached rows in partitions of a useful size: boosting runs some job per
-    tree level, so a few thousand rows should not be spread over many tasks."""
-    return df.repartition(max(1, -(-df.count() // rows_per_task)), S.CUST).sortWithinPartitions(S.CUST)
-
-
-def tune_boosted(train: DataFrame, trials: int = 20, seed: int = 42,
-                 parallelism: int = 4) -> tuple[GBTRegressor, dict]:
-    """Random search minimising the MAE on the validation part of the J2
-    hash split, which does not depend on how the rows are partitioned."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, cacheNodeIds=True)
-    maps = random_param_maps(gbt, trials, seed)
+    """Repeatable split by a hash of the customer id and the seed, independent of partitioning
+    and row order; splits by different seeds are unrelated."""
+    limit = F.lit(int(round(fraction * (1 << 31))))
+    h = split_hash(seed=seed)
+    return df.where(h >= limit), df.where(h < limit)
+
+
+def tune_boosted(train: DataFrame, names: list[str], trials: int = 20, seed: int = 42,
+                 parallel: int = 4) -> tuple[BoostParams, list[tuple[dict, float]]]:
+    """Guided search for the least MAE on a validation part of ``train``; the best settings and
+    all trials. ``parallel`` trials run at once, each knowing the others' settings."""
     fit_rows, valid = split_train_validation(train, 0.2, seed + 1)
-    ev = RegressionEvaluator(labelCol=TARGET, metricName="mae")
-    fit_rows, valid = _training_rows(fit_rows).cache(), _training_rows(valid).cache()
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            maes = list(pool.map(lambda m: ev.evaluate(gbt.copy(m).fit(fit_rows).transform(valid)), maps))
-    finally:
-        fit_rows.unpersist()
-        valid.unpersist()
-    best = int(np.argmin(maes))
-    return gbt, {p.name: v for p, v in maps[best].items()}
+    rows = TrainingSet(fit_rows, names, TARGET, S.CUST, valid)
+    if not valid.take(1) or not fit_rows.take(1):
+        raise ValueError("too few rows to hold some out for the search")
+    tried = search(lambda many: rows.errors([BoostParams(seed=seed, **m) for m in many], parallel), trials, parallel, seed)
+    best = min(tried, key=lambda t: t[1])[0]
+    return BoostParams(seed=seed, **best), tried
+
 
+#: J5 without a search; J6 grows best-first to 31 leaves.
+MAIN = BoostParams(trees=300, depth=6, rate=0.05, rows=0.8, columns=0.8)
+ALT = BoostParams(trees=300, depth=6, rate=0.05, leaves=31, min_child=20, l2=0.0)
 
-def fit_boosted(train: DataFrame, params: dict | None = None, seed: int = 42) -> object:
-    """Main boosted regressor (default 300 trees, depth 6, rate .05)."""
-    p = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
-         "featureSubsetStrategy": "0.8"}
-    p.update(params or {})
-    return GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **p).fit(train)
 
+def fit_boosted(train: DataFrame, names: list[str], params: BoostParams = MAIN) -> BoostedModel:
+    """Main boosted regressor, level by level with second-order gains."""
+    return TrainingSet(train, names, TARGET, S.CUST).fit([params])[0]
 
-def fit_boosted_alt(train: DataFrame, trees: int = 300, seed: int = 42) -> object:
-    """Second booster, depth 6, rate .05."""
-    return GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, maxIter=trees,
-                        maxDepth=6, stepSize=0.05).fit(train)
+
+def fit_boosted_alt(train: DataFrame, names: list[str], params: BoostParams = ALT) -> BoostedModel:
+    """Second booster, leaf by leaf."""
+    return TrainingSet(train, names, TARGET, S.CUST).fit([params])[0]
 
 
 def fit_ridge(train: DataFrame, alpha: float = 1.0) -> object:
@@ -182,140 +157,154 @@ def fit_ridge(train: DataFrame, alpha: float = 1.0) -> object:
                             elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
 
 
-class LeafQuantileInterval:
-    """An 80 % interval from the target quantiles inside the leaves of a
-    regression tree (Spark's trees have no quantile loss)."""
-
-    def __init__(self, lower: float = 0.1, upper: float = 0.9, max_depth: int = 5,
-                 min_instances: int = 5, seed: int = 42):
-        self.lower, self.upper = lower, upper
-        self.tree = DecisionTreeRegressor(featuresCol="features", labelCol=TARGET, maxDepth=max_depth,
-                                          minInstancesPerNode=min_instances, seed=seed, leafCol="_leaf",
-                                          predictionCol="_tree_pred")
-        self.model = None
-        self.leaf_table = None
-
-    def fit(self, train: DataFrame) -> "LeafQuantileInterval":
-        self.model = self.tree.fit(train)
-        leaves = self.model.transform(train)
-        self.leaf_table = (leaves.groupBy("_leaf").agg(
-            F.percentile_approx(TARGET, [self.lower, self.upper], 10000).alias("_q"))
-            .select("_leaf", F.col("_q")[0].alias("pred_lower"), F.col("_q")[1].alias("pred_upper")))
+class QuantileInterval:
+    """An interval between two quantile-boosted models, widened or narrowed by one offset.
+
+    The offset is the level's quantile of how far rows that no model saw lie outside of the two
+    (negative inside), so that the share of targets within is right on such rows. It comes from a
+    part of the training rows, by the exact distributed quantile."""
+
+    def __init__(self, lower: float = 0.1, upper: float = 0.9, models: tuple | None = None, offset: float = 0.0):
+        self.lower, self.upper, self.models, self.offset = lower, upper, models, offset
+
+    def params(self, p: BoostParams) -> list[BoostParams]:
+        return [BoostParams(**{**vars(p), "loss": "quantile", "alpha": a, "min_child": max(p.min_child, 5)})
+                for a in (self.lower, self.upper)]
+
+    def fit(self, train: DataFrame, names: list[str], params: BoostParams = MAIN, held: float = 0.2) -> "QuantileInterval":
+        fit_rows, aside = split_train_validation(train, held, params.seed + 2)
+        self.models = tuple(TrainingSet(fit_rows, names, TARGET, S.CUST).fit(self.params(params)))
+        seen = self._both(aside)
+        out = F.greatest(F.col("pred_lower") - F.col(TARGET), F.col(TARGET) - F.col("pred_upper"))
+        row = quantile_row(seen.select(out.alias("_out")), "_out", self.upper - self.lower, "_q").first()
+        self.offset = float(row["_q"]) if row and row["_q"] is not None else 0.0
         return self
 
+    def _both(self, df: DataFrame) -> DataFrame:
+        return self.models[1].transform(self.models[0].transform(df, "pred_lower"), "pred_upper")
+
     def transform(self, df: DataFrame) -> DataFrame:
-        t = self.model.transform(df).drop("_tree_pred")
-        # one row per leaf (≤ 2^depth rows): bounded broadcast
-        return t.join(F.broadcast(self.leaf_table), "_leaf", "left").drop("_leaf")
+        both = self._both(df)
+        return (both.withColumn("pred_lower", F.col("pred_lower") - self.offset)
+                    .withColumn("pred_upper", F.col("pred_upper") + self.offset))
+
+    def save(self, spark, path: str) -> None:
+        for name, m in zip(("lower", "upper"), self.models):
+            m.save(spark, f"{path}/{name}")
+        spark.createDataFrame([(self.lower, self.upper, self.offset)],
+                              "lower double, upper double, offset double").write.mode("overwrite").parquet(f"{path}/offset")
+
+    @staticmethod
+    def load(spark, path: str) -> "QuantileInterval":
+        r = spark.read.parquet(f"{path}/offset").first()
+        both = tuple(BoostedModel.load(spark, f"{path}/{name}") for name in ("lower", "upper"))
+        return QuantileInterval(r["lower"], r["upper"], both, r["offset"])
+
+
+def fit_interval(train: DataFrame, names: list[str], lower: float = 0.1, upper: float = 0.9,
+                 params: BoostParams = MAIN) -> QuantileInterval:
+    """The interval between two quantiles of the target."""
+    return QuantileInterval(lower, upper).fit(train, names, params)
 
 
-def predict_interval(model, interval: LeafQuantileInterval, df: DataFrame) -> DataFrame:
+def predict_interval(model: BoostedModel, interval: QuantileInterval, df: DataFrame) -> DataFrame:
     """Point prediction with lower ≤ prediction ≤ upper."""
     p = interval.transform(model.transform(df))
     return (p.withColumn("pred_lower", F.least("pred_lower", "prediction"))
              .withColumn("pred_upper", F.greatest("pred_upper", "prediction")))
 
 
-def top_importance(model, names: list[str], n: int = 15) -> DataFrame:
-    """features by the booster's importance, largest first."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    imp = model.featureImportances.toArray().tolist()
-    rows = sorted(zip(names, imp), key=lambda t: (-t[1], t[0]))[:n]
+def top_importance(model: BoostedModel, spark, n: int = 15) -> DataFrame:
+    """features by their share of the booster's gain, largest first."""
+    rows = sorted(model.importance(), key=lambda t: (-t[1], t[0]))[:n]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_importance(model, prep: PipelineModel, df: DataFrame, names: list[str],
+def permutation_importance(model: BoostedModel, df: DataFrame, names: list[str],
                            permute: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """J10 (re-aimed SHAP summary): rise in MAE when one column is randomly
-    permuted, with the fitted feature pipeline ``prep``. The permutation pairs
-    the k-th row in customer order with the k-th row in a random order — both
-    global row numbers are distributed (no single-partition sort)."""
+    """J10, second view: rise in MAE when one column is randomly permuted. The permutation pairs the
+    k-th row in customer order with the k-th row in a random order; both global row numbers are
+    distributed (no single-partition sort)."""
     spark = df.sparkSession
-    ev = RegressionEvaluator(labelCol=TARGET, metricName="mae")
-    base = ev.evaluate(model.transform(prep.transform(df)))
+    error = lambda d: model.transform(d, "_p").agg(F.avg(F.abs(F.col("_p") - F.col(TARGET)))).first()[0]
+    base = error(df)
     columns = permute or names
     left = global_row_number(df, [S.CUST], "_rn")
     right = global_row_number(df.select(*[F.col(c).alias(f"_perm_{c}") for c in columns],
                                         F.xxhash64(F.col(S.CUST), F.lit(seed)).alias("_r"), S.CUST), ["_r", S.CUST], "_rn")
     paired = left.join(right.drop(S.CUST, "_r"), "_rn").drop("_rn").cache()  # one permutation serves all columns
-    rows = []
-    for c in columns:
-        permuted = paired.withColumn(c, F.col(f"_perm_{c}"))
-        mae = ev.evaluate(model.transform(prep.transform(permuted)))
-        rows.append((c, float(mae - base)))
+    rows = [(c, float(error(paired.withColumn(c, F.col(f"_perm_{c}"))) - base)) for c in columns]
     paired.unpersist()
     return spark.createDataFrame(sorted(rows, key=lambda t: -t[1]), "feature string, mae_increase double")
 
 
-def train_value_model(customers: DataFrame, num_trees: int = 300, tune_trials: int = 20,
-                      seed: int = 42, with_rfm: bool = False) -> dict:
-    """J1 → customers with holdout revenue → J2 → J3 → (J4) → J5, J6, J7
-    → J8 → metrics on the held-out split (K1, K2) → scored customers.
+def train_value_model(customers: DataFrame, tune_trials: int = 20, seed: int = 42, with_rfm: bool = False,
+                      params: BoostParams = MAIN, alt: BoostParams = ALT) -> dict:
+    """J1 → customers with holdout revenue → J2 → J4 → J5, J6, J7 (on J3) → J8 → metrics on
+    the held-out split (K1, K2, K3) → scored customers.
 
-    ``tune_trials=0`` skips the search and fits J5 with its defaults. The best
-    model is the one with the least MAE on the held-out split."""
+    ``tune_trials=0`` skips the search and takes ``params``. The best model is the one with the
+    least MAE on the held-out split."""
     preparer = FeaturePreparer(with_rfm).fit(customers)
     feats, names = preparer.transform(customers), preparer.names
-    labelled = feats.where(F.col(TARGET) > 0)
-    train, valid = split_train_validation(labelled, 0.2, seed)
-    prep: PipelineModel = assemble(names).fit(train)
-    tr, va = _training_rows(prep.transform(train)).cache(), _training_rows(prep.transform(valid)).cache()
+    train, valid = split_train_validation(feats.where(F.col(TARGET) > 0), 0.2, seed)
+    train, valid = train.cache(), valid.cache()
     try:
-        params = tune_boosted(tr, tune_trials, seed)[1] if tune_trials else None
-        main = fit_boosted(tr, params or {"maxIter": num_trees}, seed)
-        alt = fit_boosted_alt(tr, num_trees, seed)
-        ridge = fit_ridge(tr)
-        interval = LeafQuantileInterval(seed=seed).fit(tr)
-        metrics = {}
-        rows = []
-        for name, m in (("boosted", main), ("boosted_alt", alt), ("ridge", ridge)):
-            r = regression_metrics(m.transform(va), TARGET, "prediction").collect()[0].asDict()
+        trials: list[tuple[dict, float]] = []
+        if tune_trials:
+            params, trials = tune_boosted(train, names, tune_trials, seed)
+        main, second = TrainingSet(train, names, TARGET, S.CUST).fit([params, alt])
+        prep: PipelineModel = assemble(names).fit(train)
+        ridge = fit_ridge(prep.transform(train))
+        interval = fit_interval(train, names, params=params)
+        metrics, rows = {}, []
+        scored_by = {"boosted": main.transform(valid), "boosted_alt": second.transform(valid), "ridge": ridge.transform(prep.transform(valid))}
+        for name, p in scored_by.items():
+            r = regression_metrics(p, TARGET, "prediction").collect()[0].asDict()
             metrics[name] = r
             rows.append((name, float(r["mae"] or 0), float(r["rmse"] or 0), float(r["r2"] or 0),
                          float(r["mape"] or 0), int(r["n"])))
-        cov = interval_coverage(predict_interval(main, interval, va), TARGET, "pred_lower", "pred_upper")
+        cov = interval_coverage(predict_interval(main, interval, valid), TARGET, "pred_lower", "pred_upper")
         metrics["interval_coverage_80"] = cov.collect()[0]["coverage_pct"]
     finally:
-        tr.unpersist()
-        va.unpersist()
+        train.unpersist()
+        valid.unpersist()
     spark = customers.sparkSession
-    metrics_df = spark.createDataFrame(rows, "model string, mae double, rmse double, r2 double, "
-                                             "mape double, n long")
-    models = {"boosted": main, "boosted_alt": alt, "ridge": ridge, "interval": interval, "prep": prep,
-              "preparer": preparer}
+    metrics_df = spark.createDataFrame(rows, "model string, mae double, rmse double, r2 double, mape double, n long")
+    models = {"boosted": main, "boosted_alt": second, "ridge": ridge, "interval": interval, "prep": prep, "preparer": preparer}
     scored = customers.join(score_customers(models, customers), S.CUST, "left")
     return {"metrics": metrics, "metrics_df": metrics_df, "scored": scored,
-            "feature_importance": top_importance(main, names, len(names)),
-            "feature_names": names, "best_model": min(rows, key=lambda r: r[1])[0], "params": params,
+            "feature_importance": top_importance(main, spark, len(names)),
+            "feature_names": names, "best_model": min(rows, key=lambda r: r[1])[0], "params": params, "trials": trials,
             "models": models, "validation": valid}
 
 
+def model_predictions(models: dict, prepared: DataFrame) -> DataFrame:
+    """Prepared rows with one column a fitted model: boosted, boosted_alt, ridge."""
+    out = models["boosted_alt"].transform(models["boosted"].transform(prepared, "boosted"), "boosted_alt")
+    return models["ridge"].transform(models["prep"].transform(out)).withColumnRenamed("prediction", "ridge").drop("raw_features", "features")
+
+
 def score_customers(models: dict, customers: DataFrame) -> DataFrame:
     """Predictions with intervals for any customers, by fitted (or loaded) models."""
-    feats = models["prep"].transform(models["preparer"].transform(customers))
-    return predict_interval(models["boosted"], models["interval"], feats).select(
+    return predict_interval(models["boosted"], models["interval"], models["preparer"].transform(customers)).select(
         S.CUST, F.col("prediction").alias("ml_predicted_clv"), "pred_lower", "pred_upper")
 
 
 def save_models(spark, models: dict, best_model: str, path: str) -> None:
-    """All fitted parts under one folder: Spark ML writers, the interval's
-    leaf table, the country codes and the name of the best model."""
-    for name in ("boosted", "boosted_alt", "ridge", "prep"):
+    """All fitted parts under one folder: the boosters' and the interval's node tables, Spark ML
+    writers, the country codes and the name of the best model."""
+    for name in ("boosted", "boosted_alt", "interval"):
+        models[name].save(spark, f"{path}/{name}")
+    for name in ("ridge", "prep"):
         models[name].write().overwrite().save(f"{path}/{name}")
-    models["interval"].model.write().overwrite().save(f"{path}/interval_tree")
-    models["interval"].leaf_table.write.mode("overwrite").parquet(f"{path}/interval_leaves")
     models["preparer"].save(spark, f"{path}/preparer")
     spark.createDataFrame([(best_model,)], "best_model string").write.mode("overwrite").parquet(f"{path}/best_model")
 
 
 def load_models(spark, path: str) -> tuple[dict, str]:
     """The parts that ``save_models`` wrote, and the best model's name (Q16)."""
-    interval = LeafQuantileInterval()
-    interval.model = DecisionTreeRegressionModel.load(f"{path}/interval_tree")
-    interval.leaf_table = spark.read.parquet(f"{path}/interval_leaves")
-    models = {"boosted": GBTRegressionModel.load(f"{path}/boosted"),
-              "boosted_alt": GBTRegressionModel.load(f"{path}/boosted_alt"),
-              "ridge": LinearRegressionModel.load(f"{path}/ridge"), "prep": PipelineModel.load(f"{path}/prep"),
-              "interval": interval, "preparer": FeaturePreparer.load(spark, f"{path}/preparer")}
+    models = {"boosted": BoostedModel.load(spark, f"{path}/boosted"), "boosted_alt": BoostedModel.load(spark, f"{path}/boosted_alt"),
+              "interval": QuantileInterval.load(spark, f"{path}/interval"), "ridge": LinearRegressionModel.load(f"{path}/ridge"),
+              "prep": PipelineModel.load(f"{path}/prep"), "preparer": FeaturePreparer.load(spark, f"{path}/preparer")}
     return models, spark.read.parquet(f"{path}/best_model").first()[0]

@@ -4,6 +4,8 @@ parameters and run metadata (A1, A4–A7)."""
 from __future__ import annotations
 
 import json
+import uuid
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -56,34 +58,98 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
 OUTPUT_TABLES = ("customers", "rfm", "segment_stats", "feature_importance")
 
 
-def write_outputs(dfs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-                  mode: str = "overwrite", partition_segments: bool = False) -> None:
-    """A5: write each named table under ``out_dir/<name>``.
-
-    Customer-level tables may be partitioned by segment so target lists read
-    one segment only (partition pruning).
-    """
+POINTER = "current_run"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file context, Hadoop path) of a path, in whichever store it is."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _point_to(spark: SparkSession, out_dir: str, run: str) -> None:
+    """Writes the pointer beside its place and renames it over the old one, which is one step of the file system."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs
+    context, aside = _hadoop(spark, f"{out_dir}/{POINTER}.{run}")
+    flags = jvm.java.util.EnumSet.of(fs.CreateFlag.CREATE, fs.CreateFlag.OVERWRITE)
+    none = spark.sparkContext._gateway.new_array(fs.Options.CreateOpts, 0)
+    stream = context.create(aside, flags, none)
+    try:
+        stream.write(bytearray(run.encode()))
+    finally:
+        stream.close()
+    over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    over[0] = fs.Options.Rename.OVERWRITE
+    context.rename(aside, _hadoop(spark, f"{out_dir}/{POINTER}")[1], over)
+
+
+def current_run(spark: SparkSession, out_dir: str) -> str:
+    """The folder that the pointer names; ``out_dir`` itself where nothing was published."""
+    context, pointer = _hadoop(spark, f"{out_dir}/{POINTER}")
+    if not context.util().exists(pointer):
+        return out_dir
+    return f"{out_dir}/runs/{spark.read.text(f'{out_dir}/{POINTER}').first()[0]}"
+
+
+@contextmanager
+def publication(spark: SparkSession, out_dir: str, keep: int = 2):
+    """A new run folder to write to; when the block ends without error, readers see all of it at once.
+
+    Until then, and if the block fails, ``current_run`` gives the run before. Of published runs the last
+    ``keep`` stay; a failed run's folder is deleted."""
+    before = current_run(spark, out_dir)
+    run = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    folder = f"{out_dir}/runs/{run}"
+    try:
+        yield folder
+        _point_to(spark, out_dir, run)
+    except BaseException:
+        context, path = _hadoop(spark, folder)
+        context.delete(path, True)
+        raise
+    context, path = _hadoop(spark, f"{out_dir}/runs")
+    found = context.util().listStatus(path)
+    runs = sorted(f.getPath().getName() for f in found)
+    stay = {run, before.rsplit("/", 1)[-1], *runs[-keep:]}
+    for name in runs:
+        if name not in stay and name < run:
+            context.delete(_hadoop(spark, f"{out_dir}/runs/{name}")[1], True)
+
+
+def write_tables(dfs: dict[str, DataFrame], folder: str, fmt: str = "parquet", partition_segments: bool = False) -> None:
+    """Each named table under ``folder/<name>``; customer-level tables may be partitioned by segment so
+    that target lists read one segment only (partition pruning)."""
     for name, df in dfs.items():
-        w = df.write.mode(mode)
+        w = df.write.mode("overwrite")
         if partition_segments and "segment" in df.columns and name in ("customers", "rfm"):
             w = w.partitionBy("segment")
         if fmt == "csv":
-            w.option("header", True).csv(f"{out_dir}/{name}")
+            w.option("header", True).csv(f"{folder}/{name}")
         else:
-            w.format(fmt).save(f"{out_dir}/{name}")
+            w.format(fmt).save(f"{folder}/{name}")
+
+
+def write_outputs(dfs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", partition_segments: bool = False) -> None:
+    """A5: write all named tables as one publication: readers see the old set or the new one, never parts of both."""
+    spark = next(iter(dfs.values())).sparkSession
+    with publication(spark, out_dir) as folder:
+        write_tables(dfs, folder, fmt, partition_segments)
 
 
 def read_customer_outputs(spark: SparkSession, out_dir: str, fmt: str = "parquet",
                           names=OUTPUT_TABLES) -> dict[str, DataFrame]:
-    """A4: read saved tables back; absent ones are skipped, anything else that
+    """A4: read the published tables back; absent ones are skipped, anything else that
     keeps a table from being read is an error."""
     out = {}
+    folder = current_run(spark, out_dir)
     for name in names:
         try:
             r = spark.read
             if fmt == "csv":
                 r = r.option("header", True).option("inferSchema", True)
-            out[name] = r.format(fmt).load(f"{out_dir}/{name}")
+            out[name] = r.format(fmt).load(f"{folder}/{name}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise

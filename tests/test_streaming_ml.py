@@ -26,30 +26,9 @@ def test_stream_scores_every_request(spark, sf_small):
     assert a == b
 
 
-def test_value_model_interval_order(spark, sf_small):
-    from clvforge.plans.ml import train_value_model
-    cust = customer_table(clean(spark, sf_small))[0]
-    out = train_value_model(cust, num_trees=10, tune_trials=0)
-    s = out["scored"].where(F.col("ml_predicted_clv").isNotNull())
-    assert s.where((F.col("pred_lower") > F.col("ml_predicted_clv")) |
-                   (F.col("ml_predicted_clv") > F.col("pred_upper"))).count() == 0
-    assert out["feature_importance"].count() == len(out["feature_names"])
-    assert set(out["metrics"]) >= {"boosted", "boosted_alt", "ridge", "interval_coverage_80"}
-
-
-def test_permutation_importance(spark, sf_small):
-    from clvforge.plans.ml import permutation_importance, train_value_model
-    cust = customer_table(clean(spark, sf_small))[0]
-    out = train_value_model(cust, num_trees=5, tune_trials=0)
-    m = out["models"]
-    imp = permutation_importance(m["boosted"], m["prep"], out["validation"], out["feature_names"],
-                                 permute=["total_revenue_obs", "country_encoded_num"]).collect()
-    assert len(imp) == 2 and all(r.mae_increase == r.mae_increase for r in imp)
-
-
 def test_end_to_end_run_writes_and_reads_outputs(spark, sf_small):
     from clvforge.plans.composite import run_pipeline
-    from clvforge.sources.io import load_params, read_customer_outputs
+    from clvforge.sources.io import current_run, load_params, read_customer_outputs
     from clvforge.sources.star import transactions_from_star
     out_dir = tempfile.mkdtemp(prefix="clvforge-out-")
     res = run_pipeline(transactions_from_star(spark, sf_small), out_dir=out_dir, fit=True,
@@ -57,7 +36,7 @@ def test_end_to_end_run_writes_and_reads_outputs(spark, sf_small):
     back = read_customer_outputs(spark, out_dir)
     assert set(back) >= {"customers", "rfm", "segment_stats"}
     assert back["customers"].count() == res["customers"].count()
-    bg = load_params(spark, f"{out_dir}/params_bgnbd", "bgnbd")
+    bg = load_params(spark, f"{current_run(spark, out_dir)}/params_bgnbd", "bgnbd")
     assert set(bg) == {"r", "alpha", "a", "b"} and all(v > 0 for v in bg.values())
     seg_total = back["segment_stats"].agg(F.sum("customer_count")).first()[0]
     assert seg_total == back["rfm"].count()
