@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clvforge.llm.common import table
 from clvforge.llm.exact_dedup import content_sort_dedup
 from clvforge.llm.licences import scan_licences
-from clvforge.llm.line_chunks import drop_shared_runs
+from clvforge.llm.line_chunks import drop_repeated_chunks
 from clvforge.llm.mixing import mix
 from clvforge.llm.negatives import mine_negatives
 from clvforge.llm.pieces import encode_documents
@@ -40,7 +40,9 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("changed"),
+                      F.expr("make_valid_utf8(cast(kept as string))").alias("kept"))
 
 
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_shared_runs(table(spark, sf_dir, "documents"), keep_text=False)
+    return drop_repeated_chunks(table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

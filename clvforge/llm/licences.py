@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +21,23 @@ NAMES = {
     "BSD-2-Clause": ["2-clause bsd license", "bsd 2-clause license", "simplified bsd license"],
     "BSD-3-Clause": ["3-clause bsd license", "bsd 3-clause license", "new bsd license", "modified bsd license"],
     "ISC": ["isc license"],
-    "Zlib": ["zlib license"],
+    "Zlib": ["zlib license", "zlib/libpng license"],
+    "BSL-1.0": ["boost software license, version 1.0", "boost software license version 1.0", "boost software license 1.0",
+                "boost software license - version 1.0 - august 17th, 2003", "boost software license, version 1.0."],
+    "WTFPL": ["wtfpl", "wtfpl license", "wtfpl, version 2", "do what the fuck you want to public license",
+              "do what the fuck you want to public license, version 2"],
+    "Unlicense": ["unlicense", "unlicense license"],
     "CC0-1.0": ["cc0 1.0 universal license", "cc0 1.0 universal", "cc0 license"],
     "CC-BY-4.0": ["cc by 4.0", "creative commons attribution 4.0 international license"],
     "CC-BY-SA-4.0": ["cc by-sa 4.0", "creative commons attribution-sharealike 4.0 international license"],
     "CC-BY-NC-4.0": ["cc by-nc 4.0", "creative commons attribution-noncommercial 4.0 international license"],
     "CC-BY-ND-4.0": ["cc by-nd 4.0", "creative commons attribution-noderivatives 4.0 international license"],
 }
-#: Phrases that name a licence; each is tried with and without "the".
-PHRASES = ["licensed under {}", "released under {}", "distributed under {}", "this work is licensed under {}",
-           "this project is licensed under {}", "this software is licensed under {}", "this file is licensed under {}",
-           "this work is licensed under the terms of {}", "this project is licensed under the terms of {}",
-           "this program is released under {}", "code released under {}"]
+#: How a sentence names a licence: what it speaks of, what is said, and the name at its end.
+PHRASE = (r"^(?:(?:this|the|our|all|its) (?:work|project|software|file|program|library|code|source code|package|document|content|data)s? "
+          r"(?:is|are) |(?:use of )?(?:this |the )?(?:source )?code (?:is )?|it is |they are )?(?:also |now )?"
+          r"(?:licen[sc]ed|released|distributed|made available|available|provided|published|covered|governed)(?: to you)? (?:under|by) "
+          r"(?:the )?(?:terms of |terms and conditions of )?(?:the |a |an )?(.{3,100})$")
 #: Sentences of licence texts and notices, by sentence identifier.
 SENTENCES = {
     "mit-grant": "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions",
@@ -60,7 +67,34 @@ SENTENCES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "public-domain": "this work is in the public domain",
     "all-rights": "all rights reserved",
+    "zlib-as-is": "this software is provided as-is, without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-grant": "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the software) to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following",
+    "wtfpl-grant": "you just do what the fuck you want to",
+    "wtfpl-title": "do what the fuck you want to public license",
+    "unlicense-grant": "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "apache-title": "apache license",
+    "apache-version": "version 2.0, january 2004",
+    "apache-copyright": "subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare derivative works of, publicly display, publicly perform, sublicense, and distribute the work and such derivative works in source or object form",
+    "gpl-title": "gnu general public license",
+    "lgpl-title": "gnu lesser general public license",
+    "agpl-title": "gnu affero general public license",
+    "gnu-v2-text": "version 2, june 1991",
+    "gnu-v21-text": "version 2.1, february 1999",
+    "gnu-v3-text": "version 3, 29 june 2007",
+    "agpl-v3-text": "version 3, 19 november 2007",
+    "gnu-verbatim": "everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "cc0-text": "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law",
+    **{f"cc-link:CC-{k.upper()}-4.0": f"to view a copy of this license, visit http://creativecommons.org/licenses/{k}/4.0"
+       for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")},
 }
+#: Sentences with a name in them, as patterns of their normalised form, and what they are read as.
+WITH_NAMES = [
+    (r"^neither the names? of .{1,300} may be used to endorse or promote products derived from this software without (?:specific )?prior written permission$", "bsd-endorse"),
+    (r"^the names? of .{1,300} may not be used to endorse or promote products derived from this software without (?:specific )?prior written permission$", "bsd-endorse"),
+    (r"^this software is provided by .{1,300} as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed$", "bsd-as-is"),
+]
 _SUBJECTS = ["this program", "this library", "this file", "this software", "this package", "it"]
 _GNU = {"GPL": ("gpl-grant-2", "general", ("2", "3")), "LGPL": ("lgpl-grant", "lesser general", ("2.1", "3")),
         "AGPL": ("agpl-grant", "affero general", ("3",))}
@@ -109,7 +143,22 @@ RULES = [
     ("MIT", ["mit-grant"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-endorse"]),
     ("BSD", ["bsd-grant"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("WTFPL", ["wtfpl-title", "wtfpl-grant"]),
+    ("WTFPL", ["wtfpl-grant"]),
+    ("WTFPL", ["wtfpl-title"]),
+    ("Apache-2.0", ["apache-title", "apache-version", "apache-copyright"]),
+    ("Apache-2.0", ["apache-title", "apache-version"]),
+    ("Apache-2.0", ["apache-copyright"]),
+    ("GPL-2.0", ["gpl-title", "gnu-v2-text"]),
+    ("GPL-3.0", ["gpl-title", "gnu-v3-text"]),
+    ("LGPL-2.1", ["lgpl-title", "gnu-v21-text"]),
+    ("LGPL-3.0", ["lgpl-title", "gnu-v3-text"]),
+    ("AGPL-3.0", ["agpl-title", "agpl-v3-text"]),
     ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache-grant", "apache-use", "apache-copy", "apache-as-is"]),
     ("Apache-2.0", ["apache-grant", "apache-use"]),
@@ -128,25 +177,28 @@ RULES = [
     ("GPL", ["gpl-free", "gpl-grant-2"]),
     *[(name, [*free, grant]) for name, (grant, _, _) in _GNU.items() for free in (["gpl-free"], []) if not (name == "GPL" and free)],
     ("MPL-2.0", ["mpl-notice"]),
+    ("Unlicense", ["unlicense", "unlicense-grant"]),
     ("Unlicense", ["unlicense"]),
+    ("Unlicense", ["unlicense-grant"]),
+    ("CC0-1.0", ["cc0-text"]),
+    *[(f"CC-{k}-4.0", [f"cc-link:CC-{k}-4.0"]) for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
     ("Public-Domain", ["public-domain"]),
     ("All-Rights-Reserved", ["all-rights"]),
     *[(i, [f"spdx:{i}"]) for i in SPDX_IDS],
 ]
 #: Every known sentence holds one of these, so texts and sentences without any are done at once.
-ANCHORS = "|".join(["licen[sc]", "permission", "redistribut", "warrant", "gpl-"] + [
+ANCHORS = "|".join(["licen[sc]", "permission", "redistribut", "warrant", "gpl-", "wtfpl", "what the fuck you", "anyone is free to",
+                    r"version\s+[0-9.]+,\s+(?:[0-9]{1,2}\s+)?(?:january|february|june|november|december)\s"] + [
     a + r"[\s/*#>|;%\-\"'`]+" + b for a, b in (("public", "domain"), ("rights", "reserved"), ("free", "software"), ("gpl", "v"),
                                           ("cc0", "1\\."), ("cc", "by"))])
 
 
 def sentence_table() -> dict[str, str]:
-    """Normalised sentence to identifier: the fixed sentences, and each phrase with each licence name."""
+    """Normalised sentence to identifier: the fixed sentences, and each licence name, alone and after a phrase."""
     table = {s: i for i, s in SENTENCES.items()} | _variants()
     for licence, names in NAMES.items():
         for name in names:
-            for phrase in PHRASES:
-                for article in ("", "the ", "a "):
-                    table.setdefault(phrase.format(article + name), f"named:{licence}")
+            table.setdefault(f"under {name}", f"named:{licence}")
             table.setdefault(name, f"title:{licence}")
     return table
 
@@ -161,7 +213,10 @@ def _normalised(sentence) -> F.Column:
     s = F.regexp_replace(s, "[\"'`“”‘’]", "")
     s = F.regexp_replace(s, r"^[\s\-;(]*(?:\d+\.|\([a-z]\))?\s*|[\s.!?:;,]+$", "")
     s = F.regexp_replace(s, r"^(?:copyright|\(c\)|©).*\ball rights reserved$", "all rights reserved")
-    return F.trim(F.regexp_replace(s, "https?: ?", "http:"))
+    s = F.trim(F.regexp_replace(s, "https?: ?", "http:"))
+    for pattern, sentence in WITH_NAMES:
+        s = F.regexp_replace(s, pattern, SENTENCES[sentence])
+    return F.when(s.startswith("licensed under the apache license, version 2.0 ("), s).otherwise(F.regexp_replace(s, PHRASE, "under $1"))
 
 
 def _bare(text) -> F.Column:
@@ -171,12 +226,12 @@ def _bare(text) -> F.Column:
     t = F.regexp_replace(t, r"(?mi)^([ \t]*(?:copyright\s+(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved\.?[ \t]*\r?$).*)$", "\n$1\n\n")
     t = F.regexp_replace(t, r"(?i)(license at)\s+(?=https?:)", "$1 ")
     t = F.regexp_replace(t, r"\b([vV])\.\s+(?=[0-9])", "$1.")
+    t = F.regexp_replace(t, r"\b(Inc|INC|Ltd|LTD|Corp|CORP|Co|CO)\.(\s+)(?=[a-z]|NOR |AND |OR |MAY )", "$1$2")
     return F.regexp_replace(t, r"(?i)SPDX-License-Identifier\s*:[ \t]*(\S[^\n]*)", f"\n\n{SPDX}$1\n\n")
 
 
 def _key(sentence: str) -> str:
     """What ``_normalised`` makes of a table sentence: slashes are spaces, and web addresses lose theirs."""
-    import re
     s = re.sub(r"[\s/*#>|]+", " ", sentence.lower())
     return re.sub("https?: ?", "http:", re.sub(r"\bv\. (?=[0-9])", "v.", s)).strip()
 
@@ -184,18 +239,20 @@ def _key(sentence: str) -> str:
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licences, sentences, leftover) for each document.
 
-    Comment marks at line starts are taken off first, and SPDX lines name their identifiers. Texts are split twice into sentences: at line ends and sentence ends, and, for wrapped licence
-    texts, at blank lines and sentence ends only. Sentences are normalised (case, white space,
-    comment marks, quotes, numbering, closing marks) and mapped to identifiers. The identifiers in
+    Comment marks at line starts are taken off first, and SPDX lines name their identifiers. Texts are
+    split twice into sentences: at line ends and sentence ends, and, for wrapped licence texts, at
+    blank lines and sentence ends only. Sentences are normalised (case, white space, comment marks,
+    quotes, numbering, closing marks, the names of holders) and mapped to identifiers. The identifiers in
     order are matched against the ordered rules; a rule takes away the run that it matches, so that
     a shorter rule doesn't match again. All-Rights-Reserved is given only without another licence, since
     licence texts say it too. ``licences`` are sorted and distinct, ``sentences`` the
     identifiers found (line split first), ``leftover`` those that no rule took. All that is one
-    expression a row: no shuffle. Null and empty texts have empty arrays; repeated rows give a row
+    expression a row: no shuffle, a very long text being one value. Null and empty texts have empty arrays; repeated rows give a row
     each; an empty table gives none.
     """
     known = {_key(s): i for s, i in sentence_table().items()}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    named = lambda s: F.try_element_at(table, s)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ends = r"(?<=[.!?:;])\s+"
 
@@ -203,9 +260,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         likely = F.filter(F.split("_text", split), lambda s: F.lower(s).rlike(ANCHORS))
         found = F.flatten(F.transform(likely, lambda s: F.when(
             F.startswith(s, F.lit(SPDX)),  # an expression of identifiers, of which WITH adds exceptions that have none
-            F.transform(F.split(F.substring(s, len(SPDX) + 1, 1000), r"[^A-Za-z0-9.+\-]+"),
-                        lambda i: F.try_element_at(table, F.concat(F.lit(SPDX), F.lower(i))))
-        ).otherwise(F.array(F.try_element_at(table, _normalised(s))))))
+            F.transform(F.split(F.substring(s, len(SPDX) + 1, 2 ** 31 - 1), r"[^A-Za-z0-9.+\-]+"),
+                        lambda i: named(F.concat(F.lit(SPDX), F.lower(i))))
+        ).otherwise(F.array(named(_normalised(s))))))
         return F.filter(found, lambda i: i.isNotNull())
 
     rule_array = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(";" + ";;".join(run) + ";").alias("run"))

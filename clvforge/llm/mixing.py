@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clvforge.llm.common import cut
+from clvforge.llm.common import cut, join_lookup
+from clvforge.operators.ranks import global_row_number
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,37 +17,30 @@ def word_count(text) -> F.Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
 
 
-def capped_targets(sizes: list[float], weights: list[float], most: float) -> list[float]:
-    """Shares of the total size by weight, none above ``most`` times its size; excess is reshared by weight."""
-    total, target = float(sum(sizes)), [0.0] * len(sizes)
-    free = [i for i, s in enumerate(sizes) if s > 0]
-    left = total
-    while free:
-        share = left / sum(weights[i] for i in free)
-        over = [i for i in free if weights[i] * share > most * sizes[i]]
-        if not over:
-            for i in free:
-                target[i] = weights[i] * share
-            break
-        for i in over:
-            target[i] = most * sizes[i]
-            left -= target[i]
-        free = [i for i in free if i not in set(over)]
-    return target
-
-
 def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
-    Sources are ordered by code point, null last, and weigh ``cycle``, repeating. One row per source
-    reaches the driver; the sums behind it are Spark's.
+    Sources are ordered by code point, null last, and weigh ``cycle``, repeating. They share the total
+    size by weight, none above ``most`` times its size; what is left over is shared again by weight
+    among the others, until none is above. Sources may be as many as documents: they are numbered by
+    a distributed sort, and each round is one aggregation, of which the driver sees two sums.
     """
-    spark = sizes.sparkSession
-    per = (sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-           .orderBy(F.asc_nulls_last("source")).collect())
-    target = capped_targets([r["source_size"] for r in per], [cycle[i % len(cycle)] for i in range(len(per))], most)
-    return spark.createDataFrame([(r["source"], r["source_size"], t) for r, t in zip(per, target)],
-                                 "source string, source_size long, target double")
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull().cast("int"))
+    order = global_row_number(per, ["none", "source"], "place")
+    weight = F.element_at(F.array(*[F.lit(float(c)) for c in cycle]), (F.pmod(F.col("place") - 1, F.lit(len(cycle))) + 1).cast("int"))
+    sources = cut(order.select("source", "source_size", weight.alias("weight")))
+    free = sources.filter("source_size > 0")
+    bound = F.col("source_size") * most
+    total, weights = free.agg(F.sum("source_size"), F.sum("weight")).first()
+    share, capped = (total / weights if weights else 0.0), -1
+    while weights:
+        over = F.col("weight") * share > bound
+        n, taken, left = free.agg(F.sum(over.cast("long")), F.sum(F.when(over, bound)), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == capped or not left:
+            break
+        share, capped = (total - (taken or 0.0)) / left, n
+    target = F.when(F.col("source_size") > 0, F.least(F.col("weight") * F.lit(float(share)), bound.cast("double"))).otherwise(F.lit(0.0))
+    return cut(sources.select("source", "source_size", target.alias("target")))
 
 
 def _rate(tilt, x, most: float):
@@ -54,61 +48,48 @@ def _rate(tilt, x, most: float):
     return F.lit(most) / (F.lit(1.0) + F.lit(most - 1.0) * F.exp(-F.least(F.lit(700.0), F.greatest(F.lit(-700.0), tilt * x))))
 
 
-def tilts(strata: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int = 60, close: float = 1e-9) -> DataFrame:
+def tilts(strata: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int = 300, close: float = 1e-9) -> DataFrame:
     """(source, unit, tilt): distributed Newton iterations on the dual of the entropy balancing problem.
 
     strata: (source, size, n). The rate of a document of size s is ``most / (1 + (most - 1) *
     exp(-tilt * s / unit))``, the rate nearest to 1 in (bounded) relative entropy for which the
     source's expected size is its target. The dual is convex and separable, one tilt a source;
-    each round sums gradient and curvature of all sources in one aggregation and takes a Newton step
-    inside the bracket that the signs of the gradients have left. ``unit`` is the source's mean
-    size, so that a tilt near 1 is a strong one. A target at the bound gives all documents the bound.
+    each round sums gradient and curvature of all open sources in one aggregation and takes a Newton
+    step inside the bracket that the signs of the gradients have left, else halves it. ``unit`` is
+    the source's mean size, so that a tilt near 1 is a strong one. A target at the bound gives all
+    documents the bound. Tilts and brackets are a table that Spark updates; a source that has not
+    reached its target within ``rounds`` is an error.
     """
     unit = strata.filter("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("unit"))
-    base = (targets.alias("t").join(unit.alias("u"), F.expr("t.source <=> u.source"))
-            .select("t.source", "source_size", "target", "unit"))
-    spark = strata.sparkSession
-    known = {r["source"]: r for r in base.collect()}
-    now = {s: 0.0 for s in known}
-    low, high = {s: -np.inf for s in known}, {s: np.inf for s in known}
-    open_ = set(known)
-    for s, r in known.items():
-        if r["target"] >= most * r["source_size"] * (1 - 1e-12):
-            now[s] = np.inf
-            open_.discard(s)
-        elif r["target"] <= 0:
-            now[s] = -np.inf
-            open_.discard(s)
+    wide, full = F.lit(float("inf")), F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    state = cut(targets.alias("t").join(unit.alias("u"), F.expr("t.source <=> u.source")).select(
+        "t.source", "source_size", "target", "unit",
+        F.when(full, 1e6).when(F.col("target") <= 0, -1e6).otherwise(0.0).alias("tilt"),
+        (-wide).alias("low"), wide.alias("high"), (~full & (F.col("target") > 0)).alias("open")))
+    x, gap = F.col("size") / F.col("unit"), F.col("got") - F.col("target")
+    rate = _rate(F.col("tilt"), x, most)
     for _ in range(rounds):
-        if not open_:
-            break
-        step = spark.createDataFrame([(s, float(now[s]), float(known[s]["unit"])) for s in open_],
-                                     "source string, tilt double, unit double")
-        x = F.col("size") / F.col("unit")
-        rate = _rate(F.col("tilt"), x, most)
-        sums = (strata.alias("h").join(F.broadcast(step).alias("l"), F.expr("h.source <=> l.source"))
+        if not state.filter("open").take(1):
+            return state.select("source", "unit", "tilt")
+        sums = (strata.alias("h").join(state.filter("open").alias("l"), F.expr("h.source <=> l.source"))
                 .groupBy("l.source").agg(F.sum(F.col("n") * F.col("size") * rate).alias("got"),
                                          F.sum(F.col("n") * F.col("size") * x * rate * (1 - rate / most)).alias("slope")))
-        for r in sums.collect():
-            s, gap = r["source"], r["got"] - known[r["source"]]["target"]
-            if abs(gap) <= close * known[s]["source_size"]:
-                open_.discard(s)
-                continue
-            if gap > 0:
-                high[s] = now[s]
-            else:
-                low[s] = now[s]
-            new = now[s] - gap / r["slope"] if r["slope"] > 0 else np.nan
-            if not low[s] < new < high[s]:
-                if np.isinf(low[s]) or np.isinf(high[s]):
-                    new = now[s] + (4.0 if gap < 0 else -4.0) * (1 + abs(now[s]))
-                else:
-                    new = (low[s] + high[s]) / 2
-            if new == now[s]:
-                open_.discard(s)
-            now[s] = new
-    return spark.createDataFrame([(s, float(known[s]["unit"]), float(np.clip(now[s], -1e6, 1e6))) for s in known],
-                                 "source string, unit double, tilt double")
+        known = state.alias("s").join(sums.alias("g"), F.expr("s.source <=> g.source"), "left").select("s.*", "got", "slope")
+        known = known.withColumn("met", F.abs(gap) <= close * F.col("source_size"))
+        known = known.withColumn("low", F.when(gap <= 0, F.col("tilt")).otherwise(F.col("low"))).withColumn(
+            "high", F.when(gap > 0, F.col("tilt")).otherwise(F.col("high")))
+        newton = F.when(F.col("slope") > 0, F.col("tilt") - gap / F.col("slope"))
+        unbounded = (F.col("low") == -wide) | (F.col("high") == wide)
+        outward = F.col("tilt") + F.when(gap < 0, 4.0).otherwise(-4.0) * (1 + F.abs("tilt"))
+        step = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).when(unbounded, outward).otherwise(
+            (F.col("low") + F.col("high")) / 2)
+        moved = known.withColumn("next", F.when(F.col("met"), F.col("tilt")).otherwise(step))
+        go_on = F.col("open") & ~F.col("met") & (F.col("next") != F.col("tilt"))
+        state = cut(moved.select(
+            "source", "source_size", "target", "unit",
+            F.when(F.col("open"), F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.col("next")))).otherwise(F.col("tilt")).alias("tilt"),
+            "low", "high", F.coalesce(go_on, F.lit(False)).alias("open")))
+    raise RuntimeError(f"some sources have not reached their targets in {rounds} rounds")
 
 
 def _round_strata(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,15 +141,13 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: int =
     targets = source_targets(strata.select("source", (F.col("size") * F.col("n")).alias("size")), cycle, float(most))
     tilt = tilts(strata, targets, float(most))
     rate = F.coalesce(_rate(F.col("tilt"), F.col("size") / F.col("unit"), float(most)), F.lit(1.0))
-    rated = strata.alias("h").join(F.broadcast(tilt).alias("t"), F.expr("h.source <=> t.source"), "left").select(
+    rated = strata.alias("h").join(tilt.alias("t"), F.expr("h.source <=> t.source"), "left").select(
         "h.source", "size", "n", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate).alias("rate"))
     parts = rated.select("source", "size", "n", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("part"))
     rounded = cut(parts.groupBy("source").applyInPandas(
         _round_strata, "source string, size long, n long, base long, extra long"))
-    same = "d.source <=> r.source AND d.size = r.size"
-    celled = (sized.alias("d").join(rounded.alias("r"), F.expr(same))
-              .select("doc_id", "d.source", "d.size", "n", "base", "extra",
-                      F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / cell)).alias("cell")))
+    celled = join_lookup(sized, rounded, ["source", "size"]).select(
+        "doc_id", "source", "size", "n", "base", "extra", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / cell)).alias("cell"))
     in_cell = celled.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"),
                                                            F.first("extra").alias("extra"))
     upto = Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -181,16 +160,25 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: int =
               .join(dealt.alias("k"), F.expr("c.source <=> k.source AND c.size = k.size AND c.cell = k.cell")))
     copies = (F.col("base") + (F.col("rank") <= F.col("share")).cast("long")).alias("copies")
     picked = chosen.select("doc_id", F.col("c.source").alias("source"), F.col("c.size").alias("size"), copies)
-    return (picked.alias("p").join(F.broadcast(targets).alias("t"), F.expr("p.source <=> t.source"))
+    return (picked.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source"))
             .select("doc_id", "p.source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Each document as often as the mix takes it, with the columns of ``docs``."""
-    count = mixed.filter("copies > 0").groupBy("doc_id").agg(
-        F.sum("copies").alias("c"), F.count(F.lit(1)).alias("rows"))
-    taken = docs.alias("d").join(count.alias("m"), F.expr(f"d.`{id_col}` <=> m.doc_id"))
-    per_row = F.greatest(F.lit(0), F.ceil(F.col("m.c") / F.col("m.rows"))).cast("int")
-    return (taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), per_row)))
-            .select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns]))
+    """Each document as often as the mix takes it, with the columns of ``docs``.
+
+    Rows that share an id have together just as many copies as the mix takes of that id, dealt to
+    them as evenly as may be, in the order of their texts' hashes; only such rows are numbered.
+    """
+    count = cut(mixed.groupBy("doc_id").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_r")))
+    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    told = packed.join(count.filter("_c > 0"), F.expr("_id <=> doc_id"))
+    several = told.filter("_r > 1").select("_id", "_row", "_c", "_r", F.xxhash64("_row").alias("_h"))
+    placed = global_row_number(several.withColumn("_none", F.col("_id").isNull().cast("int")), ["_none", "_id", "_h"], "_k")
+    start = placed.groupBy("_id").agg(F.min("_k").alias("_first"))
+    at = F.col("p._k") - F.col("s._first")
+    upto = lambda k: F.floor(k * F.col("p._c") / F.col("p._r"))
+    dealt = placed.alias("p").join(start.alias("s"), F.expr("p._id <=> s._id")).select("p._row", (upto(at + 1) - upto(at)).alias("_n"))
+    copies = told.filter("_r = 1").select("_row", F.col("_c").alias("_n")).unionByName(dealt).filter("_n > 0")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")

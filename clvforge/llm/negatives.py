@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clvforge.llm.common import cut, shuffle_partitions
+from clvforge.llm.vectors import pack_vectors, products
 
 _NONE = np.iinfo(np.int64).min
 _SIGN = np.uint64(1 << 63)
@@ -18,44 +19,6 @@ _SIGN = np.uint64(1 << 63)
 _AT_ONCE = 1 << 20
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows of ``a`` with all rows of ``b``, exact, or an error beyond 63 bits."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2.0 ** 52:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if most < 2.0 ** 62:
-        return a @ b.T
-    exact = a.astype(object) @ b.T.astype(object)
-    if exact.size and not -(1 << 62) < min(exact.flat) <= max(exact.flat) < 1 << 62:
-        raise OverflowError("an inner product is beyond 62 bits; use a smaller scale")
-    return exact.astype(np.int64)
-
-
-def pack_vectors(rows: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, label, v) to (vec_id, label, dim, vec): floor(scale * x) as little-endian 64-bit integers.
-
-    Null ids, labels, vectors and vectors with a null or non-finite component go; a component whose
-    integer is beyond 62 bits is an error.
-    """
-    whole = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL").filter(
-        ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(2)
-            x = np.floor(v.flatten().to_numpy(zero_copy_only=False) * float(scale))
-            if (np.abs(x) >= 2.0 ** 62).any():
-                raise OverflowError("a scaled component is beyond 62 bits; use a smaller scale")
-            n = v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
-            offsets = np.concatenate(([0], np.cumsum(n, dtype=np.int64) * 8)).astype(np.int64)
-            packed = pa.Array.from_buffers(pa.large_binary(), len(n), [
-                None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.astype("<i8").tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), packed.cast(pa.binary())],
-                                             names=["vec_id", "label", "dim", "vec"])
-
-    return whole.mapInArrow(run, "vec_id long, label long, dim int, vec binary")
-
-
 def _unpack(column: pa.Array, dim: int) -> np.ndarray:
     blob = b"".join(column.to_pylist())
     return np.frombuffer(blob, "<i8").reshape(len(column), dim) if dim else np.zeros((len(column), 0), np.int64)

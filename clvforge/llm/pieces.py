@@ -31,7 +31,7 @@ class PieceCodec:
     all pieces never merges. Text is cut at both, and segments are remembered between texts.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 100_000, pairs: int = 200_000):
         import ahocorasick
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,7 +70,7 @@ class PieceCodec:
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}  # segments met lately, and those met before them
         self.older: dict[str, bytes] = {}
-        self.remembered = remembered
+        self.remembered, self.pairs = remembered, pairs
 
     def apart(self, left: str, right: str) -> bool:
         """Merge the joint text, best score first and leftmost among equals: are the two pieces what is left?"""
@@ -91,7 +91,7 @@ class PieceCodec:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging the two pieces' text again gives the two pieces."""
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > self.pairs:
             self.fits.clear()
         ok = self.fits[left, right] = self.apart(left, right)
         return ok
@@ -143,20 +143,26 @@ class PieceCodec:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text with begin and end ids, as little-endian 32-bit integers."""
-        known, out = self.known, [self.bos.to_bytes(4, "little")]
-        if text:
-            for s in self.segments(SPACE + text.replace(" ", SPACE)):
-                ids = known.get(s)
-                if ids is None:
-                    ids = self.older.get(s) or self.segment(s)
-                    if len(s) <= 64:
-                        if len(known) >= self.remembered:
-                            self.older, self.known = known, {}
-                            known = self.known
-                        known[s] = ids
-                out.append(ids)
-        out.append(self.eos.to_bytes(4, "little"))
-        return b"".join(out)
+        segments = self.segments(SPACE + text.replace(" ", SPACE)) if text else []
+        ids = list(map(self.known.get, segments))
+        try:
+            body = b"".join(ids)
+        except TypeError:  # some are not remembered
+            body = b"".join([self.recall(s) if i is None else i for s, i in zip(segments, ids)])
+        return self.bos.to_bytes(4, "little") + body + self.eos.to_bytes(4, "little")
+
+    def recall(self, segment: str) -> bytes:
+        """Ids of a segment that was not met lately; it is remembered unless it is long."""
+        ids = self.known.get(segment) or self.older.get(segment) or self.segment(segment)
+        if len(segment) <= 64:
+            if len(self.known) >= self.remembered:
+                self.older, self.known = self.known, {}
+            self.known[segment] = ids
+        return ids
+
+    def forget(self) -> None:
+        """Memory that grows with the texts goes; workers are used again by other operators."""
+        self.known, self.older, self.fits = {}, {}, {}
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """UTF-8 text of ids: control ids are silent, the dummy space goes, broken byte runs become U+FFFD."""
@@ -182,8 +188,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, ids (binary,
     little-endian unsigned 32-bit) and decoded. Null text is empty: two ids, decoded empty. Repeated
-    rows and ids give a row each. Texts are encoded where they lie; there is no shuffle, and each
-    Python worker loads the model once. ``model_path`` must be readable on every executor.
+    rows and ids give a row each; a very long text is one value in its task. Texts are encoded where
+    they lie; there is no shuffle, and each Python worker loads the model once and forgets the texts'
+    segments at the end of a partition. ``model_path`` must be readable on every executor.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
@@ -191,6 +198,12 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
+        try:
+            yield from encoded(c, batches)
+        finally:
+            c.forget()
+
+    def encoded(c: PieceCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

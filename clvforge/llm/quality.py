@@ -13,24 +13,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clvforge.llm.common import cut, id_and_text
+from clvforge.llm.words import KeyLookup, Part, in_pieces, utf8
 
-_WORD_BITS, _SHAPE_BITS = 18, 16
-#: Word 1-grams, word 2-grams, shape 3-grams and the constant feature, each kind with its own range.
-SIZE = 2 * (1 << _WORD_BITS) + (1 << _SHAPE_BITS) + 1
-_SLAB = 1 << 20
+_PIECE = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0xD6E8FEB86659FD93
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@functools.lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _make_powers(2 * _PIECE)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64; those for a run longer than a piece are not kept."""
+    return _usual_powers() if n <= 2 * _PIECE else _make_powers(n)
+
+
 @functools.lru_cache(maxsize=1)
 def _byte_tables() -> dict[str, np.ndarray]:
     b = np.arange(256)
@@ -41,83 +46,117 @@ def _byte_tables() -> dict[str, np.ndarray]:
             "code": (b.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD)}
 
 
-def _fold(x: np.ndarray, bits: int) -> np.ndarray:
+def _key(x: np.ndarray, kind: int) -> np.ndarray:
+    """A 64-bit key whose last two bits are the kind of n-gram."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(_ODD)
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
+    return (x ^ (x >> np.uint64(29))) & ~np.uint64(3) | np.uint64(kind)
 
 
-def _slab_features(texts: list[bytes]) -> np.ndarray:
-    """Distinct (text index << 20 | feature) of a few texts, sorted."""
+def _grams(parts: list[Part]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, key) of word 1-grams, word 2-grams and 3-grams of word shapes, repeats included.
+
+    Parts of one text overlap by three words; n-grams that lean on words beyond a part are left to its neighbour.
+    """
     t = _byte_tables()
-    sizes = np.array([len(x) for x in texts], np.int64)
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    ends_of_texts = np.cumsum(sizes + 1)
+    data = np.frombuffer(b"\n".join(p.text for p in parts) + b"\n", np.uint8)
+    ends_of_parts = np.cumsum([len(p.text) + 1 for p in parts])
     space = t["space"][data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    keys = [np.arange(len(texts), dtype=np.int64) << 20 | (SIZE - 1)]
-    if len(start):
-        up, down = _powers(max(2 * _SLAB, 1 << int(len(data)).bit_length()))
-        total = np.concatenate(([np.uint64(0)], np.cumsum(t["code"][data] * up[:len(data)])))
-        word = (total[end] - total[start]) * down[start]
-        doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, ends_of_texts), prepend=0))
-        count = {}
-        for kind in ("upper", "digit", "wide", "mark"):
-            c = np.concatenate(([0], np.cumsum(t[kind][data], dtype=np.int32)))
-            count[kind] = c[end] - c[start]
-        size = end - start
-        again = np.concatenate(([False], (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])))
-        shape = np.minimum(count["mark"], 3) | (count["upper"] == size - count["mark"]) * 4 | (
-            count["upper"] > 0) * 8 | (count["digit"] > 0) * 16 | (count["wide"] > 0) * 32 | (
-            ((size > 2) + (size > 6).astype(np.int64) + (size > 12)) * 64) | again * 256
-        keys.append(doc << 20 | _fold(word, _WORD_BITS))
-        two = doc[1:] == doc[:-1]
-        pair = word[:-1] * np.uint64(0xA24BAED4963EE407) + word[1:]
-        keys.append((doc[1:] << 20 | (1 << _WORD_BITS) + _fold(pair, _WORD_BITS))[two])
-        shape = np.concatenate((shape, [511, 511])).astype(np.uint64)  # past the end of the slab
-        near = np.concatenate((doc, [-1, -1]))
-        after = [np.where(near[k:len(doc) + k] == doc, shape[k:len(doc) + k], np.uint64(511)) for k in (1, 2)]
-        triple = (shape[:-2] << np.uint64(18)) | (after[0] << np.uint64(9)) | after[1]
-        keys.append(doc << 20 | (2 << _WORD_BITS) + _fold(triple + np.uint64(1), _SHAPE_BITS))
-    keys = np.sort(np.concatenate(keys))
-    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-
-
-def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(text index, feature, texts so far) of slabs of texts; each feature once a text."""
-    lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < _SLAB):
-            size += len(texts[hi])
-            hi += 1
-        keys = _slab_features(texts[lo:hi])
-        yield keys >> 20, keys & ((1 << 20) - 1), hi - lo
-        lo = hi
-
-
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [x.as_py() or b"" for x in column.cast(pa.binary())]
-
-
-def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many texts of label 1 and of label 0 hold each feature; rows: text, label. Summed in Spark."""
+    if not len(start):
+        return
+    up, down = _powers(len(data))
+    total = np.concatenate(([np.uint64(0)], np.cumsum(t["code"][data] * up[:len(data)])))
+    word = (total[end] - total[start]) * down[start]
+    del total
+    last = np.searchsorted(start, ends_of_parts)  # the first word after each part
+    part = np.repeat(np.arange(len(parts)), np.diff(last, prepend=0))
+    doc = np.array([p.doc for p in parts])[part]
+    count = {}
+    for kind in ("upper", "digit", "wide", "mark"):
+        c = np.concatenate(([0], np.cumsum(t[kind][data], dtype=np.int32)))
+        count[kind] = c[end] - c[start]
+    size = end - start
+    again = np.concatenate(([False], (word[1:] == word[:-1]) & (part[1:] == part[:-1])))
+    shape = np.minimum(count["mark"], 3) | (count["upper"] == size - count["mark"]) * 4 | (
+        count["upper"] > 0) * 8 | (count["digit"] > 0) * 16 | (count["wide"] > 0) * 32 | (
+        ((size > 2) + (size > 6).astype(np.int64) + (size > 12)) * 64) | again * 256
+    yield doc, _key(word, 0)
+    two = part[1:] == part[:-1]
+    pair = word[:-1] * np.uint64(0xA24BAED4963EE407) + word[1:]
+    yield doc[1:][two], _key(pair[two], 1)
+    shape = np.concatenate((shape, [511, 511])).astype(np.uint64)  # past the end of a text
+    near = np.concatenate((part, [-1, -1]))
+    after = [np.where(near[k:len(part) + k] == part, shape[k:len(part) + k], np.uint64(511)) for k in (1, 2)]
+    triple = (shape[:-2] << np.uint64(18)) | (after[0] << np.uint64(9)) | after[1]
+    whole = np.ones(len(part), bool)
+    for p, (lo, hi) in enumerate(zip([0, *last.tolist()], last.tolist())):
+        if parts[p].more_before:
+            whole[lo:min(lo + 1, hi)] = False
+        if parts[p].more_after:
+            whole[max(lo, hi - 2):hi] = False
+    yield doc[whole], _key(triple[whole] + np.uint64(1), 2)
+
+
+def features(texts: list[bytes], known: KeyLookup) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of each known n-gram that a text holds, once a text, sorted; the constant has the last place."""
+    n = len(known) + 1
+    found = [np.arange(len(texts), dtype=np.int64) * n + n - 1]
+    for parts in in_pieces(texts, _PIECE, 3):
+        for doc, key in _grams(parts):
+            place = known.find(key)
+            has = place >= 0
+            found.append(np.unique(doc[has] * n + place[has]))
+    both = np.unique(np.concatenate(found))
+    return both // n, both % n
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(key, n): how many texts hold each n-gram, summed in the task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, SIZE), np.int64)
+        keys, counts, held = [], [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                own = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for p in in_pieces([text], _PIECE, 3) for _, k in _grams(p))]))
+                keys.append(own)
+                counts.append(np.ones(len(own)))
+                held += len(own)
+                if held > 2_000_000:
+                    key, n = summed()
+                    if len(key) > 1_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+                        key, n = key[:0], n[:0]
+                    keys, counts, held = [key], [n], len(key)
+        if keys:
+            key, n = summed()
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def class_counts(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts of label 1 and of label 0 hold each known n-gram; rows: text, label. Summed in Spark."""
+    size = len(shared.value) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, size), np.int64)
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = 0
-            for doc, feature, took in features(_bytes(batch.column(0))):
-                n += np.bincount(label[at + doc] * SIZE + feature, minlength=2 * SIZE).reshape(2, SIZE)
-                at += took
+            doc, place = features(utf8(batch.column(0)), shared.value)
+            n += np.bincount(label[doc] * size + place, minlength=2 * size).reshape(2, size)
         has = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(n[1, has]), pa.array(n[0, has])],
                                          names=["feature", "ones", "zeros"])
 
     counted = rows.select("text", "label").mapInArrow(run, "feature long, ones long, zeros long")
     got = counted.groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow()
-    out = np.zeros((2, SIZE))
+    out = np.zeros((2, size))
     at = got["feature"].to_numpy()
     out[0, at], out[1, at] = got["ones"].to_numpy(), got["zeros"].to_numpy()
     return out[0], out[1]
@@ -127,7 +166,6 @@ def log_count_ratio(ones: np.ndarray, zeros: np.ndarray, smooth: float = 1.0) ->
     """log of the smoothed, normalised counts' ratio; the constant feature keeps 1."""
     p, q = smooth + ones, smooth + zeros
     r = np.log(p / p.sum()) - np.log(q / q.sum())
-    r[(ones + zeros) < 3] = 0.0  # a feature of one or two texts tells of those texts only
     r[-1] = 1.0
     return r
 
@@ -135,7 +173,8 @@ def log_count_ratio(ones: np.ndarray, zeros: np.ndarray, smooth: float = 1.0) ->
 def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 1.0, epochs: int = 12,
                  seed: int = 7) -> np.ndarray:
     """Linear hinge-loss weights by dual coordinate descent; classes weigh alike."""
-    w, alpha = np.zeros(SIZE), np.zeros(len(y))
+    size = 1 + max((int(f.max()) for f, _ in rows if len(f)), default=0)
+    w, alpha = np.zeros(size), np.zeros(len(y))
     weight = np.where(y > 0, 0.5 / max(1e-9, np.mean(y > 0)), 0.5 / max(1e-9, np.mean(y < 0)))
     upper, norm = cost * weight, np.array([v @ v for _, v in rows])
     draw = np.random.default_rng(seed)
@@ -170,27 +209,41 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(ab[0]), 1e-6), float(ab[1])
 
 
-def fit(labelled: DataFrame, max_rows: int = 16_000, cost: float = 1.0) -> tuple[np.ndarray, float, float]:
-    """Weights, slope and offset from rows (doc_id, text, label).
+class Model:
+    """Known n-grams, their weights (the constant's last), slope and offset of the probability."""
+
+    def __init__(self, known: KeyLookup, weights: np.ndarray, slope: float, offset: float):
+        self.known, self.weights, self.slope, self.offset = known, weights, slope, offset
+
+
+def fit(labelled: DataFrame, max_rows: int = 16_000, cost: float = 1.0, least: int = 3, max_grams: int = 1 << 20) -> Model:
+    """A model from rows (doc_id, text, label).
 
-    The class counts behind the log-count ratios cover all rows. The support vectors are fitted in
-    one task on at most about ``max_rows`` rows, drawn by a hash of the id; a fifth of these sets the
-    slope and offset of the probability. With one class only, the score is constant.
+    Support vectors are fitted in one task on about ``max_rows`` rows, drawn by a hash of the id; a
+    fifth of these sets the slope and offset of the probability. The n-grams that can have a weight
+    are those that ``least`` texts of the sample hold (one or two texts' n-grams tell of those texts
+    only), the ``max_grams`` most frequent if there are more; each is known by its own 64-bit key, and
+    the class counts behind its log-count ratio cover all labelled rows. With one class only, the
+    score is constant.
     """
-    ones, zeros = class_counts(labelled)
-    ratio = log_count_ratio(ones, zeros)
-    n1, n0 = ones[-1], zeros[-1]
+    context = labelled.sparkSession.sparkContext
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return np.zeros(SIZE, np.float32), 1e-6, 0.0 if n1 == n0 else (4.0 if n1 else -4.0)
+        return Model(KeyLookup(np.zeros(0, np.uint64)), np.zeros(1, np.float32), 1e-6, 0.0 if n1 == n0 else (4.0 if n1 else -4.0))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("draw")), F.lit(1_000_000))
     sample = labelled.filter(draw < int(1_000_000 * min(1.0, max_rows / (n1 + n0))))
-    shared = labelled.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+    keys = gram_counts(sample).filter(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(max_grams).toArrow()["key"]
+    known = KeyLookup(keys.to_numpy().astype(np.int64).view(np.uint64))
+    table = context.broadcast(known)
+    ratio = log_count_ratio(*class_counts(labelled, table))
+    shared = context.broadcast(ratio.astype(np.float32))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, texts = [], _bytes(batch.column(1))
-            for doc, feature, took in features(texts):
-                out += [x.astype(np.int32).tobytes() for x in np.split(feature, np.searchsorted(doc, range(1, took)))]
+            doc, place = features(utf8(batch.column(1)), table.value)
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            out = [place[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())],
                                              names=["doc_id", "label", "features"])
 
@@ -203,13 +256,16 @@ def fit(labelled: DataFrame, max_rows: int = 16_000, cost: float = 1.0) -> tuple
             aside = np.zeros(len(y), bool)
         use = np.flatnonzero(~aside)
         w = dual_descent([rows[i] for i in use], y[use], cost)
+        w = np.concatenate([w, np.zeros(len(shared.value) - len(w))])
         check = np.flatnonzero(aside) if aside.any() else use
         slope, offset = _logistic(np.array([w[f] @ v for f, v in (rows[i] for i in check)]), y[check])
         return pd.DataFrame({"weights": [(w * shared.value).astype(np.float32).tobytes()], "slope": [slope], "offset": [offset]})
 
     got = (sample.select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, features binary")
            .groupBy().applyInPandas(train, "weights binary, slope double, offset double").first())
-    return np.frombuffer(bytes(got["weights"]), np.float32), got["slope"], got["offset"]
+    table.destroy()
+    shared.destroy()
+    return Model(known, np.frombuffer(bytes(got["weights"]), np.float32), got["slope"], got["offset"])
 
 
 def scaled(feature: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,20 +273,21 @@ def scaled(feature: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return feature, ratio[feature].astype(np.float64) / np.sqrt(len(feature))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float], text_col: str = "text",
-          score_col: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text; empty and null texts have only the constant feature."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, slope, offset = shared.value
+        m = shared.value
         for batch in batches:
             margins = []
-            for doc, feature, took in features(_bytes(batch.column(place))):
-                margins.append(np.bincount(doc, weights[feature], took) / np.sqrt(np.bincount(doc, minlength=took)))
-            m = np.concatenate(margins) if margins else np.zeros(0)
-            p = 1 / (1 + np.exp(-np.clip(slope * m + offset, -30, 30)))
+            for lo in range(0, batch.num_rows, 1024):
+                texts = utf8(batch.column(place).slice(lo, 1024))
+                doc, gram = features(texts, m.known)
+                margins.append(np.bincount(doc, m.weights[gram], len(texts)) / np.sqrt(np.bincount(doc, minlength=len(texts))))
+            z = np.concatenate(margins) if margins else np.zeros(0)
+            p = 1 / (1 + np.exp(-np.clip(m.slope * z + m.offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

@@ -32,23 +32,24 @@ from clvforge.llm.common import id_and_text, shuffle_partitions
 COVER = (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)
 PERIOD = 133
 _BLOCK = 1 << 20
-#: Text for each bucket of names.
-_BUCKET = 8 << 20
+#: Text of a chunk, and for each bucket of names.
+_CHUNK = 8 << 20
 
 
 @functools.lru_cache(maxsize=1)
 def _hash_tables(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random codes of the bytes, and powers of an odd base and of its inverse modulo 2**64."""
-    code = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+    """Two rows of random codes of the bytes, and powers of an odd base and of its inverse modulo 2**64."""
+    code = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
     base, n = 0xD6E8FEB86659FD93, _BLOCK + 4 * length
     up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return code, np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
-    """64-bit names of data[start:end]; starts ascend and no span is longer than twice ``length``."""
-    code, up, down = _hash_tables(length)
+def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """64-bit names of data[start:end], ``which`` choosing one of two; starts ascend, no span is longer than twice ``length``."""
+    codes, up, down = _hash_tables(length)
+    code = codes[which]
     out = np.empty(len(start), np.uint64)
     for lo in range(0, len(data), _BLOCK):
         a, b = np.searchsorted(start, [lo, lo + _BLOCK])
@@ -97,12 +98,13 @@ class _Chunk:
         return _Sent(self.name, self.buckets, 5, self.around)
 
     def strings(self, open_: np.ndarray) -> tuple[np.ndarray, _Sent]:
-        """Starts of all strings through open samples, and their names."""
+        """Starts of all strings through open samples, and their names: 32 bits of the first, all of the second."""
         grow = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(grow, self.low[open_], 1)
         np.add.at(grow, np.maximum(self.high[open_] - self.length, self.low[open_] - 1) + 1, -1)
         start = np.flatnonzero(np.cumsum(grow[:-1]) > 0)
-        return start, _Sent(span_names(self.data, start, start + self.length, self.length), self.buckets, 7)
+        one, two = (span_names(self.data, start, start + self.length, self.length, which) for which in (0, 1))
+        return start, _Sent(one, self.buckets, 4, two)
 
     def covered(self, full: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Which bytes lie in repeated strings."""
@@ -190,23 +192,27 @@ def _answer(step: int, width: int):
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
-                   chunks: int | None = None, keep_text: bool = True) -> DataFrame:
+                   chunk_bytes: int = _CHUNK, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) for each document.
 
     Removes each byte covered by a string of ``length`` bytes that also starts anywhere else, in the
     same document too; strings are judged on the input and never cross documents. ``spans`` are the
     removed runs as (start, end) pairs of byte offsets, ``kept`` the remaining bytes. Null text is
     empty; texts shorter than ``length`` keep all bytes; copies (repeated rows too) lose all. An
-    empty table gives no rows. Names are 64-bit fingerprints of whole strings.
+    empty table gives no rows. What counts as repeated is decided by fingerprints of whole strings: 96
+    bits for strings, 104 for surroundings, and the bucket's number besides.
+
+    Chunks of texts and buckets of names are numbered by the volume of text (``chunk_bytes`` each), so
+    a task's memory does not grow with it; a text longer than that is a chunk of its own size.
     """
     if length < 2 * PERIOD:
         raise ValueError(f"the cover needs strings of {2 * PERIOD} bytes or more")
-    parts = chunks or shuffle_partitions(docs.sparkSession)
     base = id_and_text(docs, id_col, text_col)
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, min(parts, -(-volume // _BUCKET)))  # by volume: a chunk sends a row to each
+    buckets = max(1, -(-volume // chunk_bytes))  # a chunk sends at most a row to each, and at most a row a name
+    parts = max(shuffle_partitions(docs.sparkSession), buckets)
     dealt = (base.select("doc_id", F.col("text").cast("binary").alias("text"),
-                         F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * parts)).cast("int").alias("chunk"))
+                         F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(2 * buckets, 2))).cast("int").alias("chunk"))
              .repartition(parts, "chunk"))
 
     def read(rows: pa.Table, answers: pa.Table | None, steps: int):
@@ -255,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     by_chunk = dealt.groupBy("chunk")
     first = by_chunk.applyInArrow(first_names, _SENT)
     told = first.groupBy("bucket").applyInArrow(_answer(1, 5), _ANSWER).repartition(parts, "chunk")
-    for steps, width in ((1, 5), (2, 7)):
+    for steps, width in ((1, 5), (2, 4)):
         sent = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(sender(steps), _SENT)
         answer = sent.groupBy("bucket").applyInArrow(_answer(steps + 1, width), _ANSWER).repartition(parts, "chunk")
         told = told.union(answer)

@@ -12,38 +12,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clvforge.llm.common import cut, id_and_text
+from clvforge.llm.common import cut, id_and_text, join_lookup
 
-#: Forms of address before a name, by gender.
+#: Forms of address before a name, by gender; academic titles tell none.
 TITLES = {
     "m": ["mr", "mister", "herr", "herrn", "señor", "sr", "monsieur", "sir", "господин", "κύριος"],
     "f": ["mrs", "ms", "miss", "mme", "mlle", "madame", "mademoiselle", "frau", "señora", "sra", "madam", "госпожа", "κυρία"],
+    "n": ["dr", "doctor", "prof", "professor", "docteur", "professeur", "доктор", "профессор"],
 }
-#: Given names by script and gender, and family names by script.
-GIVEN = {
-    ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jakob", "Karl", "Leon", "Martin",
-                     "Noah", "Oskar", "Paul", "Robert", "Simon", "Thomas", "Viktor"],
-    ("latin", "f"): ["Anna", "Bella", "Clara", "Diana", "Elena", "Frida", "Greta", "Helena", "Ida", "Julia", "Karla", "Laura",
-                     "Maria", "Nora", "Olga", "Paula", "Rosa", "Sara", "Teresa", "Vera"],
-    ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Олег", "Павел"],
-    ("cyrillic", "f"): ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья", "Юлия"],
-    ("greek", "m"): ["Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"],
-    ("greek", "f"): ["Άννα", "Ελένη", "Ζωή", "Ιωάννα", "Μαρία", "Σοφία"],
+#: What surrogate names are made of, by script: beginnings and vowels of syllables, ends of family
+#: names (two lists that are combined), ends of given names by gender.
+SYLLABLES = {
+    "latin": ("b d f g h j k l m n p r s t v w br dr fl gr kl kr pl pr sl st tr th sch fr".split(), "a e i o u ai ei au".split()),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х".split(), "а е и о у".split()),
+    "greek": ("β γ δ θ κ λ μ ν π ρ σ τ φ χ".split(), "α ε ι ο ου".split()),
 }
-FAMILY = {
-    "latin": ["Adler", "Berger", "Costa", "Duval", "Engel", "Ferrer", "Garner", "Holm", "Ibarra", "Jansen", "Keller", "Lang",
-              "Moreau", "Novak", "Ortega", "Petit", "Quist", "Romero", "Sander", "Torres", "Ulrich", "Vidal", "Weber", "Young"],
-    "cyrillic": ["Белов", "Волков", "Громов", "Зайцев", "Козлов", "Лебедев", "Морозов", "Новиков", "Орлов", "Соколов"],
-    "greek": ["Αντωνίου", "Γεωργίου", "Δημητρίου", "Ιωάννου", "Νικολάου", "Παππάς"],
+FAMILY_ENDS = {
+    "latin": ("l n r s m ck ld lm nd ng nt rd rk rt st".split(),
+              "a o er en el ez in is et eau ini ard man son sen ley well ton ford berg feld stein hardt wood worth mann hoff bach dale more ".split()
+              + "ova ak ik uk as es os ard ier oux".split()),
+    "cyrillic": ("л н р с м в д т".split(), "енко ич ук юк як ак ий ан ар ец".split()),
+    "greek": ("λ ν ρ σ μ τ".split(), "ου ίδης άκης όπουλος ιάδης άτος έας".split()),
 }
+GIVEN_ENDS = {
+    ("latin", "m"): "no bert rd rik mas ton lf mund drew vin gor lian".split(), ("latin", "f"): "na la ra lia nia ria ssa line tta lde lena mia".split(),
+    ("latin", "n"): "ny ly ri mi ney ley sy dy".split(),
+    ("cyrillic", "m"): "н р слав мир лан дей тий рий".split(), ("cyrillic", "f"): "на ла ра лия ния ша та ма".split(), ("cyrillic", "n"): "ни ли ри".split(),
+    ("greek", "m"): "νος λης ρης μος τος".split(), ("greek", "f"): "να λη ρα μία τη".split(), ("greek", "n"): "νι λι ρι".split(),
+}
+#: Small words inside family names.
+PARTICLES = frozenset("van von der den de del della di da du des dos das la le el al bin ibn ter ten zu zum af av y e".split())
 #: Words that end a name, though a capital begins them (headings, sentence starts).
 _NOT_NAMES = frozenset("a an and as at but by der die das du el er es for from goes had has he her his i ihr in is it la las le les los "
-                       "mr mrs ms my not of on or our she sie the their they this to und was we who will with you your".split())
+                       "mr mrs ms my not of on or our she sie the their they this to und was we who will with you your says said met to".split())
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
+
+
+def _one_of(words: list[str]) -> str:
+    """A regular expression for the words that branches letter by letter, so that most places fail at their first."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [c + _one_of(rest) if c else "" for c, rest in sorted(heads.items(), reverse=True)]  # longer words first
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 #: Titles as written: small, with a capital, in capitals. Spelled out, since engines fold case differently.
-_TITLE = "|".join(sorted({f for t in _GENDER for f in (t, t.capitalize(), t.upper())}, key=lambda t: (-len(t), t)))
+_TITLE = _one_of(sorted({f for t in _GENDER for f in (t, t.capitalize(), t.upper())}))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _WORD_NAME = r"[^\W\d_][\w'’-]*"
+_STREET_WORD = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Ct Square Terrace Crescent".split()
+_STREET_TAIL = "straße strasse str weg platz allee gasse".split()
+_STREET_HEAD = "rue avenue boulevard place chemin impasse Calle Avenida Plaza Paseo Camino".split()
+_BORN = ("[Bb]orn(?: on)?|DOB|D\\.O\\.B\\.|[Dd]ate of [Bb]irth|[Gg]eboren(?: am)?|[Nn]ée? le|[Nn]acid[oa] el|[Ff]echa de nacimiento")
 _V4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _H = "[0-9A-Fa-f]{1,4}"
 #: Version 6 addresses with two groups and a digit at least, so that '[::2]' and 'Face::Add' are none.
@@ -55,6 +76,13 @@ _V6 = (r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]*[0-9])(?:" + "|".jo
 #: What the entity types look like, in the order in which they are tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "token": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|[spr]k_(?:live|test)_[0-9A-Za-z]{16,255}"
+             r"|xox[abprs]-[0-9A-Za-z-]{10,255}|eyJ[0-9A-Za-z_-]{8,2000}\.[0-9A-Za-z_-]{8,4000}\.[0-9A-Za-z_-]{8,2000})(?![0-9A-Za-z])",
+    "birth": rf"(?<!\w)(?:{_BORN}):? (?P<birth>(?:19|20)[0-9]{{2}}[-./][0-9]{{2}}[-./][0-9]{{2}}|[0-9]{{2}}[-./][0-9]{{2}}[-./](?:19|20)[0-9]{{2}})(?![0-9])",
+    "street": rf"(?<![\w.])[0-9]{{1,5}}[A-Za-z]? (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(_STREET_WORD)})(?!\w)"
+              rf"|(?<!\w)[^\W\d_][^\W\d_]{{2,20}}(?:{'|'.join(_STREET_TAIL)})\.? [0-9]{{1,4}}[a-z]?(?!\w)"
+              rf"|(?<![\w.])[0-9]{{1,4}},? (?:{'|'.join(_STREET_HEAD[:6])}) (?:(?:de|du|des|la|le|les) )*[^\W\d_a-z][\w-]{{2,30}}"
+              rf"|(?<!\w)(?:{'|'.join(_STREET_HEAD[6:])}) (?:(?:de|del|la|los|las) )*[^\W\d_a-z][\w-]{{2,30}},? [0-9]{{1,4}}(?!\w)",
     "hex": r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.]){_V4}(?![0-9]|\.[0-9])|{_V6}",
@@ -63,17 +91,18 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"
              r"|(?<![0-9A-Za-z])\+(?:[0-9]{7,15}|[0-9]{1,3}[ .-]?(?:[0-9]{3}[ .-][0-9]{4}|[0-9]{2,4}[ .-][0-9]{4,10}))(?![0-9A-Za-z])"
              r"|(?<![0-9A-Za-z.+-])(?:1?[2-9][0-9]{2}[2-9][0-9]{6}|0[1-9][0-9]{7,10}|[0-9]{3}-[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
-    "name": rf"(?<!\w)(?:{_TITLE})\.? (?P<name>{_WORD_NAME}(?: {_WORD_NAME}){{0,2}})",
+    "name": rf"(?<!\w){_TITLE}\.? (?:{_TITLE}\.? ){{0,3}}(?P<name>{_WORD_NAME}(?: {_WORD_NAME}){{0,7}})",
 }
 _OWNER = re.compile(r"(?:['’][sS])?['’-]*$")
 _WORD = re.compile(r"(?<!\w)(?<!\w['’-])(?P<w>[^\W\d_]\w*(?:['’-]\w+)*?)(?:['’][sS])?(?!\w|['’-]\w)")
 _FIND = re.compile("|".join(f"(?P<t_{k}>{p})" for k, p in PATTERNS.items()))
 #: A line without any of these holds no entity.
-_TRIGGER = re.compile(rf"[@0-9]|[A-Fa-f]{{32}}|(?<!\w)(?:{_TITLE})\.? [^\W\d_]")
+_TRIGGER = re.compile(rf"[@0-9]|[A-Fa-f]{{32}}|eyJ|(?<!\w){_TITLE}\.? [^\W\d_]")
 #: A text without any of these holds no entity; Spark's regular expressions read it.
-_HINT = (r"@|[0-9a-fA-F]{32}|[0-9](?:[ .()+-]{0,3}[0-9]){6}|\.[0-9]{1,3}\.|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
-         r"|:[0-9a-fA-F]{0,4}:[0-9a-fA-F:]"
-         rf"|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}")
+_HINT = (r"@|[0-9a-fA-F]{32}|[0-9](?:[ .()/+-]{0,3}[0-9]){6}|\.[0-9]{1,3}\.|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
+         r"|:[0-9a-fA-F]{0,4}:[0-9a-fA-F:]|AKIA|gh[pousr]_|[spr]k_(?:live|test)_|xox[abprs]-|eyJ"
+         r"|[0-9][A-Za-z]?,? \p{L}|\p{L}[.,]? [0-9]"
+         rf"|(?<!\p{{L}}){_TITLE}\.? \p{{L}}")
 
 
 def _luhn(digits: str) -> int:
@@ -94,16 +123,6 @@ def script_of(text: str) -> str:
     return "latin"
 
 
-def _matches(text: str) -> Iterator[re.Match]:
-    """Matches line by line (no entity crosses a line end), only in lines with a trigger."""
-    at = 0
-    while hit := _TRIGGER.search(text, at):
-        end = text.find("\n", hit.end())
-        end = len(text) if end < 0 else end
-        yield from _FIND.finditer(text, text.rfind("\n", 0, hit.start()) + 1, end)
-        at = end
-
-
 def _subsequence(part: list[str], whole: list[str]) -> bool:
     at = iter(whole)
     return all(w in at for w in part)
@@ -113,7 +132,10 @@ def _fuller(form: str, forms: list[str]) -> str:
     """The form of a document that a shorter one stands for, if there is just one: the family name alike, else a given name."""
     gender, name = form.split("|", 1)
     words = name.split(" ")
-    longer = [f for f in forms if f[0] == gender and len(f[2:].split(" ")) > len(words) and _subsequence(words, f[2:].split(" "))]
+    told = [f for f in forms if f[0] != "n" and f[2:] == name] if gender == "n" else []
+    if len(told) == 1:
+        return told[0]  # the doctor is the document's only one of that name
+    longer = [f for f in forms if gender in (f[0], "n") and len(f[2:].split(" ")) > len(words) and _subsequence(words, f[2:].split(" "))]
     family = [f for f in longer if f.rsplit(" ", 1)[-1] == words[-1]]
     top = [f for f in family or longer if not any(g != f and _subsequence(f[2:].split(" "), g[2:].split(" ")) for g in longer)]
     return top[0] if len(top) == 1 else form
@@ -130,7 +152,8 @@ def _linked(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int
     by_word: dict[str, list[str]] = {}
     for f in forms:
         for w in f[2:].split(" "):
-            by_word.setdefault(w, []).append(f)
+            if w not in PARTICLES:
+                by_word.setdefault(w, []).append(f)
     out, at, last = [], 0, None
 
     def resolve(words: list[str]) -> str | None:
@@ -180,36 +203,66 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return _linked(text, _found(text))
 
 
+def _in_name(words: list[str], i: int) -> bool:
+    """Whether a word after a form of address goes on with the name: with a capital, or a particle before such a word."""
+    w = words[i]
+    if w[0].isupper():
+        return not (i and w.casefold() in _NOT_NAMES)
+    after = next((x for x in words[i + 1:] if x not in PARTICLES), "")
+    return w in PARTICLES and after[:1].isupper() and after.casefold() not in _NOT_NAMES
+
+
 def _found(text: str) -> list[tuple[int, int, str, str]]:
-    out = []
-    for m in _matches(text):
-        kind = next(k for k in PATTERNS if m[f"t_{k}"] is not None)
-        start, end = m.span()
-        if kind == "name":
-            start, end = m.span("name")
-            words = text[start:end].split(" ")
-            words = words[:next((i for i, w in enumerate(words) if not w[0].isupper() or i and w.casefold() in _NOT_NAMES), len(words))]
-            if not words:
-                continue
-            own = next((i for i, w in enumerate(words) if _OWNER.search(w)[0]), len(words) - 1)
-            words = [*words[:own], _OWNER.sub("", words[own])]  # nothing follows a genitive
-            end = start + len(" ".join(words))
-            title = text[m.start():start].strip(" .").lower()
-            canonical = f"{_GENDER[title]}|{text[start:end].casefold()}"
-        elif kind == "email":
-            canonical = m[0].lower()
-        elif kind == "ip" and ":" in m[0]:
-            canonical = ipaddress.ip_address(m[0]).compressed
-        elif kind in ("ip", "hex"):
-            canonical = m[0].lower()
-        else:
-            canonical = re.sub(r"[^0-9A-Za-z+]", "", m[0])
-            if kind == "card" and _luhn(canonical):
-                kind = "number"  # long and replaced, but no card's
-        out.append((start, end, kind, canonical))
+    """Entities line by line (none crosses a line end), only in lines with a trigger."""
+    out, at = [], 0
+    while hit := _TRIGGER.search(text, at):
+        at = text.find("\n", hit.end())
+        at = len(text) if at < 0 else at
+        pos = text.rfind("\n", 0, hit.start()) + 1
+        while m := _FIND.search(text, pos, at):
+            entity = _entity(text, m)
+            if entity:
+                out.append(entity)
+            pos = entity[1] if entity else m.start("name") if m["name"] else m.end()
     return out
 
 
+def _entity(text: str, m: re.Match) -> tuple[int, int, str, str] | None:
+    kind = next(k for k in PATTERNS if m[f"t_{k}"] is not None)
+    start, end = m.span()
+    if kind == "name":
+        start, end = m.span("name")
+        words = text[start:end].split(" ")
+        words = words[:next((i for i in range(len(words)) if not _in_name(words, i)), len(words))][:6]
+        while words and words[-1] in PARTICLES:
+            words.pop()
+        if not words:
+            return None
+        own = next((i for i, w in enumerate(words) if _OWNER.search(w)[0]), len(words) - 1)
+        words = [*words[:own], _OWNER.sub("", words[own])]  # nothing follows a genitive
+        end = start + len(" ".join(words))
+        genders = [_GENDER[t] for t in text[m.start():start].replace(".", "").lower().split()]
+        canonical = f"{next((g for g in genders if g != 'n'), 'n')}|{text[start:end].casefold()}"
+    elif kind == "birth":
+        start, end = m.span("birth")
+        canonical = re.sub("[^0-9]", "", m["birth"])
+    elif kind == "street":
+        canonical = m[0].casefold()
+    elif kind == "token":
+        canonical = m[0]
+    elif kind == "email":
+        canonical = m[0].lower()
+    elif kind == "ip" and ":" in m[0]:
+        canonical = ipaddress.ip_address(m[0]).compressed
+    elif kind in ("ip", "hex"):
+        canonical = m[0].lower()
+    else:
+        canonical = re.sub(r"[^0-9A-Za-z+]", "", m[0])
+        if kind == "card" and _luhn(canonical):
+            kind = "number"  # long and replaced, but no card's
+    return start, end, kind, canonical
+
+
 class _Stream:
     """Keyed numbers for one entity, type and attempt."""
 
@@ -250,6 +303,18 @@ def _alike(text: str, stream: _Stream) -> str:
     return "".join(out)
 
 
+def made_name(script: str, kind: str, s: _Stream) -> str:
+    """A family name (one of some billion by script) or a given name of a gender, out of syllables."""
+    begins, vowels = SYLLABLES[script]
+    pick = lambda options: options[s.below(len(options))]
+    if kind == "family":
+        mid, ends = FAMILY_ENDS[script]
+        word = "".join(pick(begins) + pick(vowels) for _ in range(3 if script == "latin" else 4)) + pick(mid) + pick(ends)
+    else:
+        word = pick(begins) + pick(vowels) + pick(begins) + pick(vowels) + pick(GIVEN_ENDS[script, kind])
+    return word.capitalize()
+
+
 def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0, family: str | None = None) -> str:
     """A canonical replacement of the same type and form; another one for each attempt. Names take the ``family`` given."""
     s = _Stream(key, kind, canonical, attempt)
@@ -280,12 +345,25 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0, family: s
     if kind in ("name", "family"):
         gender, name = canonical.split("|", 1) if kind == "name" else ("m", canonical)
         words, script = name.split(" "), script_of(name)
-        given = GIVEN[script, gender]
-        families = FAMILY[script]
-        picked = [given[s.below(len(given))] for _ in words[:-1]] + [family or families[s.below(len(families))]]
-        if attempt >= 4:  # the lists are short: build on a name by letters of the same script
-            picked[0 if family else -1] += _alike("я" * 3 if script == "cyrillic" else "ω" * 3 if script == "greek" else "a" * 3, s) + longer
-        return " ".join(picked)
+        picked = [w if w in PARTICLES else made_name(script, gender, s) for w in words[:-1]]
+        return " ".join([*picked, family or made_name(script, "family", s)])
+    if kind == "token":
+        head = re.match(r"AKIA|gh._|.k_(?:live|test)_|xox.-|eyJ[^.]*\.", canonical)[0]
+        return head + _alike(canonical[len(head):], s)
+    if kind == "birth":
+        ymd = canonical[:2] in ("19", "20") and not (canonical[4:6] in ("19", "20") and int(canonical[2:4]) > 12)
+        day, month = (canonical[6:], canonical[4:6]) if ymd else (canonical[:2], canonical[2:4])
+        some = lambda old: f"{13 + s.below(16):02}" if int(old) > 12 else f"{1 + s.below(12):02}"
+        day, month, year = some(day), some(month), str(1930 + s.below(90))
+        return year + month + day if ymd else day + month + year
+    if kind == "street":
+        kept = {w.casefold() for w in (*_STREET_WORD, *_STREET_HEAD, *PARTICLES, "des", "los", "las", "les")}
+
+        def new(m: re.Match) -> str:
+            w = m[0]
+            tail = next((t for t in _STREET_TAIL if w.endswith(t) and len(w) > len(t) + 2), "")
+            return w if w in kept or len(w) == 1 else (made_name(script_of(w), "n", s).casefold() + tail)
+        return re.sub(r"[^\W\d_][^\W\d_'-]*", new, re.sub("[0-9]+", lambda m: _alike(m[0], s), canonical))
     return _alike(canonical, s)
 
 
@@ -301,6 +379,12 @@ def dressed(kind: str, mention: str, replacement: str, canonical: str | None = N
                     said.pop()
             replacement = " ".join(picked)
         return replacement.upper() if mention.isupper() and len(mention) > 1 else replacement
+    if kind == "street":
+        said = iter(mention.split(" "))  # capitals where the mention has them
+        return " ".join(w.upper() if (o := next(said, "")).isupper() and len(o) > 1 else w.capitalize() if o[:1].isupper() else w
+                        for w in replacement.split(" "))
+    if kind == "token":
+        return replacement
     if kind in ("email", "hex", "ip"):
         return replacement.upper() if mention.isupper() else replacement
     out, left = [], list(replacement.replace("+", ""))
@@ -388,10 +472,12 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     """(doc_id, text, n_entities, n_distinct) for each document, its entities replaced by surrogates.
 
     E-mail addresses keep their form and a reserved or top-level domain, and addresses of one domain
-    share the new one; names keep gender, script and number of words, and share the new family name; numbers
-    keep separators, lengths, country codes and check sums; hexadecimal secrets their length and case.
-    A name is found by a form of address; in a document that has one, its mentions without one and
-    its shorter forms are replaced alike. A name that has no form of address in its document stays.
+    share the new one; names keep gender, script, number of words and particles, and share the new family
+    name, made of syllables of their script; numbers keep separators, lengths, country codes and check sums;
+    hexadecimal secrets their length and case, tokens their prefix; dates of birth are dates again, and street
+    addresses keep the words that name the kind of street.
+    A name is found by a form of address or a title; it has six words at most, particles included. In a
+    document that has one, its mentions without one and its shorter forms are replaced alike. A name that has no form of address in its document stays.
     Equal entities have one surrogate in the whole corpus, different ones of a type different
     surrogates. Null text is empty; texts without entities come back unchanged; repeated rows give a
     row each; an empty table gives no rows. Only documents that may hold an entity are shuffled.
@@ -402,7 +488,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     marked = cut(base.filter(maybe).withColumn("print", F.xxhash64("text")).select("doc_id", "print", "text"))
     found = cut(_collect(marked))
     known = assign_surrogates(cut(found.select("type", "canonical").distinct()), key)
-    per_doc = (found.distinct().join(known, ["type", "canonical"]).groupBy("doc_id", "print")
+    per_doc = (join_lookup(cut(found.distinct()), cut(known), ["type", "canonical"]).groupBy("doc_id", "print")
                .agg(F.collect_list(F.struct("type", "canonical", "surrogate")).alias("known")))
     joined = marked.alias("d").join(per_doc.alias("k"), F.expr("d.doc_id <=> k.doc_id AND d.print = k.print"), "left")
 

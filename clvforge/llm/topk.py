@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clvforge.llm.common import cut
+from clvforge.llm.vectors import pack_vectors, products
 
 _NONE = np.iinfo(np.int64).min
 _SLACK = 1e-6
@@ -47,13 +48,6 @@ class CoverTree:
         self.children = [CoverTree(points, members[owner == c], shrink, leaf, fan) for c in range(n) if (owner == c).any()]
 
 
-def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products; by floating point where it is exact."""
-    if np.abs(a).max(initial=0).astype(float) * np.abs(b).max(initial=0) * a.shape[1] < 2.0 ** 52:
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
-
-
 def upper_bound(c1, n1, r1, c2, n2, r2):
     """No pair of points of the two balls has a greater inner product."""
     dot = np.dot(c1, c2)
@@ -91,7 +85,7 @@ class DualSearch:
                              for a, b in pairs), key=lambda p: p[0])  # the most promising pair is next
 
     def _leaf(self, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        score = exact_products(self.vectors[q], vectors)
+        score = products(self.vectors[q], vectors)
         own = self.ids[q][:, None] == ids[None, :]
         score = np.concatenate([self.score[q], np.where(own, _NONE, score)], 1)
         found = np.concatenate([self.found[q], np.where(own, -1, np.broadcast_to(ids, own.shape))], 1)
@@ -100,87 +94,165 @@ class DualSearch:
         self.found[q] = np.take_along_axis(found, order, 1)
 
 
-def _whole(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, dim, vec) with floor(scale * x) as packed 64-bit integers; null or non-finite vectors go."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").filter(
-        ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+def _unpack(blob: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(blob, "<i8").reshape(-1, dim)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(1)
-            x = np.floor(np.clip(v.flatten().to_numpy(zero_copy_only=False) * float(scale), -2.0 ** 62, 2.0 ** 62)).astype("<i8")
-            n = np.array([len(y) for y in v], np.int64)
-            ends = np.cumsum(n)
-            packed = [x[e - k:e].tobytes() for e, k in zip(ends, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())],
-                                             names=["vec_id", "dim", "vec"])
 
-    return rows.mapInArrow(run, "vec_id long, dim int, vec binary")
+class Router:
+    """A cover tree over a bounded sample of the vectors of one length: its leaves say which vectors lie together.
 
+    Arrays over nodes, the root first: centre, parent, children. ``path`` gives a leaf's nodes from the root.
+    """
 
-def _unpack(blob: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(blob, "<i8").reshape(-1, dim)
+    def __init__(self, points: np.ndarray, leaf: int):
+        self.centre, self.children, self.paths = [], [], {}
+        stack = [(CoverTree(points, leaf=leaf), [])]
+        while stack:
+            tree, above = stack.pop()
+            number = len(self.centre)
+            self.centre.append(tree.centre)
+            self.children.append([])
+            if above:
+                self.children[above[-1]].append(number)
+            if tree.children:
+                stack += [(c, [*above, number]) for c in tree.children]
+            else:
+                self.paths[number] = [*above, number]
+        self.centre = np.array(self.centre)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector: from the root, always to the child of the nearest centre."""
+        out = np.zeros(len(x), np.int32)
+        stack = [(0, np.arange(len(x)))]
+        while stack:
+            node, rows = stack.pop()
+            kids = self.children[node]
+            if not kids or not len(rows):
+                out[rows] = node
+                continue
+            c = self.centre[kids]
+            near = ((c * c).sum(1) - 2 * x[rows] @ c.T).argmin(1)
+            stack += [(kid, rows[near == k]) for k, kid in enumerate(kids)]
+        return out
+
+
+class Nodes:
+    """Covering radii of a router's nodes over the data, and over the queries with their worst kth score."""
 
+    def __init__(self, router: Router, data: dict[int, float], asks: dict[int, tuple[float, int]]):
+        n = len(router.centre)
+        self.router, self.norm = router, np.sqrt((router.centre ** 2).sum(1))
+        self.data = np.array([data.get(i, -1.0) for i in range(n)])  # -1: nothing lies there
+        self.asks = np.array([asks.get(i, (-1.0, 0))[0] for i in range(n)])
+        self.worst = [asks.get(i, (-1.0, 0))[1] for i in range(n)]
 
-def _pivots(rows: DataFrame, block: int, sample: int) -> dict[int, np.ndarray]:
-    """Well-spread vectors of a bounded sample, by dimension; they only decide which vectors share a block."""
+    def leaf_pairs(self, start: int) -> Iterator[tuple[int, int]]:
+        """Pairs of a query leaf under ``start`` and a data leaf that the radii leave, descending both trees."""
+        kids, stack = self.router.children, [(start, 0)]
+        while stack:
+            q, d = stack.pop()
+            if self.asks[q] < 0 or self.data[d] < 0 or upper_bound(
+                    self.router.centre[q], self.norm[q], self.asks[q], self.router.centre[d], self.norm[d], self.data[d]) < self.worst[q]:
+                continue
+            if not kids[q] and not kids[d]:
+                yield q, d
+            elif kids[d] and (not kids[q] or self.data[d] >= self.asks[q]):
+                stack += [(q, c) for c in kids[d]]
+            else:
+                stack += [(c, d) for c in kids[q]]
+
+
+def _routers(rows: DataFrame, block: int, sample: int) -> dict[int, Router]:
+    """A router for each vector length; a leaf's expected share of the rows is a block."""
     total = rows.count()
     pick = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < max(1, (sample << 20) // max(1, total)))
     by_dim: dict[int, list[bytes]] = {}
     for r in pick.orderBy(F.xxhash64("vec_id"), "vec").limit(2 * sample).collect():
         by_dim.setdefault(r["dim"], []).append(bytes(r["vec"]))
-    out = {}
-    for dim, blobs in by_dim.items():
-        x = _unpack(b"".join(blobs), dim).astype(float) if dim else np.zeros((1, 0))
-        want, near, at, chosen = min(256, -(-total // block)), np.full(len(x), np.inf), 0, []
-        while len(chosen) < want and near.max() > 0:
-            chosen.append(at)
-            near = np.minimum(near, ((x - x[at]) ** 2).sum(1))
-            at = int(near.argmax())
-        out[dim] = x[chosen]
-    return out
-
+    taken = sum(map(len, by_dim.values()))
+    leaf = max(4, -(-taken * block // max(1, total)))
+    return {dim: Router(_unpack(b"".join(blobs), dim).astype(float), leaf) for dim, blobs in by_dim.items() if dim}
 
-def _assign(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
+def _assign(rows: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).to_numpy()
-            pivot = np.zeros(len(dims), np.int32)
+            leaf = np.zeros(len(dims), np.int32)
             for dim in np.unique(dims):
-                at, p = np.flatnonzero(dims == dim), shared.value.get(int(dim))
-                if p is not None and dim:
-                    x = _unpack(b"".join(batch.column(2)[i].as_py() for i in at.tolist()), int(dim)).astype(float)
-                    pivot[at] = (((p ** 2).sum(1))[None, :] - 2 * x @ p.T).argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot)], names=["vec_id", "dim", "vec", "pivot"])
+                at, router = np.flatnonzero(dims == dim), shared.value.get(int(dim))
+                if router is not None:
+                    leaf[at] = router.leaf(_unpack(b"".join(batch.column(2)[i].as_py() for i in at.tolist()), int(dim)).astype(float))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["vec_id", "dim", "vec", "leaf"])
+
+    return rows.mapInArrow(run, "vec_id long, dim int, vec binary, leaf int")
+
 
-    return rows.mapInArrow(run, "vec_id long, dim int, vec binary, pivot int")
+_BLOCK = ("dim int, leaf int, part long, ids binary, vecs binary, centre array<double>, norm double, radius double, "
+          "nodes array<int>, reach array<double>")
 
 
-_BLOCK = "dim int, pivot int, part long, ids binary, vecs binary, centre array<double>, norm double, radius double"
+def _pack(shared):
+    def run(rows: pa.Table) -> pa.Table:
+        """One row for a block of vectors: the ball that holds them, and how far they reach from the nodes above."""
+        dim, leaf = rows.column("dim")[0].as_py(), rows.column("leaf")[0].as_py()
+        blob = b"".join(rows.column("vec").to_pylist())
+        x = _unpack(blob, dim).astype(float) if dim else np.zeros((rows.num_rows, 0))
+        centre = x.mean(0)
+        away = lambda c: float(np.sqrt(((x - c) ** 2).sum(1)).max(initial=0.0))
+        router = shared.value.get(dim)
+        nodes = router.paths[leaf] if router else [0]
+        reach = [away(router.centre[n]) for n in nodes] if router else [0.0]
+        ids = rows.column("vec_id").to_numpy().astype("<i8").tobytes()
+        return pa.table({"dim": pa.array([dim], pa.int32()), "leaf": pa.array([leaf], pa.int32()),
+                         "part": rows.column("part").slice(0, 1), "ids": pa.array([ids], pa.binary()),
+                         "vecs": pa.array([blob], pa.binary()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())),
+                         "norm": [float(np.sqrt(centre @ centre))], "radius": [away(centre)],
+                         "nodes": pa.array([nodes], pa.list_(pa.int32())), "reach": pa.array([reach], pa.list_(pa.float64()))})
+    return run
 
 
-def _pack(rows: pa.Table) -> pa.Table:
-    """One row for a block of vectors, with the ball that holds them."""
-    dim = rows.column("dim")[0].as_py()
-    blob = b"".join(rows.column("vec").to_pylist())
-    x = _unpack(blob, dim).astype(float) if dim else np.zeros((rows.num_rows, 0))
-    centre = x.mean(0)
-    radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max(initial=0.0))
-    ids = rows.column("vec_id").to_numpy().astype("<i8").tobytes()
-    return pa.table({"dim": pa.array([dim], pa.int32()), "pivot": rows.column("pivot").slice(0, 1),
-                     "part": rows.column("part").slice(0, 1), "ids": pa.array([ids], pa.binary()),
-                     "vecs": pa.array([blob], pa.binary()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())),
-                     "norm": [float(np.sqrt(centre @ centre))], "radius": [radius]})
+def _blocks(rows: DataFrame, size: int, shared) -> DataFrame:
+    """Blocks of about ``size`` vectors of one leaf; a hot leaf has many blocks."""
+    many = rows.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    dealt = rows.join(many, ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), "parts"))
+    return cut(dealt.select("dim", "leaf", "part", "vec_id", "vec").groupBy("dim", "leaf", "part").applyInArrow(_pack(shared), _BLOCK))
+
+
+def _leaf_pairs(routers: dict[int, Router], data: DataFrame, queries: DataFrame, spark) -> DataFrame:
+    """(dim, ask_leaf, leaf): pairs of leaves that neither their radii nor those of the nodes above rule out.
+
+    Radii and worst scores are summed up per node in Spark; there are fewer nodes than sampled vectors.
+    """
+    reach = lambda df, *more: df.select("dim", *more, F.explode(F.arrays_zip("nodes", "reach")).alias("n")).groupBy(
+        "dim", F.col("n.nodes").alias("node")).agg(F.max("n.reach").alias("radius"), *[F.min(c).alias(c) for c in more]).collect()
+    far: dict[int, dict] = {}
+    ask: dict[int, dict] = {}
+    for r in reach(data):
+        far.setdefault(r["dim"], {})[r["node"]] = r["radius"]
+    for r in reach(queries, "worst"):
+        ask.setdefault(r["dim"], {})[r["node"]] = (r["radius"], r["worst"])
+    nodes = {dim: Nodes(router, far.get(dim, {}), ask.get(dim, {})) for dim, router in routers.items()}
+    shared = spark.sparkContext.broadcast(nodes)
+    starts = [(dim, n) for dim, r in routers.items() for n in _level(r, 2)] + [(dim, -1) for dim in far if dim not in routers]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pairs = list(shared.value[dim].leaf_pairs(start)) if start >= 0 else [(0, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array([dim] * len(pairs), pa.int32()), pa.array([q for q, _ in pairs], pa.int32()),
+                                                  pa.array([d for _, d in pairs], pa.int32())], names=["dim", "ask_leaf", "leaf"])
+
+    frame = spark.createDataFrame(starts or [(0, -1)], "dim int, start int").repartition(max(1, min(len(starts), 64)), "dim", "start")
+    return frame.mapInArrow(run, "dim int, ask_leaf int, leaf int")
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of about ``size`` vectors that share a pivot; a hot pivot has many blocks."""
-    many = rows.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
-    dealt = rows.join(many, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), "parts"))
-    return cut(dealt.select("dim", "pivot", "part", "vec_id", "vec").groupBy("dim", "pivot", "part").applyInArrow(_pack, _BLOCK))
+def _level(router: Router, depth: int) -> list[int]:
+    """Nodes ``depth`` levels down, or leaves above."""
+    now = [0]
+    for _ in range(depth):
+        now = [k for n in now for k in (router.children[n] or [n])]
+    return now
 
 
 def _visit(visits: DataFrame, k: int) -> DataFrame:
@@ -216,23 +288,28 @@ def cover_tree_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: in
     """(query_id, rank, vec_id, score): the k greatest integer inner products of each query.
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows with another id;
-    components are floor(scale * x), clamped to 62 bits; ties go to the smaller id, fewer candidates
-    give fewer rows. Null ids, null vectors and vectors with null or non-finite components take no
-    part; only vectors of equal length are compared, those of length 0 with score 0. A repeated
-    row is one query and several candidates. An empty table gives no rows.
-
-    Queries and data are indexed together: vectors that share the nearest of at most 256 pivots
-    (from a sample of about ``sample`` vectors) form blocks of bounded size, each with a covering
-    ball, and a cover tree is built in each block. Query blocks first search the blocks of their own
-    pivot. Their worst kth score then prunes pairs of a query block and a data block by their
-    covering radii, and within the remaining pairs the pairs of tree nodes. Per query, each data
-    block returns k rows at most.
+    components are floor(scale * x); ties go to the smaller id, fewer candidates give fewer rows.
+    Null ids, null vectors and vectors with null or non-finite components take no part; only vectors
+    of equal length are compared, those of length 0 with score 0. A repeated row is one query and
+    several candidates. Components or scores beyond 62 bits are an error. An empty table gives no rows.
+
+    Queries and data are indexed together by a cover tree whose upper levels, with centres from a
+    sample of about ``sample`` vectors, the driver holds. Vectors go to its leaves and there form blocks
+    of bounded size, each with a covering ball and a cover tree of its own. Query blocks first search
+    a block of their own leaf. Then both trees are descended with the covering radii that the blocks
+    report for each node, and with the worst kth score under a query node: pairs of nodes, then of a
+    query block and a data block, then of nodes within these go where their radii cannot reach that
+    score. Blocks meet by the pair of leaves that is left, so no key holds all blocks. Per query, each
+    data block returns k rows at most.
     """
-    rows = cut(_whole(vectors, id_col, vec_col, scale))
-    placed = cut(_assign(rows, _pivots(rows, block, sample)))
-    data = _blocks(placed, block)
-    queries = _blocks(placed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"]), asks)
-    name = F.concat_ws("/", "dim", "pivot", "part")
+    spark = vectors.sparkSession
+    rows = cut(pack_vectors(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")), scale))
+    routers = _routers(rows, block, sample)
+    shared = spark.sparkContext.broadcast(routers)
+    placed = cut(_assign(rows, shared))
+    data = _blocks(placed, block, shared)
+    queries = _blocks(placed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"]), asks, shared)
+    name = F.concat_ws("/", "dim", "leaf", "part")
     data = data.withColumn("block", name).withColumn("asks", F.lit(None).cast("string")).withColumn("floor", F.lit(None).cast("binary"))
     queries = queries.withColumn("asks", name).withColumn("floor", F.lit(None).cast("binary"))
     fields = ["block", "asks", "dim", "ids", "vecs", "floor"]
@@ -243,10 +320,8 @@ def cover_tree_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: in
         both = visited.union(asked).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("asks"))
         return cut(_visit(both, k))
 
-    q, d = queries.alias("q"), data.alias("d")
-    home = q.join(d, F.expr("q.dim = d.dim AND q.pivot = d.pivot AND d.part = 0")).select(
-        "q.asks", "d.block", F.lit(None).cast("binary").alias("floor"))
-    first = visit(cut(home))
+    home = queries.select("asks", F.concat_ws("/", "dim", "leaf", F.lit(0)).alias("block"), F.lit(None).cast("binary").alias("floor"))
+    first = visit(home)
     kth = _best(first, k).groupBy("asks", "place").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     worst = kth.groupBy("asks").agg(F.map_from_entries(F.collect_list(F.struct("place", "kth"))).alias("known"))
 
@@ -265,12 +340,18 @@ def cover_tree_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: in
 
     asked = queries.select("asks", "ids").join(worst, "asks", "left").select("asks", "known", "ids")
     group = cut(asked.mapInArrow(floors, "asks string, floor binary, worst long"))
+    asking = queries.drop("floor").join(group, "asks")
+    pairs = _leaf_pairs(routers, data, asking, spark)
     dot = F.aggregate(F.zip_with("q.centre", "d.centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     spread = (F.col("q.radius") * F.col("d.norm") + F.col("d.radius") * F.col("q.norm") + F.col("q.radius") * F.col("d.radius"))
     bound = dot + spread + F.lit(_SLACK) * (1 + F.col("q.norm") * F.col("d.norm") + spread)
-    summary = data.select("dim", "pivot", "part", "block", "centre", "norm", "radius").alias("d")
-    asking = queries.select("asks", "dim", "pivot", "centre", "norm", "radius").join(group, "asks").alias("q")
-    rest = asking.join(summary, F.expr("q.dim = d.dim AND NOT (q.pivot = d.pivot AND d.part = 0)")).filter(
-        bound >= F.col("q.worst")).select("q.asks", "d.block", "q.floor")
+    salts = 16  # a hot leaf's blocks are spread over as many keys
+    ball = ["dim", "leaf", "part", "centre", "norm", "radius"]
+    d = data.select(*ball, "block", F.pmod("part", F.lit(salts)).alias("salt")).alias("d")
+    q = asking.select(*ball, "asks", "floor", "worst").alias("q")
+    p = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("p")
+    rest = (p.join(d, F.expr("p.dim = d.dim AND p.leaf = d.leaf AND p.salt = d.salt"))
+            .join(q, F.expr("p.dim = q.dim AND p.ask_leaf = q.leaf"))
+            .filter(F.expr("NOT (q.leaf = d.leaf AND d.part = 0)")).filter(bound >= F.col("q.worst")).select("q.asks", "d.block", "q.floor"))
     second = visit(cut(rest))
     return _best(first.union(second), k).select("query_id", "rank", "vec_id", "score")

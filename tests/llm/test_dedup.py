@@ -9,7 +9,7 @@ import pytest
 
 from clvforge.llm.components import connected_components
 from clvforge.llm.exact_dedup import content_sort_dedup, kept_documents
-from clvforge.llm.line_chunks import drop_repeated_chunks, drop_shared_runs, line_chunks
+from clvforge.llm.line_chunks import drop_repeated_chunks, line_chunks
 from clvforge.llm.simhash import POSITION_SETS, first_documents, simhash, simhash_dedup, simhash_links
 from clvforge.llm.suffix_dedup import COVER, PERIOD, remove_repeats
 
@@ -146,7 +146,7 @@ def test_remove_repeats_matches_brute_force(spark, docs, plain, no_docs):
         a, n = int(draw.integers(0, 300)), int(draw.integers(390, 420))
         rows.append((500 + i, own + shared[a:a + n] + own[::-1] + ("é" * 300 if i % 3 == 0 else "")))
     rows.append((600, "ab" * 500))
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunks=3).collect()
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=9000).collect()
     texts = [(t or "").encode() for _, t in rows]
     want = []
     for (i, _), t, gone in zip(rows, texts, brute_removed(texts, 400)):
@@ -157,45 +157,52 @@ def test_remove_repeats_matches_brute_force(spark, docs, plain, no_docs):
     assert sum(w[2] for w in want) > 0 and remove_repeats(no_docs).count() == 0
 
 
-def test_line_chunks_do_not_depend_on_what_stands_before():
-    lines = [f"line {i} {i * i}".encode() for i in range(60)]
-    alone = line_chunks(b"\n".join(lines))
-    moved = line_chunks(b"\n".join([b"new", b"start", *lines]))
-    inner = {c for c in alone if c[0] >= 3}
-    assert len(inner) > 5 and inner <= {(a - 2, b - 2) for a, b in moved}
-    assert [b for _, b in alone[:-1]] == [a for a, _ in alone[1:]] and line_chunks(b"") == [(0, 1)]
-
-
-def test_repeated_chunks_go_from_all_but_the_first_place(docs, plain, no_docs):
-    got = drop_repeated_chunks(docs).collect()
-    seen, want = {}, []
-    for i, t in sorted(set(plain), key=lambda r: (r[0] is None, r[0] or 0)):
-        raw = (t or "").encode()
-        lines, keep, gone = raw.split(b"\n"), [], 0
-        for a, b in line_chunks(raw):
-            body = b"\n".join(lines[a:b])
-            if b - a >= 2 and body in seen:
-                gone += 1
-                continue
-            if b - a >= 2:
-                seen[body] = i
-            keep += lines[a:b]
-        kept = raw if not gone else b"\n".join(keep)
-        want += [(i, gone, hashlib.sha256(kept).hexdigest())] * plain.count((i, t))
-    fixed = sorted(((r["doc_id"], r["removed_chunks"], r["kept_sha256"]) for r in got), key=repr)
-    assert fixed == sorted(want, key=repr) and any(w[1] for w in want)
-    assert drop_repeated_chunks(no_docs).count() == 0
-
-
-def brute_runs(rows, least=2):
+def test_repeats_at_the_edges_of_blocks_of_a_long_text(spark):
+    draw = np.random.default_rng(9)
+    long = bytes(draw.integers(97, 123, (1 << 20) + 60_000, dtype=np.uint8))
+    shared = bytes(draw.integers(97, 123, 900, dtype=np.uint8))
+    for n, at in enumerate(((1 << 20) - 450, 5000, 700_000)):  # with other neighbours on both sides
+        long = long[:at - 1] + b"%d" % n + shared + b"%d" % n + long[at + 901:]
+    rows = [(1, long.decode()), (2, "x" * 30 + shared[100:600].decode()), (3, shared[:399].decode())]
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["spans"] == [5000, 5900, 700_000, 700_900, (1 << 20) - 450, (1 << 20) + 450]
+    assert got[2]["spans"] == [30, 530] and got[3]["spans"] == []
+
+
+def digest(line):
+    import xxhash
+    return np.frombuffer(xxhash.xxh3_128_digest(line.encode()), np.uint64)[0]
+
+
+def test_chunks_end_where_lines_do_not_go_together_and_by_content():
+    h = np.array([digest(f"line {i}") for i in range(60)], np.uint64)
+    alone = line_chunks(h, np.ones(60, bool))
+    assert len(alone) > 5 and all(b - a >= 2 for a, b in alone) and [b for _, b in alone[:-1]] == [a for a, _ in alone[1:]]
+    moved = line_chunks(np.concatenate([h[40:42], h]), np.ones(62, bool))
+    assert len({c for c in alone if c[0] >= 6} & {(a - 2, b - 2) for a, b in moved}) >= len(alone) - 4
+    cut = np.ones(60, bool)
+    cut[[9, 29]] = False
+    edges = {b for _, b in line_chunks(h, cut)}
+    assert {10, 30} <= edges and line_chunks(h[:1], np.ones(1, bool)) == [(0, 1)] and line_chunks(h[:0], cut[:0]) == []
+
+
+def brute_chunks(rows):
+    """The rule in plain words over whole lines: pairs of lines that stand in two places, chunks, first places."""
+    unique = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    lines = {r: (r[1] or "").split("\n") for r in unique}
+    pairs = collections.Counter(p for ls in lines.values() for p in zip(ls, ls[1:]))
+    chunks = {}
+    for r, ls in lines.items():
+        shared = np.array([pairs[p] > 1 for p in zip(ls, ls[1:])] + [False])
+        chunks[r] = line_chunks(np.array([digest(x) for x in ls], np.uint64), shared)
     seen, want = {}, {}
-    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        lines = (t or "").split("\n")
+    for r, ls in lines.items():
         gone = set()
-        for a in range(len(lines) - least + 1):
-            if seen.setdefault(tuple(lines[a:a + least]), (i, t, a)) != (i, t, a):
-                gone |= set(range(a, a + least))
-        want[i, t] = len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t or ""
+        for a, b in chunks[r]:
+            body = tuple(ls[a:b])
+            if b - a >= 2 and any(x.strip(" \t\n\x0b\x0c\r") for x in body) and seen.setdefault(body, (r, a)) != (r, a):
+                gone |= set(range(a, b))
+        want[r] = len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone) if gone else r[1] or ""
     return want
 
 
@@ -210,13 +217,23 @@ def test_planted_passages_of_2_to_10_lines_go_from_all_but_the_first_place(spark
                 before, after = ["a common line", *fresh(i, 0, copy + 1)], fresh(i, 1, 2)
                 rows.append((i, "\n".join([*before, *passage, *after])))
                 planted.append((i, 0 if copy == 0 else n, "\n".join([*before, *(passage if copy == 0 else []), *after])))
-    rows += [(90001, "p\nq\nr"), (90002, "q\nr\ns"), (90003, "r\ns\nown"), (90004, "z\nz\nz\nz"), (90005, "p\nq")]
-    got = {r["doc_id"]: r for r in drop_shared_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute_runs(rows)
+    rows += [(90001, "p\nq\nr"), (90002, "q\nr\ns"), (90003, "r\ns\nown"), (90004, "z\nz\nz\nz"), (90005, "p\nq"),
+             (90006, "one intro\n\n\none end"), (90007, "other intro\n\n\nother end"), (90008, "\n \n\n")]
+    got = {r["doc_id"]: r for r in drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_chunks(rows)
     assert all((got[i]["removed_lines"], got[i]["text"]) == want[i, t] for i, t in rows) and len(got) == len(rows)
     assert all((got[i]["removed_lines"], got[i]["text"]) == (n, text) for i, n, text in planted)
-    odd = drop_shared_runs(docs).collect()
-    want = brute_runs(plain)
+    assert all(got[i]["removed_lines"] == 0 for i in (90006, 90007, 90008))  # blank lines are no passage
+    odd = drop_repeated_chunks(docs).collect()
+    want = brute_chunks(plain)
     assert sorted(((r["doc_id"], r["removed_lines"], r["text"]) for r in odd), key=repr) == sorted(
         ((i, *want[i, t]) for i, t in plain), key=repr)
-    assert all(r["removed_chunks"] <= r["n_chunks"] <= r["n_lines"] for r in odd) and drop_shared_runs(no_docs).count() == 0
+    assert any(r["removed_chunks"] for r in odd) and drop_repeated_chunks(no_docs).count() == 0
+
+
+def test_a_long_text_of_many_lines(spark):
+    long = "\n".join(f"line number {i}" for i in range(120_000))  # 2 MB
+    shared = "\n".join(f"line number {i}" for i in range(50_000, 50_040))
+    got = {r["doc_id"]: r for r in drop_repeated_chunks(spark.createDataFrame(
+        [(1, long), (2, "own\n" + shared + "\nend")], "doc_id long, text string")).collect()}
+    assert got[1]["text"] == long and got[2]["text"] == "own\nend"

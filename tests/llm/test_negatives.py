@@ -4,7 +4,8 @@ import math
 import numpy as np
 import pytest
 
-from clvforge.llm.negatives import mine_negatives, pack_keys, products, unpack_keys
+from clvforge.llm.negatives import mine_negatives, pack_keys, unpack_keys
+from clvforge.llm.vectors import products
 
 
 def brute(rows, positives, negatives, low, every, scale):
