@@ -100,10 +100,14 @@ def clv_band_expr(clv="clv") -> Column:
 def clv_percentile_band(df: DataFrame, clv: str = "clv", cuts=(0.4, 0.6, 0.9),
                         out: str = "clv_band", exact: bool = True) -> DataFrame:
     """H4: VIP ≥ p90, High ≥ p60, Medium ≥ p40, else Low (cuts configurable).
-    The cut values are scalar subqueries over the distributed rank table
+    The cut values are scalar subqueries over one distributed rank table
     (exact) or a ``percentile_approx`` sketch."""
-    from clvforge.operators.ranks import quantile_row
-    p = [quantile_row(df, clv, float(c), "_q", exact).scalar() for c in cuts]
+    from clvforge.operators.ranks import approx_quantile_row, exact_quantiles
+    if exact:
+        row = exact_quantiles(df, clv, list(cuts))
+        p = [row.select(f"q{i}").scalar() for i in range(len(cuts))]
+    else:
+        p = [approx_quantile_row(df, clv, float(c), "_q").scalar() for c in cuts]
     v = F.col(clv)
     band = (F.when(v >= p[1], F.when(v >= p[2], "VIP").otherwise("High Value"))
              .when(v >= p[0], "Medium Value").otherwise("Low Value"))

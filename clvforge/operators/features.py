@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clvforge import schemas as S
+from clvforge.session import durable_cut
 
 
 def days_between(start: str | Column, end: str | Column) -> Column:
@@ -110,7 +111,11 @@ def customer_features(obs: DataFrame) -> DataFrame:
     end = obs.agg(F.max(S.TS)).scalar()
     agg = obs.groupBy(S.CUST).agg(*_line_aggregates(obs))
     gaps = purchase_gaps(obs, with_months=True)
-    j = agg.join(gaps, S.CUST, "left")
+    return feature_columns(agg.join(gaps, S.CUST, "left"), end)
+
+
+def feature_columns(j: DataFrame, end: Column, more: list | None = None) -> DataFrame:
+    """The columns of D1 from a customer's aggregates and gaps; ``end`` is the last observed timestamp."""
     return j.select(
         S.CUST,
         fmt_ts("_first_ts").alias("first_purchase_date"),
@@ -123,8 +128,7 @@ def customer_features(obs: DataFrame) -> DataFrame:
         F.col("avg_revenue_per_txn").alias("monetary_value"),
         F.coalesce("avg_days_between_purchases", F.lit(0.0)).alias("avg_days_between_purchases"),
         F.coalesce("max_purchase_gap", F.lit(0.0)).alias("max_purchase_gap"),
-        "n_unique_months",
-    )
+        "n_unique_months", *(more or []))
 
 
 def purchase_span(obs: DataFrame) -> DataFrame:
@@ -202,28 +206,32 @@ def spend_summary(tx: DataFrame) -> DataFrame:
 
 
 def invoice_features(tx: DataFrame) -> DataFrame:
-    """Two-level features. Invoices are totalled first (one row per
-    customer × invoice), gaps follow invoice dates (not invoice ids). Distinct
-    counts are counts of distinct pairs, so no line is expanded."""
-    inv = tx.groupBy(S.CUST, S.INVOICE).agg(F.min(S.TS).alias("_inv_ts"))
-    gaps = gap_stats(inv, S.CUST, "_inv_ts")
-    lines = tx.groupBy(S.CUST).agg(
+    """Two-level features; gaps follow invoice dates (not invoice ids).
+
+    Two passes over the lines: one for each customer's sums, one that keeps each (customer, invoice,
+    stock code, country) once with its first timestamp. Both are written; invoices, gaps and
+    distinct counts come from the second, the snapshot from the first. No line is expanded."""
+    lines = durable_cut(tx.groupBy(S.CUST).agg(
         F.min(S.TS).alias("_f"), F.max(S.TS).alias("_l"),
         F.avg(S.REVENUE).alias("monetary_value"),
         F.sum(S.REVENUE).alias("total_revenue"),
-        F.coalesce(F.stddev_samp(S.REVENUE), F.lit(0.0)).alias("revenue_std"))
+        F.coalesce(F.stddev_samp(S.REVENUE), F.lit(0.0)).alias("revenue_std")))
+    kept = durable_cut(tx.groupBy(S.CUST, S.INVOICE, S.STOCK, S.COUNTRY).agg(F.min(S.TS).alias("_ts")))
+    inv = kept.groupBy(S.CUST, S.INVOICE).agg(F.min("_ts").alias("_inv_ts"))
+    gaps = gap_stats(inv, S.CUST, "_inv_ts")
 
     def distinct_count(pairs: DataFrame, col: str, out: str) -> DataFrame:
         return pairs.groupBy(S.CUST).agg(F.count(col).alias(out))
 
     j = (lines.join(distinct_count(inv, S.INVOICE, "n_invoices"), S.CUST)
-              .join(distinct_count(tx.select(S.CUST, S.STOCK).distinct(), S.STOCK, "n_unique_products"), S.CUST)
-              .join(distinct_count(tx.select(S.CUST, S.COUNTRY).distinct(), S.COUNTRY, "n_unique_countries"), S.CUST)
+              .join(distinct_count(kept.select(S.CUST, S.STOCK).distinct(), S.STOCK, "n_unique_products"), S.CUST)
+              .join(distinct_count(kept.select(S.CUST, S.COUNTRY).distinct(), S.COUNTRY, "n_unique_countries"), S.CUST)
               .join(gaps, S.CUST, "left"))
+    snapshot = lines.agg(F.max("_l") + F.make_dt_interval(F.lit(1))).scalar()
     return j.select(
         S.CUST, (F.col("n_invoices") - 1).alias("frequency"),
         days_between("_f", "_l").alias("recency"),
-        days_between(F.col("_f"), _snapshot(tx)).alias("T"),
+        days_between(F.col("_f"), snapshot).alias("T"),
         "monetary_value", "total_revenue", "n_invoices", "n_unique_products",
         "n_unique_countries",
         F.when(F.col("n_gaps") > 0, F.col("max_gap")).otherwise(F.lit(0)).cast("double")

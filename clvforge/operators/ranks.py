@@ -198,6 +198,20 @@ def exact_quantile(df: DataFrame, col: str, q: float, out: str = "q",
         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
 
 
+def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> DataFrame:
+    """One row q0, q1, … with the exact quantiles ``qs`` of ``col``, all read off one value/rank table."""
+    t = value_rank_table(df, col)
+    n = t.agg(F.sum("_cnt")).scalar()
+    v, at = F.col(col).cast("double"), []
+    for i, q in enumerate(qs):
+        h = (n - 1) * F.lit(float(q))
+        on = lambda k: (F.col("_less") <= k) & (k < F.col("_less") + F.col("_cnt"))
+        at += [F.max(F.when(on(F.floor(h)), v)).alias(f"_lo{i}"), F.max(F.when(on(F.ceil(h)), v)).alias(f"_hi{i}"),
+               F.max(h - F.floor(h)).alias(f"_f{i}")]
+    part = lambda i: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")
+    return t.agg(*at).select(*[part(i).alias(f"q{i}") for i in range(len(qs))])
+
+
 def approx_quantile_row(df: DataFrame, col: str, q: float, out: str = "q",
                         accuracy: int = 10000) -> DataFrame:
     """One-row ``percentile_approx`` (bounded-memory sketch) variant."""

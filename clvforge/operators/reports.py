@@ -115,7 +115,11 @@ def budget_summary(rfm_total: DataFrame) -> DataFrame:
 def rfm_for_histories(hist: DataFrame, n: int = 5) -> DataFrame:
     """L3: histories of a batch of customers → recency (days before the
     batch's last entry + 1 day), purchase count, mean amount → scores →
-    segment → action (the per-request endpoint cannot score one row)."""
+    segment → action (the per-request endpoint cannot score one row).
+
+    ``status`` is null, or says that a customer has no entry in any history:
+    the endpoint answers such a request with an error, here it is a row
+    without scores."""
     from clvforge.operators.rfm import score_rfm, segment_customers
     from clvforge.sources.histories import explode_histories
     rows = explode_histories(hist)
@@ -125,8 +129,15 @@ def rfm_for_histories(hist: DataFrame, n: int = 5) -> DataFrame:
     rfm = a.select(S.CUST, F.timestamp_diff("DAY", F.col("_l"), snap).alias("Recency"),
                    "Frequency", "Monetary")
     seg = segment_customers(score_rfm(rfm, n))
-    return R.attach_actions(seg).select(
+    done = R.attach_actions(seg).select(
         S.CUST, "Recency", "Frequency", "Monetary", F.col("R_score").alias("r_score"),
         F.col("F_score").alias("f_score"), F.col("M_score").alias("m_score"),
         F.col("RFM_score").alias("rfm_score"), "segment", "priority",
-        F.col("action").alias("recommended_action"))
+        F.col("action").alias("recommended_action"), F.lit(None).cast("string").alias("status"))
+    empty = (hist.groupBy(S.CUST).agg(F.sum(F.greatest(F.size("transactions"), F.lit(0))).alias("_n"))
+             .where("_n = 0 OR _n IS NULL").select(S.CUST, F.lit(NO_TRANSACTIONS).alias("status")))
+    return done.unionByName(empty, allowMissingColumns=True)
+
+
+#: Fixed value: what the endpoint says of a history without entries.
+NO_TRANSACTIONS = "No valid transactions provided"

@@ -42,22 +42,23 @@ def compute_rfm_total(tx: DataFrame, snapshot=None) -> DataFrame:
 
 
 def score_rfm(rfm: DataFrame, n: int = 5, recency: str = "Recency",
-              frequency: str = "Frequency", monetary: str = "Monetary") -> DataFrame:
+              frequency: str = "Frequency", monetary: str = "Monetary", written: bool = False) -> DataFrame:
     """1..n scores from equal-width bins of the average rank; recency is
     reversed (recent = high). RFM_score = 100R + 10F + M.
 
     Each score is computed once per *distinct value* (distributed rank table)
-    and joined back on the value column. The input is materialised first: it
-    is read four times, and a recomputed float mean could differ in its last
-    bit from the value the rank table was built on.
+    and joined back on the value column. The input is materialised first
+    (unless it is ``written`` already): it is read four times, and a recomputed
+    float mean could differ in its last bit from the value the rank table was
+    built on. A null has no rank and gets the middle score.
     """
-    rfm = durable_cut(rfm)
+    rfm = rfm if written else durable_cut(rfm)
     cuts = split_points(rfm, [recency, frequency, monetary])
     out = rfm
     for col, name, rev in ((recency, "R_score", True), (frequency, "F_score", False),
                            (monetary, "M_score", False)):
         t = equal_width_score_table(rfm, col, n, rev, name, splits=cuts[col])
-        out = out.join(t, col, "left")
+        out = out.join(t, col, "left").withColumn(name, F.coalesce(name, F.lit((n + 1) // 2)))
     out = out.withColumn(
         "RFM_score", (F.col("R_score") * 100 + F.col("F_score") * 10 + F.col("M_score")).cast("int"))
     return out.select(*rfm.columns, "R_score", "F_score", "M_score", "RFM_score")
@@ -100,10 +101,11 @@ def attach_rfm(customers: DataFrame, rfm: DataFrame) -> DataFrame:
         S.CUST, "left")
 
 
-def segment_stats(rfm: DataFrame, tx: DataFrame) -> DataFrame:
+def segment_stats(rfm: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """Per segment counts, revenue sum and mean, mean scores and raw
-    R/F/M, and revenue share in % (2 dp), largest share first."""
-    j = attach_customer_revenue(rfm, tx)
+    R/F/M, and revenue share in % (2 dp), largest share first. Revenue is that
+    of the lines ``tx``, or the column TotalRevenue (D10) of ``rfm``."""
+    j = rfm.withColumnRenamed("TotalRevenue", "total_revenue") if tx is None else attach_customer_revenue(rfm, tx)
     g = j.groupBy("segment").agg(
         F.count(S.CUST).alias("customer_count"),
         F.sum("total_revenue").alias("segment_revenue"),

@@ -64,9 +64,8 @@ def rfm_scored(spark, d):
 # -- flagship: segment statistics with actions --------------------------------
 
 def segment_actions(spark: SparkSession, d: str) -> DataFrame:
-    o = obs(spark, d)
-    seg = RF.segment_customers(RF.score_rfm(RF.compute_rfm(o)))
-    return R.attach_actions(RF.segment_stats(seg, o))
+    from clvforge.plans.composite import segment_table
+    return R.attach_actions(segment_table(clean(spark, d))[1])
 
 
 SEG_STATS_COLS = ["segment_revenue", "avg_revenue_per_customer", "avg_R_score", "avg_F_score",

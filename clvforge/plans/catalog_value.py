@@ -23,7 +23,7 @@ from clvforge.plans.composite import customer_table, segment_table
 BG, GG = P.PUBLISHED_BGNBD, P.PUBLISHED_GG
 RFM_SQL = Q.with_(*Q.PIPE, *Q.rfm_blocks())
 CUST_SQL = Q.with_(*Q.PIPE, *Q.customer_table_blocks(BG, GG))
-CUST_R = CUST_SQL + ", cr AS (SELECT * REPLACE (round(bgnbd_gg_clv * 100) / 100 AS bgnbd_gg_clv) FROM customers)\n"
+CUST_R = CUST_SQL + ", cr AS (SELECT * FROM customers)\n"
 
 
 def customers(spark, d):
@@ -91,8 +91,7 @@ def q_pct_requests(spark, d):
              "avg(CASE WHEN bgnbd_gg_clv > (SELECT quantile_cont(bgnbd_gg_clv, 0.9) FROM cr) "
              "THEN 1.0 ELSE 0.0 END) * 100 AS pct_above FROM cr", ["min_value", "pct_above"]))
 def q_top_share(spark, d):
-    c = customers(spark, d).withColumn("bgnbd_gg_clv", V.round_to("bgnbd_gg_clv", 2))
-    return V.top_share_value(c, 10.0)
+    return V.top_share_value(customers(spark, d), 10.0)
 
 
 # -- G: cohorts -----------------------------------------------------------------------
@@ -373,23 +372,19 @@ def q_country_bucket(spark, d):
 # -- F: target lists ----------------------------------------------------------------------
 
 def _cust_r(spark, d):
-    """Customer table with money rounded as the lists report it."""
-    from clvforge.session import durable_cut
-    c = customers(spark, d).withColumn("bgnbd_gg_clv", V.round_to("bgnbd_gg_clv", 2))
-    return durable_cut(c)
-
-
+    """The customer table; lists rank unrounded values and round what they report."""
+    return customers(spark, d)
 
 
 @register("top_customers", CUST_R + f"""SELECT CAST(customer_id AS VARCHAR) AS customer_id,
-  bgnbd_gg_clv AS predicted_clv, coalesce(segment, 'Unknown') AS segment, {Q.r2('prob_alive', 4)} AS prob_alive,
+  {Q.r2('bgnbd_gg_clv', 2)} AS predicted_clv, coalesce(segment, 'Unknown') AS segment, {Q.r2('prob_alive', 4)} AS prob_alive,
   {Q.r2('total_revenue_obs', 2)} AS total_revenue_obs
 FROM cr ORDER BY bgnbd_gg_clv DESC, customer_id ASC LIMIT 100""")
 def q_top(spark, d):
     return V.top_customers(_cust_r(spark, d))
 
 
-@register("at_risk", CUST_R + f"""SELECT CAST(customer_id AS VARCHAR) AS customer_id, bgnbd_gg_clv AS predicted_clv,
+@register("at_risk", CUST_R + f"""SELECT CAST(customer_id AS VARCHAR) AS customer_id, {Q.r2('bgnbd_gg_clv', 2)} AS predicted_clv,
   coalesce(segment, 'Unknown') AS segment, {Q.r2('prob_alive', 4)} AS prob_alive,
   {Q.r2('CAST(recency AS DOUBLE)', 1)} AS recency,
   {Q.action_case("coalesce(segment, 'Unknown')", 'prob_alive', 'bgnbd_gg_clv')} AS recommended_action
@@ -400,12 +395,12 @@ def q_at_risk(spark, d):
 
 
 @register("at_risk_above_mean", sql_wrap(CUST_R + """SELECT customer_id, bgnbd_gg_clv, prob_alive, segment FROM cr
-WHERE prob_alive < 0.5 AND bgnbd_gg_clv > (SELECT avg(bgnbd_gg_clv) FROM cr)""", ["prob_alive"]))
+WHERE prob_alive < 0.5 AND bgnbd_gg_clv > (SELECT avg(bgnbd_gg_clv) FROM cr)""", ["prob_alive", "bgnbd_gg_clv"]))
 def q_at_risk_mean(spark, d):
     return V.at_risk_above_mean(_cust_r(spark, d)).select(S.CUST, "bgnbd_gg_clv", "prob_alive", "segment")
 
 
-@register("vip", CUST_R + f"""SELECT CAST(customer_id AS VARCHAR) AS customer_id, bgnbd_gg_clv AS predicted_clv,
+@register("vip", CUST_R + f"""SELECT CAST(customer_id AS VARCHAR) AS customer_id, {Q.r2('bgnbd_gg_clv', 2)} AS predicted_clv,
   {Q.r2('prob_alive', 4)} AS prob_alive, coalesce(segment, 'Unknown') AS segment,
   '{R.VIP_ACTION}' AS action
 FROM cr WHERE bgnbd_gg_clv > (SELECT quantile_cont(bgnbd_gg_clv, 0.9) FROM cr) AND prob_alive > 0.7
@@ -607,10 +602,31 @@ def q_budget(spark, d):
     return RP.budget_summary(seg)
 
 
-@register("rfm_for_histories")
+@register("rfm_for_histories", sql_wrap(
+    Q.with_(*Q.PIPE[:4], "snap AS (SELECT max(invoice_ts) + INTERVAL 1 DAY AS s FROM clean)",
+            f"""rfm AS (SELECT customer_id, {Q.days('max(invoice_ts)', 'any_value(snap.s)')} AS Recency, count(*) AS Frequency,
+  avg(revenue) AS Monetary FROM clean, snap GROUP BY customer_id)""", *Q.score_blocks(), Q.SEG, Q.actions_values())
+    + f"""SELECT CAST(customer_id AS VARCHAR) AS customer_id, Recency, Frequency, Monetary, R_score AS r_score, F_score AS f_score,
+  M_score AS m_score, RFM_score AS rfm_score, segment, coalesce(priority, 'Medium') AS priority,
+  coalesce(action, 'Standard engagement') AS recommended_action, CAST(NULL AS VARCHAR) AS status
+FROM seg LEFT JOIN acts USING (segment)
+UNION ALL SELECT DISTINCT 'none-' || CAST(c_custkey AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  '{RP.NO_TRANSACTIONS}' FROM customer WHERE c_custkey % 100 = 0""", ["Monetary"]))
 def q_rfm_hist(spark, d):
+    """L3 over the lines' histories and some customers without any."""
     from clvforge.sources.histories import histories_from_lines
-    return RP.rfm_for_histories(histories_from_lines(clean(spark, d)))
+    hist = histories_from_lines(clean(spark, d))
+    bare = (spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 100 = 0")
+            .select(F.concat(F.lit("none-"), F.col("c_custkey").cast("string")).alias(S.CUST))
+            .withColumn("transactions", F.array().cast(hist.schema["transactions"].dataType)))
+    return RP.rfm_for_histories(hist.select(S.CUST, "transactions").unionByName(bare))
+
+
+@register("alive_grid_full")
+def q_alive_grid_full(spark, d):
+    """I4 as drawn: frequency 0 to 49 by recency 0 to 360, with the parameters fitted on the given lines."""
+    fit = {r["name"]: r["value"] for r in _fit_rows(spark, d).where("model = 'bgnbd'").collect()}
+    return V.alive_grid_full(spark, {k: fit[k] for k in ("r", "alpha", "a", "b")})
 
 
 # -- J: machine-learned value (rows-only checks; numerics covered by tests) ---------------

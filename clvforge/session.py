@@ -82,13 +82,17 @@ def durable_cut(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whichever store it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release_tables(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that ``durable_cut`` has written since a mark
     (``table_mark()``), once the results that read them are consumed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _TABLES[since:]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        delete_path(spark, path)
     del _TABLES[since:]
 
 

@@ -2,9 +2,10 @@
 
 A Structured Streaming file source with the declared request schema feeds
 ``foreachBatch``: each micro-batch is validated (B11), scored (H5) with a
-fixed parameter set and appended to a parquet sink; rejected rows go to a
-separate sink. The checkpoint location makes the query restartable after a
-driver or executor failure without re-scoring committed batches.
+fixed parameter set and written to a folder of its own in a parquet sink;
+rejected rows go to a separate sink. The checkpoint location makes the query
+restartable after a driver or executor failure; a batch that is run again
+overwrites its own folders, so no request is answered twice.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def start_scoring(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: s
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         ok, bad = validate_requests(batch)
-        score_requests(ok, bg).write.mode("append").parquet(f"{out_dir}/scores")
-        bad.write.mode("append").parquet(f"{out_dir}/rejected")
+        score_requests(ok, bg).write.mode("overwrite").parquet(f"{out_dir}/scores/batch_id={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
 
     w = (request_stream(spark, src_dir, fmt).writeStream
          .foreachBatch(score_batch).option("checkpointLocation", checkpoint))

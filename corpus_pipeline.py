@@ -13,7 +13,7 @@ from clvforge.llm.mixing import mix, repeat_documents
 from clvforge.llm.pieces import encode_documents
 from clvforge.llm.quality import good_documents
 from clvforge.llm.simhash import first_documents
-from clvforge.session import checkpoint_dir, ship_package
+from clvforge.session import checkpoint_dir, delete_path, release_tables, ship_package, table_mark
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
+        mark = table_mark()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        release_tables(spark, mark)  # what the stage wrote on its way, and its predecessor's output
+        if n:
+            delete_path(spark, f"{folder}/{n - 1}")
     return docs

@@ -18,12 +18,17 @@ def test_stream_scores_every_request(spark, sf_small):
     req.repartition(3).write.json(src)
     q = start_scoring(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"), once=True)
     q.awaitTermination(120)
-    got = spark.read.parquet(os.path.join(root, "out", "scores"))
+    got = spark.read.parquet(os.path.join(root, "out", "scores")).drop("batch_id")
     assert got.count() == req.count()
     batch = score_requests(req)
     a = sorted(map(tuple, got.collect()), key=repr)
     b = sorted(map(tuple, batch.collect()), key=repr)
     assert a == b
+    first = [f for f in os.listdir(os.path.join(root, "ckpt", "commits")) if f.isdigit()]
+    os.remove(os.path.join(root, "ckpt", "commits", max(first, key=int)))  # as if the driver had been lost before the commit
+    start_scoring(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"), once=True).awaitTermination(120)
+    again = spark.read.parquet(os.path.join(root, "out", "scores")).drop("batch_id")
+    assert sorted(map(tuple, again.collect()), key=repr) == b
 
 
 def test_end_to_end_run_writes_and_reads_outputs(spark, sf_small):
