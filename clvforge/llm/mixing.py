@@ -173,12 +173,16 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id")
     """
     count = cut(mixed.groupBy("doc_id").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_r")))
     packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    told = packed.join(count.filter("_c > 0"), F.expr("_id <=> doc_id"))
-    several = told.filter("_r > 1").select("_id", "_row", "_c", "_r", F.xxhash64("_row").alias("_h"))
-    placed = global_row_number(several.withColumn("_none", F.col("_id").isNull().cast("int")), ["_none", "_id", "_h"], "_k")
-    start = placed.groupBy("_id").agg(F.min("_k").alias("_first"))
-    at = F.col("p._k") - F.col("s._first")
-    upto = lambda k: F.floor(k * F.col("p._c") / F.col("p._r"))
-    dealt = placed.alias("p").join(start.alias("s"), F.expr("p._id <=> s._id")).select("p._row", (upto(at + 1) - upto(at)).alias("_n"))
-    copies = told.filter("_r = 1").select("_row", F.col("_c").alias("_n")).unionByName(dealt).filter("_n > 0")
+    once = packed.join(count.filter("_r = 1 AND _c > 0"), F.expr("_id <=> doc_id")).select("_row", F.col("_c").alias("_n"))
+    repeated = count.filter("_r > 1 AND _c > 0")
+    if repeated.isEmpty():
+        copies = once
+    else:
+        several = packed.join(repeated, F.expr("_id <=> doc_id")).select("_id", "_row", "_c", "_r", F.xxhash64("_row").alias("_h"))
+        placed = global_row_number(several.withColumn("_none", F.col("_id").isNull().cast("int")), ["_none", "_id", "_h"], "_k")
+        start = placed.groupBy("_id").agg(F.min("_k").alias("_first"))
+        at = F.col("p._k") - F.col("s._first")
+        upto = lambda k: F.floor(k * F.col("p._c") / F.col("p._r"))
+        dealt = placed.alias("p").join(start.alias("s"), F.expr("p._id <=> s._id")).select("p._row", (upto(at + 1) - upto(at)).alias("_n"))
+        copies = once.unionByName(dealt).filter("_n > 0")
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")

@@ -88,6 +88,28 @@ def test_dual_descent_separates_and_respects_the_box():
     assert all((w[f] @ v > 0) == (t > 0) for (f, v), t in zip(rows, y))
 
 
+def test_dual_descent_reaches_the_optimum_of_the_hinge_loss():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(120, 6)) * (draw.random((120, 6)) < 0.6)
+    y = np.where(x @ [1.0, -2.0, 0.5, 0, 0, 1] + 0.7 * draw.normal(size=120) > 0.3, 1.0, -1.0)
+    rows = [(np.flatnonzero(v), v[v != 0]) for v in x]
+    rows = [(f, v) if len(f) else (np.array([0]), np.array([1e-3])) for f, v in rows]
+    w = quality.dual_descent(rows, y, cost=0.5, epochs=400)
+    w = np.concatenate([w, np.zeros(6 - len(w))])
+    weight = 0.5 * np.where(y > 0, 0.5 / np.mean(y > 0), 0.5 / np.mean(y < 0))
+
+    def loss(u):
+        return 0.5 * u @ u + (weight * np.maximum(0, 1 - y * np.array([u[f] @ v for f, v in rows]))).sum()
+    best, at = loss(w), np.zeros(6)
+    for k in range(1, 4000):  # plain subgradient descent
+        margin = y * np.array([at[f] @ v for f, v in rows])
+        g = at.copy()
+        for (f, v), t, c in zip(rows, y, weight * (margin < 1)):
+            g[f] -= c * t * v
+        at -= g / k
+    assert best <= loss(at) * 1.005
+
+
 def test_classifier_is_accurate_on_held_out_rows(spark, sf_dir):
     import zlib
     big = sf_dir.replace("0.001", "0.1")
@@ -131,6 +153,24 @@ def test_capped_targets(spark):
     assert got == pytest.approx([want[i] for i in range(200)]) and len(free) < 200
 
 
+def test_tilts_equal_bisection(spark):
+    draw = random.Random(8)
+    strata = [(s, n, draw.randint(1, 40)) for s in "abcde" for n in sorted(draw.sample(range(1, 900), 12))]
+    total = {s: sum(n * k for t, n, k in strata if t == s) for s in "abcde"}
+    goal = [(s, total[s], total[s] * f) for s, f in zip("abcde", (0.2, 0.9, 1.0, 1.7, 2.9))]
+    got = {r["source"]: (r["unit"], r["tilt"]) for r in tilts(
+        spark.createDataFrame(strata, "source string, size long, n long"),
+        spark.createDataFrame(goal, "source string, source_size long, target double")).collect()}
+    for s, size, target in goal:
+        unit = size / sum(k for t, _, k in strata if t == s)
+        words = lambda tilt: sum(n * k * 3 / (1 + 2 * np.exp(-tilt * n / unit)) for t, n, k in strata if t == s)  # noqa: E731, B023
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < target else (low, mid)
+        assert got[s] == (pytest.approx(unit), pytest.approx(low, abs=1e-5))
+
+
 def test_unmet_targets_are_an_error(spark):
     strata = spark.createDataFrame([("a", 5, 10), ("b", 2, 10)], "source string, size long, n long")
     goal = spark.createDataFrame([("a", 50, 80.0), ("b", 20, 10.0)], "source string, source_size long, target double")

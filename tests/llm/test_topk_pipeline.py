@@ -46,14 +46,73 @@ def test_cover_tree_invariants():
     walk(CoverTree(x, leaf=8))
 
 
-def test_pipeline_stages(spark, sf_dir, tmp_path):
+def test_pipeline_equals_its_stages_in_plain_words(spark, sf_dir, tmp_path):
+    import hashlib
+    import re
+    from collections import Counter
+
+    import sentencepiece
+    import xxhash
+    from clvforge.llm import quality
+    from clvforge.llm.catalog import model_path
+    from clvforge.llm.mixing import mix
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns = docs.columns
-    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    kept = []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{n}")
-        docs = spark.read.parquet(f"{tmp_path}/{n}")
-        assert n == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns, name
-    assert docs.count() > 100 and docs.filter("n_tokens < 2").count() == 0
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{n}")
+        kept.append((before, docs))
+    rows = lambda df: [(r["doc_id"], r["text"] or "") for r in df.collect()]
+    good = {r["doc_id"] for r in quality.classify(kept[0][0], labels).collect() if r["score"] >= 0.7}
+    assert {i for i, _ in rows(kept[0][1])} == good and len(good) > 100
+    first = {}
+    for i, t in sorted(rows(kept[1][0]), key=lambda r: (-len(r[1]), r[0])):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), i)
+    assert sorted(i for i, _ in rows(kept[1][1])) == sorted(first.values())
+
+    def print_of(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        h = [xxhash.xxh64_intdigest(" ".join(w[k:k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    prints = sorted((i, print_of(t)) for i, t in rows(kept[2][0]))
+    group = {i: i for i, _ in prints}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+    for k, (i, a) in enumerate(prints):
+        for j, b in prints[:k]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = sorted((root(i), root(j)))
+                group[y] = x
+    assert sorted(i for i, _ in rows(kept[2][1])) == sorted(i for i in group if root(i) == i)
+    assert Counter(i for i, _ in rows(kept[3][1])) == Counter({r["doc_id"]: r["copies"] for r in mix(kept[3][0]).collect() if r["copies"]})
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    texts = rows(kept[4][0])
+    want = Counter((i, hashlib.sha256(np.array(library.encode(t, add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest()) for i, t in texts)
+    assert Counter((r["doc_id"], r["ids_sha256"]) for r in kept[4][1].collect()) == want
+
+
+def test_pipeline_run_leaves_only_its_result(spark, sf_dir):
+    import os
+    from clvforge.session import checkpoint_dir
+    root = checkpoint_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(root) if f.startswith("pipeline-")}
+    out = corpus_pipeline.run(spark, sf_dir)
+    (new,) = {f for f in os.listdir(root) if f.startswith("pipeline-")} - before
+    assert out.count() > 100 and os.listdir(f"{root}/{new}") == [str(len(corpus_pipeline.STAGES) - 1)]
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, docs, no_docs, tmp_path):
+    docs.sparkSession.createDataFrame([(i, i % 2, 0) for i in range(100, 150)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    for df in (docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == df.columns and (out.count() > 0) == (df is docs), name
+        assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == df.count()
 
 
 def test_every_operator_has_one_query():
