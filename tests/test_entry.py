@@ -20,8 +20,7 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", ["segment_customers", "customer_features", "score_probabilistic",
                                   "at_risk", "retention_cohorts", "score_requests", "segment_actions", "invoice_features",
-                                  "rfm_for_histories", "percent_above_requests", "split_train_validation", "scale_features",
-                                  "distinct_products_merged", "price_quantile_merged", "write_outputs", "clv_percentile_band"])
+                                  "split_train_validation", "scale_features"])
 def test_sql_twin_matches(spark, sf_small, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -25,7 +25,9 @@ def test_stream_scores_every_request(spark, sf_small):
     b = sorted(map(tuple, batch.collect()), key=repr)
     assert a == b
     first = [f for f in os.listdir(os.path.join(root, "ckpt", "commits")) if f.isdigit()]
-    os.remove(os.path.join(root, "ckpt", "commits", max(first, key=int)))  # as if the driver had been lost before the commit
+    last = max(first, key=int)
+    for f in (last, f".{last}.crc"):  # as if the driver had been lost before the commit
+        os.remove(os.path.join(root, "ckpt", "commits", f))
     start_scoring(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"), once=True).awaitTermination(120)
     again = spark.read.parquet(os.path.join(root, "out", "scores")).drop("batch_id")
     assert sorted(map(tuple, again.collect()), key=repr) == b
