@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clvforge import schemas as S
+from clvforge.session import durable_cut
 
 
 def month_index(col: str | Column) -> Column:
@@ -79,8 +80,9 @@ def retention_cohorts(tx: DataFrame, max_cohorts: int | None = None,
 def cohort_value(tx: DataFrame, customers: DataFrame | None = None,
                  clv_col: str = "clv") -> DataFrame:
     """Revenue per (cohort_month, cohort_index) with the cohort size and,
-    when a customer table is given, the cohort's mean predicted value."""
-    cm = _customer_months(tx, with_revenue=True)
+    when a customer table is given, the cohort's mean predicted value.
+    The customer-months are materialised: they are read for the months and for the cohorts."""
+    cm = durable_cut(_customer_months(tx, with_revenue=True))
     first = _first_month(cm)
     j = cm.join(first, S.CUST)
     idx = (month_index("invoice_month") - month_index("cohort_month")).cast("int")

@@ -4,6 +4,7 @@ import datetime as dt
 import pandas as pd
 import pytest
 
+from clvforge.operators.cohorts import cohort_value
 from clvforge.operators.rfm import score_rfm_quantile
 
 
@@ -30,3 +31,9 @@ def lines(spark, n=120):
 def test_quantile_scores_compute_their_input_once(spark):
     df, seen = counted(spark.range(50).selectExpr("id AS customer_id", "id % 7 AS Recency", "id % 5 AS Frequency", "id * 1.5 AS Monetary"))
     assert len(score_rfm_quantile(df).collect()) == 50 and seen.value == 50
+
+
+def test_cohort_value_reads_the_lines_once(spark):
+    df, seen = counted(lines(spark))
+    got = cohort_value(df).collect()
+    assert seen.value == 120 and sum(r["revenue"] for r in got) == pytest.approx(lines(spark).toPandas()["revenue"].sum())
