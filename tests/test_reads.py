@@ -6,6 +6,7 @@ import pytest
 
 from clvforge.operators.cohorts import cohort_value
 from clvforge.operators.rfm import score_rfm_quantile
+from clvforge.plans import catalog_value as CV
 
 
 def counted(df):
@@ -37,3 +38,10 @@ def test_cohort_value_reads_the_lines_once(spark):
     df, seen = counted(lines(spark))
     got = cohort_value(df).collect()
     assert seen.value == 120 and sum(r["revenue"] for r in got) == pytest.approx(lines(spark).toPandas()["revenue"].sum())
+
+
+def test_scaling_reads_the_features_once(spark, monkeypatch):
+    df, seen = counted(spark.range(60).selectExpr("id AS customer_id", "id AS frequency", "id * 2 AS recency", "id * 1.5 AS total_revenue_obs",
+                                                  "id % 5 AS n_unique_products"))
+    monkeypatch.setattr(CV, "features", lambda *_: df)
+    assert len(CV.q_scale(spark, "").collect()) == 60 and seen.value == 60
