@@ -7,6 +7,7 @@ import pytest
 from clvforge.operators.cohorts import cohort_value
 from clvforge.operators.rfm import score_rfm_quantile
 from clvforge.plans import catalog_value as CV
+from clvforge.plans.composite import Bounds, Moments, customer_base
 
 
 def counted(df):
@@ -45,3 +46,10 @@ def test_scaling_reads_the_features_once(spark, monkeypatch):
                                                   "id % 5 AS n_unique_products"))
     monkeypatch.setattr(CV, "features", lambda *_: df)
     assert len(CV.q_scale(spark, "").collect()) == 60 and seen.value == 60
+
+
+def test_customer_base_reads_the_lines_twice(spark):
+    df, seen = counted(lines(spark))
+    got = customer_base(df).toPandas()
+    assert seen.value == 240 and len(got) == 11
+    assert Moments(lines(spark)).bounds.__dict__ == Bounds(lines(spark)).__dict__
