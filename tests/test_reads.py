@@ -53,3 +53,17 @@ def test_customer_base_reads_the_lines_twice(spark):
     got = customer_base(df).toPandas()
     assert seen.value == 240 and len(got) == 11
     assert Moments(lines(spark)).bounds.__dict__ == Bounds(lines(spark)).__dict__
+
+
+def _customers(spark):
+    return counted(spark.range(40).selectExpr(
+        "id AS customer_id", "id * 10.0 AS bgnbd_gg_clv", "(id % 10) / 10.0 AS prob_alive", "'Loyal' AS segment", "id AS recency",
+        "id * 3.0 AS holdout_revenue"))
+
+
+@pytest.mark.parametrize("query", ["q_at_risk", "q_at_risk_mean", "q_vip", "q_top_share", "q_pct_above", "q_hist_clv", "q_hist_err",
+                                   "q_error_summary", "q_clv_seg", "q_pairs"])
+def test_queries_score_each_customer_once(spark, monkeypatch, query):
+    df, seen = _customers(spark)
+    monkeypatch.setattr(CV, "customers", lambda *_: df)
+    assert getattr(CV, query)(spark, "").collect() and seen.value == 40
