@@ -7,7 +7,7 @@ import pytest
 from clvforge.operators.cohorts import cohort_value
 from clvforge.operators.rfm import score_rfm_quantile
 from clvforge.plans import catalog_value as CV
-from clvforge.plans.composite import Bounds, Moments, customer_base
+from clvforge.plans.composite import Bounds, Moments, customer_base, segment_table
 
 
 def counted(df):
@@ -41,6 +41,20 @@ def test_cohort_value_reads_the_lines_once(spark):
     assert seen.value == 120 and sum(r["revenue"] for r in got) == pytest.approx(lines(spark).toPandas()["revenue"].sum())
 
 
+def _customers(spark):
+    return counted(spark.range(40).selectExpr(
+        "id AS customer_id", "id * 10.0 AS bgnbd_gg_clv", "(id % 10) / 10.0 AS prob_alive", "'Loyal' AS segment", "id AS recency",
+        "id * 3.0 AS holdout_revenue"))
+
+
+@pytest.mark.parametrize("query", ["q_at_risk", "q_at_risk_mean", "q_vip", "q_top_share", "q_pct_above", "q_hist_clv", "q_hist_err",
+                                   "q_error_summary", "q_clv_seg", "q_pairs"])
+def test_queries_score_each_customer_once(spark, monkeypatch, query):
+    df, seen = _customers(spark)
+    monkeypatch.setattr(CV, "customers", lambda *_: df)
+    assert getattr(CV, query)(spark, "").collect() and seen.value == 40
+
+
 def test_scaling_reads_the_features_once(spark, monkeypatch):
     df, seen = counted(spark.range(60).selectExpr("id AS customer_id", "id AS frequency", "id * 2 AS recency", "id * 1.5 AS total_revenue_obs",
                                                   "id % 5 AS n_unique_products"))
@@ -55,15 +69,8 @@ def test_customer_base_reads_the_lines_twice(spark):
     assert Moments(lines(spark)).bounds.__dict__ == Bounds(lines(spark)).__dict__
 
 
-def _customers(spark):
-    return counted(spark.range(40).selectExpr(
-        "id AS customer_id", "id * 10.0 AS bgnbd_gg_clv", "(id % 10) / 10.0 AS prob_alive", "'Loyal' AS segment", "id AS recency",
-        "id * 3.0 AS holdout_revenue"))
-
-
-@pytest.mark.parametrize("query", ["q_at_risk", "q_at_risk_mean", "q_vip", "q_top_share", "q_pct_above", "q_hist_clv", "q_hist_err",
-                                   "q_error_summary", "q_clv_seg", "q_pairs"])
-def test_queries_score_each_customer_once(spark, monkeypatch, query):
-    df, seen = _customers(spark)
-    monkeypatch.setattr(CV, "customers", lambda *_: df)
-    assert getattr(CV, query)(spark, "").collect() and seen.value == 40
+def test_segments_share_the_bounds_of_the_customers(spark):
+    df, seen = counted(lines(spark))
+    bounds = Moments(lines(spark)).bounds
+    shared, own = segment_table(df, bounds=bounds)[0].toPandas(), segment_table(lines(spark))[0].toPandas()
+    assert seen.value == 120 and shared.sort_values("customer_id").values.tolist() == own.sort_values("customer_id").values.tolist()
