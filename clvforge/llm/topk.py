@@ -86,6 +86,11 @@ class DualSearch:
 
     def _leaf(self, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         score = products(self.vectors[q], vectors)
+        reach = score >= np.maximum(self.score[q, -1], self.floor[q])[:, None]
+        asks, some = reach.any(1), reach.any(0)  # the rest changes no query's best k
+        if not some.any():
+            return
+        q, ids, score = q[asks], ids[some], score[np.ix_(asks, some)]
         own = self.ids[q][:, None] == ids[None, :]
         score = np.concatenate([self.score[q], np.where(own, _NONE, score)], 1)
         found = np.concatenate([self.found[q], np.where(own, -1, np.broadcast_to(ids, own.shape))], 1)
@@ -269,7 +274,7 @@ def _visit(visits: DataFrame, k: int) -> DataFrame:
                     continue
                 search = DualSearch(ids, vecs, k, np.frombuffer(r["floor"], "<i8") if r["floor"] else None)
                 search.search(*data)
-                q, c = np.nonzero(search.score > _NONE)
+                q, c = np.nonzero((search.score > _NONE) & (search.score >= search.floor[:, None]))  # the rest is not among the best k
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["asks"]] * len(q), pa.string()), pa.array(q.astype(np.int32)), pa.array(ids[q]),
                      pa.array(search.found[q, c]), pa.array(search.score[q, c])],
