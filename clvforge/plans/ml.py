@@ -157,6 +157,19 @@ def fit_ridge(train: DataFrame, alpha: float = 1.0) -> object:
                             elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
 
 
+def training_rows(customers: DataFrame, seed: int = 42, with_rfm: bool = False) -> tuple[FeaturePreparer, DataFrame, DataFrame]:
+    """The fitted preparer, and the training and held-out rows of customers with holdout revenue."""
+    preparer = FeaturePreparer(with_rfm).fit(customers)
+    feats = preparer.transform(customers)
+    return preparer, *split_train_validation(feats.where(F.col(TARGET) > 0), 0.2, seed)
+
+
+def train_ridge(train: DataFrame, names: list[str]) -> tuple[PipelineModel, object]:
+    """The fitted scaler and the ridge baseline on its vectors; needs no other model."""
+    prep: PipelineModel = assemble(names).fit(train)
+    return prep, fit_ridge(prep.transform(train))
+
+
 class QuantileInterval:
     """An interval between two quantile-boosted models, widened or narrowed by one offset.
 
@@ -245,17 +258,15 @@ def train_value_model(customers: DataFrame, tune_trials: int = 20, seed: int = 4
 
     ``tune_trials=0`` skips the search and takes ``params``. The best model is the one with the
     least MAE on the held-out split."""
-    preparer = FeaturePreparer(with_rfm).fit(customers)
-    feats, names = preparer.transform(customers), preparer.names
-    train, valid = split_train_validation(feats.where(F.col(TARGET) > 0), 0.2, seed)
+    preparer, train, valid = training_rows(customers, seed, with_rfm)
+    names = preparer.names
     train, valid = train.cache(), valid.cache()
     try:
         trials: list[tuple[dict, float]] = []
         if tune_trials:
             params, trials = tune_boosted(train, names, tune_trials, seed)
         main, second = TrainingSet(train, names, TARGET, S.CUST).fit([params, alt])
-        prep: PipelineModel = assemble(names).fit(train)
-        ridge = fit_ridge(prep.transform(train))
+        prep, ridge = train_ridge(train, names)
         interval = fit_interval(train, names, params=params)
         metrics, rows = {}, []
         scored_by = {"boosted": main.transform(valid), "boosted_alt": second.transform(valid), "ridge": ridge.transform(prep.transform(valid))}
