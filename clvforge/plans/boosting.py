@@ -2,25 +2,29 @@
 
 Rows are binned once and packed into blocks of bounded size. A tree needs, for the nodes it may
 split, the sums of gradients and Hessians per (node, feature, bin): one aggregation over the blocks a
-level. With one block only, the same loop runs in the task that holds it, since its sums are the
-sums; several such runs (trials, models) are then tasks of one job.
+level. Models over the same blocks (trials, boosters) grow side by side, and one job gives all of them
+the sums of their next level. With one block only, the same loop runs in the task that holds it, since
+its sums are the sums; several such runs are then tasks of one job.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
+import uuid
+from collections import OrderedDict
+from collections.abc import Generator, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clvforge.session import durable_cut, ship_package
+from clvforge.session import delete_table, durable_cut, ship_package, write_table
 
 
 @dataclass(frozen=True)
@@ -66,17 +70,26 @@ class Tree:
             self.depth.append(self.depth[node] + 1)
         return kids
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """(feature, bin, left, right, value): what tasks need of a tree."""
+        return (np.array(self.feature, np.int16), np.array(self.bin, np.int16), np.array(self.left, np.int32),
+                np.array(self.right, np.int32), np.array(self.value))
+
     def advance(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The leaf of each row of binned ``x`` (features x rows), from a node above it."""
-        feature, at = np.array(self.feature), np.array(self.bin)
-        left, right = np.array(self.left), np.array(self.right)
-        moving = np.flatnonzero(feature[node] >= 0)
-        while len(moving):
-            here = node[moving]
-            f = feature[here]
-            node[moving] = np.where(x[f, moving] <= at[here], left[here], right[here])
-            moving = moving[feature[node[moving]] >= 0]
-        return node
+        return advance(self.arrays(), x, node)
+
+
+def advance(tree: tuple[np.ndarray, ...], x: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """``Tree.advance`` of a tree's arrays."""
+    feature, at, left, right, _ = tree
+    moving = np.flatnonzero(feature[node] >= 0)
+    while len(moving):
+        here = node[moving]
+        f = feature[here]
+        node[moving] = np.where(x[f, moving] <= at[here], left[here], right[here])
+        moving = moving[feature[node[moving]] >= 0]
+    return node
 
 
 def _seen(key: np.ndarray, share: float, seed: int, number: int) -> np.ndarray:
@@ -148,6 +161,11 @@ class LocalRows:
         self.node = tree.advance(self.x, self.node)
         return histogram(self.p, self.x, self.key, self.y, self.margin, self.node, self.number, slot_of, columns, bins)
 
+    @staticmethod
+    def together(asks: list[tuple["LocalRows", tuple]]) -> list:
+        """What each asks for: ``hist`` or ``leaf_quantiles`` with their arguments."""
+        return [getattr(rows, what)(*args) for rows, (what, *args) in asks]
+
     def leaf_quantiles(self, tree: Tree) -> dict[int, float]:
         self.node = tree.advance(self.x, self.node)
         rest = pd.Series(self.y - self.margin).groupby(self.node)
@@ -158,92 +176,201 @@ class LocalRows:
         self.margin = self.margin + np.array(tree.value)[self.node]
 
 
-class SparkRows:
-    """Blocks in Spark: one aggregation a histogram. Margins are written again every ``every`` trees."""
+#: Margins that a Python worker remembers, by (run, block, model), with the number of trees in them.
+_HELD: OrderedDict[tuple, tuple[int, np.ndarray]] = OrderedDict()
+_HELD_BYTES = 256 << 20
 
-    def __init__(self, p: BoostParams, blocks: DataFrame, features: int, every: int = 16):
-        self.p, self.features, self.every = p, features, every
-        self.blocks, self.recent, self.jobs = blocks, [], 0
 
-    def _rows(self, batches, value: float, recent: list[Tree]):
-        """(x, key, y, margin) of each block, with the trees since the margins were written."""
-        for batch in batches:
-            for r in batch.to_pylist():
-                x, key, y = unpack_block(r, self.features)
-                margin = np.frombuffer(r["margin"], np.float64).copy() if r["margin"] else np.full(len(y), value)
-                for t in recent:
-                    margin += np.array(t.value)[t.advance(x, np.zeros(len(y), np.int64))]
-                yield x, key, y, margin
-
-    def _task(self):
-        """What a task needs: this object without its DataFrame."""
-        other = SparkRows(self.p, None, self.features, self.every)
-        return other, self.value, list(self.recent)
+@dataclass
+class _Part:
+    """What a task needs of one model: its trees since the margins were written, and what is asked for."""
+
+    model: int
+    p: BoostParams
+    value: float
+    written: int
+    recent: list[tuple[np.ndarray, ...]]
+    tree: tuple[np.ndarray, ...] | None = None
+    number: int = 0
+    slot_of: np.ndarray | None = None
+    columns: np.ndarray | None = None
+    bins: int = 0
+
+    def margin(self, run: str, block: int, was: bytes | None, x: np.ndarray) -> np.ndarray:
+        """The margins after all trees: those remembered or, failing that, written, and the trees since."""
+        name, want = (run, block, self.model), self.written + len(self.recent)
+        count, margin = _HELD.pop(name, (-1, None))
+        if not self.written <= count <= want:
+            count, margin = self.written, np.frombuffer(was, np.float64) if was else np.full(x.shape[1], self.value)
+        for t in self.recent[count - self.written:]:
+            margin = margin + t[4][advance(t, x, np.zeros(x.shape[1], np.int32))]
+        _HELD[name] = want, margin
+        while len(_HELD) > 1 and sum(m.nbytes for _, m in _HELD.values()) > _HELD_BYTES:
+            _HELD.popitem(last=False)
+        return margin
+
+
+def _sums(run: str, features: int, parts: list[_Part], by_node: bool, blocks: Iterator[dict]) -> Iterator[tuple]:
+    """Of a partition's blocks: (model, gradient sums, counts), or with ``by_node`` one such row a node."""
+    total: dict[int, np.ndarray] = {}
+    for r in blocks:
+        x, key, y = unpack_block(r, features)
+        for q in parts:
+            margin = q.margin(run, r["id"], r["margins"][q.model] if r["margins"] else None, x)
+            node = advance(q.tree, x, np.zeros(len(y), np.int32))
+            h = histogram(q.p, x, key, y, margin, node, q.number, q.slot_of, q.columns, q.bins)
+            total[q.model] = total[q.model] + h if q.model in total else h
+    for model, h in total.items():
+        if by_node:
+            yield from (((model, slot), h[slot]) for slot in np.flatnonzero(h[..., 1].any((1, 2))).tolist())
+        else:
+            yield model, h[..., 0], h[..., 1].astype(np.int32)
+
+
+class Blocks:
+    """Blocks in Spark, shared by several models: one job gives the sums that all of them ask for.
+
+    Margins are written again every ``every`` jobs, or when the trees since are many. Between, a Python worker
+    remembers those it has worked out; one that has not starts from the written ones, with the same result."""
+
+    def __init__(self, blocks: DataFrame, features: int, every: int = 64, most_nodes: int = 20_000, driver_bytes: int = 24 << 20):
+        self.features, self.every, self.most_nodes, self.driver_bytes = features, every, most_nodes, driver_bytes
+        self.spark, self.run, self.models, self.path = blocks.sparkSession, uuid.uuid4().hex, [], None
+        self.bases: dict[tuple[str, float], float] = {}
+        self.rounds = 0
+        self._use(blocks.select(F.monotonically_increasing_id().alias("id"), "n", "key", "x", "y",
+                                F.lit(None).cast("array<binary>").alias("margins")))
+
+    def _use(self, blocks: DataFrame) -> None:
+        self.blocks = blocks
+        self.records = blocks.rdd.map(lambda r: r.asDict()).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tasks = self.records.getNumPartitions()
+
+    def close(self) -> None:
+        self.records.unpersist()
+        if self.path:
+            delete_table(self.spark, self.path)
+            self.path = None
+
+    def base(self, p: BoostParams) -> float:
+        what = p.loss, p.alpha if p.loss == "quantile" else 0.0
+        if what not in self.bases:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for y in batch.column(0).to_pylist():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(y, np.float64))], names=["y"])
+
+            y = self.blocks.select("y").mapInArrow(run, "y double")
+            how = F.avg("y") if p.loss == "squared" else F.percentile_approx("y", p.alpha, 1_000_000)
+            self.bases[what] = float(y.agg(how).first()[0] or 0.0)
+        return self.bases[what]
+
+    def histograms(self, asks: list[tuple["SparkRows", tuple]]) -> list[np.ndarray]:
+        """One job for all. Its tasks' sums are added here if they are small, else by a shuffle first."""
+        parts = [rows.part(tree, nodes, columns, bins) for rows, (tree, nodes, columns, bins) in asks]
+        shape = {rows.i: (len(nodes), len(columns), bins) for rows, (_, nodes, columns, bins) in asks}
+        by_node = 12 * self.tasks * sum(a * b * c for a, b, c in shape.values()) > self.driver_bytes
+        run, features = self.run, self.features
+        got = self.records.mapPartitions(lambda blocks: _sums(run, features, parts, by_node, blocks))
+        out = {i: np.zeros((*s, 2)) for i, s in shape.items()}
+        if by_node:
+            for (i, slot), h in got.reduceByKey(np.add, self.tasks).collect():  # nodes x features x bins at most
+                out[i][slot] = h
+        else:
+            for i, g, h in got.collect():
+                out[i][..., 0] += g
+                out[i][..., 1] += h
+        return [out[rows.i] for rows, _ in asks]
 
-    def base(self) -> float:
-        rows, p = SparkRows(self.p, None, self.features), self.p
+    def leaf_quantiles(self, asks: list[tuple["SparkRows", tuple]]) -> list[dict[int, float]]:
+        """Residual quantiles from Spark's mergeable quantile summaries, one a model and leaf."""
+        parts = [rows.part(tree) for rows, (tree,) in asks]
+        name, features = self.run, self.features
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, _, y, _ in rows._rows(batches, 0.0, []):
-                yield pa.RecordBatch.from_arrays([pa.array(y)], names=["y"])
+            for batch in batches:
+                for r in batch.to_pylist():
+                    x, _, y = unpack_block(r, features)
+                    for q in parts:
+                        rest = y - q.margin(name, r["id"], r["margins"][q.model] if r["margins"] else None, x)
+                        leaf = advance(q.tree, x, np.zeros(len(y), np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), q.model)), pa.array(leaf, pa.int64()), pa.array(rest)],
+                                                         names=["model", "leaf", "rest"])
+
+        at = {a: F.percentile_approx("rest", a, 100_000) for a in {q.p.alpha for q in parts}}
+        out: dict[int, dict[int, float]] = {q.model: {} for q in parts}
+        of = {q.model: f"q{list(at).index(q.p.alpha)}" for q in parts}
+        for r in (self.blocks.mapInArrow(run, "model long, leaf long, rest double").groupBy("model", "leaf")
+                  .agg(*[q.alias(f"q{k}") for k, q in enumerate(at.values())]).collect()):
+            out[r["model"]][r["leaf"]] = r[of[r["model"]]]
+        return [out[rows.i] for rows, _ in asks]
+
+    def answer(self, asks: list[tuple["SparkRows", tuple]]) -> list:
+        """What each model asks for, in a job a kind of request."""
+        out: dict[int, object] = {}
+        for kind, give in (("hist", self.histograms), ("leaf_quantiles", self.leaf_quantiles)):
+            of = [(rows, tuple(args)) for rows, (what, *args) in asks if what == kind]
+            if of:
+                out.update(zip([rows.i for rows, _ in of], give(of)))
+                for rows, _ in of:
+                    rows.jobs += 1
+        self.rounds += 1
+        if self.rounds >= self.every or sum(len(t[0]) for m in self.models for t in m.recent) > self.most_nodes:
+            self._write()
+        return [out[rows.i] for rows, _ in asks]
+
+    def _write(self) -> None:
+        """Margins with all trees so far, in place of those written before."""
+        self.rounds = 0
+        if not any(m.recent for m in self.models):
+            return
+        parts, name, features = [m.part() for m in self.models], self.run, self.features
 
-        y = self.blocks.mapInArrow(run, "y double")
-        how = F.avg("y") if p.loss == "squared" else F.percentile_approx("y", p.alpha, 100_000)
-        self.value = float(y.agg(how).first()[0] or 0.0)
-        return self.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                margins = []
+                for r in batch.to_pylist():
+                    x = unpack_block(r, features)[0]
+                    margins.append([q.margin(name, r["id"], r["margins"][q.model] if r["margins"] else None, x).tobytes() for q in parts])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(margins, pa.list_(pa.binary()))], names=batch.schema.names)
 
-    def start(self, number: int) -> None:
-        self.number = number
+        path = write_table(self.blocks.mapInArrow(run, self.blocks.schema))
+        self.close()
+        self.path = path
+        self._use(self.spark.read.parquet(path))
+        for m in self.models:
+            m.written, m.recent = m.written + len(m.recent), []
 
-    def hist(self, tree: Tree, nodes: list[int], columns, bins: int) -> np.ndarray:
-        rows, value, recent = self._task()
-        p, number = self.p, self.number
-        slot_of = np.full(len(tree.feature), -1)
-        slot_of[nodes] = np.arange(len(nodes))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(nodes), len(columns), bins, 2))
-            for x, key, y, margin in rows._rows(batches, value, recent):
-                node = tree.advance(x, np.zeros(len(y), np.int64))
-                total += histogram(p, x, key, y, margin, node, number, slot_of, columns, bins)
-            flat = total.reshape(-1, 2)
-            has = np.flatnonzero(flat[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(flat[has, 0]), pa.array(flat[has, 1])],
-                                             names=["place", "g", "h"])
-
-        got = self.blocks.mapInArrow(run, "place long, g double, h double").groupBy("place").agg(
-            F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()  # nodes x features x bins rows at most
-        self.jobs += 1
-        out = np.zeros((len(nodes) * len(columns) * bins, 2))
-        out[got["place"].to_numpy()] = np.stack([got["g"].to_numpy(), got["h"].to_numpy()], 1)
-        return out.reshape(len(nodes), len(columns), bins, 2)
+class SparkRows:
+    """One model over blocks in Spark; with ``shared`` it shares them, and their jobs, with others."""
 
-    def leaf_quantiles(self, tree: Tree) -> dict[int, float]:
-        """Residual quantiles from Spark's mergeable quantile summaries, one a leaf."""
-        rows, value, recent = self._task()
+    def __init__(self, p: BoostParams, blocks: DataFrame, features: int, shared: Blocks | None = None):
+        self.p, self.shared, self.jobs = p, shared or Blocks(blocks, features), 0
+        self.written, self.recent = 0, []
+        self.i = len(self.shared.models)
+        self.shared.models.append(self)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x, _, y, margin in rows._rows(batches, value, recent):
-                leaf = tree.advance(x, np.zeros(len(y), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(y - margin)], names=["leaf", "rest"])
+    def base(self) -> float:
+        self.value = self.shared.base(self.p)
+        return self.value
 
-        got = self.blocks.mapInArrow(run, "leaf long, rest double").groupBy("leaf").agg(
-            F.percentile_approx("rest", self.p.alpha, 100_000).alias("q")).collect()
-        self.jobs += 1
-        return {r["leaf"]: r["q"] for r in got}
+    def start(self, number: int) -> None:
+        self.number = number
 
-    def finish(self, tree: Tree) -> None:
-        self.recent.append(tree)
-        if len(self.recent) < self.every:
-            return
-        rows, value, recent = self._task()
+    def part(self, tree: Tree | None = None, nodes: list[int] | None = None, columns=None, bins: int = 0) -> _Part:
+        part = _Part(self.i, self.p, self.value, self.written, list(self.recent), tree.arrays() if tree else None, self.number)
+        if nodes is not None:
+            part.slot_of, part.columns, part.bins = np.full(len(tree.feature), -1), columns, bins
+            part.slot_of[nodes] = np.arange(len(nodes))
+        return part
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                margins = [m.tobytes() for *_, m in rows._rows([batch], value, recent)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(margins, pa.binary())], names=batch.schema.names)
+    @staticmethod
+    def together(asks: list[tuple["SparkRows", tuple]]) -> list:
+        return asks[0][0].shared.answer(asks)
 
-        self.blocks, self.recent = durable_cut(self.blocks.mapInArrow(run, self.blocks.schema)), []
+    def finish(self, tree: Tree) -> None:
+        self.recent.append(tree.arrays())
 
 
 class _Open:
@@ -256,13 +383,14 @@ class _Open:
         self.small = 0 if self.sums[0][1] <= self.sums[1][1] else 1
 
 
-def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Tree:
-    """One tree. Children's histograms are asked for together: one of each pair, its sibling by subtraction."""
+def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Generator[tuple, object, Tree]:
+    """One tree; yields what it asks of the rows. Children's histograms are asked for together: one of each
+    pair, its sibling by subtraction."""
     draw = np.random.default_rng([p.seed, number])
     columns = np.sort(draw.choice(features, max(1, round(p.columns * features)), replace=False)) if p.columns < 1 else np.arange(features)
     tree = Tree()
     rows.start(number)
-    root = rows.hist(tree, [0], columns, bins)[0]
+    root = (yield "hist", tree, [0], columns, bins)[0]
     tree.cover[0] = float(root[0, :, 1].sum())
     weight = lambda s: float(-_shrunk(s[0], p.l1) / (s[1] + p.l2 + 1e-12)) * p.rate
     tree.value[0] = weight(root[0].sum(0))
@@ -292,7 +420,7 @@ def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Tree:
             kids = [divide(o) for o in level]
             if tree.depth[kids[0][0]] >= p.depth:
                 break
-            smalls = rows.hist(tree, [k[o.small] for o, k in zip(level, kids)], columns, bins)
+            smalls = yield "hist", tree, [k[o.small] for o, k in zip(level, kids)], columns, bins
             for o, pair, small in zip(level, kids, smalls):
                 for kid, hist in zip(pair, both(o, small)):
                     offer(kid, hist)
@@ -308,7 +436,8 @@ def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Tree:
             if heap[0][2] in likely:
                 kids = [trial.split(o.node, int(columns[o.best[1]]), o.best[2], o.best[0])[o.small] for o in likely]
                 rows_before = getattr(rows, "node", None)
-                for o, small in zip(likely, rows.hist(trial, kids, columns, bins)):
+                smalls = yield "hist", trial, kids, columns, bins
+                for o, small in zip(likely, smalls):
                     ahead[o.node] = small
                 if rows_before is not None:
                     rows.node = np.zeros_like(rows_before)  # the copy numbered its nodes for itself
@@ -321,13 +450,13 @@ def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Tree:
     return tree
 
 
-def train_rows(rows, p: BoostParams, features: int, bins: int) -> tuple[float, list[Tree]]:
-    """All trees over rows that give histograms (local or in Spark)."""
+def _train(rows, p: BoostParams, features: int, bins: int) -> Generator[tuple, object, tuple[float, list[Tree]]]:
+    """All trees of one model; yields what they ask of the rows."""
     base, trees = rows.base(), []
     for number in range(p.trees):
-        tree = _grow(rows, p, number, features, bins)
+        tree = yield from _grow(rows, p, number, features, bins)
         if p.loss == "quantile":
-            found = rows.leaf_quantiles(tree)
+            found = yield "leaf_quantiles", tree
             for node, f in enumerate(tree.feature):
                 if f < 0:
                     tree.value[node] = p.rate * found.get(node, 0.0)
@@ -336,6 +465,27 @@ def train_rows(rows, p: BoostParams, features: int, bins: int) -> tuple[float, l
     return base, trees
 
 
+def train_together(many: list, features: int, bins: int) -> list[tuple[float, list[Tree]]]:
+    """Models over rows that give histograms (all local, or in Spark and sharing their blocks), side by side:
+    each goes on to its next request, then all requests are answered at once."""
+    steps, out = [_train(rows, rows.p, features, bins) for rows in many], [None] * len(many)
+    answers: dict[int, object] = dict.fromkeys(range(len(many)))
+    while answers:
+        asks = {}
+        for i, answer in answers.items():
+            try:
+                asks[i] = steps[i].send(answer)
+            except StopIteration as done:
+                out[i] = done.value
+        answers = dict(zip(asks, many[0].together([(many[i], ask) for i, ask in asks.items()]))) if asks else {}
+    return out
+
+
+def train_rows(rows, p: BoostParams, features: int, bins: int) -> tuple[float, list[Tree]]:
+    """All trees of one model."""
+    return train_together([rows], features, bins)[0]
+
+
 class BoostedModel:
     """Fitted trees with real thresholds; ``nodes`` has one row a node, as big as the model."""
 
@@ -417,9 +567,13 @@ def bin_edges(df: DataFrame, names: list[str], bins: int = 64, error: float = 0.
 
 
 def pack_blocks(df: DataFrame, names: list[str], edges: list[np.ndarray], label: str, id_col: str, block_rows: int) -> DataFrame:
-    """Rows (n, key, x, y, margin): blocks of about ``block_rows`` binned rows."""
+    """Rows (n, key, x, y, margin): blocks of about ``block_rows`` binned rows; where they are several, of fewer
+    rows as long as cores have none."""
     ship_package(df.sparkSession)
-    parts = max(1, -(-df.count() // block_rows))
+    count = df.count()
+    parts = max(1, -(-count // block_rows))
+    if parts > 1:
+        parts = max(parts, min(df.sparkSession.sparkContext.defaultParallelism, count // 8192))
     rows = df.select(F.xxhash64(id_col).alias("key"), F.col(label).cast("double").alias("y"),
                      *[F.col(c).cast("double") for c in names])
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "y") if parts > 1 else rows.coalesce(1).sortWithinPartitions("key", "y")
@@ -463,20 +617,24 @@ class TrainingSet:
         self.valid_rows, self.label = valid, label
         self.local = self.blocks.count() <= 1 and (valid is None or self.valid.count() <= 1)
 
-    def fit(self, params: list[BoostParams], parallel: int = 4) -> list[BoostedModel]:
+    def fit(self, params: list[BoostParams]) -> list[BoostedModel]:
         """One model for each setting."""
         if self.local:
             return [BoostedModel.of(self.names, self.edges, *pickle.loads(m)) for m, _ in self._tasks(params, True)]
-        with ThreadPoolExecutor(parallel) as pool:
-            return list(pool.map(lambda p: BoostedModel.of(
-                self.names, self.edges, *train_rows(SparkRows(p, self.blocks, len(self.names)), p, len(self.names), self.bins)), params))
+        shared = Blocks(self.blocks, len(self.names))
+        try:
+            found = train_together([SparkRows(p, self.blocks, len(self.names), shared) for p in params], len(self.names), self.bins)
+        finally:
+            shared.close()
+        return [BoostedModel.of(self.names, self.edges, *f) for f in found]
 
     def errors(self, params: list[BoostParams], parallel: int = 4) -> list[float]:
         """Each setting's mean absolute error on the held-out rows."""
         if self.local:
             return [e for _, e in self._tasks(params, False)]
-        return [m.transform(self.valid_rows, "_p").agg(F.avg(F.abs(F.col("_p") - F.col(self.label)))).first()[0]
-                for m in self.fit(params, parallel)]
+        with ThreadPoolExecutor(parallel) as pool:
+            return list(pool.map(lambda m: m.transform(self.valid_rows, "_p").agg(F.avg(F.abs(F.col("_p") - F.col(self.label)))).first()[0],
+                                 self.fit(params)))
 
     def _tasks(self, params: list[BoostParams], want_model: bool) -> list[tuple[bytes | None, float | None]]:
         """Whole runs over the one block, a task each."""

@@ -6,6 +6,8 @@ ridge baseline, quantile-boosted prediction intervals, permutation importance an
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
@@ -265,9 +267,11 @@ def train_value_model(customers: DataFrame, tune_trials: int = 20, seed: int = 4
         trials: list[tuple[dict, float]] = []
         if tune_trials:
             params, trials = tune_boosted(train, names, tune_trials, seed)
-        main, second = TrainingSet(train, names, TARGET, S.CUST).fit([params, alt])
-        prep, ridge = train_ridge(train, names)
-        interval = fit_interval(train, names, params=params)
+        with ThreadPoolExecutor(1) as beside:  # the interval's models have rows of their own; neither waits for the other
+            later = beside.submit(fit_interval, train, names, params=params)
+            main, second = TrainingSet(train, names, TARGET, S.CUST).fit([params, alt])
+            prep, ridge = train_ridge(train, names)
+            interval = later.result()
         metrics, rows = {}, []
         scored_by = {"boosted": main.transform(valid), "boosted_alt": second.transform(valid), "ridge": ridge.transform(prep.transform(valid))}
         for name, p in scored_by.items():

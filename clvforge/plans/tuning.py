@@ -11,6 +11,9 @@ import numpy as np
 SPACE = [("trees", 100, 500, "int"), ("depth", 3, 10, "int"), ("rate", 0.01, 0.3, "log"), ("rows", 0.6, 1.0, "share"),
          ("columns", 0.6, 1.0, "share"), ("min_child", 1, 10, "int"), ("l1", 1e-8, 1.0, "log"), ("l2", 1e-8, 1.0, "log")]
 
+#: Trials drawn at random before others are guided by them.
+STARTUP = 8
+
 
 def to_settings(u: np.ndarray, space=SPACE) -> dict:
     """A point of the unit cube as settings."""
@@ -55,7 +58,7 @@ class Parzen:
 
 
 def suggest(number: int, done: list[tuple[np.ndarray, float]], pending: list[np.ndarray], dims: int, seed: int,
-            startup: int = 8, good: float = 0.25, candidates: int = 32) -> np.ndarray:
+            startup: int = STARTUP, good: float = 0.25, candidates: int = 32) -> np.ndarray:
     """The next trial's point. Trials that are still running count among the poor ones, so that others keep away."""
     rng = np.random.default_rng([seed, number])
     if len(done) < startup:
@@ -74,11 +77,13 @@ def suggest(number: int, done: list[tuple[np.ndarray, float]], pending: list[np.
 
 def search(evaluate: Callable[[list[dict]], list[float]], trials: int = 20, parallel: int = 4, seed: int = 42,
            space=SPACE) -> list[tuple[dict, float]]:
-    """All trials with their losses, in order; ``parallel`` of them are evaluated at once."""
+    """All trials with their losses, in order; ``parallel`` of them are evaluated at once. Those drawn at random
+    wait for no loss, so all rounds of them are evaluated as one."""
     done: list[tuple[np.ndarray, float]] = []
     while len(done) < trials:
         running: list[np.ndarray] = []
-        for _ in range(min(parallel, trials - len(done))):
+        at_once = parallel if done else -(-STARTUP // parallel) * parallel
+        for _ in range(min(at_once, trials - len(done))):
             running.append(suggest(len(done) + len(running), done, running, len(space), seed))
         done += zip(running, evaluate([to_settings(u, space) for u in running]))
     return [(to_settings(u, space), loss) for u, loss in done]

@@ -176,3 +176,66 @@ def test_a_training_run_with_trials(spark, sf_small, tmp_path):
     assert best == out["best_model"] == min(("boosted", "boosted_alt", "ridge"), key=lambda m: out["metrics"][m]["mae"])
     some = cust.where("customer_id % 3 = 0")
     assert sorted(ml.score_customers(out["models"], some).collect()) == sorted(ml.score_customers(models, some).collect())
+
+
+def _jobs(spark):
+    return max(spark.sparkContext.statusTracker().getJobIdsForGroup(), default=-1)
+
+
+def test_models_over_the_same_blocks_share_their_jobs(spark):
+    x, y = made()
+    rows = TrainingSet(frame(spark, x, y), NAMES, "y", "customer_id", block_rows=200)
+    params = [BoostParams(trees=5, depth=3, rate=r) for r in (0.1, 0.2, 0.3)]
+    assert not rows.local
+    jobs = [_jobs(spark)]
+    alone = rows.fit(params[-1:])
+    jobs.append(_jobs(spark))
+    three = rows.fit(params)
+    jobs.append(_jobs(spark))
+    assert jobs[2] - jobs[1] < 1.5 * (jobs[1] - jobs[0])
+    assert three[2].predict(x) == pytest.approx(alone[0].predict(x), rel=1e-9)
+
+
+def test_sums_by_shuffle_and_margins_written_often_give_the_same_trees(spark):
+    from clvforge.plans.boosting import Blocks, BoostedModel, train_together
+    from clvforge.session import table_mark
+    x, y = made()
+    rows = TrainingSet(frame(spark, x, y), NAMES, "y", "customer_id", block_rows=200)
+    params = [BoostParams(trees=3, depth=3, rows=0.8, rate=0.3), BoostParams(trees=4, depth=6, leaves=5, rate=0.3)]
+    want = [m.predict(x) for m in rows.fit(params)]
+    tables = table_mark()
+    for shared in (Blocks(rows.blocks, 3, driver_bytes=0), Blocks(rows.blocks, 3, every=2)):
+        found = train_together([SparkRows(p, rows.blocks, 3, shared) for p in params], 3, rows.bins)
+        shared.close()
+        for (base, trees), w in zip(found, want):
+            assert BoostedModel.of(NAMES, rows.edges, base, trees).predict(x) == pytest.approx(w, rel=1e-9)
+    assert table_mark() == tables  # margins written on the way are deleted
+
+
+def test_remembered_margins_are_used_only_if_no_later_than_asked_for():
+    from clvforge.plans import boosting as B
+    draw = np.random.default_rng(0)
+    x = draw.integers(0, 9, (2, 50)).astype(np.uint8)
+    trees = [(np.array([f, -1, -1], np.int16), np.array([4, 0, 0], np.int16), np.array([1, 0, 0], np.int32), np.array([2, 0, 0], np.int32),
+              draw.normal(size=3)) for f in (0, 1, 0)]
+    part = lambda written, recent: B._Part(0, BoostParams(), 1.5, written, recent)
+    B._HELD.clear()
+    full = part(0, trees).margin("run", 7, None, x)
+    assert (part(0, trees[:1]).margin("run", 7, None, x) == 1.5 + trees[0][4][np.where(x[0] <= 4, 1, 2)]).all()
+    assert (part(0, trees[:2]).margin("run", 7, None, x) == part(0, trees[:2]).margin("new", 7, None, x)).all()
+    assert (part(0, trees).margin("run", 7, None, x) == full).all()
+    two = part(0, trees[:2]).margin("third", 7, None, x)
+    assert (part(2, trees[2:]).margin("fourth", 7, two.tobytes(), x) == full).all()
+    B._HELD.clear()
+
+
+def test_trials_drawn_at_random_are_evaluated_at_once():
+    sizes = []
+
+    def evaluate(many):
+        sizes.append(len(many))
+        return [abs(m["depth"] - 5) + m["rate"] for m in many]
+
+    tried = tuning.search(evaluate, 20, 4, 42)
+    assert sizes == [8, 4, 4, 4] and len(tried) == 20
+    assert [m for m, _ in tried[:8]] == [tuning.to_settings(np.random.default_rng([42, i]).random(8)) for i in range(8)]
