@@ -3,8 +3,9 @@
 Rows are binned once and packed into blocks of bounded size. A tree needs, for the nodes it may
 split, the sums of gradients and Hessians per (node, feature, bin): one aggregation over the blocks a
 level. Models over the same blocks (trials, boosters) grow side by side, and one job gives all of them
-the sums of their next level. With one block only, the same loop runs in the task that holds it, since
-its sums are the sums; several such runs are then tasks of one job.
+the sums of their next level. A node with no more rows than a block is not divided level by level: its
+rows go to one task, which grows all that is below it. With one block only, the same loop runs in the task
+that holds it, since its sums are the sums; several such runs are then tasks of one job.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from __future__ import annotations
 import heapq
 import pickle
 import uuid
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 from collections.abc import Generator, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -80,15 +81,31 @@ class Tree:
         return advance(self.arrays(), x, node)
 
 
+def whole(tree: Tree, below: dict[int, Tree], columns: np.ndarray) -> tuple[Tree, set[int]]:
+    """A tree with subtrees (over some columns) in place of its nodes, numbered as if grown level by level, and
+    which leaves are the subtrees'."""
+    out, theirs, at = Tree(), set(), [(tree, 0)]
+    for node, (t, n) in enumerate(at):  # grows on the way
+        if t is tree and n in below:
+            t, n = below[n], 0
+            at[node] = t, n
+        out.value[node], out.cover[node] = t.value[n], t.cover[n]
+        if t.feature[n] >= 0:
+            out.split(node, t.feature[n] if t is tree else int(columns[t.feature[n]]), t.bin[n], t.gain[n])
+            at += [(t, t.left[n]), (t, t.right[n])]
+        elif t is not tree:
+            theirs.add(node)
+    return out, theirs
+
+
 def advance(tree: tuple[np.ndarray, ...], x: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """``Tree.advance`` of a tree's arrays."""
-    feature, at, left, right, _ = tree
-    moving = np.flatnonzero(feature[node] >= 0)
-    while len(moving):
-        here = node[moving]
-        f = feature[here]
-        node[moving] = np.where(x[f, moving] <= at[here], left[here], right[here])
-        moving = moving[feature[node[moving]] >= 0]
+    """``Tree.advance`` of a tree's arrays. A right child's number is its sibling's and one; a leaf leads to itself."""
+    feature, at, left, _, _ = tree
+    leaf, flat, row = feature < 0, x.reshape(-1), np.arange(x.shape[1])
+    first, cut, low = np.where(leaf, 0, feature) * np.int64(x.shape[1]), np.where(leaf, 255, at), np.where(leaf, np.arange(len(leaf)), left)
+    node = node.astype(np.int64)
+    while not leaf.take(node).all():
+        node = low.take(node) + (flat.take(first.take(node) + row) > cut.take(node))
     return node
 
 
@@ -125,22 +142,30 @@ def _shrunk(g, l1):
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
 
 
-def best_split(p: BoostParams, hist: np.ndarray) -> tuple[float, int, int] | None:
-    """(gain, column, bin) of the regularised gain's maximum, ties to the first column and bin; None if none gains."""
-    total = hist[0].sum(0)
-    left = hist.cumsum(1)
-    right = total - left
-    score = lambda s: _shrunk(s[..., 0], p.l1) ** 2 / (s[..., 1] + p.l2 + 1e-12)
-    gain = 0.5 * (score(left) + score(right) - score(total))
-    gain[(left[..., 1] < p.min_child) | (right[..., 1] < p.min_child) | (left[..., 1] <= 0) | (right[..., 1] <= 0)] = -np.inf
-    at = int(gain.argmax())
-    c, b = divmod(at, gain.shape[1])
-    return (float(gain[c, b]), c, b) if gain[c, b] > 1e-9 * max(1.0, float(score(total))) else None
+def best_splits(p: BoostParams, hists: list[np.ndarray], at_once: int = 64) -> list[tuple[float, int, int] | None]:
+    """Of each histogram (gain, column, bin) of the regularised gain's maximum, ties to the first column and bin; None if
+    none gains."""
+    out: list[tuple[float, int, int] | None] = []
+    score = lambda g, n: np.maximum(np.abs(g) - p.l1, 0.0) ** 2 / (n + p.l2 + 1e-12)
+    for lo in range(0, len(hists), at_once):
+        both = np.stack(hists[lo:lo + at_once])
+        g, n = both[..., 0].cumsum(2), both[..., 1].cumsum(2)
+        g_all, n_all = g[:, :1, -1:], n[:, :1, -1:]
+        rest, whole_score = n_all - n, score(g_all, n_all)
+        gain = 0.5 * (score(g, n) + score(g_all - g, rest) - whole_score)
+        least = np.maximum(p.min_child, np.nextafter(0, 1))
+        gain[(n < least) | (rest < least)] = -np.inf
+        flat = gain.reshape(len(both), -1)
+        for row, at, one in zip(flat, flat.argmax(1).tolist(), whole_score[:, 0, 0].tolist()):
+            out.append((float(row[at]), *divmod(at, gain.shape[2])) if row[at] > 1e-9 * max(1.0, one) else None)
+    return out
 
 
 class LocalRows:
     """One block's rows and their margins; histograms are those of the block."""
 
+    unit = 0
+
     def __init__(self, p: BoostParams, x, key, y):
         self.p, self.x, self.key, self.y = p, x, key, y
 
@@ -162,11 +187,12 @@ class LocalRows:
         return histogram(self.p, self.x, self.key, self.y, self.margin, self.node, self.number, slot_of, columns, bins)
 
     @staticmethod
-    def together(asks: list[tuple["LocalRows", tuple]]) -> list:
+    def together(asks: list[tuple["LocalRows", tuple]]) -> list[tuple["LocalRows", object]]:
         """What each asks for: ``hist`` or ``leaf_quantiles`` with their arguments."""
-        return [getattr(rows, what)(*args) for rows, (what, *args) in asks]
+        return [(rows, getattr(rows, what)(*args)) for rows, (what, *args) in asks]
 
-    def leaf_quantiles(self, tree: Tree) -> dict[int, float]:
+    def leaf_quantiles(self, tree: Tree, leaves: list[int]) -> dict[int, float]:
+        """Residual quantiles of all leaves, those wanted included."""
         self.node = tree.advance(self.x, self.node)
         rest = pd.Series(self.y - self.margin).groupby(self.node)
         return {int(k): float(np.quantile(v, self.p.alpha, method="inverted_cdf")) for k, v in rest}
@@ -195,6 +221,7 @@ class _Part:
     slot_of: np.ndarray | None = None
     columns: np.ndarray | None = None
     bins: int = 0
+    depths: list[int] | None = None
 
     def margin(self, run: str, block: int, was: bytes | None, x: np.ndarray) -> np.ndarray:
         """The margins after all trees: those remembered or, failing that, written, and the trees since."""
@@ -227,17 +254,53 @@ def _sums(run: str, features: int, parts: list[_Part], by_node: bool, blocks: It
             yield model, h[..., 0], h[..., 1].astype(np.int32)
 
 
+def _rows_below(run: str, features: int, parts: list[_Part], blocks: Iterator[dict]) -> Iterator[tuple]:
+    """Of a partition's blocks: ((model, slot), (block, bins, keys, residuals)) of the rows in the wanted nodes; rows that
+    the tree does not see only where a quantile of all is wanted."""
+    for r in blocks:
+        x, key, y = unpack_block(r, features)
+        for q in parts:
+            rest = y - q.margin(run, r["id"], r["margins"][q.model] if r["margins"] else None, x)
+            slot = q.slot_of[advance(q.tree, x, np.zeros(len(y), np.int32))]
+            if q.p.loss == "squared":
+                slot = np.where(_seen(key, q.p.rows, q.p.seed, q.number), slot, -1)
+            order = np.argsort(slot, kind="stable")
+            order = order[np.searchsorted(slot[order], 0):]
+            ends = np.cumsum(np.bincount(slot[order], minlength=len(q.depths)))
+            x_of, key_of, rest_of = x[np.ix_(q.columns, order)], key[order], rest[order]
+            for s, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                if hi > lo:
+                    yield (q.model, s), (r["id"], x_of[:, lo:hi], key_of[lo:hi], rest_of[lo:hi])
+
+
+def _grown(parts: list[_Part], rows: Iterator[tuple]) -> Iterator[tuple]:
+    """((model, slot), subtree) of the nodes whose rows are here. Residuals stand for labels, and margins are zero."""
+    of, held = {q.model: q for q in parts}, {}
+    for name, chunk in rows:
+        held.setdefault(name, []).append(chunk)
+    for name in sorted(held):
+        chunks, q = sorted(held.pop(name), key=lambda c: c[0]), of[name[0]]
+        x, key, rest = (np.concatenate(c, -1) for c in list(zip(*chunks))[1:])
+        p = replace(q.p, depth=q.p.depth - q.depths[name[1]], columns=1.0)
+        local = LocalRows(p, x, key, rest)
+        local.margin = np.zeros(len(rest))
+        yield name, _finish({0: _tree(local, p, q.number, len(x), q.bins)}, {0: local})[0]
+
+
 class Blocks:
-    """Blocks in Spark, shared by several models: one job gives the sums that all of them ask for.
+    """Blocks in Spark, shared by several models: one job gives the sums that all who wait ask for.
 
     Margins are written again every ``every`` jobs, or when the trees since are many. Between, a Python worker
-    remembers those it has worked out; one that has not starts from the written ones, with the same result."""
+    remembers those it has worked out; one that has not starts from the written ones, with the same result.
+    Nodes of up to ``unit`` seen rows are grown on in one task each (0: none are)."""
 
-    def __init__(self, blocks: DataFrame, features: int, every: int = 64, most_nodes: int = 20_000, driver_bytes: int = 24 << 20):
-        self.features, self.every, self.most_nodes, self.driver_bytes = features, every, most_nodes, driver_bytes
+    def __init__(self, blocks: DataFrame, features: int, every: int = 64, most_nodes: int = 20_000, driver_bytes: int = 24 << 20,
+                 unit: int = 0):
+        self.features, self.every, self.most_nodes, self.driver_bytes, self.unit = features, every, most_nodes, driver_bytes, unit
         self.spark, self.run, self.models, self.path = blocks.sparkSession, uuid.uuid4().hex, [], None
         self.bases: dict[tuple[str, float], float] = {}
-        self.rounds = 0
+        self.rounds, self.waiting, self.running, self.pool = 0, defaultdict(list), {}, ThreadPoolExecutor(3)
+        self.behind, self.patience = False, 3
         self._use(blocks.select(F.monotonically_increasing_id().alias("id"), "n", "key", "x", "y",
                                 F.lit(None).cast("array<binary>").alias("margins")))
 
@@ -247,6 +310,11 @@ class Blocks:
         self.tasks = self.records.getNumPartitions()
 
     def close(self) -> None:
+        wait(self.running.values())
+        self.pool.shutdown()
+        self._drop()
+
+    def _drop(self) -> None:
         self.records.unpersist()
         if self.path:
             delete_table(self.spark, self.path)
@@ -282,9 +350,23 @@ class Blocks:
                 out[i][..., 1] += h
         return [out[rows.i] for rows, _ in asks]
 
+    def subtrees(self, asks: list[tuple["SparkRows", tuple]]) -> list[dict[int, Tree]]:
+        """What grows below nodes of bounded size: one shuffle of their rows, a node's to one task. Nodes are dealt
+        largest first, each to the task that has the fewest rows so far."""
+        parts = [rows.part(tree, nodes, columns, bins) for rows, (tree, nodes, columns, bins) in asks]
+        load, place = [(0.0, k) for k in range(self.tasks)], {}
+        for rows_of, name in sorted(((tree.cover[n], (rows.i, s)) for rows, (tree, nodes, *_) in asks for s, n in enumerate(nodes)),
+                                    key=lambda t: (-t[0], t[1])):
+            has, place[name] = load[0]
+            heapq.heapreplace(load, (has + rows_of, place[name]))
+        run, features = self.run, self.features
+        got = dict(self.records.mapPartitions(lambda blocks: _rows_below(run, features, parts, blocks))
+                   .partitionBy(self.tasks, place.__getitem__).mapPartitions(lambda rows: _grown(parts, rows)).collect())
+        return [{n: got[rows.i, s] for s, n in enumerate(nodes)} for rows, (_, nodes, *_) in asks]
+
     def leaf_quantiles(self, asks: list[tuple["SparkRows", tuple]]) -> list[dict[int, float]]:
-        """Residual quantiles from Spark's mergeable quantile summaries, one a model and leaf."""
-        parts = [rows.part(tree) for rows, (tree,) in asks]
+        """Residual quantiles from Spark's mergeable quantile summaries, one a model and wanted leaf."""
+        parts = [rows.part(tree, leaves) for rows, (tree, leaves) in asks]
         name, features = self.run, self.features
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,8 +376,9 @@ class Blocks:
                     for q in parts:
                         rest = y - q.margin(name, r["id"], r["margins"][q.model] if r["margins"] else None, x)
                         leaf = advance(q.tree, x, np.zeros(len(y), np.int32))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), q.model)), pa.array(leaf, pa.int64()), pa.array(rest)],
-                                                         names=["model", "leaf", "rest"])
+                        wanted = q.slot_of[leaf] >= 0
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(wanted.sum()), q.model)), pa.array(leaf[wanted], pa.int64()),
+                                                          pa.array(rest[wanted])], names=["model", "leaf", "rest"])
 
         at = {a: F.percentile_approx("rest", a, 100_000) for a in {q.p.alpha for q in parts}}
         out: dict[int, dict[int, float]] = {q.model: {} for q in parts}
@@ -305,19 +388,34 @@ class Blocks:
             out[r["model"]][r["leaf"]] = r[of[r["model"]]]
         return [out[rows.i] for rows, _ in asks]
 
-    def answer(self, asks: list[tuple["SparkRows", tuple]]) -> list:
-        """What each model asks for, in a job a kind of request."""
-        out: dict[int, object] = {}
-        for kind, give in (("hist", self.histograms), ("leaf_quantiles", self.leaf_quantiles)):
-            of = [(rows, tuple(args)) for rows, (what, *args) in asks if what == kind]
-            if of:
-                out.update(zip([rows.i for rows, _ in of], give(of)))
-                for rows, _ in of:
-                    rows.jobs += 1
-        self.rounds += 1
+    def answer(self, asks: list[tuple["SparkRows", tuple]]) -> list[tuple["SparkRows", object]]:
+        """Some answers to these and earlier requests; none if none waits. All waiting requests of a kind share a job;
+        jobs of different kinds run side by side. Subtrees wait for three jobs of sums at most, while models that may
+        ask for subtrees too are about to."""
+        for rows, (what, *args) in asks:
+            self.waiting[what].append((rows, tuple(args)))
         if self.rounds >= self.every or sum(len(t[0]) for m in self.models for t in m.recent) > self.most_nodes:
+            wait(self.running.values())
             self._write()
-        return [out[rows.i] for rows, _ in asks]
+        for kind, give in (("hist", self.histograms), ("subtrees", self.subtrees), ("leaf_quantiles", self.leaf_quantiles)):
+            if kind == "subtrees" and self.waiting[kind] and self.behind and self.patience > 0:
+                continue
+            if self.waiting[kind] and kind not in self.running:
+                of = self.waiting.pop(kind)
+                self.running[kind] = self.pool.submit(lambda give=give, of=of: [(rows, a) for (rows, _), a in zip(of, give(of))])
+                self.rounds += 1
+                if kind == "hist":
+                    self.behind = any(not rows.p.leaves for rows, _ in of)
+                    self.patience -= bool(self.waiting["subtrees"])
+                elif kind == "subtrees":
+                    self.patience = 3
+        wait(self.running.values(), return_when=FIRST_COMPLETED)
+        done = [kind for kind, job in self.running.items() if job.done()]
+        out = [pair for kind in done for pair in self.running.pop(kind).result()]
+        self.behind = self.behind and "hist" not in done
+        for rows, _ in out:
+            rows.jobs += 1
+        return out
 
     def _write(self) -> None:
         """Margins with all trees so far, in place of those written before."""
@@ -335,7 +433,7 @@ class Blocks:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(margins, pa.list_(pa.binary()))], names=batch.schema.names)
 
         path = write_table(self.blocks.mapInArrow(run, self.blocks.schema))
-        self.close()
+        self._drop()
         self.path = path
         self._use(self.spark.read.parquet(path))
         for m in self.models:
@@ -347,7 +445,7 @@ class SparkRows:
 
     def __init__(self, p: BoostParams, blocks: DataFrame, features: int, shared: Blocks | None = None):
         self.p, self.shared, self.jobs = p, shared or Blocks(blocks, features), 0
-        self.written, self.recent = 0, []
+        self.written, self.recent, self.unit = 0, [], self.shared.unit
         self.i = len(self.shared.models)
         self.shared.models.append(self)
 
@@ -363,11 +461,11 @@ class SparkRows:
         if nodes is not None:
             part.slot_of, part.columns, part.bins = np.full(len(tree.feature), -1), columns, bins
             part.slot_of[nodes] = np.arange(len(nodes))
+            part.depths = [tree.depth[n] for n in nodes]
         return part
 
-    @staticmethod
-    def together(asks: list[tuple["SparkRows", tuple]]) -> list:
-        return asks[0][0].shared.answer(asks)
+    def together(self, asks: list[tuple["SparkRows", tuple]]) -> list[tuple["SparkRows", object]]:
+        return self.shared.answer(asks)
 
     def finish(self, tree: Tree) -> None:
         self.recent.append(tree.arrays())
@@ -383,9 +481,10 @@ class _Open:
         self.small = 0 if self.sums[0][1] <= self.sums[1][1] else 1
 
 
-def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Generator[tuple, object, Tree]:
-    """One tree; yields what it asks of the rows. Children's histograms are asked for together: one of each
-    pair, its sibling by subtraction."""
+def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Generator[tuple, object, tuple[Tree, set[int]]]:
+    """One tree, and the leaves whose values are final; yields what it asks of the rows. Children's histograms are asked
+    for together: one of each pair, its sibling by subtraction. Level by level, children of no more rows than the rows'
+    ``unit`` are put aside, and what is below them is asked for at the end, where that saves a request."""
     draw = np.random.default_rng([p.seed, number])
     columns = np.sort(draw.choice(features, max(1, round(p.columns * features)), replace=False)) if p.columns < 1 else np.arange(features)
     tree = Tree()
@@ -397,10 +496,11 @@ def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Genera
     most = p.leaves or 1 << p.depth
     heap: list = []
 
-    def offer(node: int, hist: np.ndarray) -> None:
-        best = best_split(p, hist) if tree.depth[node] < p.depth else None
-        if best:
-            heapq.heappush(heap, (-best[0], node, _Open(node, hist, best)))
+    def offer(found: list[tuple[int, np.ndarray]]) -> None:
+        found = [(node, hist) for node, hist in found if tree.depth[node] < p.depth]
+        for (node, hist), best in zip(found, best_splits(p, [hist for _, hist in found])):
+            if best:
+                heapq.heappush(heap, (-best[0], node, _Open(node, hist, best)))
 
     def divide(o: _Open) -> tuple[int, int]:
         kids = tree.split(o.node, int(columns[o.best[1]]), o.best[2], o.best[0])
@@ -411,20 +511,23 @@ def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Genera
     def both(o: _Open, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (small, o.hist - small) if o.small == 0 else (o.hist - small, small)
 
-    offer(0, root)
+    offer([(0, root)])
     leaves = 1
     if not p.leaves:
+        later: set[int] = set()
         while heap:  # level by level
             level = [heapq.heappop(heap)[2] for _ in range(len(heap))]
             level.sort(key=lambda o: o.node)
             kids = [divide(o) for o in level]
-            if tree.depth[kids[0][0]] >= p.depth:
+            left = p.depth - tree.depth[kids[0][0]]
+            if left >= 2 or p.loss == "quantile":
+                later.update(kid for pair in kids for kid in pair if tree.cover[kid] <= rows.unit)
+            on = [(o, pair) for o, pair in zip(level, kids) if not later.issuperset(pair)]
+            if left <= 0 or not on:
                 break
-            smalls = yield "hist", tree, [k[o.small] for o, k in zip(level, kids)], columns, bins
-            for o, pair, small in zip(level, kids, smalls):
-                for kid, hist in zip(pair, both(o, small)):
-                    offer(kid, hist)
-        return tree
+            smalls = yield "hist", tree, [pair[o.small] for o, pair in on], columns, bins
+            offer([(kid, hist) for (o, pair), small in zip(on, smalls) for kid, hist in zip(pair, both(o, small)) if kid not in later])
+        return whole(tree, (yield "subtrees", tree, sorted(later), columns, bins), columns) if later else (tree, set())
     ahead: dict[int, np.ndarray] = {}
     while heap and leaves < most:
         if heap[0][2].node not in ahead:
@@ -445,8 +548,18 @@ def _grow(rows, p: BoostParams, number: int, features: int, bins: int) -> Genera
         pair = divide(o)
         leaves += 1
         if o.node in ahead:
-            for kid, hist in zip(pair, both(o, ahead.pop(o.node))):
-                offer(kid, hist)
+            offer(list(zip(pair, both(o, ahead.pop(o.node)))))
+    return tree, set()
+
+
+def _tree(rows, p: BoostParams, number: int, features: int, bins: int) -> Generator[tuple, object, Tree]:
+    """One tree with its leaves' values; yields what it asks of the rows."""
+    tree, final = yield from _grow(rows, p, number, features, bins)
+    leaves = [node for node, f in enumerate(tree.feature) if f < 0 and node not in final]
+    if p.loss == "quantile" and leaves:
+        found = yield "leaf_quantiles", tree, leaves
+        for node in leaves:
+            tree.value[node] = p.rate * found.get(node, 0.0)
     return tree
 
 
@@ -454,31 +567,30 @@ def _train(rows, p: BoostParams, features: int, bins: int) -> Generator[tuple, o
     """All trees of one model; yields what they ask of the rows."""
     base, trees = rows.base(), []
     for number in range(p.trees):
-        tree = yield from _grow(rows, p, number, features, bins)
-        if p.loss == "quantile":
-            found = yield "leaf_quantiles", tree
-            for node, f in enumerate(tree.feature):
-                if f < 0:
-                    tree.value[node] = p.rate * found.get(node, 0.0)
+        tree = yield from _tree(rows, p, number, features, bins)
         rows.finish(tree)
         trees.append(tree)
     return base, trees
 
 
 def train_together(many: list, features: int, bins: int) -> list[tuple[float, list[Tree]]]:
-    """Models over rows that give histograms (all local, or in Spark and sharing their blocks), side by side:
-    each goes on to its next request, then all requests are answered at once."""
-    steps, out = [_train(rows, rows.p, features, bins) for rows in many], [None] * len(many)
-    answers: dict[int, object] = dict.fromkeys(range(len(many)))
+    """Models over rows that give histograms (all local, or in Spark and sharing their blocks), side by side."""
+    return _finish({i: _train(rows, rows.p, features, bins) for i, rows in enumerate(many)}, dict(enumerate(many)))
+
+
+def _finish(steps: dict[int, Generator], rows: dict[int, object]) -> list:
+    """The results of all: each goes on to its next request, and the rows answer the requests."""
+    name, out = {id(r): i for i, r in rows.items()}, dict.fromkeys(steps)
+    answers = dict.fromkeys(steps)
     while answers:
-        asks = {}
+        asks = []
         for i, answer in answers.items():
             try:
-                asks[i] = steps[i].send(answer)
+                asks.append((rows[i], steps[i].send(answer)))
             except StopIteration as done:
                 out[i] = done.value
-        answers = dict(zip(asks, many[0].together([(many[i], ask) for i, ask in asks.items()]))) if asks else {}
-    return out
+        answers = {name[id(r)]: answer for r, answer in rows[0].together(asks)}
+    return list(out.values())
 
 
 def train_rows(rows, p: BoostParams, features: int, bins: int) -> tuple[float, list[Tree]]:
@@ -610,7 +722,7 @@ class TrainingSet:
 
     def __init__(self, df: DataFrame, names: list[str], label: str, id_col: str, valid: DataFrame | None = None,
                  bins: int = 64, block_rows: int = 50_000):
-        self.names, self.bins = list(names), bins
+        self.names, self.bins, self.block_rows = list(names), bins, block_rows
         self.edges = bin_edges(df, self.names, bins)
         self.blocks = pack_blocks(df, self.names, self.edges, label, id_col, block_rows)
         self.valid = pack_blocks(valid, self.names, self.edges, label, id_col, block_rows) if valid is not None else None
@@ -621,7 +733,7 @@ class TrainingSet:
         """One model for each setting."""
         if self.local:
             return [BoostedModel.of(self.names, self.edges, *pickle.loads(m)) for m, _ in self._tasks(params, True)]
-        shared = Blocks(self.blocks, len(self.names))
+        shared = Blocks(self.blocks, len(self.names), unit=self.block_rows)
         try:
             found = train_together([SparkRows(p, self.blocks, len(self.names), shared) for p in params], len(self.names), self.bins)
         finally:

@@ -239,3 +239,24 @@ def test_trials_drawn_at_random_are_evaluated_at_once():
     tried = tuning.search(evaluate, 20, 4, 42)
     assert sizes == [8, 4, 4, 4] and len(tried) == 20
     assert [m for m, _ in tried[:8]] == [tuning.to_settings(np.random.default_rng([42, i]).random(8)) for i in range(8)]
+
+
+@pytest.mark.parametrize("p", [BoostParams(trees=3, depth=9, rows=0.8, columns=0.7, rate=0.3, l1=0.1), BoostParams(trees=2, depth=7),
+                               BoostParams(trees=3, depth=7, rows=0.8, loss="quantile", alpha=0.2, rate=0.5, min_child=5)])
+def test_nodes_no_larger_than_a_block_are_grown_in_one_request(spark, p):
+    from clvforge.plans.boosting import Blocks, train_together
+    x, y = made()
+    rows = TrainingSet(frame(spark, x, y), NAMES, "y", "customer_id", block_rows=200)
+    assert not rows.local
+    found, jobs = [], []
+    for unit in (0, 150):
+        shared = Blocks(rows.blocks, 3, unit=unit)
+        model = SparkRows(p, rows.blocks, 3, shared)
+        found.append(train_together([model], 3, rows.bins)[0])
+        jobs.append(model.jobs)
+        shared.close()
+    (base, level_by_level), (other, by_units) = found
+    assert base == other and jobs[1] < jobs[0]
+    for a, b in zip(level_by_level, by_units):
+        assert (a.feature, a.bin, a.left, a.right, a.depth) == (b.feature, b.bin, b.left, b.right, b.depth)
+        assert b.value == pytest.approx(a.value, rel=1e-9) and b.cover == a.cover and b.gain == pytest.approx(a.gain, rel=1e-6)
