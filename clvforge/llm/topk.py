@@ -224,32 +224,37 @@ def _blocks(rows: DataFrame, size: int, shared) -> DataFrame:
     return cut(dealt.select("dim", "leaf", "part", "vec_id", "vec").groupBy("dim", "leaf", "part").applyInArrow(_pack(shared), _BLOCK))
 
 
-def _leaf_pairs(routers: dict[int, Router], data: DataFrame, queries: DataFrame, spark) -> DataFrame:
-    """(dim, ask_leaf, leaf): pairs of leaves that neither their radii nor those of the nodes above rule out.
+def _leaf_pairs(routers: dict[int, Router], data: DataFrame, queries: DataFrame, spark, salts: int) -> DataFrame:
+    """(dim, ask_leaf, leaf, salt): pairs of leaves that neither their radii nor those of the nodes above rule out, once for
+    each of the data leaf's salts (a block's part modulo ``salts``).
 
     Radii and worst scores are summed up per node in Spark; there are fewer nodes than sampled vectors.
     """
-    reach = lambda df, *more: df.select("dim", *more, F.explode(F.arrays_zip("nodes", "reach")).alias("n")).groupBy(
-        "dim", F.col("n.nodes").alias("node")).agg(F.max("n.reach").alias("radius"), *[F.min(c).alias(c) for c in more]).collect()
+    reach = lambda df, c, how: df.select("dim", c, F.explode(F.arrays_zip("nodes", "reach")).alias("n")).groupBy(
+        "dim", F.col("n.nodes").alias("node")).agg(F.max("n.reach").alias("radius"), how(c).alias(c)).collect()
     far: dict[int, dict] = {}
     ask: dict[int, dict] = {}
-    for r in reach(data):
+    last: dict[tuple[int, int], int] = {}
+    for r in reach(data, "part", F.max):
         far.setdefault(r["dim"], {})[r["node"]] = r["radius"]
-    for r in reach(queries, "worst"):
+        last[r["dim"], r["node"]] = min(salts - 1, r["part"])
+    for r in reach(queries, "worst", F.min):
         ask.setdefault(r["dim"], {})[r["node"]] = (r["radius"], r["worst"])
     nodes = {dim: Nodes(router, far.get(dim, {}), ask.get(dim, {})) for dim, router in routers.items()}
-    shared = spark.sparkContext.broadcast(nodes)
+    shared = spark.sparkContext.broadcast((nodes, last))
     starts = [(dim, n) for dim, r in routers.items() for n in _level(r, 2)] + [(dim, -1) for dim in far if dim not in routers]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, last = shared.value
         for batch in batches:
             for dim, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs = list(shared.value[dim].leaf_pairs(start)) if start >= 0 else [(0, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array([dim] * len(pairs), pa.int32()), pa.array([q for q, _ in pairs], pa.int32()),
-                                                  pa.array([d for _, d in pairs], pa.int32())], names=["dim", "ask_leaf", "leaf"])
+                found = nodes[dim].leaf_pairs(start) if start >= 0 else [(0, 0)]
+                pairs = np.array([(q, d, s) for q, d in found for s in range(last.get((dim, d), -1) + 1)], np.int32).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), dim, np.int32)), *map(pa.array, np.ascontiguousarray(pairs.T))],
+                                                 names=["dim", "ask_leaf", "leaf", "salt"])
 
     frame = spark.createDataFrame(starts or [(0, -1)], "dim int, start int").repartition(max(1, min(len(starts), 64)), "dim", "start")
-    return frame.mapInArrow(run, "dim int, ask_leaf int, leaf int")
+    return frame.mapInArrow(run, "dim int, ask_leaf int, leaf int, salt int")
 
 
 def _level(router: Router, depth: int) -> list[int]:
@@ -266,7 +271,8 @@ def _visit(visits: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = None
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # one row's vectors at a time leave the batch
+                r = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
                 ids, dim = np.frombuffer(r["ids"], "<i8"), r["dim"]
                 vecs = _unpack(r["vecs"], dim) if dim else np.zeros((len(ids), 0), np.int64)
                 if r["asks"] is None:
@@ -319,14 +325,15 @@ def cover_tree_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: in
     queries = queries.withColumn("asks", name).withColumn("floor", F.lit(None).cast("binary"))
     fields = ["block", "asks", "dim", "ids", "vecs", "floor"]
 
-    def visit(pairs: DataFrame) -> DataFrame:
+    def visit(pairs: DataFrame, asking: DataFrame) -> DataFrame:
         visited = data.join(pairs.select("block").distinct(), "block", "left_semi").select(*fields)
-        asked = queries.drop("floor").join(pairs, "asks").select(*fields)
+        # Pairs repeat few names, so that their file says little about their size in memory: never broadcast.
+        asked = asking.join(pairs.hint("merge"), "asks").select(*fields)
         both = visited.union(asked).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("asks"))
         return cut(_visit(both, k))
 
-    home = queries.select("asks", F.concat_ws("/", "dim", "leaf", F.lit(0)).alias("block"), F.lit(None).cast("binary").alias("floor"))
-    first = visit(home)
+    home = queries.select("asks", F.concat_ws("/", "dim", "leaf", F.lit(0)).alias("block"))
+    first = visit(home, queries.drop("block"))
     kth = _best(first, k).groupBy("asks", "place").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     worst = kth.groupBy("asks").agg(F.map_from_entries(F.collect_list(F.struct("place", "kth"))).alias("known"))
 
@@ -346,17 +353,17 @@ def cover_tree_topk(vectors: DataFrame, k: int = 10, every: int = 100, scale: in
     asked = queries.select("asks", "ids").join(worst, "asks", "left").select("asks", "known", "ids")
     group = cut(asked.mapInArrow(floors, "asks string, floor binary, worst long"))
     asking = queries.drop("floor").join(group, "asks")
-    pairs = _leaf_pairs(routers, data, asking, spark)
+    salts = 16  # a hot leaf's blocks are spread over as many keys
     dot = F.aggregate(F.zip_with("q.centre", "d.centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     spread = (F.col("q.radius") * F.col("d.norm") + F.col("d.radius") * F.col("q.norm") + F.col("q.radius") * F.col("d.radius"))
     bound = dot + spread + F.lit(_SLACK) * (1 + F.col("q.norm") * F.col("d.norm") + spread)
-    salts = 16  # a hot leaf's blocks are spread over as many keys
     ball = ["dim", "leaf", "part", "centre", "norm", "radius"]
     d = data.select(*ball, "block", F.pmod("part", F.lit(salts)).alias("salt")).alias("d")
-    q = asking.select(*ball, "asks", "floor", "worst").alias("q")
-    p = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("p")
+    q = asking.select(*ball, "asks", "worst").alias("q")
+    # Spark takes the pairs to be as few as the nodes they start from, so says the hint: they are not to be broadcast.
+    p = _leaf_pairs(routers, data, asking, spark, salts).hint("merge").alias("p")
     rest = (p.join(d, F.expr("p.dim = d.dim AND p.leaf = d.leaf AND p.salt = d.salt"))
             .join(q, F.expr("p.dim = q.dim AND p.ask_leaf = q.leaf"))
-            .filter(F.expr("NOT (q.leaf = d.leaf AND d.part = 0)")).filter(bound >= F.col("q.worst")).select("q.asks", "d.block", "q.floor"))
-    second = visit(cut(rest))
+            .filter(F.expr("NOT (q.leaf = d.leaf AND d.part = 0)")).filter(bound >= F.col("q.worst")).select("q.asks", "d.block"))
+    second = visit(cut(rest), asking)
     return _best(first.union(second), k).select("query_id", "rank", "vec_id", "score")

@@ -33,6 +33,28 @@ def test_topk_matches_brute_force(spark):
     assert cover_tree_topk(df.limit(0)).count() == 0
 
 
+def test_pairs_of_blocks_and_of_leaves_are_not_broadcast(spark, monkeypatch):
+    """Both grow with the square of the leaves; Spark sees a small file and a few starting nodes."""
+    import re
+
+    from clvforge.llm import topk
+    draw = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, draw.normal(size=6).tolist()) for i in range(900)], "vec_id long, embedding array<double>")
+    plans, cut = [], topk.cut
+
+    def seen(rows):
+        rows.collect()  # so that the plan is the one that ran
+        plans.append(re.sub(r"#\d+L?", "", rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]))
+        return cut(rows)
+    monkeypatch.setattr(topk, "cut", seen)
+    cover_tree_topk(df, k=5, every=10, block=32, asks=16).collect()
+    joins = [line for p in plans for line in p.splitlines() if "Join [" in line]
+    leaves = [line for line in joins if "salt" in line]
+    blocks = [line for line in joins if "Join [asks], [asks], Inner" in line]
+    assert leaves and blocks and not [line for line in leaves if "BroadcastHashJoin" in line]
+    assert sum("SortMergeJoin" in line for line in blocks) >= 2
+
+
 def test_cover_tree_invariants():
     x = np.random.default_rng(0).normal(size=(500, 5))
     x[100:150] = x[0]
