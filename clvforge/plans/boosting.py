@@ -4,8 +4,8 @@ Rows are binned once and packed into blocks of bounded size. A tree needs, for t
 split, the sums of gradients and Hessians per (node, feature, bin): one aggregation over the blocks a
 level. Models over the same blocks (trials, boosters) grow side by side, and one job gives all of them
 the sums of their next level. A node with no more rows than a block is not divided level by level: its
-rows go to one task, which grows all that is below it. With one block only, the same loop runs in the task
-that holds it, since its sums are the sums; several such runs are then tasks of one job.
+rows go to one task, which grows all that is below it. Up to ``WHOLE_ROWS`` rows are one block, and the same
+loop runs in the task that holds it, since its sums are the sums; several such runs are then tasks of one job.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 
 from clvforge.session import delete_table, durable_cut, ship_package, write_table
 
+#: Rows of a block where there are several, and the most rows that are one block: with 16 features some 32 MB, and
+#: about 150 MB in the task that grows from it. A level of so few rows takes less time than a Spark job.
+BLOCK_ROWS, WHOLE_ROWS = 50_000, 1_000_000
+
 
 @dataclass(frozen=True)
 class BoostParams:
@@ -124,15 +128,15 @@ def gradients(p: BoostParams, y: np.ndarray, margin: np.ndarray) -> np.ndarray:
     return margin - y if p.loss == "squared" else np.where(y > margin, -p.alpha, 1 - p.alpha)
 
 
-def histogram(p: BoostParams, x, key, y, margin, node, number: int, slot_of: np.ndarray, columns, bins: int) -> np.ndarray:
-    """Sums (slot, column, bin, [gradient, Hessian]) over the rows of one block in the wanted nodes."""
-    slot = slot_of[node]
-    rows = np.flatnonzero((slot >= 0) & _seen(key, p.rows, p.seed, number))
-    g, slot = gradients(p, y[rows], margin[rows]), slot[rows]
+def histogram(p: BoostParams, x, y, margin, node, seen: np.ndarray, slot_of: np.ndarray, columns, bins: int) -> np.ndarray:
+    """Sums (slot, column, bin, [gradient, Hessian]) over the seen rows of one block in the wanted nodes."""
+    slot = slot_of.take(node)
+    rows = np.flatnonzero((slot >= 0) & seen)
+    g, first = gradients(p, y.take(rows), margin.take(rows)), slot.take(rows) * bins
     n = int(slot_of.max()) + 1
     out = np.zeros((n, len(columns), bins, 2))
     for c, f in enumerate(columns):
-        at = slot * bins + x[f, rows]
+        at = first + x[f].take(rows)
         out[:, c, :, 0] = np.bincount(at, g, n * bins).reshape(n, bins)
         out[:, c, :, 1] = np.bincount(at, minlength=n * bins).reshape(n, bins)
     return out
@@ -178,13 +182,13 @@ class LocalRows:
         return value
 
     def start(self, number: int) -> None:
-        self.number, self.node = number, np.zeros(len(self.y), np.int64)
+        self.node, self.seen = np.zeros(len(self.y), np.int64), _seen(self.key, self.p.rows, self.p.seed, number)
 
     def hist(self, tree: Tree, nodes: list[int], columns, bins: int) -> np.ndarray:
         slot_of = np.full(len(tree.feature), -1)
         slot_of[nodes] = np.arange(len(nodes))
         self.node = tree.advance(self.x, self.node)
-        return histogram(self.p, self.x, self.key, self.y, self.margin, self.node, self.number, slot_of, columns, bins)
+        return histogram(self.p, self.x, self.y, self.margin, self.node, self.seen, slot_of, columns, bins)
 
     @staticmethod
     def together(asks: list[tuple["LocalRows", tuple]]) -> list[tuple["LocalRows", object]]:
@@ -245,7 +249,7 @@ def _sums(run: str, features: int, parts: list[_Part], by_node: bool, blocks: It
         for q in parts:
             margin = q.margin(run, r["id"], r["margins"][q.model] if r["margins"] else None, x)
             node = advance(q.tree, x, np.zeros(len(y), np.int32))
-            h = histogram(q.p, x, key, y, margin, node, q.number, q.slot_of, q.columns, q.bins)
+            h = histogram(q.p, x, y, margin, node, _seen(key, q.p.rows, q.p.seed, q.number), q.slot_of, q.columns, q.bins)
             total[q.model] = total[q.model] + h if q.model in total else h
     for model, h in total.items():
         if by_node:
@@ -598,52 +602,97 @@ def train_rows(rows, p: BoostParams, features: int, bins: int) -> tuple[float, l
     return train_together([rows], features, bins)[0]
 
 
+#: A node's columns: bounded numbers in few bytes, since a model may have a million nodes.
+_NODE = {"tree": np.int32, "node": np.int32, "feature": np.int16, "bin": np.int16, "left": np.int32, "right": np.int32,
+         "value": np.float64, "cover": np.float64, "gain": np.float64}
+
+
+def node_table(trees: list[Tree]) -> dict[str, np.ndarray]:
+    """All trees' nodes as columns, which take a fraction of the lists' memory."""
+    own = {"tree": lambda i, t: np.full(len(t.feature), i), "node": lambda i, t: np.arange(len(t.feature))}
+    of = lambda c, i, t: own[c](i, t) if c in own else getattr(t, c)
+    return {c: np.concatenate([np.zeros(0, kind), *(np.asarray(of(c, i, t), kind) for i, t in enumerate(trees))])
+            for c, kind in _NODE.items()}
+
+
+class Scorer:
+    """What a task needs to predict: rows are binned by the trees' thresholds and moved down one tree after the other."""
+
+    def __init__(self, model: "BoostedModel"):
+        inner, at = model.feature >= 0, np.arange(len(model.feature))
+        self.base, self.value, self.feature = model.base, model.value, np.where(inner, model.feature, 0).astype(np.int16)
+        self.edges = [np.unique(model.threshold[model.feature == f]) for f in range(len(model.names))]
+        most = max(map(len, self.edges), default=0)
+        self.kind = np.uint8 if most < 255 else np.int32
+        self.cut = np.full(len(at), most, self.kind)  # a leaf leads to itself either way
+        for f, e in enumerate(self.edges):
+            own = model.feature == f
+            self.cut[own] = np.searchsorted(e, model.threshold[own])
+        ends = [*model.roots[1:].tolist(), len(at)]
+        self.trees = list(zip(model.roots.tolist(), ends))
+        root = np.repeat(model.roots, np.diff([*model.roots, len(at)]))
+        self.kids = np.stack([model.right - root, model.left - root], 1).astype(np.int32)
+        self.depth, now, tree = np.zeros(len(self.trees), np.int64), model.roots, np.arange(len(self.trees))
+        while len(now):
+            now, tree = now[inner[now]], tree[inner[now]]
+            self.depth[np.unique(tree)] += 1
+            now, tree = np.concatenate([model.left[now], model.right[now]]), np.concatenate([tree, tree])
+
+    def predict(self, x: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Predictions of rows (rows x features); a value at the threshold goes left, NaN right."""
+        out = np.full(len(x), self.base)
+        for lo in range(0, len(x), step):
+            part = x[lo:lo + step]
+            n, row = len(part), np.arange(len(part))
+            bins = np.stack([np.searchsorted(e, part[:, f]).astype(self.kind) for f, e in enumerate(self.edges)]).reshape(-1)
+            found = np.zeros((len(self.trees), n))
+            for t, ((first, end), depth) in enumerate(zip(self.trees, self.depth.tolist())):
+                start, cut, kids = self.feature[first:end].astype(np.int64) * n, self.cut[first:end], self.kids[first:end].astype(np.int64).reshape(-1)
+                node = np.zeros(n, np.int64)
+                for _ in range(depth):
+                    node = kids.take(2 * node + (bins.take(start.take(node) + row) <= cut.take(node)))
+                found[t] = self.value[first:end].take(node)
+            out[lo:lo + step] += np.ascontiguousarray(found.T).sum(1)
+        return out
+
+
 class BoostedModel:
     """Fitted trees with real thresholds; ``nodes`` has one row a node, as big as the model."""
 
     def __init__(self, names: list[str], base: float, nodes: pd.DataFrame):
         self.names, self.base = list(names), float(base)
-        self.nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+        self.nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
         start = self.nodes.groupby("tree").size().cumsum().shift(fill_value=0)
         offset = self.nodes["tree"].map(start).to_numpy()
         self.roots = start.to_numpy(np.int64)
-        self.feature = self.nodes["feature"].to_numpy(np.int64)
+        self.feature = self.nodes["feature"].to_numpy(np.int16)
         self.threshold = self.nodes["threshold"].to_numpy(float)
-        self.left = np.where(self.feature >= 0, self.nodes["left"].to_numpy() + offset, np.arange(len(offset)))
-        self.right = np.where(self.feature >= 0, self.nodes["right"].to_numpy() + offset, np.arange(len(offset)))
+        self.left, self.right = (np.where(self.feature >= 0, self.nodes[c].to_numpy() + offset, np.arange(len(offset))).astype(np.int32)
+                                 for c in ("left", "right"))
         self.value, self.cover = self.nodes["value"].to_numpy(float), self.nodes["cover"].to_numpy(float)
 
     @staticmethod
     def of(names: list[str], edges: list[np.ndarray], base: float, trees: list[Tree]) -> "BoostedModel":
-        rows = []
-        for t, tree in enumerate(trees):
-            for n, f in enumerate(tree.feature):
-                rows.append((t, n, f, float(edges[f][tree.bin[n]]) if f >= 0 else 0.0, tree.left[n], tree.right[n],
-                             float(tree.value[n]), float(tree.cover[n]), float(tree.gain[n])))
-        return BoostedModel(names, base, pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right",
-                                                                     "value", "cover", "gain"]))
+        return BoostedModel.of_table(names, edges, base, node_table(trees))
+
+    @staticmethod
+    def of_table(names: list[str], edges: list[np.ndarray], base: float, nodes: dict[str, np.ndarray]) -> "BoostedModel":
+        """``of`` the trees' ``node_table``."""
+        threshold = np.zeros(len(nodes["feature"]))
+        for f, e in enumerate(edges):
+            own = nodes["feature"] == f
+            threshold[own] = e[nodes["bin"][own]]
+        table = pd.DataFrame({**nodes, "bin": threshold}).rename(columns={"bin": "threshold"})
+        return BoostedModel(names, base, table)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Predictions of rows (rows x features); a value at the threshold goes left, NaN right."""
-        out = np.full(len(x), self.base)
-        step = max(1, (1 << 21) // max(1, len(self.roots)))
-        for lo in range(0, len(x), step):
-            part = x[lo:lo + step]
-            node = np.broadcast_to(self.roots, (len(part), len(self.roots))).copy()
-            row = np.arange(len(part))[:, None]
-            while True:
-                f = self.feature[node]
-                if not (f >= 0).any():
-                    break
-                goes = part[row, np.maximum(f, 0)] <= self.threshold[node]
-                node = np.where(goes, self.left[node], self.right[node])
-            out[lo:lo + step] += self.value[node].sum(1)
-        return out
+        return Scorer(self).predict(x)
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """``df`` with a prediction from its columns ``names``, in Arrow batches."""
         ship_package(df.sparkSession)
-        model = df.sparkSession.sparkContext.broadcast(self)
+        model = df.sparkSession.sparkContext.broadcast(Scorer(self))
 
         @F.pandas_udf("double")
         def score(*columns: pd.Series) -> pd.Series:
@@ -660,7 +709,8 @@ class BoostedModel:
         return [(n, float(gain.get(i, 0.0)) / total) for i, n in enumerate(self.names)]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame(self.nodes).write.mode("overwrite").parquet(f"{path}/nodes")
+        whole = {c: np.int64 for c, kind in _NODE.items() if kind != np.float64 and c in self.nodes.columns}
+        spark.createDataFrame(self.nodes.astype(whole)).write.mode("overwrite").parquet(f"{path}/nodes")
         spark.createDataFrame([(self.base, self.names)], "base double, names array<string>").write.mode("overwrite").parquet(f"{path}/model")
 
     @staticmethod
@@ -678,35 +728,43 @@ def bin_edges(df: DataFrame, names: list[str], bins: int = 64, error: float = 0.
     return [np.unique(np.asarray(q, float)) if q else np.zeros(1) for q in found]
 
 
-def pack_blocks(df: DataFrame, names: list[str], edges: list[np.ndarray], label: str, id_col: str, block_rows: int) -> DataFrame:
-    """Rows (n, key, x, y, margin): blocks of about ``block_rows`` binned rows; where they are several, of fewer
-    rows as long as cores have none."""
+def pack_blocks(df: DataFrame, names: list[str], edges: list[np.ndarray], label: str, id_col: str, block_rows: int,
+                whole_rows: int) -> DataFrame:
+    """Rows (n, key, x, y, margin): one block of up to ``whole_rows`` binned rows; more are blocks of about ``block_rows``,
+    and of fewer rows as long as cores have none."""
     ship_package(df.sparkSession)
     count = df.count()
-    parts = max(1, -(-count // block_rows))
-    if parts > 1:
-        parts = max(parts, min(df.sparkSession.sparkContext.defaultParallelism, count // 8192))
+    parts = 1
+    if count > whole_rows:
+        parts = max(-(-count // block_rows), min(df.sparkSession.sparkContext.defaultParallelism, count // 8192))
+    most = 4 * block_rows if parts > 1 else count
     rows = df.select(F.xxhash64(id_col).alias("key"), F.col(label).cast("double").alias("y"),
                      *[F.col(c).cast("double") for c in names])
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "y") if parts > 1 else rows.coalesce(1).sortWithinPartitions("key", "y")
+    if parts > 1:
+        dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "y")
+    elif count > block_rows:
+        dealt = rows.repartition(1).sortWithinPartitions("key", "y", *names)  # what comes before runs in many tasks
+    else:
+        dealt = rows.coalesce(1).sortWithinPartitions("key", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def block() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            x = np.stack([np.searchsorted(e, t.column(i + 2).to_numpy()).astype(np.uint8) for i, e in enumerate(edges)])
+            key, x, y = (np.concatenate(c, -1) for c in zip(*held))
             return pa.RecordBatch.from_arrays(
-                [pa.array([t.num_rows]), pa.array([t.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()),
-                 pa.array([t.column(1).to_numpy().tobytes()], pa.binary()), pa.array([None], pa.binary())],
+                [pa.array([len(y)]), *(pa.array([c.tobytes()], pa.binary()) for c in (key, x, y)), pa.array([None], pa.binary())],
                 names=["n", "key", "x", "y", "margin"])
 
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 4 * block_rows:
-                yield block()
+            if batch.num_rows:
+                key, y, *values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                held.append((key, np.stack([np.searchsorted(e, v).astype(np.uint8) for e, v in zip(edges, values)]), y))
+            if sum(len(y) for _, _, y in held) >= most:
+                if held:
+                    yield block()
                 held.clear()
-        if held and sum(b.num_rows for b in held):
+        if held:
             yield block()
 
     return durable_cut(dealt.mapInArrow(run, "n long, key binary, x binary, y binary, margin binary"))
@@ -718,21 +776,23 @@ def unpack_block(r: dict, features: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class TrainingSet:
-    """Binned blocks of some rows, and the same for held-out rows if there are any."""
+    """Binned blocks of some rows, and the same for held-out rows if there are any. ``block_rows`` are those of every
+    block; without it ``BLOCK_ROWS``, and up to ``WHOLE_ROWS`` rows are one block."""
 
     def __init__(self, df: DataFrame, names: list[str], label: str, id_col: str, valid: DataFrame | None = None,
-                 bins: int = 64, block_rows: int = 50_000):
-        self.names, self.bins, self.block_rows = list(names), bins, block_rows
+                 bins: int = 64, block_rows: int | None = None):
+        self.names, self.bins, self.block_rows = list(names), bins, block_rows or BLOCK_ROWS
         self.edges = bin_edges(df, self.names, bins)
-        self.blocks = pack_blocks(df, self.names, self.edges, label, id_col, block_rows)
-        self.valid = pack_blocks(valid, self.names, self.edges, label, id_col, block_rows) if valid is not None else None
+        self.blocks, self.valid = (
+            d if d is None else pack_blocks(d, self.names, self.edges, label, id_col, self.block_rows, block_rows or WHOLE_ROWS)
+            for d in (df, valid))
         self.valid_rows, self.label = valid, label
         self.local = self.blocks.count() <= 1 and (valid is None or self.valid.count() <= 1)
 
     def fit(self, params: list[BoostParams]) -> list[BoostedModel]:
         """One model for each setting."""
         if self.local:
-            return [BoostedModel.of(self.names, self.edges, *pickle.loads(m)) for m, _ in self._tasks(params, True)]
+            return [BoostedModel.of_table(self.names, self.edges, *pickle.loads(m)) for m, _ in self._tasks(params, True)]
         shared = Blocks(self.blocks, len(self.names), unit=self.block_rows)
         try:
             found = train_together([SparkRows(p, self.blocks, len(self.names), shared) for p in params], len(self.names), self.bins)
@@ -749,17 +809,18 @@ class TrainingSet:
                                  self.fit(params)))
 
     def _tasks(self, params: list[BoostParams], want_model: bool) -> list[tuple[bytes | None, float | None]]:
-        """Whole runs over the one block, a task each."""
+        """Whole runs over the one block, a task each, those of most work first."""
         spark, features, bins = self.blocks.sparkSession, len(self.names), self.bins
         got = [d.drop("margin").first() for d in (self.blocks, self.valid) if d is not None]  # a block at most
         shared = spark.sparkContext.broadcast([r.asDict() if r else None for r in got])
-        want = pickle.dumps(params)
         n = len(params)
+        work = lambda i: params[i].trees * params[i].depth * params[i].rows * params[i].columns
+        want = pickle.dumps([(i, params[i]) for i in sorted(range(n), key=work, reverse=True)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in batch.column(0).to_pylist():
-                    p, (fit, *valid) = pickle.loads(want)[i], shared.value
+                for place in batch.column(0).to_pylist():
+                    (i, p), (fit, *valid) = pickle.loads(want)[place], shared.value
                     empty = np.zeros((features, 0), np.uint8), np.zeros(0, np.uint64), np.zeros(0)
                     base, trees = train_rows(LocalRows(p, *(unpack_block(fit, features) if fit else empty)), p, features, bins)
                     error = None
@@ -769,7 +830,7 @@ class TrainingSet:
                         for t in trees:
                             at += np.array(t.value)[t.advance(x, np.zeros(len(y), np.int64))]
                         error = float(np.abs(at - y).mean())
-                    model = pickle.dumps((base, trees)) if want_model else None
+                    model = pickle.dumps((base, node_table(trees))) if want_model else None
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([model], pa.binary()), pa.array([error], pa.float64())],
                                                      names=["i", "model", "error"])
 

@@ -277,3 +277,52 @@ def test_quantile_leaves_of_nodes_grown_in_one_request_are_exact(spark):
         for n in set(leaf.tolist()):
             assert t.value[n] == pytest.approx(p.rate * np.quantile((y - margin)[leaf == n], p.alpha, method="inverted_cdf"), rel=1e-9, abs=1e-12)
         margin = margin + np.array(t.value)[leaf]
+
+
+def test_more_rows_than_a_spark_block_train_without_a_job_a_level(spark):
+    from pyspark.sql import functions as F
+    draw = lambda k: (F.xxhash64("customer_id", F.lit(k)) % 1000) / 1000
+    df = spark.range(52_000).withColumnRenamed("id", "customer_id").withColumns({"a": draw(1), "b": draw(2), "c": draw(3)})
+    df = df.withColumn("y", 3 * F.col("a") + F.col("b") * F.col("c") + draw(4) / 10)
+    params = [BoostParams(trees=2, depth=4, rate=0.3, rows=0.8), BoostParams(trees=2, depth=6, leaves=6, rate=0.3),
+              BoostParams(trees=1, depth=3, rate=0.3, loss="quantile", alpha=0.9)]
+    rows = TrainingSet(df, NAMES, "y", "customer_id")
+    assert rows.local
+    jobs = [_jobs(spark)]
+    for more in (0, 10):
+        one = rows.fit([BoostParams(**{**vars(p), "trees": p.trees + more}) for p in params])
+        jobs.append(_jobs(spark))
+    assert jobs[2] - jobs[1] == jobs[1] - jobs[0] < 5  # however many trees
+    one, many = rows.fit(params), TrainingSet(df, NAMES, "y", "customer_id", block_rows=10_000)
+    assert not many.local
+    many.edges = rows.edges
+    x = df.limit(500).select(*NAMES).toPandas().to_numpy()
+    for a, b in zip(one[:2], many.fit(params[:2])):
+        assert b.predict(x) == pytest.approx(a.predict(x), rel=1e-6)
+
+
+def test_predictions_follow_each_tree_from_its_root():
+    from clvforge.plans.boosting import BoostedModel
+    draw = np.random.default_rng(4)
+    nodes = []
+    for t, inner in enumerate((0, 1, 6, 11)):  # trees with so many splits, grown at random leaves
+        tree = {0: [-1, 0.0, 0, 0]}
+        for _ in range(inner):
+            at = draw.choice([n for n, v in tree.items() if v[0] < 0])
+            tree[at] = [int(draw.integers(0, 3)), float(draw.integers(-2, 3)), len(tree), len(tree) + 1]
+            for _ in range(2):
+                tree[len(tree)] = [-1, 0.0, 0, 0]
+        nodes += [(t, n, *v, float(draw.normal()), 1.0, 0.0) for n, v in tree.items()]
+    columns = ["tree", "node", "feature", "threshold", "left", "right", "value", "cover", "gain"]
+    model = BoostedModel(NAMES, 0.5, pd.DataFrame(nodes, columns=columns))
+    x = draw.integers(-3, 4, (300, 3)).astype(float)  # many values are thresholds
+    x[::7, 0], x[::11, 1], x[::13, 2] = np.nan, np.inf, -np.inf
+    for row, got in zip(x, model.predict(x)):
+        want = 0.5
+        for t in range(4):
+            of, n = {r[1]: r for r in nodes if r[0] == t}, 0
+            while of[n][2] >= 0:
+                n = of[n][4] if row[of[n][2]] <= of[n][3] else of[n][5]
+            want += of[n][6]
+        assert got == pytest.approx(want, rel=1e-12)
+    assert model.predict(x[:0]).shape == (0,)
