@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from clvforge.session import delete_table, durable_cut, ship_package, write_table
 
 #: Rows of a block where there are several, and the most rows that are one block: with 16 features some 32 MB, and
-#: about 150 MB in the task that grows from it. A level of so few rows takes less time than a Spark job.
+#: about 150 MB in the task that grows from it (an estimate).
 BLOCK_ROWS, WHOLE_ROWS = 50_000, 1_000_000
 
 
